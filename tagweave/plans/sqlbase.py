@@ -43,6 +43,10 @@ PRELUDE = ",\n".join([
     "conf AS (SELECT l.label, CAST((SELECT count(*) FROM documents) - coalesce(c.tp, 0) - coalesce(c.fp, 0) "
     "- coalesce(c.fn, 0) AS BIGINT) AS tn, coalesce(c.fp, 0) AS fp, coalesce(c.fn, 0) AS fn, "
     "coalesce(c.tp, 0) AS tp FROM leaves l LEFT JOIN lcounts c ON c.label = l.label)",
+    "gsets AS (SELECT d.doc_id, coalesce(string_agg(g.label, '|' ORDER BY g.label), '') AS gold "
+    "FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_id GROUP BY d.doc_id)",
+    "psets AS (SELECT d.doc_id, coalesce(string_agg(p.label, '|' ORDER BY p.label), '') AS pred "
+    "FROM documents d LEFT JOIN pred p ON p.doc_id = d.doc_id GROUP BY d.doc_id)",
     # FX2 features
     "feat AS (SELECT vec_id, CASE WHEN vec_id % 10 < 8 THEN 'train' WHEN vec_id % 10 = 8 THEN 'dev' "
     "ELSE 'test' END AS split, embedding, label FROM embeddings)",
