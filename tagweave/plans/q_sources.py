@@ -1 +1,131 @@
-"""(filled in below)"""
+"""Source / sink queries (A1-A11): each writes a derived table with the sink
+under test into a fresh folder below the shared checkpoint folder, reads it
+back with the matching reader and returns what was read."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tagweave.operators import metrics as m
+from tagweave.plans import fixtures as fx
+from tagweave.plans.q_metrics import PER_LABEL_SQL, _conf
+from tagweave.plans.registry import register
+from tagweave.plans.sqlbase import sql
+from tagweave.session import read_table, scratch_path
+from tagweave.sources import io
+from tagweave.sources.catalog import Catalog, Recipe
+
+
+@register("read_json_roundtrip", sql(None, """
+SELECT CAST(d.doc_id AS VARCHAR) AS id, length(d.text) AS n_chars,
+       CASE WHEN d.doc_id % 10 = 9 THEN NULL ELSE gs.gold END AS labels
+FROM documents d JOIN gsets gs ON gs.doc_id = d.doc_id"""))
+def read_json_roundtrip(spark, sf_dir):
+    """A1 / A10: labelled records (test split unlabelled: no ``labels`` key) as JSON and back."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = fx.doc_label_sets(spark, sf_dir).select("doc_id", "gold")
+    rec = docs.join(s, "doc_id").select(
+        F.col("doc_id").cast("string").alias("id"), "text",
+        F.when(F.col("doc_id") % 10 == 9, F.lit(None)).otherwise(F.col("gold")).alias("labels"))
+    path = scratch_path(spark, "json")
+    io.write_json_records(rec, path)
+    back = io.read_json_records(spark, path, io.LABELLED_SCHEMA, multiline=False)
+    return back.select("id", F.length("text").cast("bigint").alias("n_chars"),
+                       F.array_join(F.array_sort("labels"), "|").alias("labels"))
+
+
+@register("read_csv_roundtrip", sql(None, "SELECT doc_id, length(text) AS n_chars, label FROM corpus"))
+def read_csv_roundtrip(spark, sf_dir):
+    """A2 / A10: ``;`` CSV with quoted multi-line text, nulls and empty labels, and back."""
+    path = scratch_path(spark, "csv")
+    io.write_delimited(fx.corpus(spark, sf_dir), path, ";")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                           T.StructField("label", T.StringType())])
+    back = io.read_delimited(spark, path, schema, ";")
+    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "label")
+
+
+@register("load_splits", sql("""
+sp AS (SELECT split, n_chars FROM dsplit UNION ALL
+       SELECT 'train_all', n_chars FROM dsplit WHERE split IN ('train', 'validation'))""", """
+SELECT split, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM sp GROUP BY split"""))
+def load_splits(spark, sf_dir):
+    """Catalogue recipe of files per split, incl. a union split; one frame with ``split``."""
+    base = scratch_path(spark, "splits")
+    d = fx.doc_splits(spark, sf_dir).select("doc_id", "n_chars", "split")
+    d.write.partitionBy("split").parquet(base)
+    cat = Catalog()
+    cat.register("docs", Recipe("parquet", {
+        "train": [f"{base}/split=train"], "validation": [f"{base}/split=validation"], "dev": [f"{base}/split=dev"],
+        "train_all": [f"{base}/split=train", f"{base}/split=validation"]}))
+    df = cat.load(spark, "docs")
+    return df.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+                                   F.sum("n_chars").cast("bigint").alias("n_chars"))
+
+
+@register("read_classes", sql(None, "SELECT DISTINCT label FROM gold"))
+def read_classes(spark, sf_dir):
+    """A5: class list file with padding and blank lines, read back trimmed."""
+    labels = fx.gold_long(spark, sf_dir).select("label").distinct()
+    lines = labels.select(F.concat(F.lit("  "), "label", F.lit(" ")).alias("value")).union(
+        labels.limit(1).select(F.lit("   ").alias("value")))
+    path = scratch_path(spark, "classes")
+    lines.write.text(path)
+    return io.read_classes(spark, path).distinct()
+
+
+@register("features_roundtrip", sql(None, """
+SELECT vec_id, split, 'fx' AS model, CAST(len(embedding) AS BIGINT) AS n_dims,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS x_sum
+FROM feat WHERE split = 'test'"""))
+def features_roundtrip(spark, sf_dir):
+    """Feature table + manifest columns partitioned by (model, split); the
+    read-back filter on ``split`` prunes partitions."""
+    f = fx.features(spark, sf_dir).select(
+        "vec_id", "split", "embedding", F.lit("fx").alias("model"), F.lit("cls").alias("extraction_method"),
+        F.lit("-1").alias("layers"), F.lit("none").alias("layers_aggregation_method"),
+        F.lit("embeddings").alias("dataset"))
+    path = scratch_path(spark, "features")
+    io.write_features(f, path)
+    back = io.read_features(spark, path).filter(F.col("split") == "test")
+    return back.select("vec_id", "split", "model", F.size("embedding").cast("bigint").alias("n_dims"),
+                       m.r6(F.aggregate("embedding", F.lit(0.0).cast("double"),
+                                        lambda a, x: a + x.cast("double"))).alias("x_sum"))
+
+
+@register("write_predictions", sql(None, "SELECT CAST(doc_id AS VARCHAR) AS id, pred AS labels FROM psets"))
+def write_predictions(spark, sf_dir):
+    """Predictions attached by id (rows without predictions get an empty list)."""
+    rows = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    p = fx.pred_long(spark, sf_dir).groupBy(F.col("doc_id").alias("id")).agg(
+        F.array_sort(F.collect_list("label")).alias("labels"))
+    path = scratch_path(spark, "predictions")
+    io.write_predictions(rows, p, path)
+    back = io.read_json_records(spark, path, io.PREDICTION_SCHEMA, multiline=False)
+    return back.select("id", F.array_join("labels", "|").alias("labels"))
+
+
+RUN_SCHEMA = T.StructType([T.StructField("experiment", T.LongType()), T.StructField("label", T.StringType()),
+                           T.StructField("f1", T.DoubleType())])
+
+
+@register("append_results", sql(None, "SELECT experiment, label, f1 FROM runs"))
+def append_results(spark, sf_dir):
+    """Two appends to a results table that does not exist yet, then read back."""
+    path = scratch_path(spark, "results")
+    runs = fx.runs(spark, sf_dir).select(F.col("experiment").cast("bigint"), "label", "f1")
+    io.append_table(runs.filter(F.col("experiment") < 6), path)
+    io.append_table(runs.filter(F.col("experiment") >= 6), path)
+    return io.read_table_or_empty(spark, path, RUN_SCHEMA)
+
+
+@register("append_per_label", sql(f"plab AS ({PER_LABEL_SQL})", """
+SELECT CAST(e AS BIGINT) AS experiment, label, precision, recall, f1 FROM plab, (VALUES (1), (2)) v(e)"""))
+def append_per_label(spark, sf_dir):
+    """A9 + G18: per-label scores appended twice, each stamped with the next experiment id."""
+    path = scratch_path(spark, "per_label")
+    scores = m.per_label_scores(_conf(spark, sf_dir))
+    io.append_with_next_experiment(spark, scores, path)
+    io.append_with_next_experiment(spark, scores, path)
+    return io.read_table_or_empty(spark, path, io.PER_LABEL_SCHEMA)
