@@ -1 +1,124 @@
-"""(filled in below)"""
+"""Text queries (H1-H8) over whole documents and conversation texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagweave.fixed import (
+    SOCIAL_PRE_REPLACEMENTS, SOCIAL_REPLACEMENTS, SOCIAL_URL_PREFIXES, SOCIAL_URL_TOKEN, SOCIAL_USER_TOKEN,
+)
+from tagweave.functions import text as tf
+from tagweave.operators import text as tt
+from tagweave.plans import fixtures as fx
+from tagweave.plans.registry import register
+from tagweave.plans.sqlbase import q, sql
+from tagweave.session import read_table, scratch_path
+from tagweave.sources import io
+
+MAX_LEN = 128
+TOKS_SQL = "list_filter(regexp_split_to_array({x}, '[ \\t\\n\\r\\f]+'), lambda t: t <> '')"
+
+
+@register("text_lengths", sql(None, "SELECT doc_id, length(text) AS n_chars FROM corpus"))
+def text_lengths(spark, sf_dir):
+    """H1."""
+    return fx.corpus(spark, sf_dir).select("doc_id", tf.char_length(F.col("text")).cast("bigint").alias("n_chars"))
+
+
+@register("token_counts", sql(None, f"SELECT doc_id, CAST(len({TOKS_SQL.format(x='text')}) AS BIGINT) AS n_tokens "
+                                    "FROM corpus"))
+def token_counts(spark, sf_dir):
+    """H2."""
+    return fx.corpus(spark, sf_dir).select("doc_id", tf.token_count(F.col("text")).cast("bigint").alias("n_tokens"))
+
+
+def _norm_sql(x: str) -> str:
+    for a, b in SOCIAL_PRE_REPLACEMENTS:
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    url = " OR ".join(f"starts_with(lower(t), {q(p)})" for p in SOCIAL_URL_PREFIXES)
+    x = (f"array_to_string(list_transform({TOKS_SQL.format(x=x)}, lambda t: CASE WHEN starts_with(t, '@') "
+         f"THEN {q(SOCIAL_USER_TOKEN)} WHEN {url} THEN {q(SOCIAL_URL_TOKEN)} ELSE t END), ' ')")
+    for a, b in SOCIAL_REPLACEMENTS:
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
+
+
+@register("normalize_text", sql(None, f"SELECT conv_id, turn, {_norm_sql('text')} AS text FROM social"))
+def normalize_text(spark, sf_dir):
+    """H3."""
+    s = fx.social(spark, sf_dir)
+    return s.select("conv_id", "turn", tf.normalize_social(F.col("text")).alias("text"))
+
+
+@register("extract_author", sql(None, f"""
+SELECT conv_id, turn, trim(coalesce(nullif(regexp_extract(text, {q(tf.AUTHOR_DASH)}, 1), ''),
+                                    nullif(regexp_extract(text, {q(tf.AUTHOR_QUOTED)}, 1), ''))) AS author
+FROM quotes"""))
+def extract_author(spark, sf_dir):
+    """H4."""
+    qt = fx.quotes(spark, sf_dir)
+    return qt.select("conv_id", "turn", tf.author(F.col("text")).alias("author"))
+
+
+@register("mention_counts", sql(None, f"""
+SELECT m AS mention, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {q(tf.MENTION)}, 1)) AS m
+FROM documents) GROUP BY m"""))
+def mention_counts(spark, sf_dir):
+    """H5 (re-aimed): capitalised multi-word mentions counted over all documents."""
+    return tt.mention_counts(read_table(spark, sf_dir, "documents"))
+
+
+@register("encode_pad_mask", sql(f"""
+dt AS (SELECT doc_id, {TOKS_SQL.format(x='text')} AS toks FROM documents),
+tk AS (SELECT doc_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM dt),
+voc AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id
+        FROM (SELECT token, count(*) AS n FROM tk GROUP BY token)),
+enc AS (SELECT tk.doc_id, string_agg(CAST(voc.id AS VARCHAR), ',' ORDER BY tk.pos) AS ids, count(*) AS n_real
+        FROM tk JOIN voc ON voc.token = tk.token WHERE tk.pos < {MAX_LEN} GROUP BY tk.doc_id)""", f"""
+SELECT dt.doc_id, CAST(len(dt.toks) AS BIGINT) AS n_tokens,
+       CASE WHEN enc.ids IS NULL THEN array_to_string(list_transform(range({MAX_LEN}), lambda i: '0'), ',')
+            WHEN enc.n_real = {MAX_LEN} THEN enc.ids
+            ELSE enc.ids || repeat(',0', CAST({MAX_LEN} - enc.n_real AS INTEGER)) END AS input_ids,
+       CAST(coalesce(enc.n_real, 0) AS BIGINT) AS n_mask
+FROM dt LEFT JOIN enc ON enc.doc_id = dt.doc_id"""))
+def encode_pad_mask(spark, sf_dir):
+    """H6: corpus vocabulary by frequency, ids truncated / padded to 128, mask."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id"), "text")
+    vocab = tt.vocabulary(docs)
+    enc = tt.encode(docs, vocab, "doc_id", max_len=MAX_LEN)
+    return enc.select("doc_id", "n_tokens", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_mask"))
+
+
+@register("mlm_mask")
+def mlm_mask(spark, sf_dir):
+    """H7: masked-LM examples from the encoded corpus (rows-only check + invariant tests)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = tt.vocabulary(docs).cache()
+    enc = tt.encode(docs, vocab, "doc_id", max_len=MAX_LEN)
+    out = tt.mlm_mask(enc, vocab.count(), "doc_id")
+    return out.select("doc_id", F.size(F.filter("labels", lambda x: x != -100)).alias("n_selected"),
+                      F.size(F.filter("input_ids", lambda x: x == tt.MASK_ID)).alias("n_masked"))
+
+
+@register("format_violations", sql(None, """
+SELECT 'malformed' AS kind, CAST(NULL AS BIGINT) AS doc_id, '{"doc_id":' || doc_id || ',"labels":[' AS detail
+FROM documents WHERE doc_id % 89 = 0
+UNION ALL SELECT 'missing_id', doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sub_ids)
+UNION ALL SELECT 'extra_id', doc_id, NULL FROM sub_ids WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'unknown_label', doc_id, label FROM sub_long WHERE label NOT IN (SELECT node FROM nodes)"""))
+def format_violations(spark, sf_dir):
+    """H8: a submission written as JSON lines plus one truncated record per
+    89th document, read PERMISSIVE; every record validated."""
+    path = scratch_path(spark, "submission")
+    sub = fx.submission(spark, sf_dir)
+    sub.write.json(path)
+    broken = read_table(spark, sf_dir, "documents").filter(F.col("doc_id") % 89 == 0).select(
+        F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"labels":[')).alias("value"))
+    broken.write.mode("append").text(path)
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("labels", T.ArrayType(T.StringType()))])
+    raw = io.read_json_records(spark, path, schema, multiline=False, corrupt_col="_corrupt_record")
+    gold = read_table(spark, sf_dir, "documents").select("doc_id")
+    vocab = fx.taxonomy(spark)["closure"].select(F.col("node").alias("label"))
+    return tt.format_violations(raw, gold, vocab, "doc_id")
