@@ -1 +1,78 @@
-"""(filled in below)"""
+"""Pooling and featurisation queries."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tagweave.functions.text import WS
+from tagweave.operators import pooling as pl
+from tagweave.plans import fixtures as fx
+from tagweave.plans.registry import register
+from tagweave.plans.sqlbase import sql
+from tagweave.session import scratch_path
+from tagweave.sources import io
+
+
+def _long(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec") -> DataFrame:
+    return df.select(id_col, F.posexplode(vec_col).alias("dim", "value")).select(
+        id_col, F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@register("pool_cls", sql(None, """
+SELECT vec_id, CAST(dim AS BIGINT) AS dim, round(x, 6) AS value FROM hidden_long WHERE layer = 1 AND token = 0"""))
+def pool_cls(spark, sf_dir):
+    """I1."""
+    return _long(pl.pool_cls(fx.hidden_states(spark, sf_dir), "vec_id"))
+
+
+@register("pool_layers_avg", sql(None, """
+SELECT vec_id, CAST(dim AS BIGINT) AS dim, round(avg(m), 6) AS value
+FROM (SELECT vec_id, layer, dim, avg(x) AS m FROM hidden_long WHERE layer IN (0, 1) GROUP BY vec_id, layer, dim)
+GROUP BY vec_id, dim"""))
+def pool_layers_avg(spark, sf_dir):
+    """Layers 0 and 1, mean over all tokens per layer, then over layers."""
+    return _long(pl.pool_layers(fx.hidden_states(spark, sf_dir), [0, 1], "avg", "vec_id"))
+
+
+@register("pool_layers_concat", sql(None, """
+SELECT vec_id, CAST(CASE WHEN layer = 1 THEN 0 ELSE 8 END + dim AS BIGINT) AS dim, round(avg(x), 6) AS value
+FROM hidden_long WHERE layer IN (0, 1) GROUP BY vec_id, layer, dim"""))
+def pool_layers_concat(spark, sf_dir):
+    """Layer means concatenated in the requested order [1, 0]."""
+    return _long(pl.pool_layers(fx.hidden_states(spark, sf_dir), [1, 0], "concatenate", "vec_id"))
+
+
+@register("pool_masked_mean", sql(None, """
+SELECT vec_id, CAST(dim AS BIGINT) AS dim, round(avg(x), 6) AS value
+FROM hidden_long WHERE layer = 1 AND mask = 1 GROUP BY vec_id, dim"""))
+def pool_masked_mean(spark, sf_dir):
+    """I4: mask-aware mean over the last layer's tokens."""
+    return _long(pl.pool_masked_mean(fx.hidden_states(spark, sf_dir), "vec_id"))
+
+
+def featurize_documents(spark, sf_dir, num_features: int = 256):
+    """I5 default featuriser: whitespace tokens -> HashingTF -> IDF fitted on the train split."""
+    docs = fx.doc_splits(spark, sf_dir).select("doc_id", "split", F.coalesce("text", F.lit("")).alias("text"))
+    tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=WS, toLowercase=True)
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
+    t = tf.transform(tok.transform(docs))
+    idf = IDF(inputCol="tf", outputCol="vec").fit(t.filter(F.col("split") == "train"))
+    return idf.transform(t).select("doc_id", "split", "vec")
+
+
+@register("embed_corpus")
+def embed_corpus(spark, sf_dir):
+    """Featurise all splits, write the feature table with manifest
+    columns partitioned by (model, split), read it back."""
+    feats = featurize_documents(spark, sf_dir).select(
+        "doc_id", "split", vector_to_array("vec", "float32").alias("features"),
+        F.lit("hashing-tf-idf-256").alias("model"), F.lit("tfidf").alias("extraction_method"),
+        F.lit("").alias("layers"), F.lit("").alias("layers_aggregation_method"), F.lit("documents").alias("dataset"))
+    path = scratch_path(spark, "embed")
+    io.write_features(feats, path)
+    back = io.read_features(spark, path)
+    return back.select("doc_id", "split", "model",
+                       F.size(F.filter("features", lambda x: x != 0)).cast("bigint").alias("n_nonzero"))
