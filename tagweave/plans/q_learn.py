@@ -1 +1,361 @@
-"""(filled in below)"""
+"""Neighbour joins (C8, C9), rebalancing (J1-J3), learners (K1-K15) and
+sweeps (L1-L5) over the feature fixture FX2 (embeddings) and the document
+TF-IDF features with the taxonomy labels."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagweave.fixed import COMBINATION_SAMPLERS, LEAVES, TAXONOMY_EDGES
+from tagweave.operators import learn as ln
+from tagweave.operators import metrics as m
+from tagweave.operators import neighbours as nb
+from tagweave.operators import resample as rs
+from tagweave.operators.taxonomy import expand_long
+from tagweave.plans import fixtures as fx
+from tagweave.plans.q_pooling import featurize_documents
+from tagweave.plans.registry import register
+from tagweave.plans.sqlbase import q, sql
+from tagweave.session import read_table, scratch_path
+from tagweave.sources import io
+
+K = 5
+RADIUS = 1.2
+DIGITS = [str(i) for i in range(10)]
+
+DIST_SQL = ("sqrt(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), "
+            "lambda z: (z[1] - z[2]) * (z[1] - z[2]))))")
+KNN_CTE = f"""
+dists AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, {DIST_SQL} AS d
+          FROM feat a JOIN feat b ON a.split = 'test' AND b.split = 'train'),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), neighbor_id) AS rank
+        FROM dists) WHERE rank <= {K})"""
+
+
+def _split(spark, sf_dir, name):
+    return fx.features(spark, sf_dir).filter(F.col("split") == name)
+
+
+def _knn(spark, sf_dir) -> DataFrame:
+    return nb.knn_join(_split(spark, sf_dir, "test"), _split(spark, sf_dir, "train"), K, "vec_id", "embedding")
+
+
+@register("knn_join", sql(KNN_CTE, """
+SELECT query_id, neighbor_id, CAST(rank AS BIGINT) AS rank, round(d, 6) AS distance FROM knn"""))
+def knn_join(spark, sf_dir):
+    """Exact 5 nearest train rows per test row (block nested loop, no cross join)."""
+    return _knn(spark, sf_dir).select(F.col("qid").alias("query_id"), F.col("nid").alias("neighbor_id"),
+                                      F.col("rank").cast("bigint"), F.round("dist", 6).alias("distance"))
+
+
+@register("radius_join", sql(f"""
+dists AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, {DIST_SQL} AS d
+          FROM feat a JOIN feat b ON a.split = 'test' AND b.split = 'train')""", f"""
+SELECT query_id, neighbor_id, round(d, 6) AS distance FROM dists WHERE d <= {RADIUS}"""))
+def radius_join(spark, sf_dir):
+    """Every train row within distance 1.2 of a test row."""
+    p = nb.radius_join(_split(spark, sf_dir, "test"), _split(spark, sf_dir, "train"), RADIUS, "vec_id", "embedding")
+    return p.select(F.col("qid").alias("query_id"), F.col("nid").alias("neighbor_id"),
+                    F.round("dist", 6).alias("distance"))
+
+
+@register("knn_classify", sql(KNN_CTE, f"""
+SELECT k.query_id AS vec_id, l.lab AS label, count(*) AS votes FROM knn k JOIN featlab l ON l.vec_id = k.neighbor_id
+GROUP BY k.query_id, l.lab HAVING count(*) > {K} * 0.5"""))
+def knn_classify(spark, sf_dir):
+    """A label is predicted when more than half of the 5 neighbours carry it."""
+    v = nb.vote(_knn(spark, sf_dir), _split(spark, sf_dir, "train"), "vec_id")
+    return v.select(F.col("qid").alias("vec_id"), "label", "votes")
+
+
+@register("radius_classify", sql(f"""
+dists AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, {DIST_SQL} AS d
+          FROM feat a JOIN feat b ON a.split = 'test' AND b.split = 'train'),
+nn AS (SELECT * FROM dists WHERE d <= {RADIUS}),
+cnt AS (SELECT query_id, count(*) AS n FROM nn GROUP BY query_id)""", """
+SELECT t.vec_id, v.label, v.votes, coalesce(c.n, 0) AS n_neighbors
+FROM (SELECT vec_id FROM feat WHERE split = 'test') t LEFT JOIN cnt c ON c.query_id = t.vec_id
+LEFT JOIN (SELECT x.query_id, l.lab AS label, count(*) AS votes FROM nn x JOIN featlab l ON l.vec_id = x.neighbor_id
+           GROUP BY x.query_id, l.lab) v ON v.query_id = t.vec_id AND v.votes > c.n * 0.5"""))
+def radius_classify(spark, sf_dir):
+    """Vote share > 0.5 among neighbours within 1.2; a test row with no
+    qualifying label (or no neighbour at all) is kept with label null."""
+    test = _split(spark, sf_dir, "test")
+    pairs = nb.radius_join(test, _split(spark, sf_dir, "train"), RADIUS, "vec_id", "embedding")
+    v = nb.vote(pairs, _split(spark, sf_dir, "train"), "vec_id")
+    n = pairs.groupBy("qid").agg(F.count(F.lit(1)).cast("bigint").alias("n_neighbors"))
+    t = test.select(F.col("vec_id").cast("long").alias("qid")).join(n, "qid", "left")
+    out = t.join(v.drop("n_neighbors"), "qid", "left")
+    return out.select(F.col("qid").alias("vec_id"), "label", "votes",
+                      F.coalesce("n_neighbors", F.lit(0)).cast("bigint").alias("n_neighbors"))
+
+
+def _binary_train(spark, sf_dir, label="3"):
+    t = _split(spark, sf_dir, "train")
+    return t.withColumn("y", F.array_contains("labels", label).cast("int"))
+
+
+_COUNTS_SQL = """
+SELECT y, CAST(n AS BIGINT) AS n_rows FROM (
+  SELECT 0 AS y, count(*) FILTER (WHERE NOT has) AS n FROM tr
+  UNION ALL SELECT 1, greatest(count(*) FILTER (WHERE has),
+                               CAST(floor(0.5 * count(*) FILTER (WHERE NOT has)) AS BIGINT)) FROM tr)"""
+_TR_CTE = ("tr AS (SELECT f.vec_id, EXISTS (SELECT 1 FROM featlab l WHERE l.vec_id = f.vec_id AND l.lab = '3') AS has "
+           "FROM feat f WHERE f.split = 'train')")
+
+
+@register("oversample_random", sql(_TR_CTE, _COUNTS_SQL))
+def oversample_random(spark, sf_dir):
+    """Label '3' (minority) oversampled to ratio 0.5 of the majority; exact class counts."""
+    out = rs.oversample_random(_binary_train(spark, sf_dir), "y", 0.5, "vec_id", seed=42)
+    return out.groupBy("y").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+@register("smote", sql(_TR_CTE, _COUNTS_SQL))
+def smote(spark, sf_dir):
+    """SMOTE for label '3' to ratio 0.5; exact class counts (segment property in tests)."""
+    out = rs.smote(_binary_train(spark, sf_dir), "y", "embedding", 0.5, "vec_id", seed=42)
+    return out.groupBy("y").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+_SAMPLER_SQL = "samplers(label, method, ratio) AS (VALUES " + ", ".join(
+    f"({q(a)}, {q(b) if b else 'NULL'}, {r if r is not None else 'NULL'})" for a, b, r in COMBINATION_SAMPLERS) + ")"
+
+
+@register("oversample_plan", sql(_SAMPLER_SQL + """,
+npos AS (SELECT label, count(*) AS n_pos FROM goldc GROUP BY label),
+pl AS (SELECT s.label, s.method, s.ratio, coalesce(n.n_pos, 0) AS n_pos,
+              (SELECT count(*) FROM documents) - coalesce(n.n_pos, 0) AS n_neg
+       FROM samplers s LEFT JOIN npos n ON n.label = s.label)""", """
+SELECT label, method, CAST(ratio AS DOUBLE) AS ratio, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg,
+  CAST(CASE WHEN method IS NULL THEN least(n_pos, n_neg)
+       ELSE floor(ratio * greatest(n_pos, n_neg)) END AS BIGINT) AS target,
+  CAST(CASE WHEN method IS NULL THEN 0
+       ELSE greatest(floor(ratio * greatest(n_pos, n_neg)) - least(n_pos, n_neg), 0) END AS BIGINT) AS n_add,
+  CASE WHEN method IS NULL THEN 'none'
+       WHEN floor(ratio * greatest(n_pos, n_neg)) < least(n_pos, n_neg) THEN 'ratio_reached' ELSE 'ok' END AS status
+FROM pl"""))
+def oversample_plan(spark, sf_dir):
+    """The per-label sampler table joined to label frequencies of the gold
+    closure: target minority count and rows to add per label."""
+    t = rs.sampler_table(spark, COMBINATION_SAMPLERS)
+    gc = expand_long(fx.gold_long(spark, sf_dir), fx.taxonomy(spark)["closure"], "doc_id")
+    n_docs = read_table(spark, sf_dir, "documents").count()
+    npos = gc.groupBy("label").agg(F.count(F.lit(1)).alias("n_pos"))
+    p = t.join(npos, "label", "left").withColumn("n_pos", F.coalesce("n_pos", F.lit(0)))
+    p = p.withColumn("n_neg", F.lit(n_docs) - F.col("n_pos"))
+    lo, hi = F.least("n_pos", "n_neg"), F.greatest("n_pos", "n_neg")
+    tgt = F.floor(F.col("ratio") * hi)
+    return p.select(
+        "label", "method", "ratio", F.col("n_pos").cast("bigint"), F.col("n_neg").cast("bigint"),
+        F.when(F.col("method").isNull(), lo).otherwise(tgt).cast("bigint").alias("target"),
+        F.when(F.col("method").isNull(), F.lit(0)).otherwise(F.greatest(tgt - lo, F.lit(0))).cast("bigint").alias("n_add"),
+        F.when(F.col("method").isNull(), "none").when(tgt < lo, "ratio_reached").otherwise("ok").alias("status"))
+
+
+# --- learners ---------------------------------------------------------------
+
+def _predict_test(spark, sf_dir, learner) -> DataFrame:
+    train, test = _split(spark, sf_dir, "train"), _split(spark, sf_dir, "test")
+    model = learner.fit(train, "embedding", "labels", "vec_id") if not isinstance(learner, ln.ClassifierChain) \
+        else learner.fit(train, "embedding", "labels")
+    out = model.transform(test)
+    return out.select("vec_id", F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
+
+
+def _br(kind, **kw):
+    return ln.BinaryRelevance(lambda: ln.make_estimator(kind, 64, **kw), DIGITS)
+
+
+@register("br_logreg")
+def br_logreg(spark, sf_dir):
+    """Binary relevance with logistic regression (600 iterations)."""
+    return _predict_test(spark, sf_dir, _br("logreg"))
+
+
+@register("br_mlp")
+def br_mlp(spark, sf_dir):
+    """K3 / K6: binary relevance with a one-hidden-layer perceptron."""
+    return _predict_test(spark, sf_dir, _br("mlp"))
+
+
+@register("br_gbt")
+def br_gbt(spark, sf_dir):
+    """K4."""
+    return _predict_test(spark, sf_dir, _br("gbt"))
+
+
+@register("br_tree")
+def br_tree(spark, sf_dir):
+    """K8."""
+    return _predict_test(spark, sf_dir, _br("tree"))
+
+
+@register("br_forest")
+def br_forest(spark, sf_dir):
+    """K9 (random forest; extra trees = no bootstrap, sqrt feature subsets)."""
+    return _predict_test(spark, sf_dir, _br("forest"))
+
+
+@register("ridge_classify")
+def ridge_classify(spark, sf_dir):
+    """Ridge regression on +-1 targets, sign decides."""
+    return _predict_test(spark, sf_dir, _br("ridge"))
+
+
+@register("classifier_chain")
+def classifier_chain(spark, sf_dir):
+    """K5."""
+    return _predict_test(spark, sf_dir, ln.ClassifierChain(lambda: ln.make_estimator("logreg", 64), DIGITS))
+
+
+def _micro_f1(pred: DataFrame, gold: DataFrame, id_col: str) -> float:
+    pl = pred.select(id_col, F.explode("pred_labels").alias("label"))
+    gl = gold.select(id_col, F.explode("labels").alias("label"))
+    c = m.label_counts(gl, pl, id_col).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    r = c.first()
+    tp, fp, fn = (r["tp"] or 0), (r["fp"] or 0), (r["fn"] or 0)
+    return 0.0 if 2 * tp + fp + fn == 0 else 2 * tp / (2 * tp + fp + fn)
+
+
+@register("ridge_cv")
+def ridge_cv(spark, sf_dir):
+    """Ridge with the penalty chosen on the dev split (validation F1)."""
+    train, dev, test = (_split(spark, sf_dir, s) for s in ("train", "dev", "test"))
+    best = None
+    for reg in (0.1, 1.0, 10.0):
+        model = _br("ridge", reg=reg).fit(train, "embedding", "labels", "vec_id")
+        f1 = _micro_f1(model.transform(dev), dev, "vec_id")
+        if best is None or f1 > best[0]:
+            best = (f1, model)
+    out = best[1].transform(test)
+    return out.select("vec_id", F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
+
+
+@register("hier_topdown")
+def hier_topdown(spark, sf_dir):
+    """K7: top-down learner over the taxonomy on document TF-IDF features;
+    trained on the train split with gold closures, predicted on the dev split."""
+    feats = featurize_documents(spark, sf_dir).select("doc_id", "split", vector_to_array("vec", "float32").alias("features"))
+    gc = expand_long(fx.gold_long(spark, sf_dir), fx.taxonomy(spark)["closure"], "doc_id")
+    clos = gc.groupBy("doc_id").agg(F.collect_set("label").alias("labels"))
+    data = feats.join(clos, "doc_id", "left").withColumn(
+        "labels", F.coalesce("labels", F.array().cast("array<string>")))
+    td = ln.TopDown(lambda: ln.make_estimator("logreg", 256, max_iter=100), TAXONOMY_EDGES, threshold=0.35)
+    model = td.fit(data.filter(F.col("split") == "train"), "features", "labels", "doc_id")
+    out = model.transform(data.filter(F.col("split") == "dev"))
+    return out.select("doc_id", F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
+
+
+@register("score_corpus")
+def score_corpus(spark, sf_dir):
+    """Batch prediction with a fitted scorer, raw scores plus decoded labels."""
+    train, test = _split(spark, sf_dir, "train"), _split(spark, sf_dir, "test")
+    model = _br("logreg").fit(train, "embedding", "labels", "vec_id")
+    out = model.transform(test)
+    return out.select("vec_id", F.size("scores").cast("bigint").alias("n_scores"),
+                      F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
+
+
+RESULT_COLS = "run long, classifier string, f1 double, precision double, recall double"
+
+
+@register("classify_job")
+def classify_job(spark, sf_dir):
+    """Features + labels -> vocabulary -> (per-label random oversampling
+    to 0.5) -> fit -> predict dev -> score -> append run -> predict test ->
+    write predictions; returns the run table as read back."""
+    f = fx.features(spark, sf_dir)
+    vocab = [r[0] for r in f.select(F.explode("labels")).distinct().orderBy(1).collect()]  # bounded class list
+    train, dev, test = (f.filter(F.col("split") == s) for s in ("train", "dev", "test"))
+    br = ln.BinaryRelevance(lambda: ln.make_estimator("logreg", 64), vocab, samplers=("random", 0.5))
+    model = br.fit(train, "embedding", "labels", "vec_id")
+    pd_ = model.transform(dev)
+    pl = pd_.select("vec_id", F.explode("pred_labels").alias("label"))
+    gl = dev.select("vec_id", F.explode("labels").alias("label"))
+    conf = m.label_counts(gl, pl, "vec_id")
+    scores = m.micro_scores(conf)
+    base = scratch_path(spark, "classify")
+    run = io.read_table_or_empty(spark, f"{base}/runs", spark.createDataFrame([], RESULT_COLS).schema)
+    nxt = run.agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0]
+    row = scores.select(F.lit(nxt).cast("long").alias("run"), F.lit("br_logreg_random0.5").alias("classifier"),
+                        "f1", "precision", "recall")
+    io.append_table(row, f"{base}/runs")
+    io.write_predictions(test.select(F.col("vec_id").alias("id")),
+                         model.transform(test).select(F.col("vec_id").alias("id"), F.col("pred_labels").alias("labels")),
+                         f"{base}/predictions")
+    return spark.read.parquet(f"{base}/runs")
+
+
+# --- sweeps -----------------------------------------------------------------
+
+def _sweep_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """The (bounded) list of configuration results as a small table."""
+    return spark.createDataFrame(rows, schema)
+
+
+@register("sweep_classifiers")
+def sweep_classifiers(spark, sf_dir):
+    """L1: several learners on one cached feature table, ranked by dev micro F1."""
+    f = fx.features(spark, sf_dir).cache()
+    train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
+    rows = []
+    for kind in ("logreg", "tree", "forest", "ridge"):
+        model = _br(kind).fit(train, "embedding", "labels", "vec_id")
+        rows.append((kind, float(_micro_f1(model.transform(dev), dev, "vec_id"))))
+    knn = nb.vote(nb.knn_join(dev, train, K, "vec_id", "embedding"), train, "vec_id")
+    kp = dev.select(F.col("vec_id").cast("long").alias("qid")).join(
+        knn.groupBy("qid").agg(F.collect_list("label").alias("pred_labels")), "qid", "left").select(
+        F.col("qid").alias("vec_id"), F.coalesce("pred_labels", F.array().cast("array<string>")).alias("pred_labels"))
+    rows.append(("knn", float(_micro_f1(kp, dev, "vec_id"))))
+    res = _sweep_frame(spark, rows, "classifier string, f1 double")
+    return m.leaderboard(res.withColumnRenamed("classifier", "experiment"), "experiment", "f1")
+
+
+@register("sweep_ratio")
+def sweep_ratio(spark, sf_dir):
+    """L2: random-oversampling ratio 0.9 ... 0.1 (labels already at the ratio are left as they are)."""
+    f = fx.features(spark, sf_dir).cache()
+    train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
+    rows = []
+    for r in [round(0.1 * i, 1) for i in range(9, 0, -1)]:
+        br = ln.BinaryRelevance(lambda: ln.make_estimator("logreg", 64, max_iter=100), DIGITS, samplers=("random", r))
+        model = br.fit(train, "embedding", "labels", "vec_id")
+        rows.append((r, float(_micro_f1(model.transform(dev), dev, "vec_id"))))
+    return _sweep_frame(spark, rows, "ratio double, f1 double")
+
+
+@register("sweep_seeds")
+def sweep_seeds(spark, sf_dir):
+    """L3: seeds 1..10 of a random forest; mean and standard deviation of dev F1."""
+    f = fx.features(spark, sf_dir).cache()
+    train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
+    rows = []
+    for seed in range(1, 11):
+        br = ln.BinaryRelevance(lambda s=seed: ln.make_estimator("forest", 64, seed=s, trees=20), DIGITS)
+        rows.append((seed, float(_micro_f1(br.fit(train, "embedding", "labels", "vec_id").transform(dev), dev, "vec_id"))))
+    res = _sweep_frame(spark, rows, "seed long, f1 double")
+    return res.agg(F.count(F.lit(1)).alias("n_seeds"), m.r6(F.avg("f1")).alias("mean_f1"),
+                   m.r6(F.stddev_samp("f1")).alias("std_f1"))
+
+
+@register("random_search")
+def random_search(spark, sf_dir, n_trials: int = 6, seed: int = 42):
+    """Log-uniform search of the logistic penalty in [1e-4, 1], maximising dev micro F1."""
+    f = fx.features(spark, sf_dir).cache()
+    train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
+    regs = np.exp(np.random.default_rng(seed).uniform(np.log(1e-4), np.log(1.0), n_trials))
+    rows = []
+    for i, reg in enumerate(regs):
+        br = ln.BinaryRelevance(lambda r=float(reg): ln.make_estimator("logreg", 64, reg=r, max_iter=100), DIGITS)
+        rows.append((i, float(reg), float(_micro_f1(br.fit(train, "embedding", "labels", "vec_id").transform(dev),
+                                                     dev, "vec_id"))))
+    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
+    return _sweep_frame(spark, [(a, b, c, a == best) for a, b, c in rows],
+                        "trial long, reg_param double, f1 double, is_best boolean")
+
+
+__all__ = ["LEAVES"]
