@@ -69,12 +69,12 @@ def pool_masked_mean(hidden: DataFrame, id_col: str = "id", layer_col: str = "la
 
 
 def embed_with_model(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
-                     input_col: str, dim: int, batch_size: int = 64, out_col: str = "features") -> DataFrame:
+                     input_col: str, input_dim: int, batch_size: int = 64, out_col: str = "features") -> DataFrame:
     """Batched inference with a pluggable model.
 
     ``make_predict_fn`` is called once per Python worker (model loaded once)
-    and returns a function from a batch array to a (batch, dim) array.  Rows
-    travel as Arrow batches of ``batch_size``."""
+    and returns a function from a (batch, input_dim) array to a (batch, dim)
+    array.  Rows travel as Arrow batches of ``batch_size``."""
     udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
-                            input_tensor_shapes=None)
+                            input_tensor_shapes=[[input_dim]])
     return df.withColumn(out_col, udf(F.col(input_col)))
