@@ -36,13 +36,16 @@ def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str
     vocabulary is broadcast only below the size bound, else shuffle-joined
     (AQE splits hot tokens)."""
     toks = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
-    pos = toks.select(id_col, F.posexplode(F.slice("_t", 1, max_len)).alias("pos", "token"))
+    # one pass over the text: the truncated tokens carry the full count along;
+    # posexplode_outer keeps documents without any token
+    pos = toks.select(id_col, F.size("_t").alias("n_tokens"),
+                      F.posexplode_outer(F.slice("_t", 1, max_len)).alias("pos", "token"))
     v = sized_broadcast(vocab.select("token", F.col("id").alias("_tid")))
-    ided = pos.join(v, "token", "left").select(id_col, "pos", F.coalesce("_tid", F.lit(PAD_ID)).alias("_tid"))
-    per_doc = ided.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "_tid"))), lambda x: x["_tid"]).alias("_ids"))
-    base = toks.select(id_col, F.size("_t").alias("n_tokens"))
-    j = base.join(per_doc, id_col, "left")
+    ided = pos.join(v, "token", "left")
+    hit = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_tid", F.lit(PAD_ID)).alias("_tid")))
+    j = ided.groupBy(id_col).agg(
+        F.max("n_tokens").alias("n_tokens"),
+        F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["_tid"]).alias("_ids"))
     ids = F.coalesce(F.col("_ids"), F.array().cast("array<bigint>"))
     n = F.size(ids)
     padded = F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("bigint"), F.lit(max_len) - n))
