@@ -29,7 +29,8 @@ from tagweave.operators.resample import oversample_random, smote
 def make_estimator(kind: str, n_features: int, seed: int = 42, **kw):
     """Factory for the base learners the reference offers."""
     if kind == "logreg":
-        return LogisticRegression(maxIter=kw.get("max_iter", 600), regParam=kw.get("reg", 0.01))
+        return LogisticRegression(maxIter=kw.get("max_iter", 600), regParam=kw.get("reg", 0.01),
+                                  tol=kw.get("tol", 1e-6))
     if kind == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, kw.get("hidden", 32), 2],
                                               maxIter=kw.get("max_iter", 400), seed=seed)
@@ -218,7 +219,7 @@ class TopDown:
 
         def fit_node(node):
             rows = base if node == self.root else base.filter(F.array_contains(closure_col, node))
-            br = BinaryRelevance(self.make, self.children[node], parallelism=1)
+            br = BinaryRelevance(self.make, self.children[node], parallelism=len(self.children[node]))
             return node, br.fit(rows, features_col, closure_col, id_col)
 
         with ThreadPoolExecutor(max_workers=self.parallelism) as pool:

@@ -243,8 +243,10 @@ def hier_topdown(spark, sf_dir):
     gc = expand_long(fx.gold_long(spark, sf_dir), fx.taxonomy(spark)["closure"], "doc_id")
     clos = gc.groupBy("doc_id").agg(F.collect_set("label").alias("labels"))
     data = feats.join(clos, "doc_id", "left").withColumn(
-        "labels", F.coalesce("labels", F.array().cast("array<string>")))
-    td = ln.TopDown(lambda: ln.make_estimator("logreg", 256, max_iter=100), TAXONOMY_EDGES, threshold=0.35)
+        "labels", F.coalesce("labels", F.array().cast("array<string>"))).cache()
+    # one L-BFGS iteration is one Spark job: 36 edge models converge to 1e-4
+    td = ln.TopDown(lambda: ln.make_estimator("logreg", 256, max_iter=100, tol=1e-4), TAXONOMY_EDGES,
+                    threshold=0.35)
     model = td.fit(data.filter(F.col("split") == "train"), "features", "labels", "doc_id")
     out = model.transform(data.filter(F.col("split") == "dev"))
     return out.select("doc_id", F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
