@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.text import mentions, tokens
+from tagweave.functions.text import mentions, split_ws, token_span
 from tagweave.operators.clean import with_row_index
 from tagweave.session import sized_broadcast
 
@@ -20,8 +20,8 @@ def vocabulary(docs: DataFrame, text_col: str = "text", min_count: int = 1) -> D
     """Corpus vocabulary (token, n, id): ids dense by frequency desc, then token,
     starting at FIRST_TOKEN_ID.  Counting uses partial aggregation; ids come
     from a distributed range sort (no single-partition window)."""
-    counts = docs.select(F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"))
+    toks = docs.select(F.explode(split_ws(F.col(text_col))).alias("token")).filter(F.col("token") != "")
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     if min_count > 1:
         counts = counts.filter(F.col("n") >= min_count)
     return with_row_index(counts, [F.desc("n"), F.asc("token")], "id", FIRST_TOKEN_ID)
@@ -35,11 +35,14 @@ def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str
     the operator's contract); ``n_tokens`` counts the whole text.  The
     vocabulary is broadcast only below the size bound, else shuffle-joined
     (AQE splits hot tokens)."""
-    toks = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
-    # one pass over the text: the truncated tokens carry the full count along;
-    # posexplode_outer keeps documents without any token
-    pos = toks.select(id_col, F.size("_t").alias("n_tokens"),
-                      F.posexplode_outer(F.slice("_t", 1, max_len)).alias("pos", "token"))
+    # one pass over the text: the split is evaluated once per document, the
+    # truncated tokens carry the full count along; posexplode_outer keeps
+    # documents without any token
+    parts = docs.select(id_col, split_ws(F.col(text_col)).alias("_p"))
+    lead, count = token_span(F.col("_p"))
+    pos = parts.select(id_col, count.alias("n_tokens"),
+                       F.posexplode_outer(F.slice("_p", lead + 1, F.least(count, F.lit(max_len))))
+                       .alias("pos", "token"))
     v = sized_broadcast(vocab.select("token", F.col("id").alias("_tid")))
     ided = pos.join(v, "token", "left")
     hit = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_tid", F.lit(PAD_ID)).alias("_tid")))

@@ -15,10 +15,30 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def build_session(master: str = "local[*]", partitions: int = 8, app: str = "tagweave") -> SparkSession:
+def split_bytes(input_bytes: int, cores: int, per_core: int = 3,
+                floor: int = 1 << 20, ceiling: int = 128 << 20) -> int:
+    """``spark.sql.files.maxPartitionBytes`` for an input of ``input_bytes`` on
+    ``cores`` task slots: about ``per_core`` scan splits per slot, at most the
+    default 128 MiB (what a large input on a big cluster gets anyway) and at
+    least 1 MiB.  Text rows are CPU-heavy per byte (tokenising), so a small
+    input must still fill every slot."""
+    return max(floor, min(ceiling, input_bytes // max(1, cores * per_core)))
+
+
+def dir_bytes(path: str) -> int:
+    total = 0
+    for root, _, files in os.walk(path):
+        total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
+    return total
+
+
+def build_session(master: str = "local[*]", partitions: int = 8, app: str = "tagweave",
+                  max_partition_bytes: int | None = None) -> SparkSession:
+    builder = SparkSession.builder.master(master).appName(app)
+    if max_partition_bytes:
+        builder = builder.config("spark.sql.files.maxPartitionBytes", str(max_partition_bytes))
     spark = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        builder
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
