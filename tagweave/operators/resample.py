@@ -87,21 +87,24 @@ def smote(df: DataFrame, y_col: str, vec_col: str, ratio: float, id_col: str = "
     kk = min(k, n_min - 1)
     mino = df.filter(F.col(y_col) == minority).cache()
     nbrs = knn_join(mino, mino, kk, id_col, vec_col, exclude_self=True, block_rows=block_rows)
-    c = _copies_per_row(mino.select(id_col), n_add, n_min, id_col, seed).filter(F.col("_copies") > 0)
-    draws = c.select(F.col(id_col).cast("long").alias("qid"),
-                     F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
-    draws = draws.withColumn("rank", (F.pmod(F.xxhash64("qid", "copy", F.lit(seed)), F.lit(kk)) + 1).cast("int"))
-    picked = draws.join(nbrs.select("qid", "nid", F.col("rank").cast("int")), ["qid", "rank"])
-    xs = mino.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).alias("_x"))
+    # Each minority row first gathers its kk neighbour vectors (bounded by k,
+    # rank order) and its copy count; the copies are exploded last, so a row
+    # that must be copied many times (a hot source) never meets a shuffle.
     ns = mino.select(F.col(id_col).cast("long").alias("nid"), F.col(vec_col).alias("_n"))
-    j = picked.join(xs, "qid").join(ns, "nid")
-    u = _unit(F.col("qid"), F.col("copy"), F.lit(seed), F.lit(7))
-    new = F.zip_with("_x", "_n", lambda a, b: (a + u * (b - a)).cast("float"))
+    near = nbrs.join(ns, "nid").groupBy("qid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("r"), "_n"))),
+                    lambda s: s["_n"]).alias("_nn"))
+    c = _copies_per_row(mino, n_add, n_min, id_col, seed).filter(F.col("_copies") > 0)
+    rows = c.withColumn("qid", F.col(id_col).cast("long")).join(near, "qid")
     others = [c_ for c_ in df.columns if c_ not in (id_col, vec_col, y_col)]
-    keep = mino.select(F.col(id_col).cast("long").alias("qid"), *others)
-    syn = j.select("qid", "copy", new.alias(vec_col)).join(keep, "qid").select(
+    draws = rows.select("qid", vec_col, "_nn", *others,
+                        F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    pick = (F.pmod(F.xxhash64("qid", "copy", F.lit(seed)), F.lit(kk)) + 1).cast("int")
+    u = _unit(F.col("qid"), F.col("copy"), F.lit(seed), F.lit(7))
+    new = F.zip_with(vec_col, F.element_at("_nn", pick), lambda a, b: (a + u * (b - a)).cast("float"))
+    syn = draws.select(
         F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), F.lit(minority).cast(df.schema[y_col].dataType)
-        .alias(y_col), F.col(vec_col).cast(df.schema[vec_col].dataType), *others,
+        .alias(y_col), new.cast(df.schema[vec_col].dataType).alias(vec_col), *others,
         F.lit(True).alias("synthetic"), F.col("qid").cast(df.schema[id_col].dataType).alias("source_id"), "copy")
     return base.unionByName(syn.select(*base.columns))
 

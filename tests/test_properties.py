@@ -162,10 +162,17 @@ def test_smote_points_on_segments(spark):
     out = rs.smote(df, "y", "vec", 0.5, "id", seed=7, k=3)
     assert dict(out.groupBy("y").count().collect()) == {0: 48, 1: 24}
     pts = {r["id"]: np.array(r["vec"], dtype=np.float64) for r in df.filter("y = 1").collect()}
-    for r in out.filter("synthetic").collect():
+
+    def nearest(i):  # brute force: the 3 nearest other minority rows of i
+        d = sorted((round(float(np.linalg.norm(pts[i] - v)), 9), j) for j, v in pts.items() if j != i)
+        return [j for _, j in d[:3]]
+
+    synthetic = out.filter("synthetic").collect()
+    assert len(synthetic) == 24 - 12
+    for r in synthetic:
         x, s = np.array(r["vec"], dtype=np.float64), pts[r["source_id"]]
         ok = False
-        for v in pts.values():
+        for v in (pts[j] for j in nearest(r["source_id"])):
             seg = v - s
             if np.allclose(seg, 0):
                 continue
