@@ -153,8 +153,10 @@ def classification_report(conf: DataFrame, rows: DataFrame, gold: DataFrame, pre
     """Per-label precision / recall / f1 / support plus micro, macro, weighted and samples averages."""
     p = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
     r = safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
+    # not cached on purpose: every branch below shares the same pair exchange,
+    # which Spark reuses across the union (one shuffle of the pairs in total)
     per = conf.select(label_col, "tp", "fp", "fn", p.alias("p"), r.alias("r"), fbeta(p, r).alias("f"),
-                      (F.col("tp") + F.col("fn")).alias("support")).cache()
+                      (F.col("tp") + F.col("fn")).alias("support"))
     out_cols = lambda lab, pp, rr, ff, ss: [F.lit(lab).alias(label_col) if isinstance(lab, str) else lab,
                                             r6(pp).alias("precision"), r6(rr).alias("recall"),
                                             r6(ff).alias("f1"), ss.cast("bigint").alias("support")]
