@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.functions.seeded import seeded_int
 from tagweave.session import cut_lineage
 
 
@@ -106,9 +107,15 @@ def holdout_split(df: DataFrame, id_col: str, test_pct: int = 10, seed: int = 42
     return df.withColumn("holdout", F.when(bucket < 100 - test_pct, "train").otherwise("validation"))
 
 
-def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """Deterministic pseudo-random order (distributed range sort on a hash)."""
-    return df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed))).orderBy("_h", id_col).drop("_h")
+def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, pos_col: str | None = None) -> DataFrame:
+    """Deterministic pseudo-random order (distributed range sort on a
+    seeded hash of the id, ties by id).  With ``pos_col`` every row also gets
+    its 0-based position in that order (the permutation, computed
+    distributed by ``with_row_index``)."""
+    h = seeded_int(F.col(id_col), seed=seed)
+    if pos_col:
+        return with_row_index(df.withColumn("_h", h), ["_h", id_col], pos_col).drop("_h")
+    return df.withColumn("_h", h).orderBy("_h", id_col).drop("_h")
 
 
 def head_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.functions.seeded import seeded_int, seeded_unit
 from tagweave.functions.text import mentions, split_ws, token_span
 from tagweave.operators.clean import with_row_index
 from tagweave.session import sized_broadcast
@@ -57,29 +58,20 @@ def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str
                     mask.alias("attention_mask"))
 
 
-def _unit(*cols: Column) -> Column:
-    """Deterministic uniform value in [0, 1) from a hash of the columns."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)).cast("double") / float(1 << 30)
-
-
 def mlm_mask(encoded: DataFrame, vocab_size: int, id_col: str = "id", prob: float = 0.15, seed: int = 42
              ) -> DataFrame:
     """H7: masked-LM examples.  A real (mask = 1) position is selected with
     probability ``prob``; a selected token becomes MASK_ID (80 %), a random
     vocabulary id (10 %) or stays (10 %).  ``labels`` holds the original id at
-    selected positions and -100 elsewhere.  Deterministic per (id, pos, seed)."""
-    s = F.lit(seed)
-
-    def per_pos(x: Column, i: Column) -> Column:
-        return F.struct(x.alias("tok"), i.alias("pos"))
-
+    selected positions and -100 elsewhere.  Deterministic per (id, pos, seed)
+    through an integer hash any SQL engine reproduces."""
     arr = F.zip_with("input_ids", "attention_mask", lambda a, b: F.struct(a.alias("tok"), b.alias("m")))
+    rid = F.col(id_col)
 
     def pick(e: Column, i: Column) -> Column:
-        u = _unit(F.col(id_col), i, s)
-        sel = (e["m"] == 1) & (u < prob)
-        v = _unit(F.col(id_col), i, s, F.lit(1))
-        rnd = (F.pmod(F.xxhash64(F.col(id_col), i, s, F.lit(2)), F.lit(vocab_size)) + FIRST_TOKEN_ID).cast("bigint")
+        sel = (e["m"] == 1) & (seeded_unit(rid, i, F.lit(0), seed=seed) < prob)
+        v = seeded_unit(rid, i, F.lit(1), seed=seed)
+        rnd = (F.pmod(seeded_int(rid, i, F.lit(2), seed=seed), F.lit(vocab_size)) + FIRST_TOKEN_ID).cast("bigint")
         new = F.when(~sel, e["tok"]).when(v < 0.8, F.lit(MASK_ID).cast("bigint")).when(v < 0.9, rnd).otherwise(e["tok"])
         lab = F.when(sel, e["tok"]).otherwise(F.lit(-100).cast("bigint"))
         return F.struct(new.alias("tok"), lab.alias("lab"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagweave.fixed import EVENT_TYPES
 from tagweave.functions.labels import flags_to_labels
+from tagweave.functions.seeded import seeded_int_sql
 from tagweave.operators import clean as c
 from tagweave.plans import fixtures as fx
 from tagweave.plans.registry import register
@@ -103,10 +104,13 @@ def holdout_split(spark, sf_dir):
     return c.holdout_split(d, "doc_id", 10, 42)
 
 
-@register("seeded_shuffle")
+@register("seeded_shuffle", sql(None, f"""
+SELECT doc_id, lang, row_number() OVER (ORDER BY {seeded_int_sql(["doc_id"], 42)}, doc_id) - 1 AS pos
+FROM documents"""))
 def seeded_shuffle(spark, sf_dir):
+    """The seeded permutation of all documents, as a position per row."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return c.seeded_shuffle(d, "doc_id", 42)
+    return c.seeded_shuffle(d, "doc_id", 42, pos_col="pos")
 
 
 @register("head_n", sql(None, "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50"))

@@ -8,17 +8,28 @@ from tagweave.fixed import (
     SOCIAL_PRE_REPLACEMENTS, SOCIAL_REPLACEMENTS, SOCIAL_URL_PREFIXES, SOCIAL_URL_TOKEN, SOCIAL_USER_TOKEN,
 )
 from tagweave.functions import text as tf
+from tagweave.functions.seeded import seeded_int_sql, seeded_unit_sql
 from tagweave.operators import text as tt
 from tagweave.plans import fixtures as fx
 from tagweave.plans.registry import register
 from tagweave.plans.sqlbase import q, sql
-from tagweave.session import read_table, scratch_path
+from tagweave.session import cut_lineage, read_table, scratch_path
 from tagweave.sources import io
 
 MAX_LEN = 128
+MLM_PROB = 0.15
+MLM_SEED = 42
 TOKS_SQL = "list_filter(regexp_split_to_array({x}, '[ \\t\\n\\r\\f]+'), lambda t: t <> '')"
 
 
+# corpus tokens with their position among the non-empty tokens, and the
+# frequency-ranked vocabulary (ids from 2)
+_ENC_CTES = f"""dt AS (SELECT doc_id, {TOKS_SQL.format(x='text')} AS toks FROM documents),
+tk AS (SELECT doc_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM dt),
+voc AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id
+        FROM (SELECT token, count(*) AS n FROM tk GROUP BY token))"""
+
+
 @register("text_lengths", sql(None, "SELECT doc_id, length(text) AS n_chars FROM corpus"))
 def text_lengths(spark, sf_dir):
     """H1."""
@@ -69,10 +80,7 @@ def mention_counts(spark, sf_dir):
 
 
 @register("encode_pad_mask", sql(f"""
-dt AS (SELECT doc_id, {TOKS_SQL.format(x='text')} AS toks FROM documents),
-tk AS (SELECT doc_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM dt),
-voc AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id
-        FROM (SELECT token, count(*) AS n FROM tk GROUP BY token)),
+{_ENC_CTES},
 enc AS (SELECT tk.doc_id, string_agg(CAST(voc.id AS VARCHAR), ',' ORDER BY tk.pos) AS ids, count(*) AS n_real
         FROM tk JOIN voc ON voc.token = tk.token WHERE tk.pos < {MAX_LEN} GROUP BY tk.doc_id)""", f"""
 SELECT dt.doc_id, CAST(len(dt.toks) AS BIGINT) AS n_tokens,
@@ -90,15 +98,40 @@ def encode_pad_mask(spark, sf_dir):
                       F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_mask"))
 
 
-@register("mlm_mask")
+def _u(salt: int) -> str:
+    return seeded_unit_sql(["m.doc_id", "m.pos", str(salt)], MLM_SEED)
+
+
+@register("mlm_mask", sql(f"""
+{_ENC_CTES},
+pos_ids AS (SELECT tk.doc_id, tk.pos, voc.id FROM tk JOIN voc ON voc.token = tk.token WHERE tk.pos < {MAX_LEN}),
+m AS (SELECT m.doc_id, m.id, {_u(0)} < {MLM_PROB} AS sel, {_u(1)} AS v,
+             ({seeded_int_sql(["m.doc_id", "m.pos", "2"], MLM_SEED)} % (SELECT count(*) FROM voc)) + 2 AS rnd
+      FROM pos_ids m),
+per AS (SELECT doc_id, count(*) FILTER (WHERE sel) AS n_selected, count(*) FILTER (WHERE sel AND v < 0.8) AS n_masked,
+               count(*) FILTER (WHERE sel AND v >= 0.8 AND v < 0.9 AND rnd <> id) AS n_replaced,
+               sum(CASE WHEN NOT sel THEN id WHEN v < 0.8 THEN 1 WHEN v < 0.9 THEN rnd ELSE id END) AS ids_sum,
+               coalesce(sum(id) FILTER (WHERE sel), 0) AS label_sum
+        FROM m GROUP BY doc_id)""", """
+SELECT d.doc_id, CAST(coalesce(p.n_selected, 0) AS BIGINT) AS n_selected,
+       CAST(coalesce(p.n_masked, 0) AS BIGINT) AS n_masked, CAST(coalesce(p.n_replaced, 0) AS BIGINT) AS n_replaced,
+       CAST(coalesce(p.ids_sum, 0) AS BIGINT) AS ids_sum, CAST(coalesce(p.label_sum, 0) AS BIGINT) AS label_sum
+FROM documents d LEFT JOIN per p ON p.doc_id = d.doc_id"""))
 def mlm_mask(spark, sf_dir):
-    """H7: masked-LM examples from the encoded corpus (rows-only check + invariant tests)."""
+    """H7: masked-LM examples from the encoded corpus: per document the
+    selected / masked / replaced (random id other than the original) counts
+    and checksums of the new input ids and of the kept labels."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab = tt.vocabulary(docs).cache()
+    vocab = cut_lineage(tt.vocabulary(docs))
     enc = tt.encode(docs, vocab, "doc_id", max_len=MAX_LEN)
-    out = tt.mlm_mask(enc, vocab.count(), "doc_id")
-    return out.select("doc_id", F.size(F.filter("labels", lambda x: x != -100)).alias("n_selected"),
-                      F.size(F.filter("input_ids", lambda x: x == tt.MASK_ID)).alias("n_masked"))
+    out = tt.mlm_mask(enc, vocab.count(), "doc_id", prob=MLM_PROB, seed=MLM_SEED)
+    labs = F.filter("labels", lambda x: x != -100)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("doc_id", F.size(labs).cast("bigint").alias("n_selected"),
+                      F.size(F.filter("input_ids", lambda x: x == tt.MASK_ID)).cast("bigint").alias("n_masked"),
+                      F.size(F.filter(F.zip_with("input_ids", "labels", lambda a, b: (b != -100) & (a != tt.MASK_ID)
+                                                 & (a != b)), lambda x: x)).cast("bigint").alias("n_replaced"),
+                      total(F.col("input_ids")).alias("ids_sum"), total(labs).alias("label_sum"))
 
 
 @register("format_violations", sql(None, """

@@ -257,3 +257,36 @@ def test_streaming_scorer_matches_batch(spark, tmp_path):
     want = m.hier_scores(g, p, t["closure"], "doc_id").first()
     assert (got["tp"], got["n_pred"], got["n_gold"]) == (want["tp"], want["n_pred"], want["n_gold"])
     assert math.isclose(got["f1"], want["f1"])
+
+
+def test_mlm_mask_invariants(spark):
+    from tagweave.operators import text as tt
+    from tagweave.session import read_table
+
+    docs = read_table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    vocab = tt.vocabulary(docs)
+    n_vocab = vocab.count()
+    enc = tt.encode(docs, vocab, "doc_id", max_len=64)
+    out = tt.mlm_mask(enc, n_vocab, "doc_id", prob=0.15, seed=3)
+    rows = enc.join(out.withColumnRenamed("input_ids", "new_ids"), "doc_id").collect()
+    n_real = n_sel = 0
+    for r in rows:
+        for old, new, lab, msk in zip(r["input_ids"], r["new_ids"], r["labels"], r["attention_mask"]):
+            n_real += msk
+            if lab == -100:
+                assert new == old  # unselected positions are untouched
+            else:
+                n_sel += 1
+                assert msk == 1 and lab == old  # only real tokens, label keeps the original
+                assert new == tt.MASK_ID or tt.FIRST_TOKEN_ID <= new < tt.FIRST_TOKEN_ID + n_vocab
+    assert abs(n_sel / n_real - 0.15) < 0.02
+
+
+def test_seeded_shuffle_is_a_permutation(spark):
+    d = spark.range(0, 500).withColumnRenamed("id", "doc_id")
+    out = clean.seeded_shuffle(d, "doc_id", 7, pos_col="pos").collect()
+    assert sorted(r["pos"] for r in out) == list(range(500))
+    assert sorted(r["doc_id"] for r in out) == list(range(500))
+    again = {r["doc_id"]: r["pos"] for r in clean.seeded_shuffle(d.repartition(7), "doc_id", 7, pos_col="pos").collect()}
+    assert again == {r["doc_id"]: r["pos"] for r in out}  # independent of partitioning
+    assert [r["pos"] for r in sorted(out, key=lambda r: r["doc_id"])][:20] != list(range(20))
