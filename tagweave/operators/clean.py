@@ -99,6 +99,24 @@ def with_row_index(df: DataFrame, order: list[str], name: str = "row_id", offset
     return j.withColumn(name, idx.cast("bigint")).drop("_pid", "_mid", "_start")
 
 
+def with_running_total(df: DataFrame, order: list[str], weight: str, name: str = "running") -> DataFrame:
+    """Inclusive running sum of ``weight`` in ``order`` over the whole frame, distributed.
+
+    Same scheme as ``with_row_index``: range-partitioned sort written once to
+    the checkpoint folder, per-partition totals (one row per partition) give
+    each partition its start, and the running sum inside a partition is a
+    window over that partition's own rows (bounded by the range partition
+    size, never by a key)."""
+    s = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    totals = s.groupBy("_pid").agg(F.sum(weight).alias("_t"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_pid", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = s.join(F.broadcast(starts), "_pid")
+    return j.withColumn(name, F.col("_start") + F.sum(weight).over(inner)).drop("_pid", "_mid", "_start")
+
+
 def holdout_split(df: DataFrame, id_col: str, test_pct: int = 10, seed: int = 42) -> DataFrame:
     """Stable train / validation split by an arithmetic bucket of the id.
 

@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.operators.clean import with_running_total
 from tagweave.operators.taxonomy import expand_long
+from tagweave.session import sized_broadcast
 
 
 def safe_div(a: Column, b: Column) -> Column:
@@ -232,6 +234,50 @@ def mlcm(sets: DataFrame, gold_col: str = "gold", pred_col: str = "pred", no_tru
                          r6(F.col("n") * 100.0 / F.sum("n").over(w)).alias("row_pct"))
 
 
+def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact quantiles per group, linear interpolation between the order
+    statistics at position (n - 1) * p (the usual "linear" definition).
+    Output: (by..., p, q).
+
+    Distributed: value counts first (a hot value collapses map-side to one
+    row per task), a range-partitioned running total gives every distinct
+    value its run of positions, and the few target positions (2 per group
+    and probability) are looked up by a broadcast range condition.  No group
+    of values is ever gathered in one task."""
+    by = by or []
+    vc = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    r = with_running_total(vc, [*by, value_col], "_c", "_cum")
+    g = r.groupBy(*by).agg(F.min(F.col("_cum") - F.col("_c")).alias("_g0"), F.sum("_c").alias("_n"))
+    h = (F.col("_n") - 1) * F.col("_p")
+    tg = g.select(*by, "_g0", "_n", F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("_p"))
+    tg = tg.select(*[F.col(b).alias(f"_t_{b}") for b in by], "_p", (h - F.floor(h)).alias("_frac"),
+                   F.explode(F.array(F.struct(F.lit(0).alias("k"), (F.col("_g0") + F.floor(h)).cast("bigint").alias("pos")),
+                                     F.struct(F.lit(1).alias("k"), (F.col("_g0") + F.ceil(h)).cast("bigint").alias("pos"))))
+                   .alias("_t")).select("*", "_t.k", "_t.pos").drop("_t")
+    cond = [F.col(b) == F.col(f"_t_{b}") for b in by]
+    cond += [F.col("_cum") - F.col("_c") <= F.col("pos"), F.col("pos") < F.col("_cum")]
+    hit = r.join(sized_broadcast(tg), cond)
+    out = hit.groupBy(*by, "_p").agg(F.max(F.when(F.col("k") == 0, F.col(value_col))).alias("_lo"),
+                                     F.max(F.when(F.col("k") == 1, F.col(value_col))).alias("_hi"),
+                                     F.max("_frac").alias("_frac"))
+    q = F.col("_lo").cast("double") + F.col("_frac") * (F.col("_hi").cast("double") - F.col("_lo").cast("double"))
+    return out.select(*by, F.col("_p").alias("p"), q.alias("q"))
+
+
+def describe_numeric(long: DataFrame, metric_col: str = "metric", value_col: str = "v") -> DataFrame:
+    """Count, mean, std (sample), min, quartiles, max per metric of a long
+    (metric, value) table; quartiles exact (``exact_quantiles``)."""
+    v = F.col(value_col)
+    stats = long.groupBy(metric_col).agg(
+        F.count(v).alias("count"), r6(F.avg(v)).alias("mean"), r6(F.stddev_samp(v)).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    qs = exact_quantiles(long, value_col, [0.25, 0.5, 0.75], [metric_col]).groupBy(metric_col).agg(
+        *[r6(F.max(F.when(F.col("p") == p, F.col("q")))).alias(name)
+          for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return stats.join(qs, metric_col, "left").select(metric_col, "count", "mean", "std", "min", "q25", "q50", "q75",
+                                                     "max")
+
+
 def bce_loss(long: DataFrame, y_col: str = "y", p_col: str = "prob", eps: float = 1e-7,
              by: list[str] | None = None) -> DataFrame:
     """Mean binary cross-entropy over every (row, class) element, probabilities clipped."""

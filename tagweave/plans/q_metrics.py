@@ -207,10 +207,7 @@ def describe_num(spark, sf_dir):
     lv = lv.select(F.explode(F.array(
         F.struct(F.lit("n_chars").alias("metric"), F.col("n_chars").alias("v")),
         F.struct(F.lit("n_tokens").alias("metric"), F.col("n_tokens").alias("v")))).alias("x")).select("x.*")
-    return lv.groupBy("metric").agg(
-        F.count("v").alias("count"), m.r6(F.avg("v")).alias("mean"), m.r6(F.stddev_samp("v")).alias("std"),
-        F.min("v").alias("min"), m.r6(F.percentile("v", 0.25)).alias("q25"),
-        m.r6(F.percentile("v", 0.5)).alias("q50"), m.r6(F.percentile("v", 0.75)).alias("q75"), F.max("v").alias("max"))
+    return m.describe_numeric(lv, "metric", "v")
 
 
 @register("bce_loss", sql("""

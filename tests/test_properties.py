@@ -290,3 +290,28 @@ def test_seeded_shuffle_is_a_permutation(spark):
     again = {r["doc_id"]: r["pos"] for r in clean.seeded_shuffle(d.repartition(7), "doc_id", 7, pos_col="pos").collect()}
     assert again == {r["doc_id"]: r["pos"] for r in out}  # independent of partitioning
     assert [r["pos"] for r in sorted(out, key=lambda r: r["doc_id"])][:20] != list(range(20))
+
+
+def test_exact_quantiles_match_numpy_with_a_hot_value(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, n in (("a", 900), ("b", 301), ("c", 1)):
+        vals = rng.normal(size=n).round(3)
+        vals[: n // 3] = 0.5  # a third of the group is one value
+        rows += [(g, float(v)) for v in vals]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r["g"], r["p"]): r["q"] for r in m.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    for g in ("a", "b", "c"):
+        vals = np.array([v for gg, v in rows if gg == g])
+        for p in probs:
+            assert got[(g, p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
+
+
+def test_running_total_across_partitions(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(1000)], "k long, w long").repartition(5)
+    out = {r["k"]: r["run"] for r in clean.with_running_total(df, ["k"], "w", "run").collect()}
+    acc = 0
+    for i in range(1000):
+        acc += i % 7
+        assert out[i] == acc
