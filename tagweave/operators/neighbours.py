@@ -23,12 +23,13 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PAIR_SCHEMA = "qid long, nid long, dist double"
 TIE_MARGIN = 4
 
 
-def _cells(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, block_rows: int):
+def _cells(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, block_rows: int,
+           carry: list[str] = ()):
     nq = queries.count()
     nr = refs.count()
     bq = max(1, math.ceil(nq / block_rows))
@@ -36,7 +37,7 @@ def _cells(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, block
     q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).alias("qv"),
                        F.pmod(F.xxhash64(F.col(id_col)), F.lit(bq)).alias("qb"))
     q = q.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(br - 1).cast("long"))).alias("rb"))
-    r = refs.select(F.col(id_col).cast("long").alias("nid"), F.col(vec_col).alias("rv"),
+    r = refs.select(F.col(id_col).cast("long").alias("nid"), F.col(vec_col).alias("rv"), *carry,
                     F.pmod(F.xxhash64(F.col(id_col)), F.lit(br)).alias("rb"))
     r = r.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))).alias("qb"))
     return q.groupBy("qb", "rb"), r.groupBy("qb", "rb")
@@ -46,15 +47,31 @@ def _mat(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
 
 
-def _empty() -> pd.DataFrame:
-    return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
-                         "dist": pd.Series([], dtype="float64")})
+def _empty(carry: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
+                        "dist": pd.Series([], dtype="float64")})
+    for c in carry:
+        out[c] = pd.Series([], dtype="object")
+    return out
 
 
-def _knn_cell(k: int, exclude_self: bool):
+def _schema(refs: DataFrame, carry: list[str]) -> T.StructType:
+    """Pair schema plus the carried reference columns (their own types)."""
+    fields = [T.StructField("qid", T.LongType()), T.StructField("nid", T.LongType()),
+              T.StructField("dist", T.DoubleType())]
+    return T.StructType(fields + [refs.schema[c] for c in carry])
+
+
+def _with_carry(out: pd.DataFrame, rp: pd.DataFrame, carry: list[str], j: np.ndarray) -> pd.DataFrame:
+    for c in carry:
+        out[c] = rp[c].to_numpy()[j]
+    return out
+
+
+def _knn_cell(k: int, exclude_self: bool, carry: list[str]):
     def fn(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(rp) == 0:
-            return _empty()
+            return _empty(carry)
         Q, R = _mat(qp["qv"]), _mat(rp["rv"])
         qid, nid = qp["qid"].to_numpy(), rp["nid"].to_numpy()
         d2 = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (Q @ R.T)
@@ -66,15 +83,16 @@ def _knn_cell(k: int, exclude_self: bool):
         diff = Q[:, None, :] - R[idx]
         d = np.sqrt((diff * diff).sum(-1))
         rows = np.nonzero(keep)
-        return pd.DataFrame({"qid": qid[rows[0]], "nid": nid[idx[rows]], "dist": d[rows]})
+        out = pd.DataFrame({"qid": qid[rows[0]], "nid": nid[idx[rows]], "dist": d[rows]})
+        return _with_carry(out, rp, carry, idx[rows])
 
     return fn
 
 
-def _radius_cell(radius: float, exclude_self: bool):
+def _radius_cell(radius: float, exclude_self: bool, carry: list[str]):
     def fn(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(rp) == 0:
-            return _empty()
+            return _empty(carry)
         Q, R = _mat(qp["qv"]), _mat(rp["rv"])
         qid, nid = qp["qid"].to_numpy(), rp["nid"].to_numpy()
         d2 = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (Q @ R.T)
@@ -85,26 +103,35 @@ def _radius_cell(radius: float, exclude_self: bool):
         diff = Q[i] - R[j]
         d = np.sqrt((diff * diff).sum(-1))
         ok = d <= radius
-        return pd.DataFrame({"qid": qid[i[ok]], "nid": nid[j[ok]], "dist": d[ok]})
+        out = pd.DataFrame({"qid": qid[i[ok]], "nid": nid[j[ok]], "dist": d[ok]})
+        return _with_carry(out, rp, carry, j[ok])
 
     return fn
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
-             exclude_self: bool = False, block_rows: int = 4096) -> DataFrame:
+             exclude_self: bool = False, block_rows: int = 4096, carry: list[str] | None = None) -> DataFrame:
     """Exact k nearest references per query: (qid, nid, rank, dist), Euclidean,
-    ties broken by distance rounded to 1e-9, then neighbour id."""
-    gq, gr = _cells(queries, refs, id_col, vec_col, block_rows)
-    cand = gq.cogroup(gr).applyInPandas(_knn_cell(k, exclude_self), PAIR_SCHEMA)
+    ties broken by distance rounded to 1e-9, then neighbour id.
+
+    ``carry`` names reference columns (e.g. the label array) that travel with
+    each neighbour through the cells, so consumers need no join back on the
+    neighbour id (a "hub" reference that is near many queries would be a hot
+    key in that join)."""
+    carry = list(carry or [])
+    gq, gr = _cells(queries, refs, id_col, vec_col, block_rows, carry)
+    cand = gq.cogroup(gr).applyInPandas(_knn_cell(k, exclude_self, carry), _schema(refs, carry))
     w = Window.partitionBy("qid").orderBy(F.round("dist", 9), "nid")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def radius_join(queries: DataFrame, refs: DataFrame, radius: float, id_col: str = "id", vec_col: str = "vec",
-                exclude_self: bool = False, block_rows: int = 4096) -> DataFrame:
-    """Exact range join: every (query, reference) pair with distance <= radius."""
-    gq, gr = _cells(queries, refs, id_col, vec_col, block_rows)
-    return gq.cogroup(gr).applyInPandas(_radius_cell(radius, exclude_self), PAIR_SCHEMA)
+                exclude_self: bool = False, block_rows: int = 4096, carry: list[str] | None = None) -> DataFrame:
+    """Exact range join: every (query, reference) pair with distance <= radius
+    (plus the ``carry`` columns of the reference, as in ``knn_join``)."""
+    carry = list(carry or [])
+    gq, gr = _cells(queries, refs, id_col, vec_col, block_rows, carry)
+    return gq.cogroup(gr).applyInPandas(_radius_cell(radius, exclude_self, carry), _schema(refs, carry))
 
 
 def radius_join_lsh(queries: DataFrame, refs: DataFrame, radius: float, id_col: str = "id", vec_col: str = "vec",
@@ -118,13 +145,21 @@ def radius_join_lsh(queries: DataFrame, refs: DataFrame, radius: float, id_col:
     return j.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.nid").alias("nid"), "dist")
 
 
-def vote(pairs: DataFrame, ref_labels: DataFrame, id_col: str = "id", labels_col: str = "labels",
+def vote(pairs: DataFrame, ref_labels: DataFrame | None = None, id_col: str = "id", labels_col: str = "labels",
          min_share: float = 0.5) -> DataFrame:
     """Multi-label neighbour vote.  A label is predicted for a query
     when more than ``min_share`` of its neighbours carry it.  Output
-    (qid, label, votes, n_neighbors)."""
+    (qid, label, votes, n_neighbors).
+
+    Pairs from a neighbour join with ``carry=[labels_col]`` already hold the
+    neighbour's labels (no join); otherwise ``ref_labels`` is joined on the
+    neighbour id."""
     n = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n_neighbors"))
-    lab = ref_labels.select(F.col(id_col).cast("long").alias("nid"), F.explode(labels_col).alias("label"))
-    v = pairs.join(lab, "nid").groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))
+    if labels_col in pairs.columns:
+        lab = pairs.select("qid", F.explode(labels_col).alias("label"))
+    else:
+        refs = ref_labels.select(F.col(id_col).cast("long").alias("nid"), F.explode(labels_col).alias("label"))
+        lab = pairs.select("qid", "nid").join(refs, "nid").select("qid", "label")
+    v = lab.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))
     return v.join(n, "qid").filter(F.col("votes") > F.col("n_neighbors") * min_share).select(
         "qid", "label", F.col("votes").cast("bigint"), F.col("n_neighbors").cast("bigint"))

@@ -67,7 +67,9 @@ SELECT k.query_id AS vec_id, l.lab AS label, count(*) AS votes FROM knn k JOIN f
 GROUP BY k.query_id, l.lab HAVING count(*) > {K} * 0.5"""))
 def knn_classify(spark, sf_dir):
     """A label is predicted when more than half of the 5 neighbours carry it."""
-    v = nb.vote(_knn(spark, sf_dir), _split(spark, sf_dir, "train"), "vec_id")
+    pairs = nb.knn_join(_split(spark, sf_dir, "test"), _split(spark, sf_dir, "train"), K, "vec_id", "embedding",
+                        carry=["labels"])
+    v = nb.vote(pairs, labels_col="labels")
     return v.select(F.col("qid").alias("vec_id"), "label", "votes")
 
 
@@ -84,8 +86,8 @@ def radius_classify(spark, sf_dir):
     """Vote share > 0.5 among neighbours within 1.2; a test row with no
     qualifying label (or no neighbour at all) is kept with label null."""
     test = _split(spark, sf_dir, "test")
-    pairs = nb.radius_join(test, _split(spark, sf_dir, "train"), RADIUS, "vec_id", "embedding")
-    v = nb.vote(pairs, _split(spark, sf_dir, "train"), "vec_id")
+    pairs = nb.radius_join(test, _split(spark, sf_dir, "train"), RADIUS, "vec_id", "embedding", carry=["labels"])
+    v = nb.vote(pairs, labels_col="labels")
     n = pairs.groupBy("qid").agg(F.count(F.lit(1)).cast("bigint").alias("n_neighbors"))
     t = test.select(F.col("vec_id").cast("long").alias("qid")).join(n, "qid", "left")
     out = t.join(v.drop("n_neighbors"), "qid", "left")
@@ -308,7 +310,7 @@ def sweep_classifiers(spark, sf_dir):
     for kind in ("logreg", "tree", "forest", "ridge"):
         model = _br(kind).fit(train, "embedding", "labels", "vec_id")
         rows.append((kind, float(_micro_f1(model.transform(dev), dev, "vec_id"))))
-    knn = nb.vote(nb.knn_join(dev, train, K, "vec_id", "embedding"), train, "vec_id")
+    knn = nb.vote(nb.knn_join(dev, train, K, "vec_id", "embedding", carry=["labels"]), labels_col="labels")
     kp = dev.select(F.col("vec_id").cast("long").alias("qid")).join(
         knn.groupBy("qid").agg(F.collect_list("label").alias("pred_labels")), "qid", "left").select(
         F.col("qid").alias("vec_id"), F.coalesce("pred_labels", F.array().cast("array<string>")).alias("pred_labels"))

@@ -315,3 +315,13 @@ def test_running_total_across_partitions(spark):
     for i in range(1000):
         acc += i % 7
         assert out[i] == acc
+
+
+def test_vote_with_carried_labels_equals_join(spark):
+    df = _vecs(spark).withColumn("labels", F.array(F.concat(F.lit("L"), (F.col("id") % 3).cast("string"))))
+    q = df.filter("id < 20")
+    carried = nb.vote(nb.knn_join(q, df, 4, block_rows=16, carry=["labels"]), labels_col="labels")
+    joined = nb.vote(nb.knn_join(q, df, 4, block_rows=16), df, "id")
+    assert sorted(carried.collect()) == sorted(joined.collect())
+    r = nb.radius_join(q, df, 1.5, block_rows=8, carry=["labels"]).collect()
+    assert all(x["labels"] == [f"L{x['nid'] % 3}"] for x in r)
