@@ -42,6 +42,10 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "tag
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # coalesce shuffle partitions to the advisory size (64 MiB), not to the
+        # default parallelism: no near-empty tasks on small stages, right-sized
+        # partitions on large ones
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
