@@ -3,9 +3,10 @@ counts, deterministic per seed, never dropping an original row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.functions.seeded import seeded_int, seeded_unit
 from tagweave.operators.clean import with_row_index
 from tagweave.operators.neighbours import knn_join
 
@@ -14,10 +15,6 @@ class RatioReached(ValueError):
     """The minority class already reaches the requested ratio."""
 
 
-def _unit(*cols: Column) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)).cast("double") / float(1 << 30)
-
-
 def plan_counts(n_pos: int, n_neg: int, ratio: float) -> tuple[int, int]:
     """(minority target, rows to add) for ratio = n_minority_after / n_majority."""
     n_min, n_maj = min(n_pos, n_neg), max(n_pos, n_neg)
@@ -37,7 +34,7 @@ def _copies_per_row(mino: DataFrame, n_add: int, n_min: int, id_col: str, seed:
     """Each minority row gets floor(n_add / n_min) copies; the remainder goes to
     the rows first in a seeded hash order (exact total, distributed ranking)."""
     base, extra = divmod(n_add, n_min)
-    ranked = with_row_index(mino.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed))), ["_h", id_col], "_rk")
+    ranked = with_row_index(mino.withColumn("_h", seeded_int(F.col(id_col), seed=seed)), ["_h", id_col], "_rk")
     return ranked.withColumn("_copies", F.lit(base) + (F.col("_rk") < extra).cast("int")).drop("_h", "_rk")
 
 
@@ -71,9 +68,10 @@ def smote(df: DataFrame, y_col: str, vec_col: str, ratio: float, id_col: str = "
     class only) and u in [0, 1); both drawn from seeded hashes.
 
     Output: originals (synthetic = false) plus synthetic rows that keep the
-    source id in ``source_id``."""
+    source id in ``source_id`` and the neighbour used in ``neighbor_id``."""
     pos, neg = _class_counts(df, y_col)
-    base = df.withColumn("synthetic", F.lit(False)).withColumn("source_id", F.col(id_col)).withColumn("copy", F.lit(0))
+    base = (df.withColumn("synthetic", F.lit(False)).withColumn("source_id", F.col(id_col)).withColumn("copy", F.lit(0))
+            .withColumn("neighbor_id", F.lit(None).cast("long")))
     try:
         _, n_add = plan_counts(pos, neg, ratio)
     except RatioReached:
@@ -92,20 +90,22 @@ def smote(df: DataFrame, y_col: str, vec_col: str, ratio: float, id_col: str = "
     # that must be copied many times (a hot source) never meets a shuffle.
     ns = mino.select(F.col(id_col).cast("long").alias("nid"), F.col(vec_col).alias("_n"))
     near = nbrs.join(ns, "nid").groupBy("qid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("r"), "_n"))),
-                    lambda s: s["_n"]).alias("_nn"))
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("r"), "nid", "_n"))),
+                    lambda s: F.struct(s["nid"].alias("nid"), s["_n"].alias("_n"))).alias("_nn"))
     c = _copies_per_row(mino, n_add, n_min, id_col, seed).filter(F.col("_copies") > 0)
     rows = c.withColumn("qid", F.col(id_col).cast("long")).join(near, "qid")
     others = [c_ for c_ in df.columns if c_ not in (id_col, vec_col, y_col)]
     draws = rows.select("qid", vec_col, "_nn", *others,
                         F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
-    pick = (F.pmod(F.xxhash64("qid", "copy", F.lit(seed)), F.lit(kk)) + 1).cast("int")
-    u = _unit(F.col("qid"), F.col("copy"), F.lit(seed), F.lit(7))
-    new = F.zip_with(vec_col, F.element_at("_nn", pick), lambda a, b: (a + u * (b - a)).cast("float"))
+    pick = (F.pmod(seeded_int(F.col("qid"), F.col("copy"), seed=seed), F.lit(kk)) + 1).cast("int")
+    u = seeded_unit(F.col("qid"), F.col("copy"), F.lit(7), seed=seed)
+    chosen = F.element_at("_nn", pick)
+    new = F.zip_with(vec_col, chosen["_n"], lambda a, b: (a + u * (b - a)).cast("float"))
     syn = draws.select(
         F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), F.lit(minority).cast(df.schema[y_col].dataType)
         .alias(y_col), new.cast(df.schema[vec_col].dataType).alias(vec_col), *others,
-        F.lit(True).alias("synthetic"), F.col("qid").cast(df.schema[id_col].dataType).alias("source_id"), "copy")
+        F.lit(True).alias("synthetic"), F.col("qid").cast(df.schema[id_col].dataType).alias("source_id"), "copy",
+        chosen["nid"].alias("neighbor_id"))
     return base.unionByName(syn.select(*base.columns))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.fixed import COMBINATION_SAMPLERS, LEAVES, TAXONOMY_EDGES
+from tagweave.functions.seeded import seeded_int_sql, seeded_unit_sql
 from tagweave.operators import learn as ln
 from tagweave.operators import metrics as m
 from tagweave.operators import neighbours as nb
@@ -123,6 +124,56 @@ def smote(spark, sf_dir):
     return out.groupBy("y").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
 
+# per-row form of J1 / J2: how often each minority row is copied, and for
+# SMOTE which neighbours and interpolation weights its synthetic rows use
+_PLAN_CTE = """cnt AS (SELECT count(*) FILTER (WHERE has) AS n_pos,
+                 CAST(floor(0.5 * count(*) FILTER (WHERE NOT has)) AS BIGINT) - count(*) FILTER (WHERE has) AS n_add
+            FROM tr),
+mino AS (SELECT f.vec_id, f.embedding FROM feat f JOIN tr ON tr.vec_id = f.vec_id WHERE tr.has),
+rk AS (SELECT vec_id, row_number() OVER (ORDER BY """ + seeded_int_sql(["vec_id"], 42) + """, vec_id) - 1 AS r
+       FROM mino),
+cp AS (SELECT rk.vec_id, n_add // n_pos + CASE WHEN r < n_add % n_pos THEN 1 ELSE 0 END AS copies FROM rk, cnt)"""
+
+
+@register("oversample_rows", sql(_TR_CTE + ",\n" + _PLAN_CTE, """
+SELECT tr.vec_id, CAST(tr.has AS INTEGER) AS y, CAST(1 + coalesce(cp.copies, 0) AS BIGINT) AS n_rows
+FROM tr LEFT JOIN cp ON cp.vec_id = tr.vec_id"""))
+def oversample_rows(spark, sf_dir):
+    """J1 per row: every train row with its number of output rows (1 + copies)."""
+    out = rs.oversample_random(_binary_train(spark, sf_dir), "y", 0.5, "vec_id", seed=42)
+    return out.groupBy("vec_id", "y").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+_SMOTE_CTE = _PLAN_CTE + f""",
+nd AS (SELECT a.vec_id AS qid, b.vec_id AS nid, a.embedding AS xv, b.embedding AS nv,
+              sqrt(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])),
+                   lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+       FROM mino a JOIN mino b ON a.vec_id <> b.vec_id),
+kk AS (SELECT least({K}, n_pos - 1) AS kk FROM cnt),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), nid) AS rank FROM nd)
+       WHERE rank <= (SELECT kk FROM kk)),
+draws AS (SELECT vec_id AS qid, unnest(range(1, copies + 1)) AS copy FROM cp WHERE copies > 0),
+pk AS (SELECT qid, copy, ({seeded_int_sql(["qid", "copy"], 42)} % (SELECT kk FROM kk)) + 1 AS rank,
+              {seeded_unit_sql(["qid", "copy", "7"], 42)} AS u FROM draws),
+syn AS (SELECT pk.qid, nn.nid, CAST(CAST(nn.xv[1] AS DOUBLE) + pk.u * CAST(nn.nv[1] - nn.xv[1] AS DOUBLE) AS FLOAT)
+               AS x0
+        FROM pk JOIN nn ON nn.qid = pk.qid AND nn.rank = pk.rank)"""
+
+
+@register("smote_rows", sql(_TR_CTE + ",\n" + _SMOTE_CTE, """
+SELECT qid AS source_id, CAST(count(*) AS BIGINT) AS n_synthetic, CAST(sum(nid) AS BIGINT) AS neighbor_sum,
+       round(sum(CAST(x0 AS DOUBLE)), 5) AS x0_sum
+FROM syn GROUP BY qid"""))
+def smote_rows(spark, sf_dir):
+    """J2 per source row: synthetic rows, the sum of the neighbour ids they
+    interpolate towards, and the sum of their first coordinates."""
+    out = rs.smote(_binary_train(spark, sf_dir), "y", "embedding", 0.5, "vec_id", seed=42)
+    syn = out.filter(F.col("synthetic"))
+    return syn.groupBy("source_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_synthetic"), F.sum("neighbor_id").cast("bigint").alias("neighbor_sum"),
+        F.round(F.sum(F.col("embedding")[0].cast("double")), 5).alias("x0_sum"))
+
+
 _SAMPLER_SQL = "samplers(label, method, ratio) AS (VALUES " + ", ".join(
     f"({q(a)}, {q(b) if b else 'NULL'}, {r if r is not None else 'NULL'})" for a, b, r in COMBINATION_SAMPLERS) + ")"
 
