@@ -9,7 +9,7 @@ from tagweave.operators import metrics as m
 from tagweave.plans import fixtures as fx
 from tagweave.plans.registry import register
 from tagweave.plans.sqlbase import sql
-from tagweave.session import read_table
+from tagweave.session import read_table, scratch_path
 
 PRF_SQL = """
 SELECT tp, n_pred, n_gold, round(precision, 6) AS precision, round(recall, 6) AS recall,
@@ -29,6 +29,30 @@ def hier_scores(spark, sf_dir):
     return m.hier_scores(fx.gold_long(spark, sf_dir), fx.pred_long(spark, sf_dir), clo, "doc_id")
 
 
+@register("stream_hier_scores", sql("""
+hc AS (SELECT CAST(count(*) FILTER (WHERE p.doc_id IS NOT NULL AND g.doc_id IS NOT NULL) AS BIGINT) AS tp,
+              CAST(count(p.doc_id) AS BIGINT) AS n_pred, CAST(count(g.doc_id) AS BIGINT) AS n_gold
+       FROM goldc g FULL OUTER JOIN predc p ON g.doc_id = p.doc_id AND g.label = p.label)""", PRF_SQL))
+def stream_hier_scores(spark, sf_dir):
+    """G4 on a stream: the prediction submission (one record per document,
+    empty lists included) arrives as JSON files; Structured Streaming scores
+    it micro-batch by micro-batch (``foreachBatch``, two files per trigger)
+    and the cumulative scores equal the batch flagship."""
+    from tagweave.streaming.scoring import cumulative_scores, start_scoring
+
+    base = scratch_path(spark, "stream-scores")
+    sets = fx.doc_label_sets(spark, sf_dir)
+    preds = sets.select(F.col("doc_id").cast("string").alias("id"), F.col("pred").alias("labels"))
+    preds.repartition(8, "id").write.json(f"{base}/in")
+    gold = fx.gold_long(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "label")
+    q = start_scoring(spark, f"{base}/in", gold, fx.taxonomy(spark)["closure"], f"{base}/out", f"{base}/ckpt",
+                      trigger_once=True, max_files_per_trigger=2)
+    q.awaitTermination(1800)
+    if q.exception() is not None:
+        raise RuntimeError(f"streaming scorer failed: {q.exception()}")
+    return cumulative_scores(spark, f"{base}/out")
+
+
 @register("hier_scores_empty", sql("""
 pe AS (SELECT p.doc_id, p.label FROM pred p JOIN documents d ON d.doc_id = p.doc_id WHERE d.lang = 'en'),
 pec AS (SELECT DISTINCT p.doc_id, c.ancestor AS label FROM pe p JOIN clo c ON c.node = p.label),

@@ -24,9 +24,12 @@ from tagweave.sources import io
 
 def start_scoring(spark: SparkSession, pred_dir: str, gold_long: DataFrame, closure: DataFrame, out_path: str,
                   checkpoint: str, id_col: str = "id", label_col: str = "label",
-                  trigger_once: bool = False) -> StreamingQuery:
-    """Start the streaming scorer; returns the running query."""
-    stream = (spark.readStream.schema(io.PREDICTION_SCHEMA).option("maxFilesPerTrigger", 16).json(pred_dir))
+                  trigger_once: bool = False, max_files_per_trigger: int = 16) -> StreamingQuery:
+    """Start the streaming scorer; returns the running query.  Every id must
+    arrive with a record (an empty label list included): gold is counted
+    for the ids of each batch."""
+    stream = (spark.readStream.schema(io.PREDICTION_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+              .json(pred_dir))
     gold_c = expand_long(gold_long.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("label")),
                          closure, "id", "label")
 
