@@ -7,12 +7,14 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sides below this many rows are broadcast; anything larger falls back to a
 # shuffle join chosen by the optimizer (AQE may still convert it at runtime).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 << 20
 
 
 def split_bytes(input_bytes: int, cores: int, per_core: int = 3,
@@ -87,15 +89,42 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only if its row count is proven to be below ``max_rows``.
+def _row_bytes(df: DataFrame) -> Column:
+    """Upper estimate of a row's payload: string / binary bytes, 8 bytes per
+    array element (plus the element bytes for string arrays), 8 per scalar."""
+    parts = []
+    for f in df.schema.fields:
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(t, T.ArrayType):
+            b = F.size(c) * 8
+            if isinstance(t.elementType, T.StringType):
+                b = b + F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0))
+            parts.append(F.greatest(b, F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    total = F.lit(0).cast("bigint")
+    for b in parts:
+        total = total + b.cast("bigint")
+    return total
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES,
+                    known_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only if it is proven small: at most ``max_rows`` rows
+    and at most ``max_bytes`` payload bytes, both measured by one probe job
+    over at most ``max_rows + 1`` rows.
 
-    ``known_rows`` lets callers pass a count they already computed.  Beyond
-    the bound the frame is returned unchanged, so the join becomes a shuffle
-    join (sort-merge or shuffled hash, AQE decides).
+    ``known_rows`` lets callers pass a row count they already computed (the
+    caller then vouches for the width).  Beyond either bound the frame is
+    returned unchanged, so the join becomes a shuffle join (sort-merge or
+    shuffled hash, AQE decides; skew join splitting is on).
     """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if known_rows is not None:
+        return F.broadcast(df) if known_rows <= max_rows else df
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
