@@ -325,3 +325,62 @@ def test_vote_with_carried_labels_equals_join(spark):
     assert sorted(carried.collect()) == sorted(joined.collect())
     r = nb.radius_join(q, df, 1.5, block_rows=8, carry=["labels"]).collect()
     assert all(x["labels"] == [f"L{x['nid'] % 3}"] for x in r)
+
+
+def test_scores_with_empty_gold_and_unknown_labels(spark):
+    t = fx.taxonomy(spark)
+    p = fx.pred_long(spark, SF_SMALL)
+    r = m.hier_scores(p.limit(0), p, t["closure"], "doc_id").first()
+    assert (r["tp"], r["n_gold"], r["precision"], r["recall"], r["f1"]) == (0, 0, 0.0, 0.0, 0.0)
+    # a label outside the taxonomy counts only itself (no ancestors), never as a hit
+    g = _long(spark, [(1, "Smears")])
+    pr = _long(spark, [(1, "Smears"), (1, "Not a technique")])
+    r = m.hier_scores(g, pr, t["closure"]).first()
+    # Smears closure: Smears, Ad Hominem, Ethos -> tp 3; the unknown label adds one prediction
+    assert (r["tp"], r["n_pred"], r["n_gold"]) == (3, 4, 3)
+
+
+def test_scores_invariant_under_repartitioning(spark):
+    t = fx.taxonomy(spark)
+    g, p = fx.gold_long(spark, SF_SMALL), fx.pred_long(spark, SF_SMALL)
+    a = m.hier_scores(g.repartition(1), p.repartition(1), t["closure"], "doc_id").first()
+    b = m.hier_scores(g.repartition(9, "label"), p.repartition(5), t["closure"], "doc_id").first()
+    assert a == b
+    v = spark.createDataFrame([(x,) for x in fx.LEAVES], "label string")
+    c1 = sorted(m.label_confusion(g.repartition(1), p.repartition(1), 200, v, "doc_id").collect())
+    c2 = sorted(m.label_confusion(g.repartition(7), p.repartition(3, "doc_id"), 200, v, "doc_id").collect())
+    assert c1 == c2
+
+
+def test_duplicate_prediction_id_last_record_wins(spark):
+    from tagweave.operators import joins as jn
+
+    gold = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "id long, labels array<string>")
+    pred = spark.createDataFrame([(1, ["x"], 1), (1, ["a", "a"], 2), (2, ["b"], 1)],
+                                 "id long, labels array<string>, seq int")
+    out = {r["id"]: (r["gold"], r["pred"]) for r in jn.gold_pred_join(gold, pred, "id", "labels", "seq").collect()}
+    assert out == {1: (["a"], ["a"]), 2: (["b"], ["b"])}
+
+
+def test_text_functions_on_null_blank_and_mixed_whitespace(spark):
+    from tagweave.operators import text as tt
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "  \t\n "), (4, "\ta  b\r\nc "), (5, "x")], "id long, text string")
+    got = {r["id"]: (r["n"], r["t"]) for r in df.select(
+        "id", tf.token_count(F.col("text")).alias("n"), tf.tokens(F.col("text")).alias("t")).collect()}
+    assert got[1] == (None, None)
+    assert got[2] == (0, []) and got[3] == (0, []) and got[4] == (3, ["a", "b", "c"]) and got[5] == (1, ["x"])
+    docs = df.filter(F.col("text").isNotNull())
+    enc = {r["id"]: r for r in tt.encode(docs, tt.vocabulary(docs), "id", max_len=4).collect()}
+    assert enc[2]["n_tokens"] == 0 and enc[2]["input_ids"] == [0, 0, 0, 0] and enc[2]["attention_mask"] == [0] * 4
+    assert enc[4]["n_tokens"] == 3 and enc[4]["attention_mask"] == [1, 1, 1, 0]
+    assert enc[4]["input_ids"][3] == tt.PAD_ID and min(enc[4]["input_ids"][:3]) >= tt.FIRST_TOKEN_ID
+
+
+def test_dedupe_with_a_hot_key(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "pos long, text string").repartition(8)
+    out = {r["text"]: r["pos"] for r in clean.dedupe_first(df, ["text"], ["pos"]).collect()}
+    assert out["hot"] == 0 and len(out) == 1 + 2000
+    last = {r["text"]: r["pos"] for r in clean.dedupe_last(df, ["text"], ["pos"]).collect()}
+    assert last["hot"] == 2997
