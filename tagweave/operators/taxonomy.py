@@ -83,7 +83,7 @@ def expand_long(labels: DataFrame, clo: DataFrame, id_col: str = "id", label_col
 
     Labels outside the taxonomy keep only themselves (they have no closure row).
     """
-    clo = sized_broadcast(clo.select(F.col("node").alias("_n"), F.col("ancestor").alias("_a")))
+    clo = sized_broadcast(clo).select(F.col("node").alias("_n"), F.col("ancestor").alias("_a"))
     j = labels.select(id_col, label_col).join(clo, F.col(label_col) == F.col("_n"), "left")
     return j.select(id_col, F.coalesce("_a", label_col).alias(label_col)).distinct()
 
@@ -91,10 +91,9 @@ def expand_long(labels: DataFrame, clo: DataFrame, id_col: str = "id", label_col
 def add_ancestors(labels: DataFrame, pairs: DataFrame, id_col: str = "id", label_col: str = "label",
                   only: list[str] | None = None) -> DataFrame:
     """Labels plus (a subset of) their proper ancestors, distinct (F7 / F8 long form)."""
-    p = pairs.select(F.col("node").alias("_n"), F.col("ancestor").alias("_a"))
+    p = sized_broadcast(pairs).select(F.col("node").alias("_n"), F.col("ancestor").alias("_a"))
     if only is not None:
         p = p.filter(F.col("_a").isin(only))
-    p = sized_broadcast(p)
     extra = labels.select(id_col, label_col).join(p, F.col(label_col) == F.col("_n")).select(
         id_col, F.col("_a").alias(label_col))
     return labels.select(id_col, label_col).unionByName(extra).distinct()
@@ -103,8 +102,8 @@ def add_ancestors(labels: DataFrame, pairs: DataFrame, id_col: str = "id", label
 def add_parents(labels: DataFrame, edges: DataFrame, id_col: str = "id", label_col: str = "label",
                 root: str = ROOT) -> DataFrame:
     """Labels plus their immediate parents, root excluded."""
-    e = sized_broadcast(edges.filter(F.col("parent") != root).select(
-        F.col("child").alias("_c"), F.col("parent").alias("_p")))
+    e = sized_broadcast(edges).filter(F.col("parent") != root).select(
+        F.col("child").alias("_c"), F.col("parent").alias("_p"))
     extra = labels.select(id_col, label_col).join(e, F.col(label_col) == F.col("_c")).select(
         id_col, F.col("_p").alias(label_col))
     return labels.select(id_col, label_col).unionByName(extra).distinct()
@@ -112,7 +111,7 @@ def add_parents(labels: DataFrame, edges: DataFrame, id_col: str = "id", label_c
 
 def direct_parents(labels: DataFrame, edges: DataFrame, label_col: str = "label") -> DataFrame:
     """Each label row joined to its immediate parents, root included."""
-    e = sized_broadcast(edges.select(F.col("child").alias("_c"), F.col("parent")))
+    e = sized_broadcast(edges).select(F.col("child").alias("_c"), F.col("parent"))
     return labels.join(e, F.col(label_col) == F.col("_c")).drop("_c")
 
 

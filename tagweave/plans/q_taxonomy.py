@@ -45,7 +45,7 @@ GROUP BY i.node"""))
 def dag_parents(spark, sf_dir):
     t = fx.taxonomy(spark)
     kids = t["edges"].groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).cast("bigint").alias("n_children"))
-    anc = sized_broadcast(t["anc_all"].select(F.col("node").alias("label"), F.col("ancestor")))
+    anc = sized_broadcast(t["anc_all"]).select(F.col("node").alias("label"), F.col("ancestor"))
     below = fx.gold_long(spark, sf_dir).join(anc, "label").groupBy(F.col("ancestor").alias("node")).agg(
         F.count(F.lit(1)).alias("n_gold_below"))
     return kids.join(below, "node", "left").select(
@@ -63,7 +63,7 @@ def direct_parents(spark, sf_dir):
 SELECT g.doc_id, g.label, a.ancestor FROM gold g JOIN ancpairs a ON a.node = g.label"""))
 def dag_ancestors(spark, sf_dir):
     t = fx.taxonomy(spark)
-    anc = sized_broadcast(t["anc"].select(F.col("node").alias("label"), "ancestor"))
+    anc = sized_broadcast(t["anc"]).select(F.col("node").alias("label"), "ancestor")
     return fx.gold_long(spark, sf_dir).join(anc, "label").select("doc_id", "label", "ancestor")
 
 
@@ -109,7 +109,7 @@ SELECT a.ancestor, CAST(a.distance AS BIGINT) AS distance, count(*) AS n_rows FR
 GROUP BY a.ancestor, a.distance"""))
 def dag_distance(spark, sf_dir):
     t = fx.taxonomy(spark)
-    anc = sized_broadcast(t["anc_all"].select(F.col("node").alias("label"), "ancestor", "distance"))
+    anc = sized_broadcast(t["anc_all"]).select(F.col("node").alias("label"), "ancestor", "distance")
     return fx.gold_long(spark, sf_dir).join(anc, "label").groupBy("ancestor", F.col("distance").cast("bigint").alias("distance")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 

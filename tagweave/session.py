@@ -120,11 +120,20 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes
     caller then vouches for the width).  Beyond either bound the frame is
     returned unchanged, so the join becomes a shuffle join (sort-merge or
     shuffled hash, AQE decides; skew join splitting is on).
+
+    The verdict is remembered on the frame object, so a long-lived dimension
+    frame (the checkpointed taxonomy tables) is probed once per application;
+    the hint survives later projections and filters of that frame.
     """
     if known_rows is not None:
         return F.broadcast(df) if known_rows <= max_rows else df
-    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
-    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
+    key = (max_rows, max_bytes)
+    seen = getattr(df, "_tagweave_small", None)
+    if seen is None or seen[0] != key:
+        n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+        seen = (key, n <= max_rows and size <= max_bytes)
+        df._tagweave_small = seen
+    return F.broadcast(df) if seen[1] else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
