@@ -234,19 +234,21 @@ def mlcm(sets: DataFrame, gold_col: str = "gold", pred_col: str = "pred", no_tru
                          r6(F.col("n") * 100.0 / F.sum("n").over(w)).alias("row_pct"))
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """Exact quantiles per group, linear interpolation between the order
-    statistics at position (n - 1) * p (the usual "linear" definition).
-    Output: (by..., p, q).
-
-    Distributed: value counts first (a hot value collapses map-side to one
-    row per task), a range-partitioned running total gives every distinct
-    value its run of positions, and the few target positions (2 per group
-    and probability) are looked up by a broadcast range condition.  No group
-    of values is ever gathered in one task."""
+def value_runs(df: DataFrame, value_col: str, by: list[str] | None = None) -> DataFrame:
+    """Distinct values per group with their count ``_c`` and the inclusive
+    running total ``_cum`` in (group, value) order: value counts first (a hot
+    value collapses map-side to one row per task), then a range-partitioned
+    running total written once to the checkpoint folder."""
     by = by or []
     vc = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
-    r = with_running_total(vc, [*by, value_col], "_c", "_cum")
+    return with_running_total(vc, [*by, value_col], "_c", "_cum")
+
+
+def quantiles_from_runs(r: DataFrame, value_col: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Quantiles from ``value_runs``: the few target positions (2 per group and
+    probability) are looked up by a broadcast range condition and
+    interpolated linearly.  Output: (by..., p, q)."""
+    by = by or []
     g = r.groupBy(*by).agg(F.min(F.col("_cum") - F.col("_c")).alias("_g0"), F.sum("_c").alias("_n"))
     h = (F.col("_n") - 1) * F.col("_p")
     tg = g.select(*by, "_g0", "_n", F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("_p"))
@@ -264,18 +266,32 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], by: list[
     return out.select(*by, F.col("_p").alias("p"), q.alias("q"))
 
 
+def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact quantiles per group, linear interpolation between the order
+    statistics at position (n - 1) * p (the usual "linear" definition).
+    Output: (by..., p, q).  No group of values is ever gathered in one task
+    (see ``value_runs`` / ``quantiles_from_runs``)."""
+    return quantiles_from_runs(value_runs(df, value_col, by), value_col, probs, by)
+
+
 def describe_numeric(long: DataFrame, metric_col: str = "metric", value_col: str = "v") -> DataFrame:
     """Count, mean, std (sample), min, quartiles, max per metric of a long
-    (metric, value) table; quartiles exact (``exact_quantiles``)."""
-    v = F.col(value_col)
-    stats = long.groupBy(metric_col).agg(
-        F.count(v).alias("count"), r6(F.avg(v)).alias("mean"), r6(F.stddev_samp(v)).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    qs = exact_quantiles(long, value_col, [0.25, 0.5, 0.75], [metric_col]).groupBy(metric_col).agg(
+    (metric, value) table.  The raw rows are read once: every statistic comes
+    from the checkpointed distinct-value table of ``value_runs`` (mean first,
+    then the centred sum of squares, which is numerically stable)."""
+    r = value_runs(long, value_col, [metric_col])
+    v, c = F.col(value_col).cast("double"), F.col("_c")
+    s1 = r.groupBy(metric_col).agg(F.sum(c).alias("count"), (F.sum(c * v) / F.sum(c)).alias("_mean"),
+                                   F.min(value_col).alias("min"), F.max(value_col).alias("max"))
+    ss = r.join(F.broadcast(s1.select(metric_col, "_mean")), metric_col).groupBy(metric_col).agg(
+        F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_ss"))
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1)))
+    qs = quantiles_from_runs(r, value_col, [0.25, 0.5, 0.75], [metric_col]).groupBy(metric_col).agg(
         *[r6(F.max(F.when(F.col("p") == p, F.col("q")))).alias(name)
           for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return stats.join(qs, metric_col, "left").select(metric_col, "count", "mean", "std", "min", "q25", "q50", "q75",
-                                                     "max")
+    out = s1.join(ss, metric_col).join(qs, metric_col, "left")
+    return out.select(metric_col, F.col("count").cast("bigint").alias("count"), r6(F.col("_mean")).alias("mean"),
+                      r6(std).alias("std"), "min", "q25", "q50", "q75", "max")
 
 
 def bce_loss(long: DataFrame, y_col: str = "y", p_col: str = "prob", eps: float = 1e-7,

@@ -384,3 +384,22 @@ def test_dedupe_with_a_hot_key(spark):
     assert out["hot"] == 0 and len(out) == 1 + 2000
     last = {r["text"]: r["pos"] for r in clean.dedupe_last(df, ["text"], ["pos"]).collect()}
     assert last["hot"] == 2997
+
+
+def test_describe_numeric_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 50, 700).astype(float)
+    a[:250] = 7.0  # a hot value
+    b = rng.normal(3.0, 2.0, 40).round(4)
+    rows = [("a", float(x)) for x in a] + [("b", float(x)) for x in b] + [("c", 5.0)]
+    df = spark.createDataFrame(rows, "metric string, v double").repartition(5)
+    got = {r["metric"]: r for r in m.describe_numeric(df).collect()}
+    for name, vals in (("a", a), ("b", b)):
+        r = got[name]
+        assert r["count"] == len(vals) and r["min"] == vals.min() and r["max"] == vals.max()
+        # outputs are rounded to 6 digits: allow one unit in the last digit
+        assert r["mean"] == pytest.approx(vals.mean(), abs=1.01e-6)
+        assert r["std"] == pytest.approx(vals.std(ddof=1), abs=1.01e-6)
+        for p, col in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
+            assert r[col] == pytest.approx(float(np.quantile(vals, p)), abs=1.01e-6)
+    assert got["c"]["std"] is None and got["c"]["q50"] == 5.0
