@@ -196,10 +196,10 @@ def oversample_plan(spark, sf_dir):
     closure: target minority count and rows to add per label."""
     t = rs.sampler_table(spark, COMBINATION_SAMPLERS)
     gc = expand_long(fx.gold_long(spark, sf_dir), fx.taxonomy(spark)["closure"], "doc_id")
-    n_docs = read_table(spark, sf_dir, "documents").count()
+    n_docs = read_table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
     npos = gc.groupBy("label").agg(F.count(F.lit(1)).alias("n_pos"))
     p = t.join(npos, "label", "left").withColumn("n_pos", F.coalesce("n_pos", F.lit(0)))
-    p = p.withColumn("n_neg", F.lit(n_docs) - F.col("n_pos"))
+    p = p.withColumn("n_neg", n_docs - F.col("n_pos"))
     lo, hi = F.least("n_pos", "n_neg"), F.greatest("n_pos", "n_neg")
     tgt = F.floor(F.col("ratio") * hi)
     return p.select(

@@ -80,7 +80,8 @@ def _flat(spark, sf_dir):
 
 def _conf(spark, sf_dir):
     g, p = _flat(spark, sf_dir)
-    n = read_table(spark, sf_dir, "documents").count()
+    # row count as a scalar subquery inside the plan (no eager driver job)
+    n = read_table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
     vocab = spark.createDataFrame([(x,) for x in fx.LEAVES], "label string")
     return m.label_confusion(g, p, n, vocab, "doc_id")
 
