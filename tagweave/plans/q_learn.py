@@ -347,6 +347,16 @@ def classify_job(spark, sf_dir):
 
 # --- sweeps -----------------------------------------------------------------
 
+def _each_config(fn, configs: list, parallelism: int = 3) -> list:
+    """Evaluate a bounded list of configurations, a few at a time (their Spark
+    jobs interleave, as ``CrossValidator(parallelism=..)`` does); results keep
+    the configuration order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(fn, configs))
+
+
 def _sweep_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """The (bounded) list of configuration results as a small table."""
     return spark.createDataFrame(rows, schema)
@@ -357,10 +367,11 @@ def sweep_classifiers(spark, sf_dir):
     """L1: several learners on one cached feature table, ranked by dev micro F1."""
     f = fx.features(spark, sf_dir).cache()
     train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
-    rows = []
-    for kind in ("logreg", "tree", "forest", "ridge"):
+    def run(kind):
         model = _br(kind).fit(train, "embedding", "labels", "vec_id")
-        rows.append((kind, float(_micro_f1(model.transform(dev), dev, "vec_id"))))
+        return kind, float(_micro_f1(model.transform(dev), dev, "vec_id"))
+
+    rows = _each_config(run, ["logreg", "tree", "forest", "ridge"])
     knn = nb.vote(nb.knn_join(dev, train, K, "vec_id", "embedding", carry=["labels"]), labels_col="labels")
     kp = dev.select(F.col("vec_id").cast("long").alias("qid")).join(
         knn.groupBy("qid").agg(F.collect_list("label").alias("pred_labels")), "qid", "left").select(
@@ -375,11 +386,12 @@ def sweep_ratio(spark, sf_dir):
     """L2: random-oversampling ratio 0.9 ... 0.1 (labels already at the ratio are left as they are)."""
     f = fx.features(spark, sf_dir).cache()
     train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
-    rows = []
-    for r in [round(0.1 * i, 1) for i in range(9, 0, -1)]:
+    def run(r):
         br = ln.BinaryRelevance(lambda: ln.make_estimator("logreg", 64, max_iter=100), DIGITS, samplers=("random", r))
         model = br.fit(train, "embedding", "labels", "vec_id")
-        rows.append((r, float(_micro_f1(model.transform(dev), dev, "vec_id"))))
+        return r, float(_micro_f1(model.transform(dev), dev, "vec_id"))
+
+    rows = _each_config(run, [round(0.1 * i, 1) for i in range(9, 0, -1)])
     return _sweep_frame(spark, rows, "ratio double, f1 double")
 
 
@@ -388,10 +400,11 @@ def sweep_seeds(spark, sf_dir):
     """L3: seeds 1..10 of a random forest; mean and standard deviation of dev F1."""
     f = fx.features(spark, sf_dir).cache()
     train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
-    rows = []
-    for seed in range(1, 11):
-        br = ln.BinaryRelevance(lambda s=seed: ln.make_estimator("forest", 64, seed=s, trees=20), DIGITS)
-        rows.append((seed, float(_micro_f1(br.fit(train, "embedding", "labels", "vec_id").transform(dev), dev, "vec_id"))))
+    def run(seed):
+        br = ln.BinaryRelevance(lambda: ln.make_estimator("forest", 64, seed=seed, trees=20), DIGITS)
+        return seed, float(_micro_f1(br.fit(train, "embedding", "labels", "vec_id").transform(dev), dev, "vec_id"))
+
+    rows = _each_config(run, list(range(1, 11)))
     res = _sweep_frame(spark, rows, "seed long, f1 double")
     return res.agg(F.count(F.lit(1)).alias("n_seeds"), m.r6(F.avg("f1")).alias("mean_f1"),
                    m.r6(F.stddev_samp("f1")).alias("std_f1"))
@@ -403,11 +416,12 @@ def random_search(spark, sf_dir, n_trials: int = 6, seed: int = 42):
     f = fx.features(spark, sf_dir).cache()
     train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
     regs = np.exp(np.random.default_rng(seed).uniform(np.log(1e-4), np.log(1.0), n_trials))
-    rows = []
-    for i, reg in enumerate(regs):
-        br = ln.BinaryRelevance(lambda r=float(reg): ln.make_estimator("logreg", 64, reg=r, max_iter=100), DIGITS)
-        rows.append((i, float(reg), float(_micro_f1(br.fit(train, "embedding", "labels", "vec_id").transform(dev),
-                                                     dev, "vec_id"))))
+    def run(trial):
+        i, reg = trial
+        br = ln.BinaryRelevance(lambda: ln.make_estimator("logreg", 64, reg=reg, max_iter=100), DIGITS)
+        return i, reg, float(_micro_f1(br.fit(train, "embedding", "labels", "vec_id").transform(dev), dev, "vec_id"))
+
+    rows = _each_config(run, [(i, float(reg)) for i, reg in enumerate(regs)])
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]
     return _sweep_frame(spark, [(a, b, c, a == best) for a, b, c in rows],
                         "trial long, reg_param double, f1 double, is_best boolean")
