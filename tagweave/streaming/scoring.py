@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tagweave.operators import metrics as m
 from tagweave.operators.taxonomy import expand_long
+from tagweave.session import cut_lineage, sized_broadcast
 from tagweave.sources import io
 
 
@@ -30,13 +31,16 @@ def start_scoring(spark: SparkSession, pred_dir: str, gold_long: DataFrame, clos
     for the ids of each batch."""
     stream = (spark.readStream.schema(io.PREDICTION_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .json(pred_dir))
-    gold_c = expand_long(gold_long.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("label")),
-                         closure, "id", "label")
+    # the static side is expanded once and written to the checkpoint folder;
+    # each batch then only scans it and filters it map-side by the batch's ids
+    gold_c = cut_lineage(expand_long(
+        gold_long.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("label")),
+        closure, "id", "label"))
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         pred = batch.select("id", F.explode("labels").alias("label"))
-        ids = batch.select("id").distinct()
-        g = gold_c.join(ids, "id", "left_semi")
+        ids = batch.select("id").distinct()  # bounded by the batch size (maxFilesPerTrigger)
+        g = gold_c.join(sized_broadcast(ids), "id", "left_semi")
         counts = m.hier_counts(g, pred, closure, "id", "label")
         out = counts.select(F.lit(batch_id).cast("long").alias("batch_id"), "tp", "n_pred", "n_gold")
         # idempotent replays: a batch id already written is skipped
