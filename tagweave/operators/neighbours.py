@@ -4,9 +4,10 @@ Block nested loop: queries and references are hashed into blocks of about
 ``block_rows`` rows; every query block meets every reference block exactly
 once in a co-grouped cell (rows replicated per block pair, not per row pair).
 Inside a cell the squared distances are one BLAS matrix product (NumPy on
-Arrow batches) and only the per-query candidates leave the cell: the best
-k + margin for kNN, the pairs within the radius for range joins.  The final
-top-k merge works on at most (k + margin) x blocks rows per query.
+Arrow batches) and only the per-query candidates leave the cell: for kNN
+every reference within the cell's k-th distance (ties kept, no fixed cap),
+for range joins the pairs within the radius.  The final top-k merge works on
+about k x blocks rows per query.
 
 ``radius_join_lsh`` is the approximate scale option
 (random-projection LSH); it may miss neighbours and is never used by the
@@ -25,7 +26,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TIE_MARGIN = 4
 
 
 def _cells(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, block_rows: int,
@@ -69,22 +69,29 @@ def _with_carry(out: pd.DataFrame, rp: pd.DataFrame, carry: list[str], j: np.nda
 
 
 def _knn_cell(k: int, exclude_self: bool, carry: list[str]):
+    """Per cell: every reference that can tie with or beat the cell's k-th
+    neighbour under the final order (distance rounded to 1e-9, then id), so
+    ties are never cut; the final window picks the exact top k.  Candidates
+    are chosen on the matrix-product distances with one rounding unit of
+    slack plus a bound on their floating error, then measured exactly."""
     def fn(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(rp) == 0:
             return _empty(carry)
         Q, R = _mat(qp["qv"]), _mat(rp["rv"])
         qid, nid = qp["qid"].to_numpy(), rp["nid"].to_numpy()
-        d2 = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (Q @ R.T)
+        norms = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :]
+        d2 = norms - 2.0 * (Q @ R.T)
         if exclude_self:
             d2[qid[:, None] == nid[None, :]] = np.inf
-        m = min(k + TIE_MARGIN, len(rp))
-        idx = np.argpartition(d2, m - 1, axis=1)[:, :m]
-        keep = np.isfinite(np.take_along_axis(d2, idx, axis=1))
-        diff = Q[:, None, :] - R[idx]
+        m = min(k, len(rp))
+        kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
+        lim = np.sqrt(np.maximum(kth, 0.0)) + 2e-9
+        cand = np.isfinite(d2) & (d2 <= (lim * lim)[:, None] + 1e-12 * (1.0 + norms))
+        i, j = np.nonzero(cand)
+        diff = Q[i] - R[j]
         d = np.sqrt((diff * diff).sum(-1))
-        rows = np.nonzero(keep)
-        out = pd.DataFrame({"qid": qid[rows[0]], "nid": nid[idx[rows]], "dist": d[rows]})
-        return _with_carry(out, rp, carry, idx[rows])
+        out = pd.DataFrame({"qid": qid[i], "nid": nid[j], "dist": d})
+        return _with_carry(out, rp, carry, j)
 
     return fn
 

@@ -403,3 +403,12 @@ def test_describe_numeric_matches_numpy(spark):
         for p, col in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
             assert r[col] == pytest.approx(float(np.quantile(vals, p)), abs=1.01e-6)
     assert got["c"]["std"] is None and got["c"]["q50"] == 5.0
+
+
+def test_knn_keeps_every_tie(spark):
+    # 30 references at the same point: the 3 nearest by (distance, id) are the 3 smallest ids
+    refs = [(100 + i, [1.0, 1.0]) for i in range(30)] + [(7, [5.0, 5.0]), (3, [9.0, 9.0])]
+    df = spark.createDataFrame(refs, "id long, vec array<float>")
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (2, [9.0, 9.0])], "id long, vec array<float>")
+    got = sorted((r["qid"], r["rank"], r["nid"]) for r in nb.knn_join(q, df, 3, block_rows=8).collect())
+    assert got == [(1, 1, 100), (1, 2, 101), (1, 3, 102), (2, 1, 3), (2, 2, 7), (2, 3, 100)]
