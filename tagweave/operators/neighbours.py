@@ -102,8 +102,10 @@ def _radius_cell(radius: float, exclude_self: bool, carry: list[str]):
             return _empty(carry)
         Q, R = _mat(qp["qv"]), _mat(rp["rv"])
         qid, nid = qp["qid"].to_numpy(), rp["nid"].to_numpy()
-        d2 = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (Q @ R.T)
-        cand = d2 <= radius * radius + 1e-6
+        norms = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :]
+        d2 = norms - 2.0 * (Q @ R.T)
+        # prefilter with a bound on the matrix-product error; the exact distance decides
+        cand = d2 <= radius * radius + 1e-6 + 1e-12 * norms
         if exclude_self:
             cand &= qid[:, None] != nid[None, :]
         i, j = np.nonzero(cand)
