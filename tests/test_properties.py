@@ -412,3 +412,25 @@ def test_knn_keeps_every_tie(spark):
     q = spark.createDataFrame([(1, [1.0, 1.0]), (2, [9.0, 9.0])], "id long, vec array<float>")
     got = sorted((r["qid"], r["rank"], r["nid"]) for r in nb.knn_join(q, df, 3, block_rows=8).collect())
     assert got == [(1, 1, 100), (1, 2, 101), (1, 3, 102), (2, 1, 3), (2, 2, 7), (2, 3, 100)]
+
+
+def test_streaming_scorer_restart_does_not_double_count(spark, tmp_path):
+    from tagweave.streaming.scoring import cumulative_scores, start_scoring
+
+    t = fx.taxonomy(spark)
+    sets = fx.doc_label_sets(spark, SF_SMALL)
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    sets.select(F.col("doc_id").cast("string").alias("id"), F.col("pred").alias("labels")).repartition(4, "id") \
+        .write.json(src)
+    gold = fx.gold_long(spark, SF_SMALL).select(F.col("doc_id").cast("string").alias("id"), "label")
+
+    def run():
+        q = start_scoring(spark, src, gold, t["closure"], out, ck, trigger_once=True, max_files_per_trigger=2)
+        q.awaitTermination(300)
+        return cumulative_scores(spark, out).first()
+
+    first = run()
+    again = run()  # same checkpoint: every file is already committed, nothing is scored twice
+    want = m.hier_scores(fx.gold_long(spark, SF_SMALL), fx.pred_long(spark, SF_SMALL), t["closure"], "doc_id").first()
+    assert first == again
+    assert (first["tp"], first["n_pred"], first["n_gold"]) == (want["tp"], want["n_pred"], want["n_gold"])
