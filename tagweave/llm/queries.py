@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.common import read_table
 from tagweave.llm.exact_dedup import exact_dedup
+from tagweave.llm.mixing import mix
 from tagweave.llm.registry import ORACLE, QUERIES, register
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -21,3 +22,36 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 FROM d JOIN g ON g.norm = d.norm""")
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS weight FROM s),
+-- by size over weight, the capped sources come first: source i is capped if the
+-- share of those from i on, after the caps before it, is above its own cap
+o AS (SELECT *, sum(source_size) OVER () AS total,
+             coalesce(sum(3 * source_size) OVER (ORDER BY source_size::DOUBLE / weight, source
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+             sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w),
+c AS (SELECT *, weight * (total - caps) > 3 * source_size * weights AS capped FROM o),
+l AS (SELECT any_value(total) - coalesce(sum(3 * source_size) FILTER (capped), 0) AS words,
+             sum(weight) FILTER (NOT capped) AS weights FROM c),
+t AS (SELECT source, source_size::BIGINT AS source_size,
+             CASE WHEN capped THEN (3 * source_size)::DOUBLE
+                  ELSE (weight * words)::DOUBLE / (l.weights)::DOUBLE END AS target FROM c, l),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+             floor(t.target + 0.5)::BIGINT AS budget
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS whole FROM p)
+SELECT doc_id, size, source_size, target,
+       (size * whole + greatest(0, least(size, budget - whole * source_size - before)))::BIGINT AS taken FROM e"""
+
+
+@register("op9_mix_sources", MIX_SQL)
+def op9_mix_sources(spark, sf_dir):
+    return mix(read_table(spark, sf_dir, "documents"))
