@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import read_table
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.mixing import mix
+from tagweave.llm.url_filter import judge_urls, rule_table
 from tagweave.llm.registry import ORACLE, QUERIES, register
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -55,3 +56,23 @@ SELECT doc_id, size, source_size, target,
 @register("op9_mix_sources", MIX_SQL)
 def op9_mix_sources(spark, sf_dir):
     return mix(read_table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+URL_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+                                THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+             regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+r(verdict, host, path) AS (VALUES {", ".join(f"('{v}', '{k.split('/', 1)[0]}', '/{k.split('/', 1)[1]}')" for v, k in URL_RULES)}),
+m AS (SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+             row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) AS n
+      FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1"""
+
+
+@register("op8_url_filter", URL_SQL)
+def op8_url_filter(spark, sf_dir):
+    return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
