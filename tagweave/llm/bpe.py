@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tagweave.llm.arrow import Batches, texts
 from tagweave.llm.common import narrow
@@ -33,7 +34,7 @@ END = "</w>"
 #: Code points by which a word's last symbol differs from the same symbol inside.
 END_SHIFT = 0x1000
 #: Chunks (text between white space) and token pairs whose result a worker keeps.
-CACHED_CHUNKS, CACHED_CHUNK_CHARS, CACHED_PAIRS = 400_000, 64, 1_000_000
+CACHED_CHUNKS, CACHED_CHUNK_CHARS, CACHED_PAIRS = 250_000, 64, 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -107,53 +108,48 @@ class PrefixEncoder:
     """Exact encoder and decoder of one tokenizer file (its JSON text)."""
 
     def __init__(self, spec: str):
+        self.library = Tokenizer.from_str(spec)
         spec = json.loads(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.rules = PairRules(vocab, merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for token, i in [*vocab.items(), *self.special.items()]:
-            self.tokens[i] = token.encode()
+        self.tokens = token_bytes(spec)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes = byte_symbols()
-        self.ends = [chr(ord(c) + END_SHIFT) for c in self.bytes]
         self.automaton = ahocorasick.Automaton()
         for i, symbols in enumerate(self.rules.symbols):
             if self.rules.whole[i]:
                 self.automaton.add_word(symbols, (i, len(symbols)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def symbols(self, word: str) -> str:
-        data = word.encode("utf-8", "surrogatepass")
-        return "".join([self.bytes[b] for b in data[:-1]]) + self.ends[data[-1]]
-
     def last_tokens(self, symbols: str) -> list[tuple[int, int]]:
         """For every prefix of one symbol or more, its last token and that token's length."""
         last: list[tuple[int, int]] = [(-1, 0)] * (len(symbols) + 1)
-        pairs, compatible = self.pairs, self.rules.compatible
+        pairs, compatible, size = self.pairs, self.rules.compatible, len(self.tokens)
         for at, match in self.automaton.iter(symbols):
             if last[at + 1][1]:
                 continue
             token, n = match
             start = at + 1 - n
             if start:
-                pair = (last[start][0], token)
+                pair = last[start][0] * size + token
                 fits = pairs.get(pair)
                 if fits is None:
                     if len(pairs) >= CACHED_PAIRS:
                         pairs.clear()
-                    fits = pairs[pair] = compatible(*pair)
+                    fits = pairs[pair] = compatible(last[start][0], token)
                 if not fits:
                     continue
             last[at + 1] = match
         return last
 
     def encode_word(self, word: str) -> list[int]:
-        symbols = self.symbols(word)
+        """Ids of a word of byte symbols."""
+        symbols = word[:-1] + chr(ord(word[-1]) + END_SHIFT)
         last, at, ids = self.last_tokens(symbols), len(symbols), []
         while at:
             token, n = last[at]
@@ -168,17 +164,42 @@ class PrefixEncoder:
             if piece in self.special:
                 ids.append(self.special[piece])
             elif piece:
-                for word in self.words.findall(lower(unicodedata.normalize("NFC", piece))):
+                for word in self.words_of(piece):
                     ids += self.encode_word(word)
         return ids
 
+    def words_of(self, piece: str) -> list[str]:
+        """The piece's words as byte symbols.
+
+        The tokenizer's Unicode version is newer than Python's: pieces with code
+        points that Python has as unassigned go through its own normalizer and splitter.
+        """
+        if not piece.isascii() and "Cn" in map(unicodedata.category, piece):
+            words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+            return [word for word, _ in words]
+        words = self.words.findall(lower(unicodedata.normalize("NFC", piece)))
+        return ["".join([self.bytes[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return encode_chunks(text, self.chunks, lambda new: [self.encode_chunk(c) for c in new])
 
     def decode(self, ids: bytes) -> bytes:
-        """The tokens in order with one blank between them, in UTF-8."""
-        return b" ".join(map(self.tokens.__getitem__, array("I", ids)))
+        return decode(ids, self.tokens)
+
+
+def token_bytes(spec: dict) -> list[bytes]:
+    """Each id's token in UTF-8."""
+    named = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]
+    tokens = [b""] * (max(i for _, i in named) + 1)
+    for token, i in named:
+        tokens[i] = token.encode()
+    return tokens
+
+
+def decode(ids: bytes, tokens: list[bytes]) -> bytes:
+    """The tokens in order with one blank between them, in UTF-8."""
+    return b" ".join(map(tokens.__getitem__, array("I", ids)))
 
 
 def chunks_of(text: str) -> list[str]:
@@ -201,15 +222,20 @@ def encode_chunks(text: str, cache: dict[str, bytes], encode) -> bytes:
     return b"".join(map(cache.__getitem__, chunks))
 
 
-_ENCODERS: dict[int, PrefixEncoder] = {}
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(spec: _Spec, make):
+    """What ``make`` builds of a broadcast tokenizer file; a worker keeps the last one from task to task."""
+    key = (make.__name__, spec.id)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make(spec.value)
+    return _KEPT[key]
 
 
-def encoder_of(spec) -> PrefixEncoder:
-    """The worker's encoder of a broadcast tokenizer file; kept from task to task."""
-    if spec.id not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[spec.id] = PrefixEncoder(spec.value)
-    return _ENCODERS[spec.id]
+def read_tokens(spec: str) -> list[bytes]:
+    return token_bytes(json.loads(spec))
 
 
 class _Spec:
@@ -240,7 +266,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = encoder_of(spec), Batches(schema)
+        encoder, out = kept(spec, PrefixEncoder), Batches(schema)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 ids = encoder.encode(text)
@@ -257,11 +283,11 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = encoder_of(spec), Batches(schema)
+        tokens, out = kept(spec, read_tokens), Batches(schema)
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = value.as_py()
-                decoded = encoder.decode(ids)
+                decoded = decode(ids, tokens)
                 yield from out.add(doc_id, ids, decoded, size=len(ids) + len(decoded))
         yield from out.flush()
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
+from tagweave.llm.bpe import token_digests
 from tagweave.llm.common import read_table
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.mixing import mix
@@ -76,3 +77,12 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 @register("op8_url_filter", URL_SQL)
 def op8_url_filter(spark, sf_dir):
     return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+#: Tokenizer file of the queries.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op6_bpe")
+def op6_bpe(spark, sf_dir):
+    return token_digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
