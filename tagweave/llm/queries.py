@@ -8,6 +8,7 @@ from tagweave.llm.bpe import token_digests
 from tagweave.llm.common import read_table
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.mixing import mix
+from tagweave.llm.token_files import token_index
 from tagweave.llm.url_filter import judge_urls, rule_table
 from tagweave.llm.registry import ORACLE, QUERIES, register
 
@@ -86,3 +87,8 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 @register("op6_bpe")
 def op6_bpe(spark, sf_dir):
     return token_digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@register("op7_token_files")
+def op7_token_files(spark, sf_dir):
+    return token_index(read_table(spark, sf_dir, "documents"), TOKENIZER)
