@@ -9,6 +9,7 @@ from tagweave.llm.common import read_table
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.mixing import mix
 from tagweave.llm.token_files import token_index
+from tagweave.llm.topk import top_products
 from tagweave.llm.url_filter import judge_urls, rule_table
 from tagweave.llm.registry import ORACLE, QUERIES, register
 
@@ -92,3 +93,14 @@ def op6_bpe(spark, sf_dir):
 @register("op7_token_files")
 def op7_token_files(spark, sf_dir):
     return token_index(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@register("op5_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op5_topk(spark, sf_dir):
+    return top_products(read_table(spark, sf_dir, "embeddings"))
