@@ -8,6 +8,7 @@ from tagweave.llm.bpe import token_digests
 from tagweave.llm.common import read_table
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.mixing import mix
+from tagweave.llm.quality import fit_quality, score_quality
 from tagweave.llm.token_files import token_index
 from tagweave.llm.topk import top_products
 from tagweave.llm.url_filter import judge_urls, rule_table
@@ -104,3 +105,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op5_topk(spark, sf_dir):
     return top_products(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op3_quality")
+def op3_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
