@@ -7,6 +7,7 @@ import public_tokenizers
 from tagweave.llm.bpe import token_digests
 from tagweave.llm.common import read_table
 from tagweave.llm.exact_dedup import exact_dedup
+from tagweave.llm.langid import fit_languages, identify
 from tagweave.llm.mixing import mix
 from tagweave.llm.quality import fit_quality, score_quality
 from tagweave.llm.token_files import token_index
@@ -111,3 +112,9 @@ def op5_topk(spark, sf_dir):
 def op3_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
+@register("op2_language_id")
+def op2_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, fit_languages(docs)).select("doc_id", "held_out", "lang_pred", "score")
