@@ -9,6 +9,7 @@ from tagweave.llm.common import read_table
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.langid import fit_languages, identify
 from tagweave.llm.mixing import mix
+from tagweave.llm.near_dedup import near_duplicates
 from tagweave.llm.quality import fit_quality, score_quality
 from tagweave.llm.token_files import token_index
 from tagweave.llm.topk import top_products
@@ -118,3 +119,8 @@ def op3_quality(spark, sf_dir):
 def op2_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return identify(docs, fit_languages(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op4_near_dedup")
+def op4_near_dedup(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
