@@ -187,3 +187,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_kept, text_sha256`` (of the text that is left, in UTF-8)."""
     return dedup_lines(docs).select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                        length_col: str | None = "n_chars") -> DataFrame:
+    """The documents with all their columns and without repeated lines.
+
+    Documents of which no line is left go; documents that were empty before stay.
+    ``length_col``, if the input has it, becomes the new text's length.
+    """
+    removed = repeated_lines(docs, id_col, text_col).withColumnRenamed("lines", "removed")
+    names = docs.columns
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))  # no name can clash
+    row = row.select("row", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row.`{text_col}`").cast("string").alias("text"))
+    found = (F.broadcast(removed) if small_enough(removed, 250_000) else removed).alias("f")
+    row = row.withColumn("text_hash", F.xxhash64("text")).alias("s")
+    same = F.col("s.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("s.text_hash") == F.col("f.text_hash"))
+    left = F.filter(F.split("s.text", "\n"), lambda x, i: ~F.array_contains("f.removed", i))
+    rows = row.join(found, same, "left").select(
+        "row", F.col("f.removed").isNotNull().alias("changed"),
+        F.when(F.col("f.removed").isNull(), F.col("s.text")).otherwise(F.array_join(left, "\n")).alias("left"))
+    rows = rows.filter(~F.col("changed") | (F.length("left") > 0))
+
+    def column(c: str):
+        if c == text_col:
+            return F.col("left").alias(c)
+        if c == length_col:
+            kind = docs.schema[c].dataType
+            return F.when(F.col("changed"), F.length("left")).otherwise(F.col(f"row.`{c}`")).cast(kind).alias(c)
+        return F.col(f"row.`{c}`").alias(c)
+
+    return rows.select(*[column(c) for c in names])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import materialize, narrow, shuffle_tasks, stable_rank
+from tagweave.llm.common import materialize, narrow, shuffle_tasks, small_enough, stable_rank
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -115,3 +115,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("offset") - F.col("inside")))
     return out.select("r.doc_id", "size", "source_size", "target",
                       (F.col("size") * whole + cut).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    **settings) -> DataFrame:
+    """The mix itself: the documents with all their columns, each as often as the mix
+    takes it.  A document is never cut: the one at a budget's end is taken once
+    more if the mix takes half of it or more.  Documents without words have no share.
+    """
+    plan = mix(docs, id_col, text_col, source_col, **settings).filter("taken > 0")
+    times = plan.groupBy("doc_id", "size").agg(F.avg(F.col("taken") / F.col("size")).alias("times"))
+    times = times.select("doc_id", "size", F.floor(F.col("times") + 0.5).cast("int").alias("times")).filter("times > 0")
+    times = materialize(times, "mix-times")
+    times = (F.broadcast(times) if small_enough(times) else times).alias("t")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name can clash
+    same = F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("t.doc_id")) & (
+        word_count(F.col(f"row.`{text_col}`").cast("string")) == F.col("t.size"))
+    taken = row.join(times, same).select("row", F.explode(F.sequence(F.lit(1), F.col("t.times"))))
+    return taken.select("row.*")

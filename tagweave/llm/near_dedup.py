@@ -158,7 +158,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, side: int, r
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
                     percent: int = PERCENT, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+    """One row per input row: ``doc_id, n_shingles, component_id, kept, text_hash``.
 
     Documents are linked if 100 * intersection >= percent * union of their sets
     of n-word shingles; a component's id is its smallest ``doc_id`` and that
@@ -189,7 +189,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = items.select("item", "node", "least_id").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialize(named.join(names, "root").select("node", "component_id"), "near-components")
-    out = table.select("doc_id", "node", "n_shingles").join(named, "node", "left")
+    out = table.select("doc_id", "text_hash", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents with all their columns, one of each component."""
+    judged = near_duplicates(docs, id_col, text_col, **settings)
+    gone = materialize(judged.filter(~F.col("kept")).select("doc_id", "text_hash").distinct(), "near-gone")
+    gone = (F.broadcast(gone) if small_enough(gone) else gone).alias("g")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name can clash
+    same = F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("g.doc_id")) & (
+        F.xxhash64(F.col(f"row.`{text_col}`").cast("string")) == F.col("g.text_hash"))
+    return row.join(gone, same, "left_anti").select("row.*")

@@ -130,3 +130,10 @@ def op4_near_dedup(spark, sf_dir):
 @register("op1_line_dedup")
 def op1_line_dedup(spark, sf_dir):
     return line_digests(read_table(spark, sf_dir, "documents"))
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
