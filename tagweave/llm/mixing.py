@@ -65,7 +65,7 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         words = total - capped
         above = ~F.col("capped") & (F.col("weight").cast(big) * F.lit(words).cast(big)
                                     > F.col("cap").cast(big) * F.lit(weights).cast(big))
-        table = materialize(table.withColumn("capped", F.col("capped") | above).withColumn("above", above), "mix-round")
+        table = materialize(table.withColumn("above", above).withColumn("capped", F.col("capped") | F.col("above")), "mix-round")
         if table.filter("above").isEmpty():
             break
         table = table.drop("above")
