@@ -145,7 +145,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = table.select("doc_id", "text_hash", "line", "item", "more").join(
         F.broadcast(kept) if small_enough(kept, 250_000) else kept, ["item", "more"])
     again = again.filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
-    return materialize(again.groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("lines")), "removed-lines")
+    return materialize(again.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines")), "removed-lines")
 
 
 def _with_lines(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str = "inner") -> DataFrame:
