@@ -1,13 +1,15 @@
 """Exact neighbour joins (C8 k-nearest, C9 radius) without a cross join.
 
-Block nested loop: queries and references are hashed into blocks of about
-``block_rows`` rows; every query block meets every reference block exactly
-once in a co-grouped cell (rows replicated per block pair, not per row pair).
-Inside a cell the squared distances are one BLAS matrix product (NumPy on
-Arrow batches) and only the per-query candidates leave the cell: for kNN
-every reference within the cell's k-th distance (ties kept, no fixed cap),
-for range joins the pairs within the radius.  The final top-k merge works on
-about k x blocks rows per query.
+References of a proven size (``BROADCAST_VALUES`` numbers at most) go to every
+task once; the queries then stream past them in Arrow batches, nothing is
+shuffled but the result.  Larger references meet the queries in a block nested
+loop: both sides are hashed into blocks of about ``block_rows`` rows and every
+query block meets every reference block exactly once in a co-grouped cell.
+
+In either case distances are taken for a slice of queries at a time, and a
+slice keeps for each query only its k best references in the final order
+(distance rounded to 1e-9, then id), so that ties neither pile up nor are lost.
+Ids keep their type (integers or strings).
 
 ``radius_join_lsh`` is the approximate scale option
 (random-projection LSH); it may miss neighbours and is never used by the
@@ -17,6 +19,7 @@ exact queries.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,96 +29,126 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-
-def _cells(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, block_rows: int,
-           carry: list[str] = ()):
-    nq = queries.count()
-    nr = refs.count()
-    bq = max(1, math.ceil(nq / block_rows))
-    br = max(1, math.ceil(nr / block_rows))
-    q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).alias("qv"),
-                       F.pmod(F.xxhash64(F.col(id_col)), F.lit(bq)).alias("qb"))
-    q = q.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(br - 1).cast("long"))).alias("rb"))
-    r = refs.select(F.col(id_col).cast("long").alias("nid"), F.col(vec_col).alias("rv"), *carry,
-                    F.pmod(F.xxhash64(F.col(id_col)), F.lit(br)).alias("rb"))
-    r = r.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))).alias("qb"))
-    return q.groupBy("qb", "rb"), r.groupBy("qb", "rb")
+#: Numbers (rows x dimensions) of a reference table that every task may hold (64 MiB).
+BROADCAST_VALUES = 8 << 20
+#: Distances of a slice of queries that are held at once (16 MiB).
+SLICE_VALUES = 2 << 20
 
 
 def _mat(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
 
 
-def _empty(carry: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
-                        "dist": pd.Series([], dtype="float64")})
-    for c in carry:
-        out[c] = pd.Series([], dtype="object")
-    return out
-
-
-def _schema(refs: DataFrame, carry: list[str]) -> T.StructType:
-    """Pair schema plus the carried reference columns (their own types)."""
-    fields = [T.StructField("qid", T.LongType()), T.StructField("nid", T.LongType()),
-              T.StructField("dist", T.DoubleType())]
-    return T.StructType(fields + [refs.schema[c] for c in carry])
+def _slices(n_queries: int, n_refs: int) -> Iterator[slice]:
+    step = max(1, SLICE_VALUES // max(1, n_refs))
+    return (slice(at, at + step) for at in range(0, n_queries, step))
 
 
-def _with_carry(out: pd.DataFrame, rp: pd.DataFrame, carry: list[str], j: np.ndarray) -> pd.DataFrame:
-    for c in carry:
-        out[c] = rp[c].to_numpy()[j]
+def _distances(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the pairs (q[i], r[j]), a bounded number at a time."""
+    out, step = np.empty(len(i)), max(1, SLICE_VALUES // max(1, q.shape[1]))
+    for at in range(0, len(i), step):
+        diff = q[i[at:at + step]] - r[j[at:at + step]]
+        out[at:at + step] = np.sqrt((diff * diff).sum(-1))
     return out
 
 
-def _knn_cell(k: int, exclude_self: bool, carry: list[str]):
-    """Per cell: every reference that can tie with or beat the cell's k-th
-    neighbour under the final order (distance rounded to 1e-9, then id), so
-    ties are never cut; the final window picks the exact top k.  Candidates
-    are chosen on the matrix-product distances with one rounding unit of
-    slack plus a bound on their floating error, then measured exactly."""
-    def fn(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(rp) == 0:
-            return _empty(carry)
-        Q, R = _mat(qp["qv"]), _mat(rp["rv"])
-        qid, nid = qp["qid"].to_numpy(), rp["nid"].to_numpy()
-        norms = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :]
-        d2 = norms - 2.0 * (Q @ R.T)
-        if exclude_self:
-            d2[qid[:, None] == nid[None, :]] = np.inf
-        m = min(k, len(rp))
-        kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
-        lim = np.sqrt(np.maximum(kth, 0.0)) + 2e-9
-        cand = np.isfinite(d2) & (d2 <= (lim * lim)[:, None] + 1e-12 * (1.0 + norms))
-        i, j = np.nonzero(cand)
-        diff = Q[i] - R[j]
-        d = np.sqrt((diff * diff).sum(-1))
-        out = pd.DataFrame({"qid": qid[i], "nid": nid[j], "dist": d})
-        return _with_carry(out, rp, carry, j)
-
-    return fn
+class _Nearest:
+    """The k best references of every query of a slice."""
 
+    def __init__(self, k: int):
+        self.k = k
 
-def _radius_cell(radius: float, exclude_self: bool, carry: list[str]):
-    def fn(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+    def __call__(self, q, r, d2, error, id_rank):
+        # candidates on the matrix-product distances, with one rounding unit of slack and
+        # a bound on their floating error; the exact, rounded distance and the id decide
+        m = min(self.k, d2.shape[1])
+        kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
+        lim = np.sqrt(np.maximum(np.where(np.isfinite(kth), kth, 0.0), 0.0)) + 2e-9
+        lim = np.where(np.isfinite(kth), lim * lim, np.inf)
+        i, j = np.nonzero(np.isfinite(d2) & (d2 <= lim[:, None] + error))
+        d = _distances(q, r, i, j)
+        order = np.lexsort((id_rank[j], np.round(d, 9), i))
+        i, j, d = i[order], j[order], d[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < self.k
+        return i[keep], j[keep], d[keep]
+
+
+class _Within:
+    """All references within the radius."""
+
+    def __init__(self, radius: float):
+        self.radius = radius
+
+    def __call__(self, q, r, d2, error, id_rank):
+        i, j = np.nonzero(np.isfinite(d2) & (d2 <= self.radius * self.radius + 1e-6 + error))
+        d = _distances(q, r, i, j)
+        ok = d <= self.radius
+        return i[ok], j[ok], d[ok]
+
+
+def _cell(choose: Callable, exclude_self: bool, carry: list[str]):
+    def pairs(qp: pd.DataFrame, rp: pd.DataFrame, r: np.ndarray, id_rank: np.ndarray) -> Iterator[pd.DataFrame]:
+        q, qid, nid = _mat(qp["qv"]), qp["qid"].to_numpy(), rp["nid"].to_numpy()
+        r_norm = (r * r).sum(1)
+        for part in _slices(len(q), len(r)):
+            qs = q[part]
+            norms = (qs * qs).sum(1)[:, None] + r_norm[None, :]
+            d2 = norms - 2.0 * (qs @ r.T)
+            if exclude_self:
+                d2[qid[part][:, None] == nid[None, :]] = np.inf
+            i, j, d = choose(qs, r, d2, 1e-12 * (1.0 + norms), id_rank)
+            out = pd.DataFrame({"qid": qid[part][i], "nid": nid[j], "dist": d})
+            for c in carry:
+                out[c] = rp[c].to_numpy()[j]
+            yield out
+
+    return pairs
+
+
+def _prepared(rp: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Reference matrix and every reference's place in the order of ids."""
+    rank = np.empty(len(rp), np.int64)
+    rank[np.argsort(rp["nid"].to_numpy(), kind="stable")] = np.arange(len(rp))
+    return _mat(rp["rv"]), rank
+
+
+def _pairs(queries: DataFrame, refs: DataFrame, choose: Callable, id_col: str, vec_col: str, exclude_self: bool,
+           block_rows: int, carry: list[str]) -> DataFrame:
+    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"))
+    r = refs.select(F.col(id_col).alias("nid"), F.col(vec_col).alias("rv"), *carry)
+    schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("nid", r.schema["nid"].dataType),
+                           T.StructField("dist", T.DoubleType()), *[r.schema[c] for c in carry]])
+    empty = pd.DataFrame({f.name: pd.Series([], dtype="object") for f in schema})
+    cell = _cell(choose, exclude_self, carry)
+    nr, values = r.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rv")), F.lit(0))).first()
+    if nr == 0:
+        return queries.sparkSession.createDataFrame([], schema)
+    if values <= BROADCAST_VALUES:
+        table = queries.sparkSession.sparkContext.broadcast(r.toPandas())
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            prepared = None
+            for qp in frames:
+                if len(qp):
+                    prepared = _prepared(table.value) if prepared is None else prepared
+                    yield from cell(qp, table.value, *prepared)
+
+        return q.mapInPandas(run, schema)
+    bq, br = (max(1, math.ceil(n / block_rows)) for n in (queries.count(), nr))
+
+    def blocks(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        df = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def meet(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(rp) == 0:
-            return _empty(carry)
-        Q, R = _mat(qp["qv"]), _mat(rp["rv"])
-        qid, nid = qp["qid"].to_numpy(), rp["nid"].to_numpy()
-        norms = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :]
-        d2 = norms - 2.0 * (Q @ R.T)
-        # prefilter with a bound on the matrix-product error; the exact distance decides
-        cand = d2 <= radius * radius + 1e-6 + 1e-12 * norms
-        if exclude_self:
-            cand &= qid[:, None] != nid[None, :]
-        i, j = np.nonzero(cand)
-        diff = Q[i] - R[j]
-        d = np.sqrt((diff * diff).sum(-1))
-        ok = d <= radius
-        out = pd.DataFrame({"qid": qid[i[ok]], "nid": nid[j[ok]], "dist": d[ok]})
-        return _with_carry(out, rp, carry, j[ok])
-
-    return fn
+            return empty
+        return pd.concat(list(cell(qp, rp, *_prepared(rp))), ignore_index=True)
+
+    gq = blocks(q, "qid", "qb", bq, "rb", br).groupBy("qb", "rb")
+    gr = blocks(r, "nid", "rb", br, "qb", bq).groupBy("qb", "rb")
+    return gq.cogroup(gr).applyInPandas(meet, schema)
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
@@ -127,9 +160,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "id", ve
     each neighbour through the cells, so consumers need no join back on the
     neighbour id (a "hub" reference that is near many queries would be a hot
     key in that join)."""
-    carry = list(carry or [])
-    gq, gr = _cells(queries, refs, id_col, vec_col, block_rows, carry)
-    cand = gq.cogroup(gr).applyInPandas(_knn_cell(k, exclude_self, carry), _schema(refs, carry))
+    cand = _pairs(queries, refs, _Nearest(k), id_col, vec_col, exclude_self, block_rows, list(carry or []))
     w = Window.partitionBy("qid").orderBy(F.round("dist", 9), "nid")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -138,9 +169,7 @@ def radius_join(queries: DataFrame, refs: DataFrame, radius: float, id_col: str
                 exclude_self: bool = False, block_rows: int = 4096, carry: list[str] | None = None) -> DataFrame:
     """Exact range join: every (query, reference) pair with distance <= radius
     (plus the ``carry`` columns of the reference, as in ``knn_join``)."""
-    carry = list(carry or [])
-    gq, gr = _cells(queries, refs, id_col, vec_col, block_rows, carry)
-    return gq.cogroup(gr).applyInPandas(_radius_cell(radius, exclude_self, carry), _schema(refs, carry))
+    return _pairs(queries, refs, _Within(radius), id_col, vec_col, exclude_self, block_rows, list(carry or []))
 
 
 def radius_join_lsh(queries: DataFrame, refs: DataFrame, radius: float, id_col: str = "id", vec_col: str = "vec",
@@ -167,7 +196,7 @@ def vote(pairs: DataFrame, ref_labels: DataFrame | None = None, id_col: str = "i
     if labels_col in pairs.columns:
         lab = pairs.select("qid", F.explode(labels_col).alias("label"))
     else:
-        refs = ref_labels.select(F.col(id_col).cast("long").alias("nid"), F.explode(labels_col).alias("label"))
+        refs = ref_labels.select(F.col(id_col).alias("nid"), F.explode(labels_col).alias("label"))
         lab = pairs.select("qid", "nid").join(refs, "nid").select("qid", "label")
     v = lab.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))
     return v.join(n, "qid").filter(F.col("votes") > F.col("n_neighbors") * min_share).select(

@@ -3,8 +3,9 @@ counts, deterministic per seed, never dropping an original row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.functions.seeded import seeded_int, seeded_unit
 from tagweave.operators.clean import with_row_index
@@ -15,6 +16,10 @@ class RatioReached(ValueError):
     """The minority class already reaches the requested ratio."""
 
 
+class TooFewRows(ValueError):
+    """The minority class has fewer rows than the method needs."""
+
+
 def plan_counts(n_pos: int, n_neg: int, ratio: float) -> tuple[int, int]:
     """(minority target, rows to add) for ratio = n_minority_after / n_majority."""
     n_min, n_maj = min(n_pos, n_neg), max(n_pos, n_neg)
@@ -30,24 +35,36 @@ def _class_counts(df: DataFrame, y_col: str) -> tuple[int, int]:
     return pos, int(row["n"]) - pos
 
 
+def _seed_key(df: DataFrame, col: str) -> Column:
+    """An integer to seed from: the id itself, or 60 bits of a string id's md5 (portable)."""
+    if isinstance(df.schema[col].dataType, T.StringType):
+        return F.conv(F.substring(F.md5(F.col(col)), 1, 15), 16, 10).cast("bigint")
+    return F.col(col)
+
+
 def _copies_per_row(mino: DataFrame, n_add: int, n_min: int, id_col: str, seed: int) -> DataFrame:
     """Each minority row gets floor(n_add / n_min) copies; the remainder goes to
     the rows first in a seeded hash order (exact total, distributed ranking)."""
     base, extra = divmod(n_add, n_min)
-    ranked = with_row_index(mino.withColumn("_h", seeded_int(F.col(id_col), seed=seed)), ["_h", id_col], "_rk")
+    ranked = with_row_index(mino.withColumn("_h", seeded_int(_seed_key(mino, id_col), seed=seed)), ["_h", id_col], "_rk")
     return ranked.withColumn("_copies", F.lit(base) + (F.col("_rk") < extra).cast("int")).drop("_h", "_rk")
 
 
 def oversample_random(df: DataFrame, y_col: str, ratio: float, id_col: str = "id", seed: int = 42,
                       on_reached: str = "raise") -> DataFrame:
-    """Random oversampling with replacement of the minority class (y = 1
-    or y = 0, whichever is rarer) to n_min_after = floor(ratio * n_majority).
+    """Random oversampling of the minority class (y = 1 or y = 0, whichever
+    is rarer) to n_min_after = floor(ratio * n_majority).  Copies are spread as
+    evenly as the total allows, the rest by a seeded hash order: the expected
+    counts of draws with replacement without their variance.
 
-    Output: all original rows (copy = 0) plus copies (copy = 1, 2, ...)."""
+    Output: all original rows (copy = 0) plus copies (copy = 1, 2, ...).  A class
+    without any row can't be copied: ``TooFewRows``, or unsampled with ``skip``."""
     pos, neg = _class_counts(df, y_col)
     try:
+        if min(pos, neg) == 0:
+            raise TooFewRows("the minority class has no row to copy")
         _, n_add = plan_counts(pos, neg, ratio)
-    except RatioReached:
+    except (RatioReached, TooFewRows):
         if on_reached == "skip":
             return df.withColumn("copy", F.lit(0))
         raise
@@ -68,43 +85,46 @@ def smote(df: DataFrame, y_col: str, vec_col: str, ratio: float, id_col: str = "
     class only) and u in [0, 1); both drawn from seeded hashes.
 
     Output: originals (synthetic = false) plus synthetic rows that keep the
-    source id in ``source_id`` and the neighbour used in ``neighbor_id``."""
+    source id in ``source_id`` and the neighbour used in ``neighbor_id``.  With
+    k minority rows or fewer there are no k neighbours: ``TooFewRows``, or
+    unsampled with ``skip``."""
     pos, neg = _class_counts(df, y_col)
     base = (df.withColumn("synthetic", F.lit(False)).withColumn("source_id", F.col(id_col)).withColumn("copy", F.lit(0))
-            .withColumn("neighbor_id", F.lit(None).cast("long")))
+            .withColumn("neighbor_id", F.lit(None).cast(df.schema[id_col].dataType)))
     try:
         _, n_add = plan_counts(pos, neg, ratio)
-    except RatioReached:
+        if n_add and min(pos, neg) <= k:
+            raise TooFewRows(f"{min(pos, neg)} minority rows have no {k} neighbours each")
+    except (RatioReached, TooFewRows):
         if on_reached == "skip":
             return base
         raise
     minority = 1 if pos <= neg else 0
     n_min = min(pos, neg)
-    if n_add == 0 or n_min < 2:
+    if n_add == 0:
         return base
-    kk = min(k, n_min - 1)
-    mino = df.filter(F.col(y_col) == minority).cache()
-    nbrs = knn_join(mino, mino, kk, id_col, vec_col, exclude_self=True, block_rows=block_rows)
-    # Each minority row first gathers its kk neighbour vectors (bounded by k,
-    # rank order) and its copy count; the copies are exploded last, so a row
-    # that must be copied many times (a hot source) never meets a shuffle.
-    ns = mino.select(F.col(id_col).cast("long").alias("nid"), F.col(vec_col).alias("_n"))
-    near = nbrs.join(ns, "nid").groupBy("qid").agg(
+    mino = df.filter(F.col(y_col) == minority)
+    # the neighbours' vectors travel with the join (a neighbour of many rows is
+    # never a join key); each minority row gathers its k of them in rank order
+    nbrs = knn_join(mino, mino.withColumn("_n", F.col(vec_col)), k, id_col, vec_col, exclude_self=True,
+                    block_rows=block_rows, carry=["_n"])
+    near = nbrs.groupBy("qid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("r"), "nid", "_n"))),
                     lambda s: F.struct(s["nid"].alias("nid"), s["_n"].alias("_n"))).alias("_nn"))
+    # copies are exploded last, so a row that must be copied many times never meets a shuffle
     c = _copies_per_row(mino, n_add, n_min, id_col, seed).filter(F.col("_copies") > 0)
-    rows = c.withColumn("qid", F.col(id_col).cast("long")).join(near, "qid")
+    rows = c.withColumn("qid", F.col(id_col)).join(near, "qid")
     others = [c_ for c_ in df.columns if c_ not in (id_col, vec_col, y_col)]
     draws = rows.select("qid", vec_col, "_nn", *others,
                         F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
-    pick = (F.pmod(seeded_int(F.col("qid"), F.col("copy"), seed=seed), F.lit(kk)) + 1).cast("int")
-    u = seeded_unit(F.col("qid"), F.col("copy"), F.lit(7), seed=seed)
+    pick = (F.pmod(seeded_int(_seed_key(draws, "qid"), F.col("copy"), seed=seed), F.lit(k)) + 1).cast("int")
+    u = seeded_unit(_seed_key(draws, "qid"), F.col("copy"), F.lit(7), seed=seed)
     chosen = F.element_at("_nn", pick)
     new = F.zip_with(vec_col, chosen["_n"], lambda a, b: (a + u * (b - a)).cast("float"))
     syn = draws.select(
         F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), F.lit(minority).cast(df.schema[y_col].dataType)
         .alias(y_col), new.cast(df.schema[vec_col].dataType).alias(vec_col), *others,
-        F.lit(True).alias("synthetic"), F.col("qid").cast(df.schema[id_col].dataType).alias("source_id"), "copy",
+        F.lit(True).alias("synthetic"), F.col("qid").alias("source_id"), "copy",
         chosen["nid"].alias("neighbor_id"))
     return base.unionByName(syn.select(*base.columns))
 

@@ -1,8 +1,8 @@
 """Label-DAG operators over an edge table ``(parent string, child string)``.
 
-The taxonomy is an input DataFrame of any size.  The closure is built by a
-semi-naive fixpoint of self-joins (each round joins only the new frontier),
-so its cost follows the DAG depth, not the data.  Label tables are joined to
+The taxonomy is an input DataFrame of any size and depth.  The closure is built
+by joining the paths found so far with themselves, so that their length doubles
+each round and the number of rounds follows the logarithm of the DAG's depth.  Label tables are joined to
 the closure with a size-checked broadcast.
 """
 
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tagweave.fixed import ROOT
 from tagweave.session import cut_lineage, sized_broadcast
 
-MAX_DEPTH = 256
-
 
 def nodes(edges: DataFrame, root: str = ROOT) -> DataFrame:
     """All nodes except the root."""
@@ -34,38 +32,27 @@ def internal_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("node")).distinct()
 
 
-def ancestor_pairs(edges: DataFrame, root: str = ROOT, max_depth: int = MAX_DEPTH,
-                   keep_root: bool = False) -> DataFrame:
+def ancestor_pairs(edges: DataFrame, root: str = ROOT, keep_root: bool = False) -> DataFrame:
     """All (node, ancestor, distance) pairs, root excluded, distance = shortest path.
 
-    Breadth-first semi-naive fixpoint: a pair first reached in round d has
-    shortest distance d.  A cycle (a node reaching itself) raises.
+    After round r every shortest path of up to 2^r edges is known; a round that
+    changes nothing ends it.  A cycle shows as a node that reaches itself and raises.
     """
-    e = edges.select("parent", "child").distinct()
-    frontier = e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    frontier = frontier.cache()
-    found = frontier
-    for depth in range(2, max_depth + 2):
-        step = (
-            frontier.alias("f")
-            .join(e.alias("e"), F.col("f.ancestor") == F.col("e.child"))
-            .select(F.col("f.node").alias("node"), F.col("e.parent").alias("ancestor"))
-            .distinct()
-            .join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
-            .withColumn("distance", F.lit(depth))
-        )
-        step = cut_lineage(step) if depth % 8 == 0 else step.cache()
-        n_new, n_self = step.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum((F.col("node") == F.col("ancestor")).cast("int")), F.lit(0))
-        ).first()
-        if n_self:
+    found = cut_lineage(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"),
+                                     F.lit(1).cast("bigint").alias("distance")).distinct())
+    state = None
+    while True:
+        now = found.agg(F.count(F.lit(1)), F.sum("distance"), F.max(F.col("node") == F.col("ancestor"))).first()
+        if now[2]:
             raise ValueError("taxonomy has a cycle")
-        if n_new == 0:
+        if tuple(now) == state:
             break
-        found = found.unionByName(step)
-        frontier = step
-    else:
-        raise ValueError(f"taxonomy deeper than {max_depth}")
+        state = tuple(now)
+        a, b = found.alias("a"), found.alias("b")
+        longer = a.join(b, F.col("a.ancestor") == F.col("b.node")).select(
+            "a.node", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
+        found = cut_lineage(found.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+    found = found.withColumn("distance", F.col("distance").cast("int"))
     return found if keep_root else found.filter(F.col("ancestor") != root)
 
 

@@ -17,30 +17,9 @@ BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 256 << 20
 
 
-def split_bytes(input_bytes: int, cores: int, per_core: int = 3,
-                floor: int = 1 << 20, ceiling: int = 128 << 20) -> int:
-    """``spark.sql.files.maxPartitionBytes`` for an input of ``input_bytes`` on
-    ``cores`` task slots: about ``per_core`` scan splits per slot, at most the
-    default 128 MiB (what a large input on a big cluster gets anyway) and at
-    least 1 MiB.  Text rows are CPU-heavy per byte (tokenising), so a small
-    input must still fill every slot."""
-    return max(floor, min(ceiling, input_bytes // max(1, cores * per_core)))
-
-
-def dir_bytes(path: str) -> int:
-    total = 0
-    for root, _, files in os.walk(path):
-        total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
-    return total
-
-
-def build_session(master: str = "local[*]", partitions: int = 8, app: str = "tagweave",
-                  max_partition_bytes: int | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
-    if max_partition_bytes:
-        builder = builder.config("spark.sql.files.maxPartitionBytes", str(max_partition_bytes))
+def build_session(master: str = "local[*]", partitions: int = 8, app: str = "tagweave") -> SparkSession:
     spark = (
-        builder
+        SparkSession.builder.master(master).appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -64,13 +43,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and is only read here.  Only
-    when it is unset (local tests) a private folder is created and set.
+    when it is unset on a local master (tests) a private folder is created and
+    set; on any other master a folder of one machine would lose rows, so it raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
             current = tempfile.mkdtemp(prefix="tagweave-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current
@@ -110,14 +92,10 @@ def _row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES,
-                    known_rows: int | None = None) -> DataFrame:
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast ``df`` only if it is proven small: at most ``max_rows`` rows
-    and at most ``max_bytes`` payload bytes, both measured by one probe job
-    over at most ``max_rows + 1`` rows.
-
-    ``known_rows`` lets callers pass a row count they already computed (the
-    caller then vouches for the width).  Beyond either bound the frame is
+    and at most ``max_bytes`` payload bytes, both summed by one probe job in
+    which every task hands on one row.  Beyond either bound the frame is
     returned unchanged, so the join becomes a shuffle join (sort-merge or
     shuffled hash, AQE decides; skew join splitting is on).
 
@@ -125,12 +103,10 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes
     frame (the checkpointed taxonomy tables) is probed once per application;
     the hint survives later projections and filters of that frame.
     """
-    if known_rows is not None:
-        return F.broadcast(df) if known_rows <= max_rows else df
     key = (max_rows, max_bytes)
     seen = getattr(df, "_tagweave_small", None)
     if seen is None or seen[0] != key:
-        n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+        n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
         seen = (key, n <= max_rows and size <= max_bytes)
         df._tagweave_small = seen
     return F.broadcast(df) if seen[1] else df
