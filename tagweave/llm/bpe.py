@@ -33,8 +33,8 @@ from tagweave.llm.common import narrow
 END = "</w>"
 #: Code points by which a word's last symbol differs from the same symbol inside.
 END_SHIFT = 0x1000
-#: Chunks (text between white space) and token pairs whose result a worker keeps.
-CACHED_CHUNKS, CACHED_CHUNK_CHARS, CACHED_PAIRS = 250_000, 64, 400_000
+#: Chunks (text between white space; two generations of them), words and token pairs whose result a worker keeps.
+CACHED_CHUNKS, CACHED_CHUNK_CHARS, CACHED_WORDS, CACHED_PAIRS = 150_000, 64, 100_000, 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -124,27 +124,26 @@ class PrefixEncoder:
                 self.automaton.add_word(symbols, (i, len(symbols)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.word_ids: dict[str, tuple[int, ...]] = {}
+        self.chunks = ChunkCache()
 
-    def last_tokens(self, symbols: str) -> list[tuple[int, int]]:
-        """For every prefix of one symbol or more, its last token and that token's length."""
-        last: list[tuple[int, int]] = [(-1, 0)] * (len(symbols) + 1)
-        pairs, compatible, size = self.pairs, self.rules.compatible, len(self.tokens)
+    def last_tokens(self, symbols: str) -> list[tuple[int, int] | None]:
+        """For every prefix, by its length, its last token and that token's length."""
+        last: list[tuple[int, int] | None] = [None] * (len(symbols) + 1)
+        pairs, size = self.pairs, len(self.tokens)
         for at, match in self.automaton.iter(symbols):
-            if last[at + 1][1]:
-                continue
-            token, n = match
-            start = at + 1 - n
-            if start:
-                pair = last[start][0] * size + token
-                fits = pairs.get(pair)
-                if fits is None:
-                    if len(pairs) >= CACHED_PAIRS:
-                        pairs.clear()
-                    fits = pairs[pair] = compatible(last[start][0], token)
-                if not fits:
-                    continue
-            last[at + 1] = match
+            if last[at + 1] is None:
+                token, n = match
+                start = at + 1 - n
+                if start:
+                    pair = last[start][0] * size + token
+                    if pair not in pairs:
+                        if len(pairs) >= CACHED_PAIRS:
+                            pairs.clear()
+                        pairs[pair] = self.rules.compatible(last[start][0], token)
+                    if not pairs[pair]:
+                        continue
+                last[at + 1] = match
         return last
 
     def encode_word(self, word: str) -> list[int]:
@@ -165,7 +164,14 @@ class PrefixEncoder:
                 ids.append(self.special[piece])
             elif piece:
                 for word in self.words_of(piece):
-                    ids += self.encode_word(word)
+                    if len(word) > CACHED_CHUNK_CHARS:
+                        ids += self.encode_word(word)
+                        continue
+                    if word not in self.word_ids:
+                        if len(self.word_ids) >= CACHED_WORDS:
+                            self.word_ids.clear()
+                        self.word_ids[word] = tuple(self.encode_word(word))
+                    ids += self.word_ids[word]
         return ids
 
     def words_of(self, piece: str) -> list[str]:
@@ -174,6 +180,8 @@ class PrefixEncoder:
         The tokenizer's Unicode version is newer than Python's: pieces with code
         points that Python has as unassigned go through its own normalizer and splitter.
         """
+        if piece.isascii() and piece.isprintable():
+            return self.words.findall(piece.lower())  # these bytes are their own symbols
         if not piece.isascii() and "Cn" in map(unicodedata.category, piece):
             words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
             return [word for word, _ in words]
@@ -182,7 +190,7 @@ class PrefixEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return encode_chunks(text, self.chunks, lambda new: [self.encode_chunk(c) for c in new])
+        return self.chunks.encode(text, lambda new: [self.encode_chunk(c) for c in new])
 
     def decode(self, ids: bytes) -> bytes:
         return decode(ids, self.tokens)
@@ -209,17 +217,27 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
-def encode_chunks(text: str, cache: dict[str, bytes], encode) -> bytes:
-    """Concatenated ids of the text's chunks; ``encode`` gives those of a list of new ones."""
-    chunks = chunks_of(text)
-    if len(cache) >= CACHED_CHUNKS:
-        cache.clear()
-    new = {c for c in chunks if c not in cache}
-    found = {c: array("I", ids).tobytes() for c, ids in zip(new, encode(list(new)))} if new else {}
-    cache.update((c, ids) for c, ids in found.items() if len(c) <= CACHED_CHUNK_CHARS)
-    if any(len(c) > CACHED_CHUNK_CHARS for c in found):
-        return b"".join([cache[c] if c in cache else found[c] for c in chunks])
-    return b"".join(map(cache.__getitem__, chunks))
+class ChunkCache:
+    """Ids of chunks in two generations: a full young one becomes the old one, and
+    what is met again moves back, so frequent chunks outlive rare ones."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, text: str, encode) -> bytes:
+        """Concatenated ids of the text's chunks; ``encode`` gives those of a list of new ones."""
+        if len(self.young) >= CACHED_CHUNKS:
+            self.young, self.old = {}, self.young
+        chunks, young, old = chunks_of(text), self.young, self.old
+        missing = {c for c in chunks if c not in young}
+        if not missing:
+            return b"".join(map(young.__getitem__, chunks))
+        young.update((c, old[c]) for c in missing if c in old)
+        new = [c for c in missing if c not in young]
+        found = {c: array("I", ids).tobytes() for c, ids in zip(new, encode(new))} if new else {}
+        young.update((c, ids) for c, ids in found.items() if len(c) <= CACHED_CHUNK_CHARS)
+        return b"".join([young[c] if c in young else found[c] for c in chunks])
 
 
 _KEPT: dict[tuple, object] = {}

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tagweave.llm.arrow import Batches, texts
-from tagweave.llm.bpe import encode_chunks, kept, tokenizer_spec
+from tagweave.llm.bpe import ChunkCache, kept, tokenizer_spec
 from tagweave.llm.common import materialize, narrow, shuffle_tasks
 from tagweave.session import scratch_path
 
@@ -175,13 +175,13 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = ChunkCache()
 
     def _new(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(encode_chunks(text, self.chunks, self._new), "<u4")
+        return np.frombuffer(self.chunks.encode(text, self._new), "<u4")
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id",
