@@ -50,22 +50,46 @@ def make_estimator(kind: str, n_features: int, seed: int = 42, **kw):
         return LogisticRegression(maxIter=kw.get("max_iter", 600), regParam=kw.get("reg", 0.01),
                                   tol=kw.get("tol", 1e-6))
     if kind == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, kw.get("hidden", 32), 2],
+        return MultilayerPerceptronClassifier(layers=[n_features, kw.get("hidden", 100), 2],
                                               maxIter=kw.get("max_iter", 400), seed=seed)
     if kind == "gbt":
-        return GBTClassifier(maxIter=kw.get("max_iter", 20), seed=seed)
+        return GBTClassifier(maxIter=kw.get("max_iter", 100), maxDepth=kw.get("depth", 3), seed=seed)
     if kind == "tree":
-        return DecisionTreeClassifier(seed=seed)
+        return DecisionTreeClassifier(maxDepth=kw.get("depth", 30), seed=seed)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=kw.get("trees", 50), seed=seed)
+        return RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=kw.get("depth", 30),
+                                      featureSubsetStrategy="sqrt", seed=seed)
     if kind == "extra_trees":
-        return RandomForestClassifier(numTrees=kw.get("trees", 50), bootstrap=False,
+        return RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=kw.get("depth", 30), bootstrap=False,
                                       featureSubsetStrategy="sqrt", seed=seed)
     if kind == "ridge":
-        return LinearRegression(regParam=kw.get("reg", 1.0), elasticNetParam=0.0)
+        # regParam holds alpha here; fit() turns it into Spark's form (see ridge_penalty)
+        return LinearRegression(regParam=kw.get("reg", 1.0), elasticNetParam=0.0, standardization=False)
     raise ValueError(f"unknown estimator {kind!r}")
 
 
+def ridge_penalty(alpha: float, n: int, positives: int) -> float:
+    """Spark's ``regParam`` for ridge's alpha * |w|^2 beside the summed squared error.
+
+    Spark averages the error over the n rows and scales the penalty by the
+    target's standard deviation (targets are +1 and -1 here)."""
+    mean = (2 * positives - n) / n
+    return alpha * math.sqrt(1 - mean * mean) / n
+
+
+class ConstantModel:
+    """Model of a label that all training rows have, or none (or no row at all)."""
+
+    def __init__(self, i: int, value: float, regressor: bool):
+        self.i, self.value, self.regressor = i, value, regressor
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.regressor:
+            return df.withColumn(f"_p{self.i}", F.lit(2 * self.value - 1))
+        prob = array_to_vector(F.array(F.lit(1 - self.value), F.lit(self.value)))
+        return df.withColumn(f"_p{self.i}", F.lit(self.value)).withColumn(f"_prob{self.i}", prob)
+
+
 def _is_regressor(est) -> bool:
     return isinstance(est, LinearRegression)
 
@@ -89,7 +113,8 @@ class BinaryRelevanceModel:
             hits.append(F.when(p > 0 if self.regressor else p == 1, F.lit(lab)))
         x = x.withColumn(out_col, F.array_compact(F.array(*hits)))
         if not self.regressor:
-            x = x.withColumn("scores", F.array(*[vector_to_array(F.col(f"_prob{i}"))[1] for i in range(len(self.labels))]))
+            x = x.withColumn("scores", F.array(*[F.coalesce(F.get(vector_to_array(F.col(f"_prob{i}")), F.lit(1)), F.lit(0.0))
+                                              for i in range(len(self.labels))]))
         tmp = [c for c in x.columns if c.startswith(("_p", "_prob", "_raw")) or c == "_fv"]
         return x.drop(*tmp)
 
@@ -113,28 +138,41 @@ class BinaryRelevance:
 
     def fit(self, df: DataFrame, features_col: str = "features", labels_col: str = "labels",
             id_col: str = "id") -> BinaryRelevanceModel:
-        base = df.select(id_col, features_col, labels_col).cache()
+        # a frame that the caller has cached is used as it is, not cached a second time
+        own = df.storageLevel.useMemory is False
+        base = cache_for_iterations(df.select(id_col, features_col, labels_col), features_col) if own else df
         regressor = _is_regressor(self.make())
+        has = [F.coalesce(F.sum(F.array_contains(labels_col, lab).cast("long")), F.lit(0)) for lab in self.labels]
+        n, *positives = base.agg(F.count(F.lit(1)), *has).first()
 
         def fit_one(i_lab):
             i, lab = i_lab
+            if positives[i] in (0, n):
+                return ConstantModel(i, float(positives[i] > 0), regressor)
             d = base.withColumn("_y", _binary_target(labels_col, lab, regressor))
             method, ratio = self._sampler(lab)
-            if method == "random":
-                d = oversample_random(d.withColumn("_yb", F.array_contains(labels_col, lab).cast("int")), "_yb",
-                                      ratio, id_col, self.seed, on_reached="skip")
-            elif method == "smote":
-                d = smote(d.withColumn("_yb", F.array_contains(labels_col, lab).cast("int")), "_yb", features_col,
-                          ratio, id_col, self.seed, on_reached="skip")
+            if method:
+                d = d.withColumn("_yb", F.array_contains(labels_col, lab).cast("int"))
+                d = (oversample_random(d, "_yb", ratio, id_col, self.seed, on_reached="skip") if method == "random" else
+                     smote(d, "_yb", features_col, ratio, id_col, self.seed, on_reached="skip"))
+                # synthetic rows have no label list; the sampled class decides
+                d = d.withColumn("_y", F.col("_yb") * 2.0 - 1.0 if regressor else F.col("_yb").cast("double"))
             d = d.withColumn("_fv", array_to_vector(F.col(features_col)))
             est = self.make().setFeaturesCol("_fv").setLabelCol("_y").setPredictionCol(f"_p{i}")
-            if not regressor:
+            if regressor:
+                rows, pos = (n, positives[i]) if not method else d.agg(
+                    F.count(F.lit(1)), F.sum((F.col("_y") > 0).cast("long"))).first()
+                est = est.setRegParam(ridge_penalty(est.getRegParam(), rows, pos))
+            else:
                 est = est.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}")
             return est.fit(d)
 
-        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-            models = list(pool.map(fit_one, enumerate(self.labels)))
-        base.unpersist()
+        try:
+            with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
+                models = list(pool.map(fit_one, enumerate(self.labels)))
+        finally:
+            if own:
+                base.unpersist()
         return BinaryRelevanceModel(self.labels, models, features_col, regressor)
 
 
@@ -236,12 +274,21 @@ class TopDown:
         base = cache_for_iterations(df.select(id_col, features_col, closure_col), features_col)
 
         def fit_node(node):
-            rows = base if node == self.root else base.filter(F.array_contains(closure_col, node))
-            br = BinaryRelevance(self.make, self.children[node], parallelism=len(self.children[node]))
-            return node, br.fit(rows, features_col, closure_col, id_col)
-
-        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-            models = dict(pool.map(fit_node, self.order))
+            # one node after the other, its rows cached while its children are fitted; a node
+            # without rows gives constant models, which predict nothing below it
+            rows = base if node == self.root else cache_for_iterations(
+                base.filter(F.array_contains(closure_col, node)), features_col)
+            try:
+                br = BinaryRelevance(self.make, self.children[node], parallelism=self.parallelism)
+                return br.fit(rows, features_col, closure_col, id_col)
+            finally:
+                if node != self.root:
+                    rows.unpersist()
+
+        try:
+            models = {node: fit_node(node) for node in self.order}
+        finally:
+            base.unpersist()
         return TopDownModel(self.order, self.children, _ScoresOnly(models), self.threshold, features_col)
 
 

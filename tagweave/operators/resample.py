@@ -123,7 +123,7 @@ def smote(df: DataFrame, y_col: str, vec_col: str, ratio: float, id_col: str = "
     new = F.zip_with(vec_col, chosen["_n"], lambda a, b: (a + u * (b - a)).cast("float"))
     syn = draws.select(
         F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), F.lit(minority).cast(df.schema[y_col].dataType)
-        .alias(y_col), new.cast(df.schema[vec_col].dataType).alias(vec_col), *others,
+        .alias(y_col), new.cast(T.ArrayType(df.schema[vec_col].dataType.elementType)).alias(vec_col), *others,
         F.lit(True).alias("synthetic"), F.col("qid").alias("source_id"), "copy",
         chosen["nid"].alias("neighbor_id"))
     return base.unionByName(syn.select(*base.columns))

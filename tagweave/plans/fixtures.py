@@ -208,3 +208,18 @@ def doc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     m = F.col("doc_id") % 10
     return d.withColumn("split", F.when(m < 7, "train").when(m < 9, "validation").otherwise("dev"))
+
+
+N_SIGNS = 10
+
+
+def sign_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX14: labels that can be learned.  (vec_id, split, features: the signs of the
+    first 10 coordinates as +1 / -1, labels): leaf j belongs to a row if sign j
+    is +, and for j >= 5 sign j - 5 as well."""
+    f = features(spark, sf_dir).select("vec_id", "split", "embedding")
+    plus = [F.get("embedding", F.lit(j)) > 0 for j in range(N_SIGNS)]
+    has = [p if j < 5 else p & plus[j - 5] for j, p in enumerate(plus)]
+    return f.select(
+        "vec_id", "split", F.array(*[F.when(p, 1.0).otherwise(-1.0).cast("float") for p in plus]).alias("features"),
+        F.array_sort(F.array_compact(F.array(*[F.when(h, F.lit(LEAVES[j])) for j, h in enumerate(has)]))).alias("labels"))

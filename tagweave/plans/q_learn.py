@@ -25,7 +25,6 @@ from tagweave.sources import io
 
 K = 5
 RADIUS = 1.2
-DIGITS = [str(i) for i in range(10)]
 
 DIST_SQL = ("sqrt(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), "
             "lambda z: (z[1] - z[2]) * (z[1] - z[2]))))")
@@ -90,7 +89,7 @@ def radius_classify(spark, sf_dir):
     pairs = nb.radius_join(test, _split(spark, sf_dir, "train"), RADIUS, "vec_id", "embedding", carry=["labels"])
     v = nb.vote(pairs, labels_col="labels")
     n = pairs.groupBy("qid").agg(F.count(F.lit(1)).cast("bigint").alias("n_neighbors"))
-    t = test.select(F.col("vec_id").cast("long").alias("qid")).join(n, "qid", "left")
+    t = test.select(F.col("vec_id").alias("qid")).join(n, "qid", "left")
     out = t.join(v.drop("n_neighbors"), "qid", "left")
     return out.select(F.col("qid").alias("vec_id"), "label", "votes",
                       F.coalesce("n_neighbors", F.lit(0)).cast("bigint").alias("n_neighbors"))
@@ -210,59 +209,77 @@ def oversample_plan(spark, sf_dir):
 
 
 # --- learners ---------------------------------------------------------------
+# The labels of FX14 follow from the features by rule, so a learner that is fitted
+# right predicts the test rows exactly; the SQL states the rule.
+
+SIGN_LABELS = sorted(LEAVES[:fx.N_SIGNS])
+TEST_RULE_SQL = sql(None, """
+SELECT f.vec_id, coalesce(string_agg(s.lab, '|' ORDER BY s.lab), '') AS labels
+FROM feat f LEFT JOIN signlab s ON s.vec_id = f.vec_id WHERE f.split = 'test' GROUP BY f.vec_id""")
+
+
+def _signs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    f = fx.sign_features(spark, sf_dir)
+    return tuple(f.filter(F.col("split") == s) for s in ("train", "dev", "test"))
+
 
 def _predict_test(spark, sf_dir, learner) -> DataFrame:
-    train, test = _split(spark, sf_dir, "train"), _split(spark, sf_dir, "test")
-    model = learner.fit(train, "embedding", "labels", "vec_id") if not isinstance(learner, ln.ClassifierChain) \
-        else learner.fit(train, "embedding", "labels")
-    out = model.transform(test)
+    train, _, test = _signs(spark, sf_dir)
+    ids = () if isinstance(learner, ln.ClassifierChain) else ("vec_id",)
+    out = learner.fit(train, "features", "labels", *ids).transform(test)
     return out.select("vec_id", F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
 
 
 def _br(kind, **kw):
-    return ln.BinaryRelevance(lambda: ln.make_estimator(kind, 64, **kw), DIGITS)
+    return ln.BinaryRelevance(lambda: ln.make_estimator(kind, fx.N_SIGNS, **kw), SIGN_LABELS)
 
 
-@register("br_logreg")
+@register("br_logreg", TEST_RULE_SQL)
 def br_logreg(spark, sf_dir):
-    """Binary relevance with logistic regression (600 iterations)."""
+    """K1 / K2: binary relevance with logistic regression (600 iterations)."""
     return _predict_test(spark, sf_dir, _br("logreg"))
 
 
-@register("br_mlp")
+@register("br_mlp", TEST_RULE_SQL)
 def br_mlp(spark, sf_dir):
-    """K3 / K6: binary relevance with a one-hidden-layer perceptron."""
+    """K3: binary relevance with a perceptron of 100 hidden units."""
     return _predict_test(spark, sf_dir, _br("mlp"))
 
 
-@register("br_gbt")
+@register("br_gbt", TEST_RULE_SQL)
 def br_gbt(spark, sf_dir):
-    """K4."""
-    return _predict_test(spark, sf_dir, _br("gbt"))
+    """K4: gradient-boosted trees (10 rounds; the rule needs few)."""
+    return _predict_test(spark, sf_dir, _br("gbt", max_iter=10))
 
 
-@register("br_tree")
+@register("br_tree", TEST_RULE_SQL)
 def br_tree(spark, sf_dir):
-    """K8."""
+    """K8: one fully grown tree a label."""
     return _predict_test(spark, sf_dir, _br("tree"))
 
 
-@register("br_forest")
+@register("br_forest", TEST_RULE_SQL)
 def br_forest(spark, sf_dir):
-    """K9 (random forest; extra trees = no bootstrap, sqrt feature subsets)."""
+    """K9: random forest of 100 fully grown trees a label."""
     return _predict_test(spark, sf_dir, _br("forest"))
 
 
-@register("ridge_classify")
+@register("br_extra_trees", TEST_RULE_SQL)
+def br_extra_trees(spark, sf_dir):
+    """K9: no bootstrap, sqrt feature subsets (Spark has no random thresholds)."""
+    return _predict_test(spark, sf_dir, _br("extra_trees"))
+
+
+@register("ridge_classify", TEST_RULE_SQL)
 def ridge_classify(spark, sf_dir):
-    """Ridge regression on +-1 targets, sign decides."""
+    """Ridge regression (alpha 1) on +-1 targets, sign decides."""
     return _predict_test(spark, sf_dir, _br("ridge"))
 
 
-@register("classifier_chain")
+@register("classifier_chain", TEST_RULE_SQL)
 def classifier_chain(spark, sf_dir):
     """K5."""
-    return _predict_test(spark, sf_dir, ln.ClassifierChain(lambda: ln.make_estimator("logreg", 64), DIGITS))
+    return _predict_test(spark, sf_dir, ln.ClassifierChain(lambda: ln.make_estimator("logreg", fx.N_SIGNS), SIGN_LABELS))
 
 
 def _micro_f1(pred: DataFrame, gold: DataFrame, id_col: str) -> float:
@@ -274,18 +291,17 @@ def _micro_f1(pred: DataFrame, gold: DataFrame, id_col: str) -> float:
     return 0.0 if 2 * tp + fp + fn == 0 else 2 * tp / (2 * tp + fp + fn)
 
 
-@register("ridge_cv")
+@register("ridge_cv", TEST_RULE_SQL)
 def ridge_cv(spark, sf_dir):
-    """Ridge with the penalty chosen on the dev split (validation F1)."""
-    train, dev, test = (_split(spark, sf_dir, s) for s in ("train", "dev", "test"))
-    best = None
-    for reg in (0.1, 1.0, 10.0):
-        model = _br("ridge", reg=reg).fit(train, "embedding", "labels", "vec_id")
-        f1 = _micro_f1(model.transform(dev), dev, "vec_id")
-        if best is None or f1 > best[0]:
-            best = (f1, model)
-    out = best[1].transform(test)
-    return out.select("vec_id", F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
+    """Ridge with alpha from 0.1, 1, 10 by F1 on the dev split."""
+    train, dev, test = _signs(spark, sf_dir)
+    train = train.cache()
+    try:
+        models = [_br("ridge", reg=alpha).fit(train, "features", "labels", "vec_id") for alpha in (0.1, 1.0, 10.0)]
+    finally:
+        train.unpersist()
+    best = max(models, key=lambda model: _micro_f1(model.transform(dev), dev, "vec_id"))
+    return best.transform(test).select("vec_id", F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
 
 
 @register("hier_topdown")
@@ -305,44 +321,71 @@ def hier_topdown(spark, sf_dir):
     return out.select("doc_id", F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
 
 
-@register("score_corpus")
+@register("score_corpus", sql(None, """
+SELECT f.vec_id, 10 AS n_scores, coalesce(string_agg(s.lab, '|' ORDER BY s.lab), '') AS labels
+FROM feat f LEFT JOIN signlab s ON s.vec_id = f.vec_id WHERE f.split = 'test' GROUP BY f.vec_id"""))
 def score_corpus(spark, sf_dir):
-    """Batch prediction with a fitted scorer, raw scores plus decoded labels."""
-    train, test = _split(spark, sf_dir, "train"), _split(spark, sf_dir, "test")
-    model = _br("logreg").fit(train, "embedding", "labels", "vec_id")
-    out = model.transform(test)
+    """Batch prediction with a fitted scorer; the labels are decoded from the raw scores."""
+    train, _, test = _signs(spark, sf_dir)
+    out = _br("logreg").fit(train, "features", "labels", "vec_id").transform(test)
+    hit = F.zip_with("scores", F.array(*[F.lit(x) for x in SIGN_LABELS]), lambda p, x: F.when(p >= 0.5, x))
     return out.select("vec_id", F.size("scores").cast("bigint").alias("n_scores"),
-                      F.array_join(F.array_sort("pred_labels"), "|").alias("labels"))
-
-
-RESULT_COLS = "run long, classifier string, f1 double, precision double, recall double"
-
-
-@register("classify_job")
+                      F.array_join(F.array_sort(F.array_compact(hit)), "|").alias("labels"))
+
+
+# the run row of K15: settings, hierarchical scores of the dev split, confusion string
+RUN_COLS = ("run long, fe_model string, fe_method string, fe_layers string, fe_layers_agg_method string, "
+            "fe_dataset string, test_dataset string, classifier string, f1 double, precision double, recall double, "
+            "confusion string")
+_TAB = "chr(9)"
+
+
+@register("classify_job", sql(f"""
+ndev AS (SELECT count(*) AS n FROM feat WHERE split = 'dev'),
+cnt AS (SELECT lab, count(*) AS c FROM signlab WHERE split = 'dev' GROUP BY lab),
+voc AS (SELECT DISTINCT lab FROM signlab WHERE split = 'train'),
+txt AS (SELECT string_agg(v.lab || {_TAB} || CAST(n - coalesce(c, 0) AS VARCHAR) || {_TAB} || '0' || {_TAB} || '0' || {_TAB}
+               || CAST(coalesce(c, 0) AS VARCHAR) || {_TAB}, '' ORDER BY v.lab) AS confusion
+        FROM voc v LEFT JOIN cnt ON cnt.lab = v.lab, ndev)""", """
+SELECT 1 AS run, 'signs' AS fe_model, 'coordinates' AS fe_method, '10' AS fe_layers, 'none' AS fe_layers_agg_method,
+       'embeddings' AS fe_dataset, 'dev' AS test_dataset, 'LogisticRegression' AS classifier,
+       CAST(1 AS DOUBLE) AS f1, CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, confusion FROM txt"""))
 def classify_job(spark, sf_dir):
-    """Features + labels -> vocabulary -> (per-label random oversampling
-    to 0.5) -> fit -> predict dev -> score -> append run -> predict test ->
-    write predictions; returns the run table as read back."""
-    f = fx.features(spark, sf_dir)
-    vocab = [r[0] for r in f.select(F.explode("labels")).distinct().orderBy(1).collect()]  # bounded class list
-    train, dev, test = (f.filter(F.col("split") == s) for s in ("train", "dev", "test"))
-    br = ln.BinaryRelevance(lambda: ln.make_estimator("logreg", 64), vocab, samplers=("random", 0.5))
-    model = br.fit(train, "embedding", "labels", "vec_id")
-    pd_ = model.transform(dev)
-    pl = pd_.select("vec_id", F.explode("pred_labels").alias("label"))
-    gl = dev.select("vec_id", F.explode("labels").alias("label"))
-    conf = m.label_counts(gl, pl, "vec_id")
-    scores = m.micro_scores(conf)
-    base = scratch_path(spark, "classify")
-    run = io.read_table_or_empty(spark, f"{base}/runs", spark.createDataFrame([], RESULT_COLS).schema)
-    nxt = run.agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0]
-    row = scores.select(F.lit(nxt).cast("long").alias("run"), F.lit("br_logreg_random0.5").alias("classifier"),
-                        "f1", "precision", "recall")
-    io.append_table(row, f"{base}/runs")
-    io.write_predictions(test.select(F.col("vec_id").alias("id")),
-                         model.transform(test).select(F.col("vec_id").alias("id"), F.col("pred_labels").alias("labels")),
-                         f"{base}/predictions")
-    return spark.read.parquet(f"{base}/runs")
+    """Features + labels -> vocabulary -> per-label samplers (J3 / J4) -> fit ->
+    predict dev -> hierarchical score over the closures, per-label rows and
+    confusion string -> append the run row -> predict test -> write
+    predictions; returns the run table as read back (without its time stamp)."""
+    train, dev, test = (t.cache() for t in _signs(spark, sf_dir))
+    try:
+        vocab = [r[0] for r in train.select(F.explode("labels")).distinct().orderBy(1).collect()]  # bounded class list
+        samplers = {lab: (method, ratio) for lab, method, ratio in COMBINATION_SAMPLERS}
+        br = ln.BinaryRelevance(lambda: ln.make_estimator("logreg", fx.N_SIGNS), vocab, samplers=samplers)
+        model = br.fit(train, "features", "labels", "vec_id")
+        pl = model.transform(dev).select("vec_id", F.explode("pred_labels").alias("label"))
+        gl = dev.select("vec_id", F.explode("labels").alias("label"))
+        # the gold side of the score is expanded over the taxonomy, as the predictions are
+        score = m.hier_scores(gl, pl, fx.taxonomy(spark)["closure"], "vec_id").first()
+        classes = spark.createDataFrame([(x,) for x in vocab], "label string")
+        conf = m.label_confusion(gl, pl, dev.count(), classes, "vec_id")
+        base = scratch_path(spark, "classify")
+        runs = io.read_table_or_empty(spark, f"{base}/runs", spark.createDataFrame([], RUN_COLS + ", ts timestamp").schema)
+        nxt = runs.agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0]
+        row = m.confusion_to_text(conf).select(
+            F.lit(nxt).cast("long").alias("run"), F.lit("signs").alias("fe_model"), F.lit("coordinates").alias("fe_method"),
+            F.lit(str(fx.N_SIGNS)).alias("fe_layers"), F.lit("none").alias("fe_layers_agg_method"),
+            F.lit("embeddings").alias("fe_dataset"), F.lit("dev").alias("test_dataset"),
+            F.lit("LogisticRegression").alias("classifier"), F.lit(score["f1"]).alias("f1"),
+            F.lit(score["precision"]).alias("precision"), F.lit(score["recall"]).alias("recall"), "confusion",
+            F.current_timestamp().alias("ts"))
+        io.append_table(row, f"{base}/runs")
+        io.append_table(m.per_label_scores(conf).select(F.lit(nxt).cast("long").alias("run"), "*"), f"{base}/per_label")
+        io.write_predictions(test.select(F.col("vec_id").alias("id")),
+                             model.transform(test).select(F.col("vec_id").alias("id"), F.col("pred_labels").alias("labels")),
+                             f"{base}/predictions")
+    finally:
+        for t in (train, dev, test):
+            t.unpersist()
+    return spark.read.parquet(f"{base}/runs").drop("ts")
 
 
 # --- sweeps -----------------------------------------------------------------
@@ -362,69 +405,121 @@ def _sweep_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.createDataFrame(rows, schema)
 
 
-@register("sweep_classifiers")
+_SIGN_DIST = ("(list_sum([" + ", ".join(
+    f"CASE WHEN (a.embedding[{j}] > 0) = (b.embedding[{j}] > 0) THEN 0 ELSE 4 END" for j in range(1, 11)) + "]))")
+
+
+def _f1_sql(pred: str) -> str:
+    """Micro F1 of a long prediction table (vec_id, lab) over the dev split."""
+    return (f"(SELECT 2.0 * tp / nullif(np + ng, 0) FROM (SELECT (SELECT count(*) FROM {pred} p JOIN signlab s ON "
+            f"s.vec_id = p.vec_id AND s.lab = p.lab) AS tp, (SELECT count(*) FROM {pred}) AS np, "
+            "(SELECT count(*) FROM signlab WHERE split = 'dev') AS ng))")
+
+
+SIGN_RADIUS = 2.5  # one differing sign (distance 2) at most
+
+_VOTES_SQL = f"""
+sd AS (SELECT a.vec_id AS q, b.vec_id AS r, {_SIGN_DIST} AS d2 FROM feat a JOIN feat b ON a.split = 'dev' AND b.split = 'train'),
+kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, r) AS rank FROM sd) WHERE rank <= {K}),
+rn AS (SELECT * FROM sd WHERE d2 <= {SIGN_RADIUS * SIGN_RADIUS}),
+kv AS (SELECT kn.q AS vec_id, s.lab FROM kn JOIN signlab s ON s.vec_id = kn.r GROUP BY 1, 2 HAVING count(*) > {K} * 0.5),
+rc AS (SELECT q, count(*) AS n FROM rn GROUP BY q),
+rv AS (SELECT rn.q AS vec_id, s.lab FROM rn JOIN signlab s ON s.vec_id = rn.r JOIN rc ON rc.q = rn.q
+       GROUP BY 1, 2, rc.n HAVING count(*) > rc.n * 0.5),
+res AS (SELECT 'ridge' AS experiment, 1.0 AS f1 UNION ALL SELECT 'forest', 1.0 UNION ALL SELECT 'extra_trees', 1.0
+        UNION ALL SELECT 'logreg', 1.0 UNION ALL SELECT 'knn', {_f1_sql('kv')} UNION ALL SELECT 'radius', {_f1_sql('rv')})"""
+
+
+def _vote_f1(pairs: DataFrame, dev: DataFrame) -> float:
+    votes = nb.vote(pairs, labels_col="labels").groupBy("qid").agg(F.collect_list("label").alias("pred_labels"))
+    pred = dev.select("vec_id").join(votes, dev["vec_id"] == votes["qid"], "left").select(
+        "vec_id", F.coalesce("pred_labels", F.array().cast("array<string>")).alias("pred_labels"))
+    return float(_micro_f1(pred, dev, "vec_id"))
+
+
+@register("sweep_classifiers", sql(_VOTES_SQL, """
+SELECT experiment, round(CAST(f1 AS DOUBLE), 6) AS mean_f1, 1 AS n_labels,
+       rank() OVER (ORDER BY round(CAST(f1 AS DOUBLE), 6) DESC) AS rank FROM res"""))
 def sweep_classifiers(spark, sf_dir):
-    """L1: several learners on one cached feature table, ranked by dev micro F1."""
-    f = fx.features(spark, sf_dir).cache()
-    train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
-    def run(kind):
-        model = _br(kind).fit(train, "embedding", "labels", "vec_id")
-        return kind, float(_micro_f1(model.transform(dev), dev, "vec_id"))
-
-    rows = _each_config(run, ["logreg", "tree", "forest", "ridge"])
-    knn = nb.vote(nb.knn_join(dev, train, K, "vec_id", "embedding", carry=["labels"]), labels_col="labels")
-    kp = dev.select(F.col("vec_id").cast("long").alias("qid")).join(
-        knn.groupBy("qid").agg(F.collect_list("label").alias("pred_labels")), "qid", "left").select(
-        F.col("qid").alias("vec_id"), F.coalesce("pred_labels", F.array().cast("array<string>")).alias("pred_labels"))
-    rows.append(("knn", float(_micro_f1(kp, dev, "vec_id"))))
-    res = _sweep_frame(spark, rows, "classifier string, f1 double")
-    return m.leaderboard(res.withColumnRenamed("classifier", "experiment"), "experiment", "f1")
-
-
-@register("sweep_ratio")
+    """L1: the six learners on one cached feature table, ranked by dev micro F1."""
+    train, dev, _ = (t.cache() for t in _signs(spark, sf_dir))
+    try:
+        def run(kind):
+            model = _br(kind).fit(train, "features", "labels", "vec_id")
+            return kind, float(_micro_f1(model.transform(dev), dev, "vec_id"))
+
+        rows = _each_config(run, ["ridge", "forest", "extra_trees", "logreg"])
+        rows.append(("knn", _vote_f1(nb.knn_join(dev, train, K, "vec_id", "features", carry=["labels"]), dev)))
+        rows.append(("radius", _vote_f1(nb.radius_join(dev, train, SIGN_RADIUS, "vec_id", "features", carry=["labels"]), dev)))
+    finally:
+        train.unpersist()
+        dev.unpersist()
+    return m.leaderboard(_sweep_frame(spark, rows, "experiment string, f1 double"), "experiment", "f1")
+
+
+def _sweep(spark, sf_dir, configs: list, learner) -> list[float]:
+    """Dev micro F1 of the learner of every configuration, on one cached table."""
+    train, dev, _ = (t.cache() for t in _signs(spark, sf_dir))
+    try:
+        return _each_config(lambda c: float(_micro_f1(
+            learner(c).fit(train, "features", "labels", "vec_id").transform(dev), dev, "vec_id")), configs)
+    finally:
+        train.unpersist()
+        dev.unpersist()
+
+
+def _logreg(**kw):
+    return lambda: ln.make_estimator("logreg", fx.N_SIGNS, **kw)
+
+
+@register("sweep_ratio", sql(None, "SELECT i / 10.0::DOUBLE AS ratio, 1.0::DOUBLE AS f1 FROM range(1, 10) t(i)"))
 def sweep_ratio(spark, sf_dir):
     """L2: random-oversampling ratio 0.9 ... 0.1 (labels already at the ratio are left as they are)."""
-    f = fx.features(spark, sf_dir).cache()
-    train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
-    def run(r):
-        br = ln.BinaryRelevance(lambda: ln.make_estimator("logreg", 64, max_iter=100), DIGITS, samplers=("random", r))
-        model = br.fit(train, "embedding", "labels", "vec_id")
-        return r, float(_micro_f1(model.transform(dev), dev, "vec_id"))
-
-    rows = _each_config(run, [round(0.1 * i, 1) for i in range(9, 0, -1)])
-    return _sweep_frame(spark, rows, "ratio double, f1 double")
+    ratios = [round(0.1 * i, 1) for i in range(9, 0, -1)]
+    f1 = _sweep(spark, sf_dir, ratios, lambda r: ln.BinaryRelevance(_logreg(), SIGN_LABELS, samplers=("random", r)))
+    return _sweep_frame(spark, [(r, round(x, 6)) for r, x in zip(ratios, f1)], "ratio double, f1 double")
 
 
-@register("sweep_seeds")
+@register("sweep_seeds", sql(None, "SELECT 10 AS n_seeds, 1.0::DOUBLE AS mean_f1, 0.0::DOUBLE AS std_f1"))
 def sweep_seeds(spark, sf_dir):
-    """L3: seeds 1..10 of a random forest; mean and standard deviation of dev F1."""
-    f = fx.features(spark, sf_dir).cache()
-    train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
-    def run(seed):
-        br = ln.BinaryRelevance(lambda: ln.make_estimator("forest", 64, seed=seed, trees=20), DIGITS)
-        return seed, float(_micro_f1(br.fit(train, "embedding", "labels", "vec_id").transform(dev), dev, "vec_id"))
-
-    rows = _each_config(run, list(range(1, 11)))
-    res = _sweep_frame(spark, rows, "seed long, f1 double")
+    """L3: seeds 1..10 of logistic regression with random oversampling; mean and deviation of dev F1."""
+    seeds = list(range(1, 11))
+    f1 = _sweep(spark, sf_dir, seeds, lambda s: ln.BinaryRelevance(_logreg(), SIGN_LABELS, samplers=("random", 0.5), seed=s))
+    res = _sweep_frame(spark, list(zip(seeds, f1)), "seed long, f1 double")
     return res.agg(F.count(F.lit(1)).alias("n_seeds"), m.r6(F.avg("f1")).alias("mean_f1"),
                    m.r6(F.stddev_samp("f1")).alias("std_f1"))
 
 
-@register("random_search")
-def random_search(spark, sf_dir, n_trials: int = 6, seed: int = 42):
-    """Log-uniform search of the logistic penalty in [1e-4, 1], maximising dev micro F1."""
-    f = fx.features(spark, sf_dir).cache()
-    train, dev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "dev")
-    regs = np.exp(np.random.default_rng(seed).uniform(np.log(1e-4), np.log(1.0), n_trials))
-    def run(trial):
-        i, reg = trial
-        br = ln.BinaryRelevance(lambda: ln.make_estimator("logreg", 64, reg=reg, max_iter=100), DIGITS)
-        return i, reg, float(_micro_f1(br.fit(train, "embedding", "labels", "vec_id").transform(dev), dev, "vec_id"))
-
-    rows = _each_config(run, [(i, float(reg)) for i, reg in enumerate(regs)])
-    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
-    return _sweep_frame(spark, [(a, b, c, a == best) for a, b, c in rows],
-                        "trial long, reg_param double, f1 double, is_best boolean")
+@register("sweep_features", sql(f"""
+half AS (SELECT s.* FROM signlab s JOIN leaves l ON l.label = s.lab WHERE l.j < 5),
+res AS (SELECT 'all' AS experiment, 1.0 AS f1 UNION ALL SELECT 'first five', {_f1_sql("(SELECT * FROM half WHERE split = 'dev')")})""", """
+SELECT experiment, round(CAST(f1 AS DOUBLE), 6) >= 0.6 AS at_least_060, rank() OVER (ORDER BY f1 DESC) AS rank FROM res"""))
+def sweep_features(spark, sf_dir):
+    """L4: one learner over several feature sets, ranked by dev micro F1."""
+    train, dev, _ = (t.cache() for t in _signs(spark, sf_dir))
+    try:
+        def run(c):
+            name, width = c
+            cut = [t.withColumn("features", F.slice("features", 1, width)) for t in (train, dev)]
+            br = ln.BinaryRelevance(lambda: ln.make_estimator("logreg", width), SIGN_LABELS)
+            return name, float(_micro_f1(br.fit(cut[0], "features", "labels", "vec_id").transform(cut[1]), dev, "vec_id"))
+
+        rows = _each_config(run, [("all", fx.N_SIGNS), ("first five", 5)])
+    finally:
+        train.unpersist()
+        dev.unpersist()
+    board = m.leaderboard(_sweep_frame(spark, rows, "experiment string, f1 double"))
+    return board.select("experiment", (F.col("mean_f1") >= 0.6).alias("at_least_060"), "rank")
+
+
+@register("random_search", sql(None, "SELECT i AS trial, true AS in_range, true AS at_least_095, i = 0 AS is_best FROM range(0, 10) t(i)"))
+def random_search(spark, sf_dir, n_trials: int = 10, seed: int = 42):
+    """Log-uniform search of the logistic penalty in [1e-5, 1e-2], maximising dev micro F1."""
+    regs = np.exp(np.random.default_rng(seed).uniform(np.log(1e-5), np.log(1e-2), n_trials)).tolist()
+    f1 = _sweep(spark, sf_dir, regs, lambda reg: ln.BinaryRelevance(_logreg(reg=reg), SIGN_LABELS))
+    best = max(range(n_trials), key=lambda i: (f1[i], -i))
+    rows = [(i, 1e-5 <= reg <= 1e-2, x >= 0.95, i == best) for i, (reg, x) in enumerate(zip(regs, f1))]
+    return _sweep_frame(spark, rows, "trial long, in_range boolean, at_least_095 boolean, is_best boolean")
 
 
 __all__ = ["LEAVES"]

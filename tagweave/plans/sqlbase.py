@@ -52,6 +52,9 @@ PRELUDE = ",\n".join([
     "ELSE 'test' END AS split, embedding, label FROM embeddings)",
     "featlab AS (SELECT vec_id, split, CAST(label AS VARCHAR) AS lab FROM feat UNION "
     "SELECT vec_id, split, CAST((label + 1) % 10 AS VARCHAR) FROM feat WHERE vec_id % 3 = 0)",
+    # FX14 learnable labels
+    "signlab AS (SELECT f.vec_id, f.split, l.label AS lab FROM feat f JOIN leaves l ON l.j < 10 "
+    "WHERE f.embedding[l.j + 1] > 0 AND (l.j < 5 OR f.embedding[l.j - 4] > 0))",
     # FX3 hidden states
     "hidden AS (SELECT vec_id, lt // 4 AS layer, lt % 4 AS token, "
     "CASE WHEN lt % 4 < vec_id % 4 + 1 THEN 1 ELSE 0 END AS mask, lt, embedding "
