@@ -11,6 +11,10 @@ from tagweave.fixed import (
 
 # ASCII whitespace; the same class is valid in Java regex and RE2.
 WS = r"[ \t\n\r\f]+"
+# Links and handles inside a text: what surrounds them, punctuation included, stays.
+URL = r"(?i)(^|[^a-z0-9])(?:" + "|".join(SOCIAL_URL_PREFIXES) + r")[^ \t\n\r\f]*[a-z0-9/]"
+HANDLE = r"(^|[^A-Za-z0-9_@])@[A-Za-z0-9_]+"
+# The two forms in which an author is given.
 AUTHOR_DASH = r"— (.+)$"
 AUTHOR_QUOTED = r'\\"([^\\"]+)\\"'
 # A run of two or more capitalised ASCII words not glued to a preceding letter.
@@ -52,33 +56,33 @@ def char_length(text: Column) -> Column:
 
 
 def normalize_social(text: Column) -> Column:
-    """H3: handles -> @USER, links -> HTTPURL, curly quote / ellipsis,
-    contraction and a.m./p.m. spacing, whitespace collapsed."""
+    """H3: handles -> @USER, links -> HTTPURL (punctuation around them stays),
+    curly quote / ellipsis, contraction and a.m./p.m. spacing, whitespace collapsed."""
     t = text
     for a, b in SOCIAL_PRE_REPLACEMENTS:
         t = F.replace(t, F.lit(a), F.lit(b))
 
-    def norm(tok: Column) -> Column:
-        low = F.lower(tok)
-        is_url = None
-        for pre in SOCIAL_URL_PREFIXES:
-            c = low.startswith(pre)
-            is_url = c if is_url is None else (is_url | c)
-        return F.when(tok.startswith("@"), F.lit(SOCIAL_USER_TOKEN)).when(is_url, F.lit(SOCIAL_URL_TOKEN)).otherwise(tok)
-
-    t = F.array_join(F.transform(tokens(t), norm), " ")
+    t = F.regexp_replace(t, URL, "$1" + SOCIAL_URL_TOKEN)
+    t = F.regexp_replace(t, HANDLE, "$1" + SOCIAL_USER_TOKEN)
+    t = F.array_join(tokens(t), " ")
     for a, b in SOCIAL_REPLACEMENTS:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
 def author(text: Column) -> Column:
-    """H4: name after a trailing '— ', else the text between escaped quotes, else null."""
+    """H4: name after a trailing '— ', else the text between escaped quotes, else null.
+
+    Contract: a trailing dash names the author even behind a quoted passage, and
+    the dash itself is no part of the name."""
     dash = F.nullif(F.regexp_extract(text, AUTHOR_DASH, 1), F.lit(""))
     quoted = F.nullif(F.regexp_extract(text, AUTHOR_QUOTED, 1), F.lit(""))
     return F.trim(F.coalesce(dash, quoted))
 
 
 def mentions(text: Column) -> Column:
-    """H5: capitalised multi-word runs (person-like mentions) as an array."""
+    """H5: capitalised multi-word runs (person-like mentions) as an array.
+
+    Contract: a single capitalised word is no mention; at the start of a
+    sentence it can't be told from any other word without a tagger."""
     return F.regexp_extract_all(text, F.lit(MENTION), 1)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tagweave.operators.clean import with_running_total
 from tagweave.operators.taxonomy import expand_long
-from tagweave.session import sized_broadcast
+from tagweave.session import cut_lineage, sized_broadcast
 
 
 def safe_div(a: Column, b: Column) -> Column:
@@ -155,10 +155,9 @@ def classification_report(conf: DataFrame, rows: DataFrame, gold: DataFrame, pre
     """Per-label precision / recall / f1 / support plus micro, macro, weighted and samples averages."""
     p = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
     r = safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
-    # not cached on purpose: every branch below shares the same pair exchange,
-    # which Spark reuses across the union (one shuffle of the pairs in total)
-    per = conf.select(label_col, "tp", "fp", "fn", p.alias("p"), r.alias("r"), fbeta(p, r).alias("f"),
-                      (F.col("tp") + F.col("fn")).alias("support"))
+    # one row per label, written once: the label rows and three averages come from it
+    per = cut_lineage(conf.select(label_col, "tp", "fp", "fn", p.alias("p"), r.alias("r"), fbeta(p, r).alias("f"),
+                                  (F.col("tp") + F.col("fn")).alias("support")))
     out_cols = lambda lab, pp, rr, ff, ss: [F.lit(lab).alias(label_col) if isinstance(lab, str) else lab,
                                             r6(pp).alias("precision"), r6(rr).alias("recall"),
                                             r6(ff).alias("f1"), ss.cast("bigint").alias("support")]
@@ -283,7 +282,7 @@ def describe_numeric(long: DataFrame, metric_col: str = "metric", value_col: str
     v, c = F.col(value_col).cast("double"), F.col("_c")
     s1 = r.groupBy(metric_col).agg(F.sum(c).alias("count"), (F.sum(c * v) / F.sum(c)).alias("_mean"),
                                    F.min(value_col).alias("min"), F.max(value_col).alias("max"))
-    ss = r.join(F.broadcast(s1.select(metric_col, "_mean")), metric_col).groupBy(metric_col).agg(
+    ss = r.join(sized_broadcast(s1.select(metric_col, "_mean")), metric_col).groupBy(metric_col).agg(
         F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_ss"))
     std = F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1)))
     qs = quantiles_from_runs(r, value_col, [0.25, 0.5, 0.75], [metric_col]).groupBy(metric_col).agg(
@@ -318,10 +317,17 @@ def best_per_label(results: DataFrame, label_col: str = "label", score_col: str
 
 
 def leaderboard(results: DataFrame, run_col: str = "experiment", score_col: str = "f1") -> DataFrame:
-    """Mean score per run ranked best first (G21). The rank window runs over one row per run."""
+    """Mean score per run ranked best first (G21), ties alike.
+
+    Distinct scores are counted and range-sorted with a distributed running
+    total: a run's rank is one more than the number of runs above its score."""
     per = results.groupBy(run_col).agg(r6(F.avg(score_col)).alias("mean_f1"),
                                        F.count(F.lit(1)).cast("bigint").alias("n_labels"))
-    return per.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean_f1"))).cast("bigint"))
+    per = cut_lineage(per)
+    scores = per.groupBy("mean_f1").agg(F.count(F.lit(1)).alias("_c"))
+    scores = with_running_total(scores, [F.desc("mean_f1")], "_c", "_upto")
+    return per.join(scores, "mean_f1").select(run_col, "mean_f1", "n_labels",
+                                              (F.col("_upto") - F.col("_c") + 1).cast("bigint").alias("rank"))
 
 
 def perplexity(losses: DataFrame, col: str = "loss") -> DataFrame:

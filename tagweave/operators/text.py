@@ -14,7 +14,8 @@ from tagweave.session import sized_broadcast
 
 PAD_ID = 0
 MASK_ID = 1
-FIRST_TOKEN_ID = 2
+UNK_ID = 2
+FIRST_TOKEN_ID = 3
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
@@ -31,6 +32,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", min_count: int = 1) -> D
 def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
            max_len: int = 128) -> DataFrame:
     """H6: token ids truncated to ``max_len``, padded with PAD_ID, plus a 0/1 mask.
+    A token outside the vocabulary is UNK_ID; a null text has no token.
 
     Tokens past ``max_len`` are cut before the vocabulary join (truncation is
     the operator's contract); ``n_tokens`` counts the whole text.  The
@@ -39,14 +41,14 @@ def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str
     # one pass over the text: the split is evaluated once per document, the
     # truncated tokens carry the full count along; posexplode_outer keeps
     # documents without any token
-    parts = docs.select(id_col, split_ws(F.col(text_col)).alias("_p"))
+    parts = docs.select(id_col, split_ws(F.coalesce(F.col(text_col), F.lit(""))).alias("_p"))
     lead, count = token_span(F.col("_p"))
     pos = parts.select(id_col, count.alias("n_tokens"),
                        F.posexplode_outer(F.slice("_p", lead + 1, F.least(count, F.lit(max_len))))
                        .alias("pos", "token"))
     v = sized_broadcast(vocab.select("token", F.col("id").alias("_tid")))
     ided = pos.join(v, "token", "left")
-    hit = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_tid", F.lit(PAD_ID)).alias("_tid")))
+    hit = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_tid", F.lit(UNK_ID)).alias("_tid")))
     j = ided.groupBy(id_col).agg(
         F.max("n_tokens").alias("n_tokens"),
         F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["_tid"]).alias("_ids"))
@@ -91,12 +93,16 @@ def format_violations(sub: DataFrame, gold_ids: DataFrame, vocab: DataFrame, id_
                       labels_col: str = "labels", corrupt_col: str = "_corrupt_record") -> DataFrame:
     """Every violation of a submission as rows (kind, id, detail).
 
-    kinds: malformed (unparsable record), missing_id, extra_id, unknown_label.
-    Every row is checked (not only the last one)."""
+    kinds: malformed (unparsable record), missing_key (a record without its id
+    or its labels), missing_id, extra_id, unknown_label.  Every row is checked
+    (not only the last one)."""
     sub = sub.cache()  # a raw JSON scan may not be queried for the corrupt column alone
     bad = sub.filter(F.col(corrupt_col).isNotNull()).select(
         F.lit("malformed").alias("kind"), F.lit(None).cast("bigint").alias(id_col), F.col(corrupt_col).alias("detail"))
-    good = sub.filter(F.col(corrupt_col).isNull()).select(F.col(id_col).cast("bigint").alias(id_col), labels_col)
+    read = sub.filter(F.col(corrupt_col).isNull()).select(F.col(id_col).cast("bigint").alias(id_col), labels_col)
+    keys = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in (id_col, labels_col)]))
+    lacking = read.select(F.lit("missing_key").alias("kind"), id_col, F.explode(keys).alias("detail"))
+    good = read.filter(F.col(id_col).isNotNull())
     g = gold_ids.select(F.col(id_col).cast("bigint").alias(id_col)).distinct()
     s_ids = good.select(id_col).distinct()
     missing = g.join(s_ids, id_col, "left_anti").select(F.lit("missing_id").alias("kind"), id_col,
@@ -106,4 +112,4 @@ def format_violations(sub: DataFrame, gold_ids: DataFrame, vocab: DataFrame, id_
     labs = good.select(id_col, F.explode(labels_col).alias("label"))
     unk = labs.join(sized_broadcast(vocab.select("label").distinct()), "label", "left_anti").select(
         F.lit("unknown_label").alias("kind"), id_col, F.col("label").alias("detail"))
-    return bad.unionByName(missing).unionByName(extra).unionByName(unk)
+    return bad.unionByName(lacking).unionByName(missing).unionByName(extra).unionByName(unk)

@@ -52,7 +52,7 @@ def label_category(spark, sf_dir):
 
 
 @register("feature_label_join", sql(None, """
-SELECT f.vec_id, f.split, l.labels, round(CAST(f.embedding[1] AS DOUBLE), 6) AS x0
+SELECT f.vec_id, f.split, l.labels, round(list_sum(list_transform(f.embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 5) AS vec_sum
 FROM feat f JOIN (SELECT vec_id, string_agg(lab, '|' ORDER BY lab) AS labels FROM featlab GROUP BY vec_id) l
 ON l.vec_id = f.vec_id"""))
 def feature_label_join(spark, sf_dir):
@@ -61,7 +61,8 @@ def feature_label_join(spark, sf_dir):
     labs = f.select("vec_id", "labels")
     j = jn.attach(vecs, labs, "vec_id")
     return j.select("vec_id", "split", _j(F.col("labels")).alias("labels"),
-                    F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"))
+                    F.round(F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0),
+                                       lambda a, x: a + x), 5).alias("vec_sum"))
 
 
 @register("error_table", sql("""

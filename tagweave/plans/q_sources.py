@@ -18,11 +18,11 @@ from tagweave.sources.catalog import Catalog, Recipe
 
 
 @register("read_json_roundtrip", sql(None, """
-SELECT CAST(d.doc_id AS VARCHAR) AS id, length(d.text) AS n_chars,
+SELECT CAST(d.doc_id AS VARCHAR) AS id, md5(d.text) AS text_md5,
        CASE WHEN d.doc_id % 10 = 9 THEN NULL ELSE gs.gold END AS labels
 FROM documents d JOIN gsets gs ON gs.doc_id = d.doc_id"""))
 def read_json_roundtrip(spark, sf_dir):
-    """A1 / A10: labelled records (test split unlabelled: no ``labels`` key) as JSON and back."""
+    """A1 / A10: labelled records (test split unlabelled: no ``labels`` key) as JSON lines and back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     s = fx.doc_label_sets(spark, sf_dir).select("doc_id", "gold")
     rec = docs.join(s, "doc_id").select(
@@ -31,11 +31,36 @@ def read_json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "json")
     io.write_json_records(rec, path)
     back = io.read_json_records(spark, path, io.LABELLED_SCHEMA, multiline=False)
-    return back.select("id", F.length("text").cast("bigint").alias("n_chars"),
-                       F.array_join(F.array_sort("labels"), "|").alias("labels"))
+    return back.select("id", F.md5("text").alias("text_md5"), F.array_join(F.array_sort("labels"), "|").alias("labels"))
 
 
-@register("read_csv_roundtrip", sql(None, "SELECT doc_id, length(text) AS n_chars, label FROM corpus"))
+@register("read_json_array", sql(None, """
+SELECT CAST(d.doc_id AS VARCHAR) AS id, md5(d.text) AS text_md5, gs.gold AS labels
+FROM documents d JOIN gsets gs ON gs.doc_id = d.doc_id"""))
+def read_json_array(spark, sf_dir):
+    """A1: files that each hold one JSON array of records over several lines.  The
+    files are written from groups of about 1,000 documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rec = docs.join(fx.doc_label_sets(spark, sf_dir).select("doc_id", "gold"), "doc_id").select(
+        F.floor(F.col("doc_id") / 1000).alias("part"),
+        F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "text", F.col("gold").alias("labels"))).alias("r"))
+    path = scratch_path(spark, "json-array")
+    arrays = rec.groupBy("part").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    back = io.read_json_records(spark, f"{path}/part=*", io.LABELLED_SCHEMA)
+    return back.select("id", F.md5("text").alias("text_md5"), F.array_join(F.array_sort("labels"), "|").alias("labels"))
+
+
+@register("read_onehot_csv", sql(None, "SELECT * FROM onehot"))
+def read_onehot_csv(spark, sf_dir):
+    """A3: ``,`` CSV with one 0/1 column per label, and back."""
+    table = fx.onehot(spark, sf_dir)
+    path = scratch_path(spark, "onehot")
+    io.write_delimited(table, path, ",")
+    return io.read_delimited(spark, path, table.schema, ",")
+
+
+@register("read_csv_roundtrip", sql(None, "SELECT doc_id, md5(text) AS text_md5, label FROM corpus"))
 def read_csv_roundtrip(spark, sf_dir):
     """A2 / A10: ``;`` CSV with quoted multi-line text, nulls and empty labels, and back."""
     path = scratch_path(spark, "csv")
@@ -43,7 +68,7 @@ def read_csv_roundtrip(spark, sf_dir):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                            T.StructField("label", T.StringType())])
     back = io.read_delimited(spark, path, schema, ";")
-    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "label")
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "label")
 
 
 @register("load_splits", sql("""

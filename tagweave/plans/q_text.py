@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagweave.fixed import (
-    SOCIAL_PRE_REPLACEMENTS, SOCIAL_REPLACEMENTS, SOCIAL_URL_PREFIXES, SOCIAL_URL_TOKEN, SOCIAL_USER_TOKEN,
+    SOCIAL_PRE_REPLACEMENTS, SOCIAL_REPLACEMENTS, SOCIAL_URL_TOKEN, SOCIAL_USER_TOKEN,
 )
 from tagweave.functions import text as tf
 from tagweave.functions.seeded import seeded_int_sql, seeded_unit_sql
@@ -23,10 +23,10 @@ TOKS_SQL = "list_filter(regexp_split_to_array({x}, '[ \\t\\n\\r\\f]+'), lambda t
 
 
 # corpus tokens with their position among the non-empty tokens, and the
-# frequency-ranked vocabulary (ids from 2)
+# frequency-ranked vocabulary (ids from 3)
 _ENC_CTES = f"""dt AS (SELECT doc_id, {TOKS_SQL.format(x='text')} AS toks FROM documents),
 tk AS (SELECT doc_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM dt),
-voc AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id
+voc AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS id
         FROM (SELECT token, count(*) AS n FROM tk GROUP BY token))"""
 
 
@@ -46,9 +46,9 @@ def token_counts(spark, sf_dir):
 def _norm_sql(x: str) -> str:
     for a, b in SOCIAL_PRE_REPLACEMENTS:
         x = f"replace({x}, {q(a)}, {q(b)})"
-    url = " OR ".join(f"starts_with(lower(t), {q(p)})" for p in SOCIAL_URL_PREFIXES)
-    x = (f"array_to_string(list_transform({TOKS_SQL.format(x=x)}, lambda t: CASE WHEN starts_with(t, '@') "
-         f"THEN {q(SOCIAL_USER_TOKEN)} WHEN {url} THEN {q(SOCIAL_URL_TOKEN)} ELSE t END), ' ')")
+    x = f"regexp_replace({x}, {q(tf.URL)}, {q(chr(92) + '1' + SOCIAL_URL_TOKEN)}, 'g')"
+    x = f"regexp_replace({x}, {q(tf.HANDLE)}, {q(chr(92) + '1' + SOCIAL_USER_TOKEN)}, 'g')"
+    x = f"array_to_string({TOKS_SQL.format(x=x)}, ' ')"
     for a, b in SOCIAL_REPLACEMENTS:
         x = f"replace({x}, {q(a)}, {q(b)})"
     return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
@@ -106,7 +106,7 @@ def _u(salt: int) -> str:
 {_ENC_CTES},
 pos_ids AS (SELECT tk.doc_id, tk.pos, voc.id FROM tk JOIN voc ON voc.token = tk.token WHERE tk.pos < {MAX_LEN}),
 m AS (SELECT m.doc_id, m.id, {_u(0)} < {MLM_PROB} AS sel, {_u(1)} AS v,
-             ({seeded_int_sql(["m.doc_id", "m.pos", "2"], MLM_SEED)} % (SELECT count(*) FROM voc)) + 2 AS rnd
+             ({seeded_int_sql(["m.doc_id", "m.pos", "2"], MLM_SEED)} % (SELECT count(*) FROM voc)) + 3 AS rnd
       FROM pos_ids m),
 per AS (SELECT doc_id, count(*) FILTER (WHERE sel) AS n_selected, count(*) FILTER (WHERE sel AND v < 0.8) AS n_masked,
                count(*) FILTER (WHERE sel AND v >= 0.8 AND v < 0.9 AND rnd <> id) AS n_replaced,
@@ -137,18 +137,25 @@ def mlm_mask(spark, sf_dir):
 @register("format_violations", sql(None, """
 SELECT 'malformed' AS kind, CAST(NULL AS BIGINT) AS doc_id, '{"doc_id":' || doc_id || ',"labels":[' AS detail
 FROM documents WHERE doc_id % 89 = 0
-UNION ALL SELECT 'missing_id', doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sub_ids)
+UNION ALL SELECT 'missing_key', doc_id, 'labels' FROM documents WHERE doc_id % 83 = 0
+UNION ALL SELECT 'missing_key', NULL, 'doc_id' FROM documents WHERE doc_id % 79 = 0
+UNION ALL SELECT 'missing_id', doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sub_ids) AND doc_id % 83 <> 0
 UNION ALL SELECT 'extra_id', doc_id, NULL FROM sub_ids WHERE doc_id NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT 'unknown_label', doc_id, label FROM sub_long WHERE label NOT IN (SELECT node FROM nodes)"""))
 def format_violations(spark, sf_dir):
     """H8: a submission written as JSON lines plus one truncated record per
-    89th document, read PERMISSIVE; every record validated."""
+    89th document, one without labels per 83rd and one without an id per 79th,
+    read PERMISSIVE; every record validated."""
     path = scratch_path(spark, "submission")
     sub = fx.submission(spark, sf_dir)
     sub.write.json(path)
     broken = read_table(spark, sf_dir, "documents").filter(F.col("doc_id") % 89 == 0).select(
         F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"labels":[')).alias("value"))
-    broken.write.mode("append").text(path)
+    ids = read_table(spark, sf_dir, "documents").select("doc_id")
+    lacking = ids.filter(F.col("doc_id") % 83 == 0).select(
+        F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit("}")).alias("value"))
+    no_id = ids.filter(F.col("doc_id") % 79 == 0).select(F.lit('{"labels":[]}').alias("value"))
+    broken.unionByName(lacking).unionByName(no_id).write.mode("append").text(path)
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("labels", T.ArrayType(T.StringType()))])
     raw = io.read_json_records(spark, path, schema, multiline=False, corrupt_col="_corrupt_record")

@@ -47,22 +47,25 @@ def test_published_micro_totals(spark):
 
 
 def test_row_feature_sum(spark):
-    df = spark.createDataFrame([(1, 4), (2, 5), (3, 6)], "feature1 long, feature2 long")
-    out = clean.row_feature(df, "s", lambda a, b: a + b, ["feature1", "feature2"])
-    assert [r["s"] for r in out.orderBy("feature1").collect()] == [5, 7, 9]
+    df = spark.createDataFrame([(10, 1), (20, -2), (30, 0)], "width long, shift long")
+    out = clean.row_feature(df, "s", lambda a, b: a + b, ["width", "shift"])
+    assert [r["s"] for r in out.orderBy("width").collect()] == [11, 18, 30]
 
 
 def test_author_example(spark):
-    q = ("I'm selfish, impatient and a little insecure. But if you can't handle me at my worst, "
-         "then you sure as hell don't deserve me at my best. — Marilyn Monroe")
-    df = spark.createDataFrame([(q,), ("no author here",)], "t string")
-    assert [r[0] for r in df.select(tf.author(F.col("t"))).collect()] == ["Marilyn Monroe", None]
+    rows = [("Rain again, and the boats stay in. — Ada Quill",), ("no author here",), ('said \\"Bo Lind\\" twice',),
+            ('he said \\"Bo\\" to — Al',)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r[0] for r in df.select(tf.author(F.col("t"))).collect()] == ["Ada Quill", None, "Bo Lind", "Al"]
 
 
 def test_normaliser(spark):
     df = spark.createDataFrame([("I can’t go @bob http://x.y/z at 5 p . m . …",)], "t string")
     out = df.select(tf.normalize_social(F.col("t"))).first()[0]
     assert out == "I can't go @USER HTTPURL at 5 p.m. ..."
+    df = spark.createDataFrame([("hi @bob, see (www.x.y) or HTTPS://a.b/c! me@home @a @b",)], "t string")
+    out = df.select(tf.normalize_social(F.col("t"))).first()[0]
+    assert out == "hi @USER, see (HTTPURL) or HTTPURL! me@home @USER @USER"
 
 
 def test_closure_idempotent_and_scores_one(spark):
