@@ -437,3 +437,88 @@ def test_streaming_scorer_restart_does_not_double_count(spark, tmp_path):
     want = m.hier_scores(fx.gold_long(spark, SF_SMALL), fx.pred_long(spark, SF_SMALL), t["closure"], "doc_id").first()
     assert first == again
     assert (first["tp"], first["n_pred"], first["n_gold"]) == (want["tp"], want["n_pred"], want["n_gold"])
+
+
+def test_deep_chain_closes(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(300)], "parent string, child string")
+    pairs = tx.ancestor_pairs(e)
+    assert pairs.count() == 300 * 301 // 2
+    assert pairs.filter("node = 'n300' and ancestor = 'n0'").first()["distance"] == 300
+
+
+def test_self_loop_rejected(spark):
+    e = spark.createDataFrame([(ROOT, "a"), ("a", "a")], "parent string, child string")
+    with pytest.raises(ValueError, match="cycle"):
+        tx.ancestor_pairs(e)
+
+
+def test_shared_folder_is_required_off_local_masters():
+    from types import SimpleNamespace
+
+    from tagweave.session import checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+@pytest.mark.parametrize("broadcast_values", [8 << 20, 0])
+def test_knn_ties_and_string_ids(spark, monkeypatch, broadcast_values):
+    monkeypatch.setattr(nb, "BROADCAST_VALUES", broadcast_values)
+    df = spark.createDataFrame([(f"r{i:04d}", [1.0, 2.0]) for i in range(4096)], "id string, vec array<double>")
+    out = nb.knn_join(df.filter("id < 'r0008'"), df, 3, exclude_self=True, block_rows=1024).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["qid"], []).append((r["rank"], r["nid"]))
+    for i in range(8):
+        want = [f"r{j:04d}" for j in range(5) if j != i][:3]
+        assert [n for _, n in sorted(got[f"r{i:04d}"])] == want
+
+
+def test_smote_needs_neighbours_and_takes_string_ids(spark):
+    rows = [(f"a{i}", [float(i), 1.0], int(i < 8)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, vec array<double>, y int")
+    out = rs.smote(df, "y", "vec", 0.5)
+    assert out.filter("y = 1").count() == 16 and out.filter("synthetic").select("neighbor_id").distinct().count() > 1
+    few = df.filter("y = 0 or id = 'a0'")
+    with pytest.raises(rs.TooFewRows):
+        rs.smote(few, "y", "vec", 0.5)
+    assert rs.smote(few, "y", "vec", 0.5, on_reached="skip").count() == few.count()
+    none = df.filter("y = 0")
+    with pytest.raises(rs.TooFewRows):
+        rs.oversample_random(none, "y", 0.5)
+    assert rs.oversample_random(none, "y", 0.5, on_reached="skip").count() == none.count()
+
+
+def test_ridge_is_the_normal_equations_and_unseen_labels_are_constant(spark):
+    from tagweave.operators import learn as ln
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(120, 3))
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=120) > 0.4, 1.0, -1.0)
+    df = spark.createDataFrame([(i, x[i].tolist(), ["a"] if y[i] > 0 else []) for i in range(120)],
+                               "id long, f array<double>, labels array<string>")
+    model = ln.BinaryRelevance(lambda: ln.make_estimator("ridge", 3, reg=5.0), ["a", "never"]).fit(df, "f", "labels")
+    xc, yc = x - x.mean(0), y - y.mean()
+    want = np.linalg.solve(xc.T @ xc + 5.0 * np.eye(3), xc.T @ yc)
+    assert np.allclose(model.models[0].coefficients.toArray(), want, atol=1e-8)
+    tree = ln.BinaryRelevance(lambda: ln.make_estimator("tree", 3), ["a", "never"]).fit(df, "f", "labels")
+    out = tree.transform(df).collect()
+    assert all(r["scores"][1] == 0.0 and "never" not in r["pred_labels"] for r in out)
+    assert any(r["pred_labels"] == ["a"] for r in out)
+    # a node whose closure no row holds: its children are never predicted
+    td = ln.TopDown(lambda: ln.make_estimator("logreg", 3), [(ROOT, "a"), (ROOT, "b"), ("b", "c"), ("b", "d")], root=ROOT)
+    got = {tuple(r["pred_labels"]) for r in td.fit(df, "f", "labels").transform(df).collect()}
+    assert all("c" not in g and "d" not in g or "b" in g for g in got)
+
+
+def test_unknown_token_and_null_text(spark):
+    from tagweave.operators import text as tt
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "zz a")], "id long, text string")
+    vocab = tt.vocabulary(docs.filter("id = 1"))
+    got = {r["id"]: r for r in tt.encode(docs, vocab, max_len=4).collect()}
+    assert list(got[3]["input_ids"]) == [tt.UNK_ID, tt.FIRST_TOKEN_ID, tt.PAD_ID, tt.PAD_ID]
+    assert list(got[3]["attention_mask"]) == [1, 1, 0, 0]
+    assert (got[2]["n_tokens"], sum(got[2]["attention_mask"])) == (0, 0)
