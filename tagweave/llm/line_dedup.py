@@ -136,7 +136,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return lines.select("at.item", F.get("lines", F.col("at.line")).alias("text"))
 
     keys = table.filter("keys is not null").select(F.explode("keys").alias("key"), "item")
-    roots = near_components(keys, fetch, line_set, lambda a, b: similar(a, b, percent))
+    roots = near_components(keys, fetch, line_set, lambda a, b: similar(a, b, percent), percent)
     linked = firsts.join(roots, "item").select("item", "more", "first", "root")
     linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("item", "more", "least")
     kept = firsts.join(linked, ["item", "more"], "left").filter("n > 1 or least is not null").select(

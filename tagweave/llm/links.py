@@ -9,9 +9,9 @@ bucket.  Buckets are resolved in two steps, and no step emits all pairs of one:
 2. Rest: in buckets that still hold several components, each item outside the
    bucket's largest component is compared with all items of the bucket, in blocks.
 
-A comparison unit is a block of at most about ``BLOCK`` items and the items
-that ask about them; units are sorted streams, so a task holds the asking side
-of one unit at a time.  Comparisons inside a component are skipped, and a unit
+A comparison unit is a block of at most about ``BLOCK`` (``REST_BLOCK``) items and
+the items that ask about them; units are sorted streams, so a task holds the
+asking side of one unit at a time.  Comparisons inside a component are skipped, and a unit
 emits links of a spanning forest only.
 """
 
@@ -19,13 +19,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import materialize, shuffle_tasks, small_enough
 
-BLOCK = 64
+#: Items of a comparison unit, around a star and in what is left.
+BLOCK, REST_BLOCK = 64, 128
+#: Words of the bitmap by which a pair is ruled out before its sets are compared.
+BITMAP_WORDS = 64
 
 
 def buckets(keys: DataFrame) -> DataFrame:
@@ -66,8 +70,8 @@ def rest_units(members: DataFrame, roots: DataFrame) -> DataFrame:
     m = materialize(m.join(open_keys.select("key", "size"), "key").select("key", "item", "root", "size"), "open-buckets")
     sizes = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     major = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size")).select(
-        "key", F.col("m.root").alias("major"), F.ceil((F.col("size") - F.col("m.n")) / BLOCK).alias("chunks"))
-    m = m.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).join(major, "key")
+        "key", F.col("m.root").alias("major"), F.ceil((F.col("size") - F.col("m.n")) / REST_BLOCK).alias("chunks"))
+    m = m.withColumn("blocks", F.ceil(F.col("size") / REST_BLOCK)).join(major, "key")
     about = m.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         _unit("key", _slot("item", "blocks"), "chunk").alias("unit"), "item", F.lit(False).alias("asks"), "root")
     asks = m.filter("root <> major").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -75,15 +79,18 @@ def rest_units(members: DataFrame, roots: DataFrame) -> DataFrame:
     return about.unionByName(asks)
 
 
-def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Callable) -> DataFrame:
+def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Callable, percent: int) -> DataFrame:
     """Links ``a, b`` between the similar items of a unit, enough to connect them.
 
-    ``payload`` has ``item, text``; ``to_set`` makes a set of a text, ``similar`` tests two sets.
+    ``payload`` has ``item, text``; ``to_set`` makes a sorted hash set of a text,
+    ``similar`` tests two sets.  Pairs whose bitmaps already differ in more places
+    than sets of Jaccard similarity ``percent`` can differ in elements are not tested:
+    a place that differs stands for an element that only one of the sets has.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, asking, parent = None, [], {}
+        unit, asking, maps, sizes, parent = None, [], None, None, {}
 
         def find(x):
             while parent.setdefault(x, x) != x:
@@ -95,17 +102,23 @@ def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Call
             links: list[tuple[int, int]] = []
             for i, text in enumerate(batch.column(4)):
                 if units[i] != unit:
-                    unit, asking, parent = units[i], [], {}
+                    unit, asking, maps, parent = units[i], [], None, {}
+                own = to_set(text.as_py())
                 if asks[i]:
-                    asking.append((items[i], roots[i], to_set(text.as_py())))
+                    asking.append((items[i], roots[i], own))
                     continue
-                own = None
-                for item, root, other in asking:
+                if not asking:
+                    continue
+                if maps is None:  # the asking items of a unit come first
+                    maps = np.stack([bitmap(s) for _, _, s in asking])
+                    sizes = np.array([len(s) for _, _, s in asking])
+                differ = np.bitwise_count(maps ^ bitmap(own)).sum(axis=1)
+                # |A xor B| <= (|A| + |B|) * (100 - p) / (100 + p) for similarity p percent
+                near = (100 + percent) * differ.astype(np.int64) <= (100 - percent) * (sizes + len(own))
+                for k in np.flatnonzero(near):
+                    item, root, other = asking[k]
                     a, b = find(root), find(roots[i])
-                    if a == b:
-                        continue
-                    own = to_set(text.as_py()) if own is None else own
-                    if similar(own, other):
+                    if a != b and similar(own, other):
                         parent[max(a, b)] = min(a, b)
                         links.append((item, items[i]))
             if links:
@@ -117,6 +130,13 @@ def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Call
     return rows.mapInArrow(run, "a long, b long")
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """The set's elements as bits of ``BITMAP_WORDS`` words, by their leading bits."""
+    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
+    bits[(items >> np.uint64(64 - (64 * BITMAP_WORDS - 1).bit_length())).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``item, root`` of every linked item; ``root`` is one item of its component.
 
@@ -148,7 +168,8 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(labels, "components")
 
 
-def near_components(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], to_set: Callable, similar: Callable) -> DataFrame:
+def near_components(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], to_set: Callable, similar: Callable,
+                    percent: int) -> DataFrame:
     """``item, root`` of all items with a verified link (input: ``key, item``).
 
     ``fetch`` gives ``item, text`` for a frame of ``item``.
@@ -156,12 +177,12 @@ def near_components(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], to
     members = buckets(keys)
     star = materialize(star_units(members), "star-units")
     payload = materialize(fetch(members.select("item").distinct()), "payload")
-    links = materialize(verify(star, payload, to_set, similar), "star-links")
+    links = materialize(verify(star, payload, to_set, similar, percent), "star-links")
     roots = components(links)
     rest = materialize(rest_units(members, roots), "rest-units")
     if rest.isEmpty():
         return roots
-    more = materialize(verify(rest, payload, to_set, similar), "rest-links")
+    more = materialize(verify(rest, payload, to_set, similar, percent), "rest-links")
     if more.isEmpty():
         return roots
     return components(links.unionByName(more))
