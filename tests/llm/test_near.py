@@ -75,6 +75,7 @@ def frame(spark, rows):
 @pytest.fixture(params=[64, 3])
 def block(request, monkeypatch):
     monkeypatch.setattr(links, "BLOCK", request.param)
+    monkeypatch.setattr(links, "REST_BLOCK", request.param)
 
 
 def test_near_duplicates_brute(spark, block):
@@ -92,6 +93,20 @@ def test_near_duplicates_brute(spark, block):
     assert got == sorted(want, key=repr)
 
 
+def test_bitmaps_rule_out_dissimilar_pairs_only():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        a = rng.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2)
+        cut = int(n * rng.uniform(0, 0.4))
+        b = np.unique(np.concatenate([a[cut:], rng.integers(1 << 63, size=int(rng.integers(0, cut + 1)), dtype=np.uint64)]))
+        a = np.unique(a)
+        differ = int(np.bitwise_count(links.bitmap(a) ^ links.bitmap(b)).sum())
+        assert differ <= len(a) + len(b) - 2 * near_dedup.overlap(a, b)
+        if near_dedup.similar(a, b):
+            assert 180 * differ <= 20 * (len(a) + len(b))
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert near_dedup.near_duplicates(frame(spark, [(1, None), (2, "")])).filter("kept").count() == 2
