@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import materialize, shuffle_tasks, small_enough
 
 #: Items of a comparison unit, around a star and in what is left.
-BLOCK, REST_BLOCK = 64, 128
+BLOCK, REST_BLOCK = 64, 512
 #: Words of the bitmap by which a pair is ruled out before its sets are compared.
 BITMAP_WORDS = 64
+#: Roles in a unit: is only compared with those that ask, only asks, or both.
+ABOUT, ASKS, BOTH = 0, 1, 2
 
 
 def buckets(keys: DataFrame) -> DataFrame:
@@ -45,9 +47,9 @@ def star_units(members: DataFrame) -> DataFrame:
     pairs = materialize(members.filter("item <> least").select("least", "item").distinct(), "star-pairs")
     blocks = pairs.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     about = pairs.join(blocks, "least").select(
-        _unit("least", _slot("item", "blocks")).alias("unit"), "item", F.lit(False).alias("asks"), F.col("item").alias("root"))
+        _unit("least", _slot("item", "blocks")).alias("unit"), "item", F.lit(ABOUT).alias("role"), F.col("item").alias("root"))
     asks = blocks.select("least", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slot")).select(
-        _unit("least", F.col("slot")).alias("unit"), F.col("least").alias("item"), F.lit(True).alias("asks"),
+        _unit("least", F.col("slot")).alias("unit"), F.col("least").alias("item"), F.lit(ASKS).alias("role"),
         F.col("least").alias("root"))
     return about.unionByName(asks)
 
@@ -72,11 +74,15 @@ def rest_units(members: DataFrame, roots: DataFrame) -> DataFrame:
     major = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size")).select(
         "key", F.col("m.root").alias("major"), F.ceil((F.col("size") - F.col("m.n")) / REST_BLOCK).alias("chunks"))
     m = m.withColumn("blocks", F.ceil(F.col("size") / REST_BLOCK)).join(major, "key")
+    # a bucket of one block is one unit, in which every item stands once
+    single = m.filter("blocks = 1").select(
+        _unit("key").alias("unit"), "item", F.when(F.col("root") == F.col("major"), ABOUT).otherwise(BOTH).alias("role"), "root")
+    m = m.filter("blocks > 1")
     about = m.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        _unit("key", _slot("item", "blocks"), "chunk").alias("unit"), "item", F.lit(False).alias("asks"), "root")
+        _unit("key", _slot("item", "blocks"), "chunk").alias("unit"), "item", F.lit(ABOUT).alias("role"), "root")
     asks = m.filter("root <> major").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        _unit("key", "slot", _slot("item", "chunks")).alias("unit"), "item", F.lit(True).alias("asks"), "root")
-    return about.unionByName(asks)
+        _unit("key", "slot", _slot("item", "chunks")).alias("unit"), "item", F.lit(ASKS).alias("role"), "root")
+    return single.unionByName(about).unionByName(asks)
 
 
 def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Callable, percent: int) -> DataFrame:
@@ -90,43 +96,44 @@ def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Call
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, asking, maps, sizes, parent = None, [], None, None, {}
+        unit, asking, stacked, parent = None, [], None, {}
 
         def find(x):
             while parent.setdefault(x, x) != x:
                 x = parent[x]
             return x
 
+        def candidates(own: np.ndarray) -> np.ndarray:
+            nonlocal stacked
+            if stacked is None:
+                stacked = np.stack([x[3] for x in asking]), np.array([len(x[2]) for x in asking])
+            differ = np.bitwise_count(stacked[0] ^ bitmap(own)).sum(axis=1).astype(np.int64)
+            # |A xor B| <= (|A| + |B|) * (100 - p) / (100 + p) for similarity p percent
+            return np.flatnonzero((100 + percent) * differ <= (100 - percent) * (stacked[1] + len(own)))
+
         for batch in batches:
-            units, items, asks, roots = (batch.column(i).to_pylist() for i in range(4))
+            units, items, roles, roots = (batch.column(i).to_pylist() for i in range(4))
             links: list[tuple[int, int]] = []
             for i, text in enumerate(batch.column(4)):
                 if units[i] != unit:
-                    unit, asking, maps, parent = units[i], [], None, {}
+                    unit, asking, stacked, parent = units[i], [], None, {}
                 own = to_set(text.as_py())
-                if asks[i]:
-                    asking.append((items[i], roots[i], own))
-                    continue
-                if not asking:
-                    continue
-                if maps is None:  # the asking items of a unit come first
-                    maps = np.stack([bitmap(s) for _, _, s in asking])
-                    sizes = np.array([len(s) for _, _, s in asking])
-                differ = np.bitwise_count(maps ^ bitmap(own)).sum(axis=1)
-                # |A xor B| <= (|A| + |B|) * (100 - p) / (100 + p) for similarity p percent
-                near = (100 + percent) * differ.astype(np.int64) <= (100 - percent) * (sizes + len(own))
-                for k in np.flatnonzero(near):
-                    item, root, other = asking[k]
-                    a, b = find(root), find(roots[i])
-                    if a != b and similar(own, other):
-                        parent[max(a, b)] = min(a, b)
-                        links.append((item, items[i]))
+                if roles[i] != ASKS and asking:
+                    for k in candidates(own):
+                        item, root, other, _ = asking[k]
+                        a, b = find(root), find(roots[i])
+                        if a != b and similar(own, other):
+                            parent[max(a, b)] = min(a, b)
+                            links.append((item, items[i]))
+                if roles[i] != ABOUT:  # those that ask come first
+                    asking.append((items[i], roots[i], own, bitmap(own)))
+                    stacked = None
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], schema=schema)
 
     tasks = shuffle_tasks(units.sparkSession)
-    rows = units.join(payload, "item").select("unit", "item", "asks", "root", "text")
-    rows = rows.repartition(tasks, "unit").sortWithinPartitions("unit", F.desc("asks"))
+    rows = units.join(payload, "item").select("unit", "item", "role", "root", "text")
+    rows = rows.repartition(tasks, "unit").sortWithinPartitions("unit", F.desc("role"))
     return rows.mapInArrow(run, "a long, b long")
 
 
