@@ -30,6 +30,7 @@ PERCENT = 80
 #: Characters whose signatures are computed at once; equal lines of a task that get one signature.
 BLOCK_CHARS, SEEN_LINES = 1 << 16, 200_000
 _U = np.uint64
+_FIRST = np.ones(1, bool)
 
 
 def normalized(line: str) -> str:
@@ -56,8 +57,14 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def line_set(line: str | None) -> np.ndarray:
     """Sorted hashes of a line's distinct shingles; a line shorter than one is a single shingle."""
-    line = normalized(line or "")
-    return np.unique(shingle_hashes([line.ljust(SHINGLE)])[0])
+    line = normalized(line or "").ljust(SHINGLE)
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    up, down = powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, _U)
+    np.cumsum(mix(codes + _U(1)) * up[:len(codes)], out=sums[1:])
+    found = mix((sums[SHINGLE:] - sums[:-SHINGLE]) * down[:len(codes) - SHINGLE + 1])
+    found.sort()
+    return found if len(found) < 2 else found[np.concatenate([_FIRST, found[1:] != found[:-1]])]
 
 
 def band_keys(lines: list[str], minhash: MinHash) -> np.ndarray:
