@@ -221,13 +221,14 @@ class ChunkCache:
     """Ids of chunks in two generations: a full young one becomes the old one, and
     what is met again moves back, so frequent chunks outlive rare ones."""
 
-    def __init__(self):
+    def __init__(self, chunks: int | None = None):
+        self.chunks = chunks
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, text: str, encode) -> bytes:
         """Concatenated ids of the text's chunks; ``encode`` gives those of a list of new ones."""
-        if len(self.young) >= CACHED_CHUNKS:
+        if len(self.young) >= (self.chunks or CACHED_CHUNKS):
             self.young, self.old = {}, self.young
         chunks, young, old = chunks_of(text), self.young, self.old
         missing = {c for c in chunks if c not in young}

@@ -50,6 +50,8 @@ FOOTER = struct.Struct("<IBI")
 #: Bytes of ids in a frame: a frame closes after the document that reaches the
 #: first, and is cut inside a document at the second.
 FRAME_BYTES, MAX_FRAME_BYTES = 256 << 10, 4 << 20
+#: Chunks of a generation that a worker keeps (it holds no encoder of its own beside them).
+CACHED_CHUNKS = 400_000
 MANIFEST = "part int, path string, docs long, tokens long, frames long, bytes long"
 
 
@@ -175,7 +177,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks = ChunkCache()
+        self.chunks = ChunkCache(CACHED_CHUNKS)
 
     def _new(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
