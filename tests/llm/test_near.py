@@ -245,3 +245,22 @@ def test_pipeline_stages(spark):
     took = sum(words[r.doc_id] for r in mixed)
     assert {r.doc_id for r in mixed} <= set(words) and abs(took - sum(words.values())) < 0.2 * sum(words.values())
     assert sorted(r.doc_id for r in encoded) == sorted(r.doc_id for r in mixed)
+
+
+def test_pipeline_near_dedup_takes_five_words(spark):
+    """Revised pages stay, and the stage agrees with brute force on five words."""
+    rng = random.Random(5)
+    rows = fixture()
+    rows = [r for r in rows if r[1]]
+    for k in range(6):
+        page = [f"p{k}x{i}" for i in range(400)]
+        revised, copy = list(page), list(page)
+        for i in range(12, 400, 25):  # 16 words, 4 %
+            revised[i] = f"r{k}x{i}"
+        copy[200] = "typo"
+        assert classes([word_set(" ".join(t)) for t in (page, revised)]) == [0, 0]
+        rows += [(10_000 + 10 * k + j, " ".join(t)) for j, t in enumerate((page, revised, copy))]
+    rows.sort()
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), SF_SMALL).collect()}
+    assert got == {rows[c][0] for c in classes([word_set(t, 5) for _, t in rows])}
+    assert {10_000 + 10 * k + j for k in range(6) for j in (0, 1)} == {i for i in got if i >= 10_000}
