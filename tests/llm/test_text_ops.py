@@ -192,6 +192,23 @@ def test_viterbi_is_optimal():
             assert value == pytest.approx(brute_path(scores, 2.0))
 
 
+def test_path_avoids_the_language_that_is_best_on_the_whole():
+    model = langid.Model(["a", "b", "c"], np.ones((langid.GRAMS, 3)), np.ones((len(langid.SCRIPT_NAMES), 3)), np.ones(3), 12.0)
+    scores = np.array([[-10.0, 0, -30], [-10, -30, 0]])
+    assert list(model.path(scores)) == [1, 2]
+    assert list(model.path(np.repeat(scores / 5, 5, axis=0))) == [1] * 5 + [2] * 5
+    assert list(model.path(scores / 2)) == [0, 0]  # gains of 5 do not pay for a switch
+    rng = np.random.default_rng(1)
+    for _ in range(200):  # one language middling throughout, two that fit one part each
+        n, cut = rng.integers(2, 8), rng.integers(1, 7)
+        scores = rng.normal(-20, 1, (n, 3))
+        scores[:, 0] = rng.normal(-10, 2, n)
+        scores[:cut, 1] = scores[cut:, 2] = rng.normal(-3, 1)
+        path = model.path(scores)
+        value = scores[np.arange(n), path].sum() - 12.0 * (path[1:] != path[:-1]).sum()
+        assert value == pytest.approx(brute_path(scores, 12.0))
+
+
 def test_language_held_out_accuracy(spark):
     from tests.conftest import SF_ORACLE
 
