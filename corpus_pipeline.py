@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm.bpe import token_digests
 from tagweave.llm.common import materialize, read_table
-from tagweave.llm.line_dedup import drop_repeated_lines
+from tagweave.llm.line_dedup import SHINGLE, drop_repeated_lines
 from tagweave.llm.mixing import mixed_documents
 from tagweave.llm.near_dedup import keep_first
 from tagweave.llm.quality import fit_quality, keep_good
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-equal lines the first stays; documents left without a line go."""
-    return drop_repeated_lines(docs)
+    return drop_repeated_lines(docs, min_chars=SHINGLE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
-Lines of at least ``MIN_CHARS`` characters (lower case, blanks collapsed) are
-compared by their sets of ``SHINGLE``-character shingles.  ``BANDS`` bands of
+Lines of at least ``min_chars`` characters (lower case, blanks collapsed) are
+compared by their sets of ``SHINGLE``-character shingles; the query and the pipeline
+compare every line that has a shingle.  ``BANDS`` bands of
 ``ROWS`` minhashes give candidates: lines of similarity 0.8 share a band with
 probability 1 - (1 - 0.8^4)^12 = 0.998.  Candidates are verified by exact
 Jaccard similarity on whole lines, links form components by distributed
@@ -191,19 +192,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.when(n_removed > 0, F.array_join(left, "\n")).otherwise(text).alias("text"))
 
 
-def line_digests(docs: DataFrame) -> DataFrame:
+def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, n_lines, n_kept, text_sha256`` (of the text that is left, in UTF-8)."""
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+    return dedup_lines(docs, min_chars=min_chars).select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                        length_col: str | None = "n_chars") -> DataFrame:
+                        length_col: str | None = "n_chars", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with all their columns and without repeated lines.
 
     Documents of which no line is left go; documents that were empty before stay.
     ``length_col``, if the input has it, becomes the new text's length.
     """
-    removed = repeated_lines(docs, id_col, text_col).withColumnRenamed("lines", "removed")
+    removed = repeated_lines(docs, id_col, text_col, min_chars).withColumnRenamed("lines", "removed")
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))  # no name can clash
     row = row.select("row", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row.`{text_col}`").cast("string").alias("text"))

@@ -8,7 +8,7 @@ from tagweave.llm.bpe import token_digests
 from tagweave.llm.common import read_table
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.langid import fit_languages, identify
-from tagweave.llm.line_dedup import line_digests
+from tagweave.llm.line_dedup import SHINGLE, line_digests
 from tagweave.llm.mixing import mix
 from tagweave.llm.near_dedup import near_duplicates
 from tagweave.llm.quality import fit_quality, score_quality
@@ -129,7 +129,7 @@ def op4_near_dedup(spark, sf_dir):
 
 @register("op1_line_dedup")
 def op1_line_dedup(spark, sf_dir):
-    return line_digests(read_table(spark, sf_dir, "documents"))
+    return line_digests(read_table(spark, sf_dir, "documents"), min_chars=SHINGLE)
 
 
 @register("pipeline")

@@ -1,5 +1,6 @@
 """Near-duplicate documents and lines, components, and the pipeline against brute force."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -264,3 +265,26 @@ def test_pipeline_near_dedup_takes_five_words(spark):
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), SF_SMALL).collect()}
     assert got == {rows[c][0] for c in classes([word_set(t, 5) for _, t in rows])}
     assert {10_000 + 10 * k + j for k in range(6) for j in (0, 1)} == {i for i in got if i >= 10_000}
+
+
+def test_short_lines_count_in_query_and_pipeline(spark, tmp_path):
+    """Every line that has a shingle is compared: boilerplate of 8 to 23 characters, by brute force."""
+    from tagweave.llm.queries import op1_line_dedup
+
+    rng = random.Random(12)
+    short = ["Share on Facebook", "share  on facebook", "Leave a comment", "All rights reserved.", "Shares on Facebook", "8 chars.", "7 chars"]
+    short += ["十二个汉字组成的一句完整的话。", "Read more about it here", "read more about it here!"]
+    rows = lines_fixture()
+    rows += [(1000 + i, "\n".join([f"page {i} has {rng.random()} of its own", *rng.choices(short, k=3)])) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    gone, kept = brute_lines(rows, min_chars=8), {}
+    for i, t in rows:
+        kept[i] = "\n".join(s for n, s in enumerate((t or "").split("\n")) if n not in gone[i])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_kept, r.text_sha256) for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: ((len(t.split("\n")) if t else 0) - len(gone[i]), hashlib.sha256(kept[i].encode()).hexdigest())
+                   for i, t in rows}
+    stage = {r.doc_id: r.text or "" for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert stage == {i: t for i, t in kept.items() if t or not gone[i]}
+    lines = [s for t in stage.values() for s in t.split("\n")]
+    assert sum(s.lower().split() == ["share", "on", "facebook"] for s in lines) == 1 and lines.count("7 chars") > 1
