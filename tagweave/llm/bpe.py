@@ -1,8 +1,9 @@
 """BPE encoding by per-prefix dynamic programming, and decoding.
 
 An encoding's beginnings are themselves encodings of the text they cover, so
-every prefix of a word has exactly one possible last token.  A suffix automaton
-over the vocabulary lists the tokens that end at a position; such a token is the
+every prefix of a word has exactly one possible last token.  An Aho-Corasick
+automaton over the vocabulary (pyahocorasick, in place of a suffix automaton: it
+lists the same matches) gives the tokens that end at a position; such a token is the
 prefix's last one if the prefix before it is empty, or if its own last token and
 this one are compatible: merging their joined symbols gives just the two again.
 Following the stored last tokens back from the word's end gives the exact ids.
