@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave.session import read_table, scratch_path
+from tagweave.session import read_table, scratch_path, sized_broadcast
 
-__all__ = ["read_table", "materialize", "narrow", "shuffle_tasks", "small_enough", "stable_rank"]
+__all__ = ["read_table", "materialize", "narrow", "positions", "same_keys", "shuffle_tasks", "small_enough", "stable_rank"]
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Upper bounds of anything that is sent to every task: rows, and bytes a row.
 SMALL_ROWS = 1_000_000
@@ -48,3 +50,39 @@ def small_enough(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
 def stable_rank(seed: str, *cols):
     """A hash-random sort key, the same in every run and in every SQL engine."""
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols]))
+
+
+def same_keys(left: str, right: str, names: list[str]) -> Column:
+    """Null-safe equality of the named columns of two aliased frames."""
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return same
+
+
+def positions(df: DataFrame, group: list[str], order: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """Adds ``pos``: the row's place from 0 within its group by ``order`` (nulls first),
+    or, with a ``weight`` column, the sum of the weights before it.
+
+    Rows are range-sorted by (group, order), so a large group spans as many tasks
+    as its rows need.  The places inside a task come from the written row order
+    (weights: from a window over one task's rows of one group), those before it
+    from one count per task and group, at most tasks + groups rows.
+    """
+    keys = [*group, *order]
+    ranged = df.repartitionByRange(shuffle_tasks(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    ranged = materialize(ranged.withColumn("__row", F.monotonically_increasing_id()), name)
+    ranged = ranged.withColumn("__part", F.shiftrightunsigned("__row", 33))
+    parts = ranged.groupBy("__part", *group).agg(
+        F.min("__row").alias("__first"), F.sum(weight if weight else F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = materialize(parts.withColumn("__before", F.coalesce(before, F.lit(0))), f"{name}-parts")
+    if weight:
+        inside = Window.partitionBy("__part", *group).orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+        ranged = ranged.withColumn("__inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    else:
+        ranged = ranged.withColumn("__inside", F.col("__row"))
+    r, p = ranged.alias("r"), sized_broadcast(parts, SMALL_ROWS, SMALL_ROWS * SMALL_ROW_BYTES).alias("p")
+    pos = F.col("p.__before") + F.col("r.__inside") - (F.lit(0) if weight else F.col("p.__first"))
+    out = r.join(p, same_keys("r", "p", ["__part", *group]))
+    return out.select(*[F.col(f"r.{c}") for c in df.columns], pos.cast("long").alias("pos"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 
 from tagweave.llm.bpe import token_digests
-from tagweave.llm.common import read_table
+from tagweave.llm.common import LOWER, UPPER, read_table
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.langid import fit_languages, identify
 from tagweave.llm.line_dedup import SHINGLE, line_digests
+from tagweave.llm.manifest import verify_documents
 from tagweave.llm.mixing import mix
 from tagweave.llm.near_dedup import near_duplicates
 from tagweave.llm.quality import fit_quality, score_quality
@@ -19,8 +20,6 @@ from tagweave.llm.registry import ORACLE, QUERIES, register
 
 __all__ = ["ORACLE", "QUERIES"]
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 @register("op10_exact_dedup", f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256,
@@ -132,6 +131,50 @@ def op1_line_dedup(spark, sf_dir):
     return line_digests(read_table(spark, sf_dir, "documents"), min_chars=SHINGLE)
 
 
+def crc32_sql(value: str) -> str:
+    """Unsigned CRC-32 of an ASCII string: each byte comes in, then eight bits go out."""
+    events = f"flatten(list_transform(string_split({value}, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {events}), lambda a, e: {step}), 4294967295)"
+
+
+def merkle_sql(levels: int = 10, fanout: int = 8) -> str:
+    """The manifest, one round of CTEs a level; finished trees wait."""
+    def leaf(text):
+        return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+                                       for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = f"CASE WHEN coalesce({crc32_sql('doc_id::VARCHAR')} % 3 = 0, false) THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END"
+    ctes = [f"d AS (SELECT *, {low} AS other FROM documents)",
+            f"leaves AS (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf('other')} AS altered FROM d)",
+            "t0 AS (SELECT dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS n, "
+            "row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, doc_id, leaf, altered FROM leaves)",
+            "a0 AS (SELECT tree, n, pos, doc_id, leaf, altered AS fold, '' AS proof FROM t0)",
+            "n0 AS (SELECT tree, n, pos, leaf AS digest FROM t0)"]
+
+    def climb(k, tag, keys):
+        return [f"r{tag}{k} AS (SELECT tree, max(n) AS n, pos // {fanout} AS pos, list(digest ORDER BY pos) AS kids, sha256(string_agg(digest, '' ORDER BY pos)) AS digest "
+                f"FROM n{tag}{k} WHERE n > 1 GROUP BY tree, pos // {fanout})",
+                f"n{tag}{k + 1} AS (SELECT tree, CAST(ceil(n / {fanout}.0) AS BIGINT) AS n, pos, digest FROM r{tag}{k} UNION ALL SELECT tree, n, pos, digest FROM n{tag}{k} WHERE n = 1)",
+                f"a{tag}{k + 1} AS (SELECT a.tree, CAST(ceil(a.n / {fanout}.0) AS BIGINT) AS n, a.pos // {fanout} AS pos, {keys}, "
+                f"CASE WHEN r.tree IS NULL THEN fold ELSE sha256(array_to_string(kids[1:a.pos % {fanout}], '') || fold || array_to_string(kids[a.pos % {fanout} + 2:], '')) END AS fold, "
+                f"CASE WHEN r.tree IS NULL THEN proof ELSE proof || array_to_string(kids[1:a.pos % {fanout}], '') || array_to_string(kids[a.pos % {fanout} + 2:], '') END AS proof "
+                f"FROM a{tag}{k} a LEFT JOIN r{tag}{k} r ON a.tree = r.tree AND a.n > 1 AND a.pos // {fanout} = r.pos)"]
+
+    for k in range(levels):
+        ctes += climb(k, "", "doc_id, leaf")
+    ctes += [f"nu0 AS (SELECT 0 AS tree, count(*) OVER () AS n, tree AS pos, digest FROM n{levels})",
+             f"au0 AS (SELECT 0 AS tree, u.n, u.pos, doc_id, leaf, u.digest AS subroot, fold, proof FROM a{levels} a JOIN nu0 u ON a.tree = u.pos)"]
+    for k in range(levels):
+        ctes += climb(k, "u", "doc_id, leaf, subroot")
+    return ("WITH " + ", ".join(ctes) + f" SELECT doc_id, leaf, subroot, n.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, "
+            f"fold = n.digest AS verified FROM au{levels} a, nu{levels} n")
+
+
+@register("op12_merkle_manifest", merkle_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    return verify_documents(read_table(spark, sf_dir, "documents"))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -235,12 +235,12 @@ def test_pipeline_stages(spark):
         rows.append(docs.collect())
     start, good, lines, near, mixed, encoded = rows
     assert {r.doc_id for r in good} <= {r.doc_id for r in start} and len(good) > 0.7 * len(start)
-    gone = brute_lines([(r.doc_id, r.text) for r in good])
+    gone = brute_lines([(r.doc_id, r.text) for r in good], min_chars=8)
     want = {r.doc_id: "\n".join(s for n, s in enumerate(r.text.split("\n")) if n not in gone[r.doc_id]) for r in good}
     assert {r.doc_id: r.text for r in lines} == {i: t for i, t in want.items() if t or not gone[i]}
     assert all(r.n_chars == len(r.text) for r in lines if gone[r.doc_id])
     order = sorted(lines, key=lambda r: r.doc_id)
-    found = classes([word_set(r.text) for r in order])
+    found = classes([word_set(r.text, 5) for r in order])
     assert sorted(r.doc_id for r in near) == sorted({order[c].doc_id for c in found})
     words = {r.doc_id: len(WORD.findall(r.text)) for r in near}
     took = sum(words[r.doc_id] for r in mixed)
