@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from tagweave.llm.audit import audit_filters
 from tagweave.llm.bpe import token_digests
 from tagweave.llm.common import LOWER, UPPER, read_table
 from tagweave.llm.exact_dedup import exact_dedup
@@ -131,6 +132,38 @@ def op1_line_dedup(spark, sf_dir):
     return line_digests(read_table(spark, sf_dir, "documents"), min_chars=SHINGLE)
 
 
+AUDIT_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+             map {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+                  'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+                  'E': coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)} AS f
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: f[x]) AS fails, count(*) AS n,
+             count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM s a, s b, s c, s d, s e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+q AS (SELECT filter_order, k::INTEGER AS step, filter_order[k] AS x, string_split(filter_order[1:k - 1], '') AS earlier
+      FROM o, range(1, 6) r(k)),
+j AS (SELECT part, filter_order, step, x, n, good, toxic, list_contains(fails, x) AS hit, list_has_any(fails, earlier) AS gone,
+             fails = [x] AS alone FROM c, q),
+g AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost FROM j GROUP BY ALL)
+SELECT * EXCLUDE (x), sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM g"""
+
+
+@register("op11_filter_audit", AUDIT_SQL)
+def op11_filter_audit(spark, sf_dir):
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def crc32_sql(value: str) -> str:
     """Unsigned CRC-32 of an ASCII string: each byte comes in, then eight bits go out."""
     events = f"flatten(list_transform(string_split({value}, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
