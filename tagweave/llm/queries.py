@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from tagweave.llm.audit import audit_filters
 from tagweave.llm.bpe import token_digests
@@ -14,6 +15,7 @@ from tagweave.llm.manifest import verify_documents
 from tagweave.llm.mixing import mix
 from tagweave.llm.near_dedup import near_duplicates
 from tagweave.llm.quality import fit_quality, score_quality
+from tagweave.llm.sharding import LARGEST_PIECE_PARTS, PIECE_PARTS, shard_documents
 from tagweave.llm.token_files import token_index
 from tagweave.llm.topk import top_products
 from tagweave.llm.url_filter import judge_urls, rule_table
@@ -164,9 +166,10 @@ def op11_filter_audit(spark, sf_dir):
     return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-def crc32_sql(value: str) -> str:
-    """Unsigned CRC-32 of an ASCII string: each byte comes in, then eight bits go out."""
-    events = f"flatten(list_transform(string_split({value}, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8: each byte (two hex digits) comes in, then eight bits go out."""
+    codes = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    events = f"flatten(list_transform({codes}, lambda c: [c, -1, -1, -1, -1, -1, -1, -1, -1]))"
     step = "CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {events}), lambda a, e: {step}), 4294967295)"
 
@@ -208,6 +211,45 @@ def op12_merkle_manifest(spark, sf_dir):
     return verify_documents(read_table(spark, sf_dir, "documents"))
 
 
+SHARDS = 40
+
+
+def shard_sql(shards: int = SHARDS) -> str:
+    """The k-d tree, one round of CTEs a depth."""
+    row = "struct_pack(v := value, g := grp, p := piece)"
+    ctes = [
+        "d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size, coalesce(text, '') AS t, "
+        "unhex(sha256(coalesce(text, ''))) AS grp, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS dim_0, "
+        "dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS dim_1, coalesce(n_chars, -1) AS dim_2 FROM documents)",
+        f"k AS (SELECT greatest(1, sum(size) // {shards} // {PIECE_PARTS}, least(max(size), sum(size) // {shards} // {LARGEST_PIECE_PARTS}))::BIGINT AS piece_bytes FROM d)",
+        "g AS (SELECT *, sum(size) OVER (PARTITION BY grp) AS gw, sum(size) OVER (PARTITION BY grp ORDER BY doc_id "
+        "ROWS UNBOUNDED PRECEDING) - size AS pos, first_value(struct_pack(a := dim_0, b := dim_1, c := dim_2)) "
+        "OVER (PARTITION BY grp ORDER BY doc_id) AS f FROM d)",
+        "r AS (SELECT doc_id, size, t, grp, CASE WHEN gw > piece_bytes THEN pos // piece_bytes ELSE 0 END::BIGINT AS piece, f FROM g, k)",
+        "c0 AS (SELECT grp, piece, sum(size)::HUGEINT AS weight, any_value(f.a) AS dim_0, any_value(f.b) AS dim_1, any_value(f.c) AS dim_2, "
+        f"0 AS node, {shards} AS shards, 0 AS first FROM r GROUP BY grp, piece)",
+        *[f"s{i} AS (SELECT greatest(1, max(dim_{i}) - min(dim_{i}))::DOUBLE AS w FROM c0)" for i in range(3)]]
+    for k in range((shards - 1).bit_length()):
+        wide = [f"(max(dim_{i}) - min(dim_{i}))::DOUBLE / (SELECT w FROM s{i})" for i in range(3)]
+        ctes += [
+            f"n{k} AS (SELECT node, sum(weight) AS total, {', '.join(f'{w} AS w{i}' for i, w in enumerate(wide))} FROM c{k} GROUP BY node)",
+            f"v{k} AS (SELECT c.*, total, CASE WHEN w0 >= w1 AND w0 >= w2 THEN dim_0 WHEN w1 >= w2 THEN dim_1 ELSE dim_2 END AS value FROM c{k} c JOIN n{k} USING (node))",
+            f"m{k} AS (SELECT *, shards > 1 AND NOT (2 * sum(weight) OVER (PARTITION BY node ORDER BY value, grp, piece ROWS UNBOUNDED PRECEDING) - weight) * shards <= 2 * total * (shards // 2) AS up FROM v{k})",
+            f"c{k + 1} AS (SELECT grp, piece, weight, dim_0, dim_1, dim_2, node * 2 + up::INT AS node, CASE WHEN shards = 1 THEN 1 WHEN up THEN shards - shards // 2 ELSE shards // 2 END AS shards, "
+            f"first + CASE WHEN up THEN shards // 2 ELSE 0 END AS first FROM m{k})"]
+    last = f"c{(shards - 1).bit_length()}"
+    return ("WITH " + ", ".join(ctes) + f", z AS (SELECT doc_id, size, {crc32_sql('t')} AS text_crc32, first::INTEGER AS shard FROM r JOIN {last} USING (grp, piece)) "
+            "SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, "
+            "NULL::INTEGER AS grown_shard FROM z")
+
+
+@register("op13_kd_shards", shard_sql())
+def op13_kd_shards(spark, sf_dir):
+    placed = shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
