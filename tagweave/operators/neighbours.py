@@ -1,19 +1,13 @@
 """Exact neighbour joins (C8 k-nearest, C9 radius) without a cross join.
 
-References of a proven size (``BROADCAST_VALUES`` numbers at most) go to every
-task once; the queries then stream past them in Arrow batches, nothing is
-shuffled but the result.  Larger references meet the queries in a block nested
-loop: both sides are hashed into blocks of about ``block_rows`` rows and every
-query block meets every reference block exactly once in a co-grouped cell.
+Both sides are hashed into blocks of about ``block_rows`` rows, and every query
+block meets every reference block exactly once in a co-grouped cell; neither side
+passes through the driver or is sent to every task.
 
-In either case distances are taken for a slice of queries at a time, and a
+Distances are taken for a slice of queries at a time, and a
 slice keeps for each query only its k best references in the final order
 (distance rounded to 1e-9, then id), so that ties neither pile up nor are lost.
 Ids keep their type (integers or strings).
-
-``radius_join_lsh`` is the approximate scale option
-(random-projection LSH); it may miss neighbours and is never used by the
-exact queries.
 """
 
 from __future__ import annotations
@@ -23,14 +17,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Numbers (rows x dimensions) of a reference table that every task may hold (64 MiB).
-BROADCAST_VALUES = 8 << 20
 #: Distances of a slice of queries that are held at once (16 MiB).
 SLICE_VALUES = 2 << 20
 
@@ -121,20 +111,9 @@ def _pairs(queries: DataFrame, refs: DataFrame, choose: Callable, id_col: str, v
                            T.StructField("dist", T.DoubleType()), *[r.schema[c] for c in carry]])
     empty = pd.DataFrame({f.name: pd.Series([], dtype="object") for f in schema})
     cell = _cell(choose, exclude_self, carry)
-    nr, values = r.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rv")), F.lit(0))).first()
+    nr = r.count()
     if nr == 0:
         return queries.sparkSession.createDataFrame([], schema)
-    if values <= BROADCAST_VALUES:
-        table = queries.sparkSession.sparkContext.broadcast(r.toPandas())
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            prepared = None
-            for qp in frames:
-                if len(qp):
-                    prepared = _prepared(table.value) if prepared is None else prepared
-                    yield from cell(qp, table.value, *prepared)
-
-        return q.mapInPandas(run, schema)
     bq, br = (max(1, math.ceil(n / block_rows)) for n in (queries.count(), nr))
 
     def blocks(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
@@ -172,17 +151,6 @@ def radius_join(queries: DataFrame, refs: DataFrame, radius: float, id_col: str
     return _pairs(queries, refs, _Within(radius), id_col, vec_col, exclude_self, block_rows, list(carry or []))
 
 
-def radius_join_lsh(queries: DataFrame, refs: DataFrame, radius: float, id_col: str = "id", vec_col: str = "vec",
-                    bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate range join with random-projection LSH (may miss pairs)."""
-    a = queries.select(F.col(id_col).alias("qid"), array_to_vector(vec_col).alias("v"))
-    b = refs.select(F.col(id_col).alias("nid"), array_to_vector(vec_col).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(a)
-    j = lsh.approxSimilarityJoin(a, b, radius, distCol="dist")
-    return j.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.nid").alias("nid"), "dist")
-
-
 def vote(pairs: DataFrame, ref_labels: DataFrame | None = None, id_col: str = "id", labels_col: str = "labels",
          min_share: float = 0.5) -> DataFrame:
     """Multi-label neighbour vote.  A label is predicted for a query

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.seeded import seeded_int, seeded_unit
+from tagweave.functions.seeded import MODULUS, seeded_int, seeded_int_sql, seeded_unit
 from tagweave.operators.clean import with_row_index
 from tagweave.operators.neighbours import knn_join
 
@@ -50,12 +50,36 @@ def _copies_per_row(mino: DataFrame, n_add: int, n_min: int, id_col: str, seed:
     return ranked.withColumn("_copies", F.lit(base) + (F.col("_rk") < extra).cast("int")).drop("_h", "_rk")
 
 
+#: Draws that one generated row stands for before it is exploded.
+DRAW_CHUNK = 1 << 16
+
+
+def drawn_counts(plan: DataFrame, keys: list[str]) -> DataFrame:
+    """Draws with replacement: ``keys, rank, copies`` for every rank drawn at least once.
+
+    ``plan`` has ``keys`` and ``n_add`` (draws), ``n_min`` (ranks 0 .. n_min - 1), ``seed``.
+    Draw i takes the rank of a seeded hash of i, so the draws of a plan row are exactly
+    ``n_add`` and are made and counted wherever the generated rows lie; nothing is ranked or
+    collected.  The hash has 62 bits, so the ranks are uniform up to 2^-30."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_add - 1) div {DRAW_CHUNK}"))).alias("_chunk")
+    rows = plan.filter("n_add > 0").select(*keys, "n_add", "n_min", "seed", chunk)
+    last = F.least(F.col("n_add"), (F.col("_chunk") + 1) * DRAW_CHUNK) - 1
+    rows = rows.select(*keys, "n_min", "seed", F.explode(F.sequence(F.col("_chunk") * DRAW_CHUNK, last)).alias("_i"))
+    high, low = (seeded_int(F.col("seed"), F.col("_i"), seed=k) for k in (1, 2))
+    rank = (high * MODULUS + low) % F.col("n_min")
+    return rows.select(*keys, rank.alias("rank")).groupBy(*keys, "rank").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def drawn_rank_sql(i: str, n_min: str, seed: str) -> str:
+    """The rank of draw ``i`` as SQL text."""
+    return f"(({seeded_int_sql([seed, i], 1)} * {MODULUS} + {seeded_int_sql([seed, i], 2)}) % {n_min})"
+
+
 def oversample_random(df: DataFrame, y_col: str, ratio: float, id_col: str = "id", seed: int = 42,
                       on_reached: str = "raise") -> DataFrame:
     """Random oversampling of the minority class (y = 1 or y = 0, whichever
-    is rarer) to n_min_after = floor(ratio * n_majority).  Copies are spread as
-    evenly as the total allows, the rest by a seeded hash order: the expected
-    counts of draws with replacement without their variance.
+    is rarer) to n_min_after = floor(ratio * n_majority), by draws with replacement
+    from its rows in id order.
 
     Output: all original rows (copy = 0) plus copies (copy = 1, 2, ...).  A class
     without any row can't be copied: ``TooFewRows``, or unsampled with ``skip``."""
@@ -72,9 +96,11 @@ def oversample_random(df: DataFrame, y_col: str, ratio: float, id_col: str = "id
     out = df.withColumn("copy", F.lit(0))
     if n_add == 0:
         return out
-    mino = df.filter(F.col(y_col) == minority)
-    c = _copies_per_row(mino, n_add, min(pos, neg), id_col, seed).filter(F.col("_copies") > 0)
-    copies = c.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    plan = df.sparkSession.range(1).select(F.lit(n_add).cast("long").alias("n_add"), F.lit(min(pos, neg)).cast("long").alias("n_min"),
+                                           F.lit(seed).cast("long").alias("seed"))
+    ranked = with_row_index(df.filter(F.col(y_col) == minority), [id_col], "_rk")
+    c = ranked.join(drawn_counts(plan, []).select(F.col("rank").alias("_rk"), "copies"), "_rk")
+    copies = c.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return out.unionByName(copies)
 
 

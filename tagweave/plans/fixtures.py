@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.fixed import EVENT_TYPES, LEAVES, ROOT, TAXONOMY_EDGES
+from tagweave.functions.seeded import seeded_int
 from tagweave.session import read_table
 
 N_LEAVES = len(LEAVES)
@@ -210,16 +211,20 @@ def doc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("split", F.when(m < 7, "train").when(m < 9, "validation").otherwise("dev"))
 
 
-N_SIGNS = 10
+N_PLANTED = 10
 
 
-def sign_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX14: labels that can be learned.  (vec_id, split, features: the signs of the
-    first 10 coordinates as +1 / -1, labels): leaf j belongs to a row if sign j
-    is +, and for j >= 5 sign j - 5 as well."""
+def planted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX14: labels that can be learned.  (vec_id, split, features: all 64 numbers of the
+    embedding, number k moved up by 1 if the row has leaf k % 10, else down by 1; labels).
+    Leaf j < 10 belongs to a row by a seeded hash (3 in 10) or if (vec_id div 10) % 10 = j.
+    The labels of dev rows are noisy: one in ten is flipped after the features are made."""
     f = features(spark, sf_dir).select("vec_id", "split", "embedding")
-    plus = [F.get("embedding", F.lit(j)) > 0 for j in range(N_SIGNS)]
-    has = [p if j < 5 else p & plus[j - 5] for j, p in enumerate(plus)]
-    return f.select(
-        "vec_id", "split", F.array(*[F.when(p, 1.0).otherwise(-1.0).cast("float") for p in plus]).alias("features"),
-        F.array_sort(F.array_compact(F.array(*[F.when(h, F.lit(LEAVES[j])) for j, h in enumerate(has)]))).alias("labels"))
+    has = [(seeded_int(F.col("vec_id"), F.lit(j), seed=14) % 10 < 3) | (F.expr("vec_id div 10") % 10 == j)
+           for j in range(N_PLANTED)]
+    noisy = [h != ((F.col("split") == "dev") & (seeded_int(F.col("vec_id"), F.lit(j), seed=15) % 10 == 0))
+             for j, h in enumerate(has)]
+    f = f.withColumn("_has", F.array(*has))
+    moved = F.transform("embedding", lambda x, k: x.cast("double") + F.when(F.get("_has", k % N_PLANTED), 1.0).otherwise(-1.0))
+    return f.select("vec_id", "split", moved.alias("features"),
+                    F.array_sort(F.array_compact(F.array(*[F.when(h, F.lit(LEAVES[j])) for j, h in enumerate(noisy)]))).alias("labels"))

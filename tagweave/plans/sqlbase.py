@@ -6,6 +6,7 @@ skips CTEs that a query does not reference.
 
 from __future__ import annotations
 
+from tagweave.functions.seeded import seeded_int_sql
 from tagweave.fixed import EVENT_CATEGORIES, LEAVES, ROOT, TAXONOMY_EDGES
 
 
@@ -52,9 +53,15 @@ PRELUDE = ",\n".join([
     "ELSE 'test' END AS split, embedding, label FROM embeddings)",
     "featlab AS (SELECT vec_id, split, CAST(label AS VARCHAR) AS lab FROM feat UNION "
     "SELECT vec_id, split, CAST((label + 1) % 10 AS VARCHAR) FROM feat WHERE vec_id % 3 = 0)",
-    # FX14 learnable labels
-    "signlab AS (SELECT f.vec_id, f.split, l.label AS lab FROM feat f JOIN leaves l ON l.j < 10 "
-    "WHERE f.embedding[l.j + 1] > 0 AND (l.j < 5 OR f.embedding[l.j - 4] > 0))",
+    # FX14 learnable labels: by the rule, and as given (noisy in the dev split)
+    f"cells AS (SELECT f.vec_id, f.split, l.j, l.label AS lab, ({seeded_int_sql(['f.vec_id', 'l.j'], 14)} % 10 < 3 "
+    f"OR (f.vec_id // 10) % 10 = l.j) AS has, f.split = 'dev' AND {seeded_int_sql(['f.vec_id', 'l.j'], 15)} % 10 = 0 AS flip "
+    "FROM feat f JOIN leaves l ON l.j < 10)",
+    "rulelab AS (SELECT vec_id, split, lab FROM cells WHERE has)",
+    "planted AS (SELECT vec_id, split, lab FROM cells WHERE has <> flip)",
+    "moved AS (SELECT f.vec_id, f.split, list_transform(range(0, 64), lambda k: CAST(f.embedding[k + 1] AS DOUBLE) + "
+    "CASE WHEN c.has[k % 10 + 1] THEN 1.0 ELSE -1.0 END) AS x FROM feat f JOIN "
+    "(SELECT vec_id, list(has ORDER BY j) AS has FROM cells GROUP BY vec_id) c ON c.vec_id = f.vec_id)",
     # FX3 hidden states
     "hidden AS (SELECT vec_id, lt // 4 AS layer, lt % 4 AS token, "
     "CASE WHEN lt % 4 < vec_id % 4 + 1 THEN 1 ELSE 0 END AS mask, lt, embedding "

@@ -463,9 +463,7 @@ def test_shared_folder_is_required_off_local_masters():
         checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
 
 
-@pytest.mark.parametrize("broadcast_values", [8 << 20, 0])
-def test_knn_ties_and_string_ids(spark, monkeypatch, broadcast_values):
-    monkeypatch.setattr(nb, "BROADCAST_VALUES", broadcast_values)
+def test_knn_ties_and_string_ids(spark):
     df = spark.createDataFrame([(f"r{i:04d}", [1.0, 2.0]) for i in range(4096)], "id string, vec array<double>")
     out = nb.knn_join(df.filter("id < 'r0008'"), df, 3, exclude_self=True, block_rows=1024).collect()
     got = {}
