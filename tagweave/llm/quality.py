@@ -27,31 +27,37 @@ THRESHOLD = 0.3
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text (null: empty); ratios over nothing are 0."""
-    text = F.coalesce(text, F.lit(""))
-    chars = F.length(text)
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda s: s != "")
+def with_statistics(rows: DataFrame) -> DataFrame:
+    """Adds the statistics of the whole ``text`` (null: empty); ratios over nothing are 0.
+
+    Texts are split in a projection of their own, so that every statistic takes the same pieces.
+    """
+    names = rows.columns
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    split = rows.select("*", F.split("text", SPACE).alias("_tokens"), F.split("text", "\n").alias("_all_lines"))
+    pieces = split.select(*names, F.array_remove("_tokens", "").alias("_words"), F.array_remove("_all_lines", "").alias("_lines"),
+                          F.length("text").alias("_chars"))
+    text, chars, words, lines = F.col("text"), F.col("_chars"), F.size("_words"), F.size("_lines")
 
     def count(pattern: str) -> Column:
         return F.regexp_count(text, F.lit(pattern))
 
-    return {
+    stats = {
         "chars": chars.cast("double"),
-        "words": F.size(words).cast("double"),
-        "lines": F.size(lines).cast("double"),
+        "words": words.cast("double"),
+        "lines": lines.cast("double"),
         "letters": _ratio(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), chars),
         "capitals": _ratio(count(r"\p{Lu}"), chars),
         "digits": _ratio(count(r"\p{Nd}"), chars),
         "symbols": _ratio(count(r"[^\p{L}\p{N}\s.,]"), chars),
-        "stops": _ratio(count(r"[.,]"), F.size(words)),
-        "symbol_words": _ratio(count(r"(?<!\S)[^\s\p{L}\p{N}]+(?!\S)"), F.size(words)),
-        "word_length": _ratio(chars, F.size(words) + 1),
-        "distinct_words": _ratio(F.size(F.array_distinct(words)), F.size(words)),
-        "distinct_lines": _ratio(F.size(F.array_distinct(lines)), F.size(lines)),
-        "stutter": _ratio(count(r"(?<!\S)(\S{1,64})(?=\s+\1(?!\S))"), F.size(words)),
+        "stops": _ratio(count(r"[.,]"), words),
+        "symbol_words": _ratio(count(r"(?<!\S)[^\s\p{L}\p{N}]+(?!\S)"), words),
+        "word_length": _ratio(chars, words + 1),
+        "distinct_words": _ratio(F.size(F.array_distinct("_words")), words),
+        "distinct_lines": _ratio(F.size(F.array_distinct("_lines")), lines),
+        "stutter": _ratio(count(r"(?<!\S)(\S{1,64})(?=\s+\1(?!\S))"), words),
     }
+    return pieces.select(*names, *[stats[n].alias(n) for n in NAMES])
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -70,17 +76,12 @@ class RuleModel:
     intercept: float
     rules: list[tuple[tuple[Condition, ...], float]]
 
-    def score(self, text: Column) -> Column:
-        """Probability of label 1, as one expression that computes every statistic once."""
-        stats = F.array(F.struct(*[c.alias(n) for n, c in statistics(text).items()]))
-
-        def logistic(s: Column) -> Column:
-            total = F.lit(self.intercept)
-            for rule, weight in self.rules:
-                total = total + F.when(holds(rule, lambda n: s.getField(n)), F.lit(weight)).otherwise(F.lit(0.0))
-            return 1 / (1 + F.exp(-total))
-
-        return F.element_at(F.transform(stats, logistic), 1)
+    def score(self) -> Column:
+        """Probability of label 1, as one expression over the statistics' columns."""
+        total = F.lit(self.intercept)
+        for rule, weight in self.rules:
+            total = total + F.when(holds(rule, F.col), F.lit(weight)).otherwise(F.lit(0.0))
+        return 1 / (1 + F.exp(-total))
 
 
 def holds(rule: tuple[Condition, ...], stat) -> Column:
@@ -124,7 +125,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int, label_col: str =
     texts = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # at most about max_rows pairs of id and label: small enough for every task
     rows = texts.join(F.broadcast(chosen), "doc_id")
-    return rows.select(F.col("label").cast("double"), *[c.alias(n) for n, c in statistics(F.col("text")).items()])
+    return with_statistics(rows.select(F.col("label").cast("double"), "text")).drop("text")
 
 
 def held_out(doc_id: Column, mod: int, rest: int = 0) -> Column:
@@ -178,12 +179,17 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
     rows score alike; a null id is never held out unless the empty string's crc32
     says so; an empty table gives an empty result.  Further columns are ignored.
     """
-    src = narrow(docs, doc_id=id_col, text=text_col)
-    rows = src.select(F.col("doc_id").cast("long").alias("doc_id"), model.score(F.col("text").cast("string")).alias("score"))
+    src = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = with_statistics(src).select("doc_id", model.score().alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score",
                        (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the model doesn't reject, with all their columns."""
-    return docs.filter(model.score(F.col(f"`{text_col}`").cast("string")) >= threshold)
+    """The documents that the model doesn't reject, with all their columns.
+
+    Null and empty texts are judged like any other, their ids play no part; repeated rows
+    stay or go together; an empty table gives an empty result."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),  # no name can clash
+                      F.col(f"`{text_col}`").cast("string").alias("text"))
+    return with_statistics(row).filter(model.score() >= threshold).select("row.*")
