@@ -222,8 +222,8 @@ class ChunkCache:
     """Ids of chunks in two generations: a full young one becomes the old one, and
     what is met again moves back, so frequent chunks outlive rare ones."""
 
-    def __init__(self, chunks: int | None = None):
-        self.chunks = chunks
+    def __init__(self, chunks: int | None = None, pack=lambda ids: array("I", ids).tobytes()):
+        self.chunks, self.pack = chunks, pack
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -237,7 +237,7 @@ class ChunkCache:
             return b"".join(map(young.__getitem__, chunks))
         young.update((c, old[c]) for c in missing if c in old)
         new = [c for c in missing if c not in young]
-        found = {c: array("I", ids).tobytes() for c, ids in zip(new, encode(new))} if new else {}
+        found = {c: self.pack(ids) for c, ids in zip(new, encode(new))} if new else {}
         young.update((c, ids) for c, ids in found.items() if len(c) <= CACHED_CHUNK_CHARS)
         return b"".join([young[c] if c in young else found[c] for c in chunks])
 

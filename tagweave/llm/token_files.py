@@ -23,6 +23,7 @@ The folder is any place that ``pyarrow.fs`` opens and all executors share.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from array import array
@@ -31,6 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -52,6 +54,10 @@ FOOTER = struct.Struct("<IBI")
 FRAME_BYTES, MAX_FRAME_BYTES = 256 << 10, 4 << 20
 #: Chunks of a generation that a worker keeps (it holds no encoder of its own beside them).
 CACHED_CHUNKS = 400_000
+#: Documents of a file at most, about.
+FILE_DOCS = 1_000_000
+#: Pieces of a joined call, their longest, and the code points that may take part.
+JOINED_CHUNKS, JOINED_CHARS, JOINABLE = 512, 40, range(0x21, 0x250)
 MANIFEST = "part int, path string, docs long, tokens long, frames long, bytes long"
 
 
@@ -168,6 +174,12 @@ class LibraryEncoder:
 
     White space never enters a token and separates words, special strings and
     normalization alike, so the ids of a text are those of its pieces in order.
+
+    Many pieces are asked about in one call, joined by blanks.  Where a word's last token
+    carries the vocabulary's end-of-word mark, the answer is cut after the words of each piece;
+    the words are counted by the tokenizer's own split pattern, for pieces of characters for
+    which the library was seen to agree with that count.  Other pieces, and calls whose
+    marks don't add up, are asked about one by one.
     """
 
     def __init__(self, spec: str):
@@ -177,13 +189,64 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks = ChunkCache(CACHED_CHUNKS)
-
-    def _new(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.chunks = ChunkCache(CACHED_CHUNKS, pack=bytes)
+        self.pattern, self.ends, self.plain, self.one_word = None, None, frozenset(), False
+        self._learn_joins(json.loads(spec))
+
+    def _learn_joins(self, spec: dict) -> None:
+        """Finds the characters whose pieces can be joined; none if words have no mark."""
+        suffix = spec["model"].get("end_of_word_suffix")
+        splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        if not suffix or len(splits) != 1 or not splits[0]["invert"] or "Regex" not in splits[0]["pattern"]:
+            return
+        self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
+        self.one_word = "[\\p{L}]+" in self.pattern.pattern.split("|")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        special = set("".join(t["content"] for t in spec["added_tokens"]) if any(
+            t["content"].isalpha() for t in spec["added_tokens"]) else "<|>[]")
+        tried = [chr(c) for c in JOINABLE if not chr(c).isspace() and chr(c) not in special]
+        contexts = [[c, "a" + c, c + "a", "a" + c + "b", c + c, "1" + c, "." + c, c + "."] for c in tried]
+        answers = iter(self.tokenizer.encode_batch_fast([x for group in contexts for x in group], add_special_tokens=False))
+        agree = [[int(self.ends[next(answers).ids].sum()) == self._words(x) for x in group] for group in contexts]
+        self.plain = frozenset(c for c, good in zip(tried, agree) if all(good))
+
+    def _words(self, chunk: str) -> int:
+        # the pattern makes one word of letters in a row; it is asked about anything else
+        if chunk.isalpha() and self.one_word:
+            return 1
+        return len(self.pattern.findall(chunk.lower()))
+
+    def _ids(self, chunks: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        """Ids of pieces of plain characters, from one call."""
+        ids = self._ids([" ".join(chunks)])[0]
+        marks = np.flatnonzero(self.ends[ids]) + 1
+        words = np.cumsum([self._words(c) for c in chunks])
+        if words[-1] != len(marks) or marks[-1] != len(ids):
+            return [x.tobytes() for x in self._ids(chunks)]
+        cuts, raw, width = (marks[words - 1] * self.dtype.itemsize).tolist(), ids.tobytes(), 0
+        out = []
+        for cut in cuts:
+            out.append(raw[width:cut])
+            width = cut
+        return out
+
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        found: dict[str, bytes] = {}
+        plain = [c for c in chunks if len(c) <= JOINED_CHARS and self.plain.issuperset(c)]
+        for at in range(0, len(plain), JOINED_CHUNKS):
+            part = plain[at:at + JOINED_CHUNKS]
+            found.update(zip(part, self._joined(part)))
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
+        return [found[c] for c in chunks]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.chunks.encode(text, self._new), "<u4")
+        return np.frombuffer(self.chunks.encode(text, self._new), self.dtype)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id",
@@ -197,7 +260,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     spark = docs.sparkSession
     spec = tokenizer_spec(spark, tokenizer)
     id_bytes = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id or 0) <= 1 << 16 else 4
-    end = np.array([] if end_id is None else [end_id], "<u4")
+    end = np.array([] if end_id is None else [end_id], f"<u{id_bytes}")
     open_folder(folder)[0].create_dir(open_folder(folder)[1], recursive=True)
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()),
                         ("frames", pa.int64()), ("bytes", pa.int64())])
@@ -220,7 +283,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     src = narrow(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranged = src.repartitionByRange(files or shuffle_tasks(spark), "doc_id").sortWithinPartitions(
+    # a writer holds the index of its file, so files grow in number with the documents
+    files = files or max(shuffle_tasks(spark), -(-src.count() // FILE_DOCS))
+    ranged = src.repartitionByRange(files, "doc_id").sortWithinPartitions(
         "doc_id", F.xxhash64("text"))
     return materialize(ranged.mapInArrow(run, MANIFEST), "token-manifest")
 

@@ -40,6 +40,39 @@ def test_encoder_matches_library_on_any_text(parts):
     assert list(array("I", ENCODER.encode(text))) == ids_of(text)
 
 
+JOINER = token_files.LibraryEncoder(open(TOKENIZER, encoding="utf-8").read())
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_joined_calls_match_library(text):
+    assert JOINER.encode(text).tolist() == ids_of(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("aabcdeiostßéÉğſΣ '’.!,09\u0301\u00a0") + ["<|endoftext|>", "the ", "'ll", "'RE", "ﬁ", "日本"]), max_size=40))
+def test_joined_calls_match_library_on_any_text(parts):
+    text = "".join(parts)
+    encoder = JOINER
+    encoder.chunks = bpe.ChunkCache(1000, pack=bytes)  # nothing known yet
+    assert encoder.encode(text).tolist() == ids_of(text)
+
+
+def test_joined_calls_match_library_for_every_code_point():
+    """All code points in four neighbourhoods, several thousand pieces a text."""
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 40_000):
+        text = " ".join(f"{c} a{c} {c}b 1{c}." for c in points[at:at + 40_000])
+        assert JOINER.encode(text).tolist() == ids_of(text)
+
+
+def test_joined_calls_whose_marks_do_not_add_up_are_asked_one_by_one():
+    encoder = token_files.LibraryEncoder(open(TOKENIZER, encoding="utf-8").read())
+    assert len(encoder.plain) > 500
+    encoder._words = lambda chunk: 1  # a wrong count
+    text = "don't stop, the 1990s weren't over. naïve café"
+    assert encoder.encode(text).tolist() == ids_of(text)
+
+
 def test_prefixes_have_their_own_last_token():
     word = "antidisestablishmentarianisms"
     symbols = word[:-1] + chr(ord(word[-1]) + bpe.END_SHIFT)
