@@ -56,16 +56,16 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(windows[inside[:len(windows)]]), np.concatenate([[0], np.cumsum(counts)[:-1]])
 
 
-def line_set(line: str | None) -> np.ndarray:
-    """Sorted hashes of a line's distinct shingles; a line shorter than one is a single shingle."""
-    line = normalized(line or "").ljust(SHINGLE)
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-    up, down = powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, _U)
-    np.cumsum(mix(codes + _U(1)) * up[:len(codes)], out=sums[1:])
-    found = mix((sums[SHINGLE:] - sums[:-SHINGLE]) * down[:len(codes) - SHINGLE + 1])
-    found.sort()
-    return found if len(found) < 2 else found[np.concatenate([_FIRST, found[1:] != found[:-1]])]
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted hashes of each line's distinct shingles; a line shorter than one is a single shingle."""
+    if not lines:
+        return []
+    found, starts = shingle_hashes([normalized(s).ljust(SHINGLE) for s in lines])
+    sets = []
+    for one in np.split(found, starts[1:]):
+        one.sort()
+        sets.append(one if len(one) < 2 else one[np.concatenate([_FIRST, one[1:] != one[:-1]])])
+    return sets
 
 
 def band_keys(lines: list[str], minhash: MinHash) -> np.ndarray:
@@ -144,7 +144,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return lines.select("at.item", F.get("lines", F.col("at.line")).alias("text"))
 
     keys = table.filter("keys is not null").select(F.explode("keys").alias("key"), "item")
-    roots = near_components(keys, fetch, line_set, lambda a, b: similar(a, b, percent), percent)
+    roots = near_components(keys, fetch, line_sets, lambda a, b: similar(a, b, percent), percent)
     linked = firsts.join(roots, "item").select("item", "more", "first", "root")
     linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("item", "more", "least")
     kept = firsts.join(linked, ["item", "more"], "left").filter("n > 1 or least is not null").select(

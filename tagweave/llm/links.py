@@ -30,6 +30,10 @@ from tagweave.llm.common import materialize, shuffle_tasks, small_enough
 BLOCK, REST_BLOCK = 64, 512
 #: Words of the bitmap by which a pair is ruled out before its sets are compared.
 BITMAP_WORDS = 64
+#: Asking items up to which every pair is tested at once.
+FEW = 6
+#: Characters whose sets are made at once.
+BLOCK_CHARS = 1 << 16
 #: Roles in a unit: is only compared with those that ask, only asks, or both.
 ABOUT, ASKS, BOTH = 0, 1, 2
 
@@ -85,13 +89,14 @@ def rest_units(members: DataFrame, roots: DataFrame) -> DataFrame:
     return single.unionByName(about).unionByName(asks)
 
 
-def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Callable, percent: int) -> DataFrame:
+def verify(units: DataFrame, payload: DataFrame, to_sets: Callable, similar: Callable, percent: int) -> DataFrame:
     """Links ``a, b`` between the similar items of a unit, enough to connect them.
 
-    ``payload`` has ``item, text``; ``to_set`` makes a sorted hash set of a text,
-    ``similar`` tests two sets.  Pairs whose bitmaps already differ in more places
-    than sets of Jaccard similarity ``percent`` can differ in elements are not tested:
-    a place that differs stands for an element that only one of the sets has.
+    ``payload`` has ``item, text``; ``to_sets`` makes sorted hash sets of a list of texts,
+    ``similar`` tests two sets.  Where more than ``FEW`` items ask, pairs whose bitmaps already
+    differ in more places than sets of Jaccard similarity ``percent`` can differ in
+    elements are not tested: a place that differs stands for an element that only one
+    of the sets has.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -103,10 +108,12 @@ def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Call
                 x = parent[x]
             return x
 
-        def candidates(own: np.ndarray) -> np.ndarray:
+        def candidates(own):
             nonlocal stacked
+            if len(asking) <= FEW:
+                return range(len(asking))
             if stacked is None:
-                stacked = np.stack([x[3] for x in asking]), np.array([len(x[2]) for x in asking])
+                stacked = np.stack([bitmap(x[2]) for x in asking]), np.array([len(x[2]) for x in asking])
             differ = np.bitwise_count(stacked[0] ^ bitmap(own)).sum(axis=1).astype(np.int64)
             # |A xor B| <= (|A| + |B|) * (100 - p) / (100 + p) for similarity p percent
             return np.flatnonzero((100 + percent) * differ <= (100 - percent) * (stacked[1] + len(own)))
@@ -114,19 +121,18 @@ def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Call
         for batch in batches:
             units, items, roles, roots = (batch.column(i).to_pylist() for i in range(4))
             links: list[tuple[int, int]] = []
-            for i, text in enumerate(batch.column(4)):
+            for i, own in enumerate(_in_blocks(batch.column(4), to_sets)):
                 if units[i] != unit:
                     unit, asking, stacked, parent = units[i], [], None, {}
-                own = to_set(text.as_py())
                 if roles[i] != ASKS and asking:
                     for k in candidates(own):
-                        item, root, other, _ = asking[k]
+                        item, root, other = asking[k]
                         a, b = find(root), find(roots[i])
                         if a != b and similar(own, other):
                             parent[max(a, b)] = min(a, b)
                             links.append((item, items[i]))
                 if roles[i] != ABOUT:  # those that ask come first
-                    asking.append((items[i], roots[i], own, bitmap(own)))
+                    asking.append((items[i], roots[i], own))
                     stacked = None
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], schema=schema)
@@ -137,8 +143,21 @@ def verify(units: DataFrame, payload: DataFrame, to_set: Callable, similar: Call
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _in_blocks(column: pa.Array, to_sets: Callable) -> Iterator[np.ndarray]:
+    """The sets of a column of texts, made for about ``BLOCK_CHARS`` characters at a time."""
+    block, size = [], 0
+    for text in column:
+        text = text.as_py() or ""
+        block.append(text)
+        size += len(text)
+        if size >= BLOCK_CHARS:
+            yield from to_sets(block)
+            block, size = [], 0
+    yield from to_sets(block)
+
+
 def bitmap(items: np.ndarray) -> np.ndarray:
-    """The set's elements as bits of ``BITMAP_WORDS`` words, by their leading bits."""
+    """The elements of a sorted hash set as bits of ``BITMAP_WORDS`` words, by their leading bits."""
     bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
     bits[(items >> np.uint64(64 - (64 * BITMAP_WORDS - 1).bit_length())).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
@@ -175,7 +194,7 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(labels, "components")
 
 
-def near_components(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], to_set: Callable, similar: Callable,
+def near_components(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], to_sets: Callable, similar: Callable,
                     percent: int) -> DataFrame:
     """``item, root`` of all items with a verified link (input: ``key, item``).
 
@@ -184,12 +203,12 @@ def near_components(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], to
     members = buckets(keys)
     star = materialize(star_units(members), "star-units")
     payload = materialize(fetch(members.select("item").distinct()), "payload")
-    links = materialize(verify(star, payload, to_set, similar, percent), "star-links")
+    links = materialize(verify(star, payload, to_sets, similar, percent), "star-links")
     roots = components(links)
     rest = materialize(rest_units(members, roots), "rest-units")
     if rest.isEmpty():
         return roots
-    more = materialize(verify(rest, payload, to_set, similar, percent), "rest-links")
+    more = materialize(verify(rest, payload, to_sets, similar, percent), "rest-links")
     if more.isEmpty():
         return roots
     return components(links.unionByName(more))

@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return src.join(w, same).groupBy("item").agg(F.first("text").alias("text"))
 
     roots = near_components(items.select(F.explode(tables).alias("key"), "item"), fetch,
-                            lambda text: shingles(text, n), lambda a, b: similar(a, b, percent), percent)
+                            lambda found: [shingles(t, n) for t in found], lambda a, b: similar(a, b, percent), percent)
     named = items.select("item", "node", "least_id").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialize(named.join(names, "root").select("node", "component_id"), "near-components")

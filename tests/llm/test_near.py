@@ -221,7 +221,7 @@ def test_shingle_hashes_stay_inside_lines():
     found, starts = line_dedup.shingle_hashes([a, b])
     alone = [line_dedup.shingle_hashes([x])[0] for x in (a, b)]
     assert list(starts) == [0, len(a) - 7] and (found == np.concatenate(alone)).all()
-    assert len(line_dedup.line_set("tiny")) == 1
+    assert len(line_dedup.line_sets(["tiny"])[0]) == 1
 
 
 def test_pipeline_stages(spark):
