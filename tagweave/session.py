@@ -92,6 +92,16 @@ def _row_bytes(df: DataFrame) -> Column:
     return total
 
 
+def payload_bytes(df: DataFrame) -> int:
+    """Upper estimate of the rows' payload, summed in the tasks.  Structs and maps count by
+    the length of their text form."""
+    flat = df.select(*[F.to_json(F.struct(F.col(f"`{f.name}`"))).alias(f.name)
+                       if isinstance(f.dataType, (T.StructType, T.MapType))
+                       or (isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.StructType, T.ArrayType, T.MapType)))
+                       else F.col(f"`{f.name}`") for f in df.schema])
+    return flat.agg(F.coalesce(F.sum(_row_bytes(flat)), F.lit(0))).first()[0]
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast ``df`` only if it is proven small: at most ``max_rows`` rows
     and at most ``max_bytes`` payload bytes, both summed by one probe job in
