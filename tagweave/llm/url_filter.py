@@ -10,7 +10,12 @@ a URL is judged by looking up a few bits instead of joining the list.
 
 Level 0 has a false-positive rate of about sqrt(1/2) * listed / others, later
 levels 1/2, so that the cascade's size follows the list (about
-1.44 * log2(others / listed) bits a listed key) and not the URLs.
+1.44 * log2(others / listed) bits a listed key) and not the URLs.  A list whose
+level 0 is too large for one task is cut by a hash of the key into several cascades
+over their parts of the universe.
+
+The shapes are rows, not expressions: a URL has one candidate row per shape that
+fits, and a candidate's membership is one expression of a few bits per level.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from tagweave.llm.common import materialize, narrow
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALLOW, BLOCK = "allow", "block"
-#: Every task holds all levels; a list that needs more bits in a level is refused.
+#: Every task holds all levels of a cascade; longer lists are cut into several of them.
 MAX_LEVEL_BITS = 1 << 27
 
 
@@ -48,10 +53,17 @@ def labels(host: Column) -> Column:
     return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def _key(host: Column, path: Column, n_labels: int, n_path: int) -> Column:
-    """The key of one shape, or null where the URL is too short for it."""
-    fits = (labels(host) >= n_labels) & (F.length(path) >= n_path)
-    return F.when(fits, F.concat(F.substring_index(host, ".", -n_labels), F.substring(path, 1, n_path)))
+def candidates(split: DataFrame, shapes: list[tuple[int, int]], *keep: str) -> DataFrame:
+    """``keep`` columns and ``key, n_labels`` for every shape (labels, path length) that a URL fits."""
+    by_labels: dict[int, list[int]] = {}
+    for n, m in shapes:
+        by_labels.setdefault(n, []).append(m)
+    table = F.expr("array(" + ", ".join(f"named_struct('n', {n}, 'm', array({', '.join(map(str, ms))}))"
+                                        for n, ms in sorted(by_labels.items())) + ")")
+    rows = split.select(*keep, "host", "path", F.inline(table)).filter(labels(F.col("host")) >= F.col("n"))
+    rows = rows.select(*keep, "path", "n", F.expr("substring_index(host, '.', -n)").alias("suffix"), F.explode("m").alias("m"))
+    rows = rows.filter(F.length("path") >= F.col("m"))
+    return rows.select(*keep, F.concat("suffix", F.expr("substring(path, 1, m)")).alias("key"), F.col("n").alias("n_labels"))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -71,8 +83,6 @@ class Level:
     def __init__(self, keys: DataFrame, count: int, rate: float, level: int):
         self.level, self.hashes = level, max(1, round(math.log2(1 / rate)))
         self.bits = max(64, math.ceil(1.44 * count * math.log2(1 / rate) / 64) * 64)
-        if self.bits > MAX_LEVEL_BITS:
-            raise ValueError(f"level {level} needs {self.bits} bits, more than MAX_LEVEL_BITS")
         bit = F.explode(F.array(*[_bit(F.col("key"), level, i, self.bits) for i in range(self.hashes)]))
         set_words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("id")).agg(
             F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word"))
@@ -89,6 +99,15 @@ class Level:
         return test
 
 
+def first_rate(listed: int, universe: int) -> float:
+    return min(0.5, math.sqrt(0.5) * listed / max(1, universe))
+
+
+def cascade_count(listed: int, universe: int) -> int:
+    """How many cascades a list needs so that each one's level 0 fits ``MAX_LEVEL_BITS``."""
+    return max(1, math.ceil(1.44 * listed * math.log2(1 / first_rate(listed, universe)) / MAX_LEVEL_BITS)) if listed else 1
+
+
 class Cascade:
     """Exact membership in ``listed`` for every key of ``universe`` (both: ``key``, distinct)."""
 
@@ -97,8 +116,8 @@ class Cascade:
         self.levels: list[Level] = []
         if not n_inside:
             return
-        outside, others = universe.join(listed, "key", "left_anti"), max(1, universe.count())
-        rate = min(0.5, math.sqrt(0.5) * n_inside / others)
+        outside = universe.join(listed, "key", "left_anti")
+        rate = first_rate(n_inside, universe.count())
         while n_inside:
             level = Level(inside, n_inside, rate, len(self.levels))
             self.levels.append(level)
@@ -124,7 +143,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     listed with both verdicts blocks.  ``rule`` is the key or null; without a rule the
     verdict is ``default``, as the cascade holds no key of the URL.  Null URLs
     and URLs without ``://`` have an empty host and path and no rule.  Rows that
-    repeat are judged alike; an empty table or list works.  Rules with null keys
+    repeat are judged alike; an empty table of pages gives an empty result, an empty list
+    the default.  Rules with null keys
     are ignored.
     """
     src = narrow(pages, page_id=id_col, url=url_col)
@@ -141,18 +161,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .groupBy("key", "n_labels", "n_path").agg(F.max("blocks").alias("blocks")), "url-rules")
     # the shapes of the rules: label counts by path lengths, a short list
     shapes = sorted((r.n_labels, r.n_path) for r in listed.select("n_labels", "n_path").distinct().toLocalIterator())
-    keys = [_key(F.col("host"), F.col("path"), n, m) for n, m in shapes]
-    if not keys:
+    if not shapes:
         return split.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"),
                             F.lit(default).alias("verdict"))
 
-    universe = materialize(split.select(F.explode(F.array(*keys)).alias("key")).filter(F.col("key").isNotNull())
-                           .distinct(), "url-universe")
-    member = Cascade(listed.select("key"), universe)
-    blocked = Cascade(listed.filter("blocks").select("key"), listed.select("key"))
-    found = [F.when(member.holds(key), F.struct(F.length(key).alias("n"), F.lit(n).alias("labels"), key.alias("key")))
-             for key, (n, _) in zip(keys, shapes)]
-    rule = F.array_max(F.array(*found)).getField("key")  # nulls do not take part
-    judged = split.withColumn("rule", rule)
-    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocked.holds(F.col("rule")), F.lit(BLOCK))
-    return judged.select("page_id", "host", "path", "rule", verdict.otherwise(F.lit(ALLOW)).alias("verdict"))
+    split = materialize(split.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    universe = materialize(candidates(split, shapes).select("key").distinct(), "url-universe")
+    parts = cascade_count(listed.count(), universe.count())
+    found = None
+    for part in range(parts):
+        def own(keys: DataFrame) -> DataFrame:
+            return keys if parts == 1 else keys.filter(F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(parts)) == part)
+
+        member = Cascade(own(listed.select("key")), own(universe))
+        blocked = Cascade(own(listed.filter("blocks").select("key")), own(listed.select("key")))
+        hits = own(candidates(split, shapes, "row")).filter(member.holds(F.col("key"))).select(
+            "row", F.struct(F.length("key").alias("n"), "n_labels", "key", blocked.holds(F.col("key")).alias("blocks")).alias("hit"))
+        found = hits if found is None else found.unionByName(hits)
+    best = materialize(found.groupBy("row").agg(F.max("hit").alias("hit")), "url-hits")
+    verdict = F.when(F.col("hit").isNull(), F.lit(default)).when(F.col("hit.blocks"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    return split.join(best, "row", "left").select("page_id", "host", "path", F.col("hit.key").alias("rule"), verdict.alias("verdict"))

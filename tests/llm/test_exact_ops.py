@@ -156,6 +156,37 @@ def test_judge_urls_brute(spark, rules):
     assert got == {i: brute_judge(u, rules) for i, u in enumerate(urls)}
 
 
+@pytest.mark.parametrize("max_bits", [1 << 27, 1024])
+def test_judge_urls_with_many_rules_of_many_shapes(spark, monkeypatch, max_bits):
+    """Several hundred shapes plan at once; a list too large for one cascade is cut into some."""
+    import random
+
+    from tagweave.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "MAX_LEVEL_BITS", max_bits)
+    rng = random.Random(3)
+    hosts = [".".join(rng.choice("abcd") * rng.randint(1, 4) for _ in range(n)) + ".org" for n in range(1, 7) for _ in range(30)]
+    paths = ["/" + "".join(rng.choice("xy/") for _ in range(m)) for m in range(60) for _ in range(3)]
+    rules = sorted({(rng.choice(["allow", "block"]), h + p) for h in hosts for p in rng.sample(paths, 12)}, key=lambda r: r[1])
+    rules = list({k: (v, k) for v, k in rules}.values())
+    shapes = {(k.split("/", 1)[0].count("."), len(k.split("/", 1)[1])) for _, k in rules}
+    assert len(shapes) > 250 and len(rules) > 1500
+    if max_bits < 1 << 27:
+        assert url_filter.cascade_count(len(rules), 5000) > 2
+    urls = ["https://" + rng.choice(["", "w."]) + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "z", "?q"]) for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, key string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, table).collect()}
+    assert got == {i: brute_judge(u, rules) for i, u in enumerate(urls)}
+    assert sum(r[2] is not None for r in got.values()) > 50
+
+
+def test_judge_urls_on_no_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert judge_urls(empty, rule_table(spark, [("block", "a.org/x")])).count() == 0
+    assert judge_urls(empty, rule_table(spark, [])).count() == 0
+
+
 def test_cascade_is_exact_on_its_universe(spark):
     universe = spark.range(5000).selectExpr("concat('k', id) AS key")
     listed = spark.range(0, 5200, 13).selectExpr("concat('k', id) AS key")
