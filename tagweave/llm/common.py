@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagweave.session import read_table, scratch_path, sized_broadcast
+from tagweave.session import payload_bytes, read_table, scratch_path, sized_broadcast
 
 __all__ = ["read_table", "materialize", "narrow", "positions", "same_keys", "shuffle_tasks", "small_enough", "stable_rank"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Upper bounds of anything that is sent to every task: rows, and bytes a row.
-SMALL_ROWS = 1_000_000
-SMALL_ROW_BYTES = 64
+#: Upper bounds of anything that is sent to every task: rows, and their payload.
+SMALL_ROWS = 500_000
+SMALL_BYTES = 32 << 20
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,13 +39,18 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_enough(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether a materialised frame of narrow rows may be sent to every task.
+def small_enough(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
+    """Whether a materialised frame may be sent to every task: at most ``max_rows`` rows
+    and ``max_bytes`` of payload.
 
-    The caller vouches for rows of at most ``SMALL_ROW_BYTES`` bytes; the count
-    is read from Parquet footers, not from the rows.
+    The count comes from Parquet footers; the bytes of fixed-width rows follow from it, those of
+    strings and arrays are summed in the tasks.
     """
-    return df.count() <= max_rows
+    rows = df.count()
+    if rows > max_rows:
+        return False
+    fixed = not any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for f in df.schema)
+    return rows * 8 * len(df.columns) <= max_bytes if fixed else payload_bytes(df) <= max_bytes
 
 
 def stable_rank(seed: str, *cols):
@@ -82,7 +88,7 @@ def positions(df: DataFrame, group: list[str], order: list[str], name: str, weig
         ranged = ranged.withColumn("__inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     else:
         ranged = ranged.withColumn("__inside", F.col("__row"))
-    r, p = ranged.alias("r"), sized_broadcast(parts, SMALL_ROWS, SMALL_ROWS * SMALL_ROW_BYTES).alias("p")
+    r, p = ranged.alias("r"), sized_broadcast(parts, SMALL_ROWS, SMALL_BYTES).alias("p")
     pos = F.col("p.__before") + F.col("r.__inside") - (F.lit(0) if weight else F.col("p.__first"))
     out = r.join(p, same_keys("r", "p", ["__part", *group]))
     return out.select(*[F.col(f"r.{c}") for c in df.columns], pos.cast("long").alias("pos"))

@@ -24,6 +24,7 @@ from tagweave.llm.arrow import texts
 from tagweave.llm.common import materialize, narrow, small_enough
 from tagweave.llm.links import near_components
 from tagweave.llm.near_dedup import MinHash, folded, mix, powers, similar
+from tagweave.session import sized_broadcast
 
 MIN_CHARS, SHINGLE = 24, 8
 BANDS, ROWS = 12, 4
@@ -109,11 +110,11 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
                         continue
                     digest = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
                     item, more = (x - (1 << 64) if x >> 63 else x for x in (digest >> 64, digest & 0xFFFFFFFFFFFFFFFF))
-                    fresh = item not in seen
+                    fresh = digest not in seen
                     if fresh:
                         if len(seen) >= SEEN_LINES:
                             seen.clear()
-                        seen.add(item)
+                        seen.add(digest)
                         new.append(line)
                         chars += len(line)
                     rows.append((doc_id, text_hash, number, item, more, fresh))
@@ -128,13 +129,26 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
         run, "doc_id long, text_hash long, line int, item long, more long, keys array<long>")
 
 
+def line_items(table: DataFrame) -> DataFrame:
+    """One row per ``item``: its first line, its lines' number, and the least and greatest of
+    their other 64 bits, which differ if the item stands for several lines."""
+    return materialize(table.groupBy("item").agg(
+        F.min(F.struct("doc_id", "line", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n"),
+        F.min("more").alias("more"), F.max("more").alias("more_too")), "line-items")
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                    percent: int = PERCENT) -> DataFrame:
     """``doc_id, text_hash, lines``: the numbers (from 0) of the lines to remove, for documents that have any."""
     table = materialize(line_table(docs, id_col, text_col, min_chars), "lines")
-    firsts = materialize(
-        table.groupBy("item", "more").agg(F.min(F.struct("doc_id", "line", "text_hash")).alias("first"),
-                                          F.count(F.lit(1)).alias("n")), "line-items")
+    firsts = line_items(table)
+    clash = firsts.filter("more <> more_too").select("item")
+    if not clash.isEmpty():  # different lines under one 64-bit number: it takes the other half in as well
+        clash = materialize(clash, "line-clashes").withColumn("clash", F.lit(True))
+        table = table.join(sized_broadcast(clash), "item", "left").withColumn(
+            "item", F.when(F.col("clash"), F.xxhash64("item", "more")).otherwise(F.col("item"))).drop("clash")
+        table = materialize(table, "lines")
+        firsts = line_items(table)
 
     def fetch(wanted: DataFrame) -> DataFrame:
         """Lines of items, each from its first document."""
@@ -145,14 +159,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keys = table.filter("keys is not null").select(F.explode("keys").alias("key"), "item")
     roots = near_components(keys, fetch, line_sets, lambda a, b: similar(a, b, percent), percent)
-    linked = firsts.join(roots, "item").select("item", "more", "first", "root")
-    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("item", "more", "least")
-    kept = firsts.join(linked, ["item", "more"], "left").filter("n > 1 or least is not null").select(
-        "item", "more", F.coalesce("least", "first").alias("kept"))
-    kept = materialize(kept, "kept-lines")
-    again = table.select("doc_id", "text_hash", "line", "item", "more").join(
-        F.broadcast(kept) if small_enough(kept, 250_000) else kept, ["item", "more"])
-    again = again.filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
+    linked = firsts.join(roots, "item").select("item", "first", "root")
+    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("item", "least")
+    kept = firsts.join(linked, "item", "left").filter("n > 1 or least is not null").select(
+        "item", F.coalesce("least", "first").alias("kept"))
+    kept = materialize(kept.select("item", "kept.*").withColumnsRenamed(
+        {"doc_id": "kept_id", "line": "kept_line", "text_hash": "kept_hash"}), "kept-lines")
+    again = table.select("doc_id", "text_hash", "line", "item").join(
+        F.broadcast(kept) if small_enough(kept, 250_000) else kept, "item")
+    again = again.filter(~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+                           & (F.col("line") == F.col("kept_line"))))
     return materialize(again.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines")), "removed-lines")
 
 
@@ -201,7 +217,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         length_col: str | None = "n_chars", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with all their columns and without repeated lines.
 
-    Documents of which no line is left go; documents that were empty before stay.
+    Documents of which no line is left go; documents that were empty or null before stay.
+    Null and repeated ids are as in ``dedup_lines``; an empty table gives an empty result.
     ``length_col``, if the input has it, becomes the new text's length.
     """
     removed = repeated_lines(docs, id_col, text_col, min_chars).withColumnRenamed("lines", "removed")

@@ -74,27 +74,17 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
                         F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``.
-
-    ``size`` is the text's number of words (0 for null or empty text), ``target``
-    its source's budget and ``taken`` the words that the mix takes of it: its size
-    times the whole epochs, plus what the last, cut epoch takes.  Taken words of a
-    source add up to its target rounded to a whole word.  The order is a hash of
-    the id, ties (repeated ids) by size, so reruns agree; rows that repeat in every column
-    are taken separately.  A null source is a source of its own; a null id has a
-    place of its own.  Sources without any word have target 0.  An empty table
-    gives an empty result.  Further columns are ignored.
-    """
+def placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS,
+                     max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """``mix`` with the rows' ``source`` and ``text_hash``."""
     spark = docs.sparkSession
     sized = narrow(docs, doc_id=id_col, text=text_col, source=source_col).select(
         F.col("doc_id").cast("long"), word_count(F.col("text").cast("string")).alias("size"),
-        F.col("source").cast("string"))
+        F.col("source").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     sized = materialize(sized.withColumn("key", stable_rank(seed, F.col("doc_id"))), "mix-sizes")
     budget = targets(source_table(sized, weights), max_epochs)
 
-    order = ["key", "doc_id", "size"]
+    order = ["key", "doc_id", "size", "text_hash"]
     ranged = materialize(sized.repartitionByRange(shuffle_tasks(spark), "source", *order)
                          .withColumn("part", F.spark_partition_id()), "mix-ranged")
     # words of the source in earlier partitions; one row per partition and source
@@ -113,23 +103,54 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(F.lit(0))
     left = budget_words - whole * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("offset") - F.col("inside")))
-    return out.select("r.doc_id", "size", "source_size", "target",
+    return out.select("r.doc_id", "r.source", "text_hash", "size", "source_size", "target",
                       (F.col("size") * whole + cut).cast("long").alias("taken"))
 
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, taken``.
+
+    ``size`` is the text's number of words (0 for null or empty text), ``target``
+    its source's budget and ``taken`` the words that the mix takes of it: its size
+    times the whole epochs, plus what the last, cut epoch takes.  Taken words of a
+    source add up to its target rounded to a whole word.  The order is a hash of
+    the id, ties (repeated ids) by size and a hash of the text, so reruns agree; rows that repeat in every column
+    are taken separately.  A null source is a source of its own; a null id has a
+    place of its own.  Sources without any word have target 0.  An empty table
+    gives an empty result.  Further columns are ignored.
+    """
+    return placed_documents(docs, id_col, text_col, source_col, weights, max_epochs, seed).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     **settings) -> DataFrame:
     """The mix itself: the documents with all their columns, each as often as the mix
     takes it.  A document is never cut: the one at a budget's end is taken once
     more if the mix takes half of it or more.  Documents without words have no share.
+
+    Rows that agree in id, source and text share what the mix takes of them as evenly as
+    whole rows allow, the rest going to those with the least hash of all columns.  Null ids and
+    sources are as in ``mix``; an empty table gives an empty result.
     """
-    plan = mix(docs, id_col, text_col, source_col, **settings).filter("taken > 0")
-    times = plan.groupBy("doc_id", "size").agg(F.avg(F.col("taken") / F.col("size")).alias("times"))
-    times = times.select("doc_id", "size", F.floor(F.col("times") + 0.5).cast("int").alias("times")).filter("times > 0")
-    times = materialize(times, "mix-times")
-    times = (F.broadcast(times) if small_enough(times) else times).alias("t")
+    plan = placed_documents(docs, id_col, text_col, source_col, **settings).filter("size > 0")
+    times = plan.groupBy("doc_id", "source", "text_hash").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("taken") / F.col("size") + 0.5).cast("long")).alias("times"))
+    times = materialize(times.filter("times > 0"), "mix-times")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name can clash
-    same = F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("t.doc_id")) & (
-        word_count(F.col(f"row.`{text_col}`").cast("string")) == F.col("t.size"))
-    taken = row.join(times, same).select("row", F.explode(F.sequence(F.lit(1), F.col("t.times"))))
-    return taken.select("row.*")
+
+    def taken(times: DataFrame) -> DataFrame:
+        t = (F.broadcast(times) if small_enough(times) else times).alias("t")
+        same = (F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("t.doc_id"))
+                & F.col(f"row.`{source_col}`").cast("string").eqNullSafe(F.col("t.source"))
+                & (F.xxhash64(F.col(f"row.`{text_col}`").cast("string")) == F.col("t.text_hash")))
+        return row.join(t, same)
+
+    out = taken(times.filter("n = 1")).select("row", F.col("t.times").alias("times"))
+    repeats = materialize(times.filter("n > 1"), "mix-repeats")
+    if not repeats.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("t.doc_id", "t.source", "t.text_hash").orderBy(F.xxhash64("row")))
+        share = F.expr("t.times div t.n") + (F.col("rank") <= F.expr("t.times % t.n")).cast("long")
+        out = out.unionByName(taken(repeats).withColumn("rank", rank).select("row", share.alias("times")).filter("times > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

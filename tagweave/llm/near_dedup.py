@@ -156,23 +156,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, side: int, r
         run, "doc_id long, text_hash long, node binary, n_shingles long, left array<long>, right array<long>")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
-                    percent: int = PERCENT, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept, text_hash``.
-
-    Documents are linked if 100 * intersection >= percent * union of their sets
-    of n-word shingles; a component's id is its smallest ``doc_id`` and that
-    document is kept.  Null, empty and blank texts have an empty set, no link and
-    a component of their own.  Rows that repeat an id and text are one document.
-    A null id never names a component that has an id; a component of null ids
-    only has a null id and is kept.  An empty table gives an empty result.
-    Further columns are ignored, whatever their names.
-    """
+def judged_documents(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent: int = PERCENT, side: int = SIDE,
+                     rows: int = ROWS) -> DataFrame:
+    """``near_duplicates`` with ``best_id, best_hash``: id and text hash of the document that
+    stands for the component (least id, null ids last, then least hash); the hash is null
+    for documents without shingles."""
     table = materialize(signatures(docs, id_col, text_col, n, side, rows), "near-signatures")
     # equal sets are one item, however many documents hold them
+    pair = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     items = table.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash", "left", "right")).alias("first"))
-    items = materialize(items.select(F.monotonically_increasing_id().alias("item"), "node", "least_id", "first.*"), "near-items")
+        F.min("doc_id").alias("least_id"), F.min(pair).alias("least"),
+        F.min(F.struct("doc_id", "text_hash", "left", "right")).alias("first"))
+    items = materialize(items.select(F.monotonically_increasing_id().alias("item"), "node", "least_id", "least", "first.*"), "near-items")
     tables = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y))))
 
     def fetch(wanted: DataFrame) -> DataFrame:
@@ -186,21 +181,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     roots = near_components(items.select(F.explode(tables).alias("key"), "item"), fetch,
                             lambda found: [shingles(t, n) for t in found], lambda a, b: similar(a, b, percent), percent)
-    named = items.select("item", "node", "least_id").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = materialize(named.join(names, "root").select("node", "component_id"), "near-components")
+    named = items.select("item", "node", "least_id", "least").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least").alias("best"))
+    named = named.drop("least").join(names, "root").select("node", "component_id", F.col("best.doc_id").alias("best_id"),
+                                                           F.col("best.text_hash").alias("best_hash"))
+    named = materialize(named, "near-components")
     out = table.select("doc_id", "text_hash", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "best_id", "best_hash")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
+                    percent: int = PERCENT, side: int = SIDE, rows: int = ROWS) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept, text_hash``.
+
+    Documents are linked if 100 * intersection >= percent * union of their sets
+    of n-word shingles; a component's id is its smallest ``doc_id`` and that
+    document is kept.  Null, empty and blank texts have an empty set, no link and
+    a component of their own.  Rows that repeat an id and text are one document.
+    A null id never names a component that has an id; a component of null ids
+    only has a null id and is kept.  An empty table gives an empty result.
+    Further columns are ignored, whatever their names.
+    """
+    return judged_documents(docs, id_col, text_col, n, percent, side, rows).drop("best_id", "best_hash")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents with all their columns, one of each component."""
-    judged = near_duplicates(docs, id_col, text_col, **settings)
-    gone = materialize(judged.filter(~F.col("kept")).select("doc_id", "text_hash").distinct(), "near-gone")
-    gone = (F.broadcast(gone) if small_enough(gone) else gone).alias("g")
+    """The documents with all their columns, one row of each component.
+
+    It is the row with the least id, null ids last, of equal ids the one with the least text
+    hash; of rows that repeat id and text the one with the least hash of all columns.  Null, empty and
+    blank texts are no duplicates: all their rows stay.  An empty table gives an empty result.
+    """
+    judged = materialize(judged_documents(docs, id_col, text_col, **settings).filter("best_hash is not null").select(
+        "doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash"))).alias("best")),
+        "near-judged")
+    gone = materialize(judged.filter(~F.col("best")).select("doc_id", "text_hash").distinct(), "near-gone")
+    twice = judged.filter("best").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = materialize(twice.select("doc_id", "text_hash"), "near-twice")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name can clash
-    same = F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("g.doc_id")) & (
-        F.xxhash64(F.col(f"row.`{text_col}`").cast("string")) == F.col("g.text_hash"))
-    return row.join(gone, same, "left_anti").select("row.*")
+
+    def same(right: str):
+        return F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col(f"{right}.doc_id")) & (
+            F.xxhash64(F.col(f"row.`{text_col}`").cast("string")) == F.col(f"{right}.text_hash"))
+
+    def small(df: DataFrame, name: str) -> DataFrame:
+        return (F.broadcast(df) if small_enough(df) else df).alias(name)
+
+    left = row.join(small(gone, "g"), same("g"), "left_anti")
+    if not twice.isEmpty():
+        repeats = left.join(small(twice, "t"), same("t")).groupBy("t.doc_id", "t.text_hash").agg(
+            F.min_by("row", F.xxhash64("row")).alias("row"))
+        left = left.join(small(twice, "t"), same("t"), "left_anti").unionByName(repeats.select("row"))
+    return left.select("row.*")

@@ -173,7 +173,8 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str =
     but the query's own id; components are floor(scale * x).  Ties go to the
     smaller id.  Vectors that are null or hold null or non-finite components take
     no part, nor do null ids; shorter vectors count as filled up with zeros; rows
-    that repeat id and vector count once.  Fewer candidates than k give all of
+    that repeat id and vector count once.  Scores are 64-bit integers: components so large
+    that a product could exceed them raise a ``ValueError``.  Fewer candidates than k give all of
     them; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -184,6 +185,9 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str =
             .withColumn("part", F.spark_partition_id()).sortWithinPartitions(F.desc("n2"), "vec_id"))
     rows = materialize(rows, "vectors-by-norm")
     dims, first = rows.agg(F.max(F.size("v")), F.min("part")).first()
+    largest = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.greatest(x, -x))))).first()[0] or 0
+    if largest * largest * (dims or 0) >= 1 << 63:
+        raise ValueError(f"components up to {largest} in {dims} dimensions have products beyond 64 bits")
     asked = rows.filter(F.col("vec_id") % every == 0)
     n_blocks = max(1, -(-asked.count() // query_block))
     asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))), "queries")
