@@ -232,7 +232,7 @@ class ChunkCache:
         if len(self.young) >= (self.chunks or CACHED_CHUNKS):
             self.young, self.old = {}, self.young
         chunks, young, old = chunks_of(text), self.young, self.old
-        missing = {c for c in chunks if c not in young}
+        missing = set(chunks).difference(young)
         if not missing:
             return b"".join(map(young.__getitem__, chunks))
         young.update((c, old[c]) for c in missing if c in old)

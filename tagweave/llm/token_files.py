@@ -24,6 +24,7 @@ The folder is any place that ``pyarrow.fs`` opens and all executors share.
 from __future__ import annotations
 
 import json
+import string
 import struct
 import uuid
 from array import array
@@ -58,6 +59,8 @@ CACHED_CHUNKS = 400_000
 FILE_DOCS = 1_000_000
 #: Pieces of a joined call, their longest, and the code points that may take part.
 JOINED_CHUNKS, JOINED_CHARS, JOINABLE = 512, 40, range(0x21, 0x250)
+#: Marks that are a word of their own behind a word of letters.
+STOPS = ".,"
 MANIFEST = "part int, path string, docs long, tokens long, frames long, bytes long"
 
 
@@ -191,7 +194,7 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.chunks = ChunkCache(CACHED_CHUNKS, pack=bytes)
-        self.pattern, self.ends, self.plain, self.one_word = None, None, frozenset(), False
+        self.pattern, self.ends, self.plain, self.one_word, self.tails = None, None, frozenset(), False, {}
         self._learn_joins(json.loads(spec))
 
     def _learn_joins(self, spec: dict) -> None:
@@ -211,11 +214,10 @@ class LibraryEncoder:
         answers = iter(self.tokenizer.encode_batch_fast([x for group in contexts for x in group], add_special_tokens=False))
         agree = [[int(self.ends[next(answers).ids].sum()) == self._words(x) for x in group] for group in contexts]
         self.plain = frozenset(c for c, good in zip(tried, agree) if all(good))
+        if self.one_word and self.plain.issuperset(string.ascii_letters):
+            self.tails = {c: x.tobytes() for c, x in zip(STOPS, self._ids(list(STOPS))) if c in self.plain}
 
     def _words(self, chunk: str) -> int:
-        # the pattern makes one word of letters in a row; it is asked about anything else
-        if chunk.isalpha() and self.one_word:
-            return 1
         return len(self.pattern.findall(chunk.lower()))
 
     def _ids(self, chunks: list[str]) -> list[np.ndarray]:
@@ -225,7 +227,9 @@ class LibraryEncoder:
         """Ids of pieces of plain characters, from one call."""
         ids = self._ids([" ".join(chunks)])[0]
         marks = np.flatnonzero(self.ends[ids]) + 1
-        words = np.cumsum([self._words(c) for c in chunks])
+        # the pattern makes one word of letters in a row; it is asked about anything else
+        one = self.one_word
+        words = np.cumsum([1 if one and c.isalpha() else self._words(c) for c in chunks])
         if words[-1] != len(marks) or marks[-1] != len(ids):
             return [x.tobytes() for x in self._ids(chunks)]
         cuts, raw, width = (marks[words - 1] * self.dtype.itemsize).tolist(), ids.tobytes(), 0
@@ -237,12 +241,22 @@ class LibraryEncoder:
 
     def _new(self, chunks: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
-        plain = [c for c in chunks if len(c) <= JOINED_CHARS and self.plain.issuperset(c)]
+        plain, ended, known, together = [], [], self.chunks.young, set(chunks)
+        for c in chunks:
+            word = c[:-1]
+            # a known word with a stop behind it: letters and stops are words of their own
+            if c[-1] in self.tails and (word in known or word in together) and word.isascii() and word.isalpha():
+                ended.append(c)
+            elif len(c) <= JOINED_CHARS and self.plain.issuperset(c):
+                plain.append(c)
         for at in range(0, len(plain), JOINED_CHUNKS):
             part = plain[at:at + JOINED_CHUNKS]
             found.update(zip(part, self._joined(part)))
-        rest = [c for c in chunks if c not in found]
+        rest = list(together.difference(found, ended))
         found.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
+        for c in ended:
+            word = c[:-1]
+            found[c] = (known[word] if word in known else found[word]) + self.tails[c[-1]]
         return [found[c] for c in chunks]
 
     def encode(self, text: str) -> np.ndarray:
