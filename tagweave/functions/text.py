@@ -17,6 +17,7 @@ HANDLE = r"(^|[^A-Za-z0-9_@])@[A-Za-z0-9_]+"
 # The two forms in which an author is given.
 AUTHOR_DASH = r"— (.+)$"
 AUTHOR_QUOTED = r'\\"([^\\"]+)\\"'
+AUTHOR = AUTHOR_DASH + "|" + AUTHOR_QUOTED
 # A run of two or more capitalised ASCII words not glued to a preceding letter.
 MENTION = r"(?:^|[^A-Za-z])([A-Z][a-z]+(?: [A-Z][a-z]+)+)"
 
@@ -71,12 +72,11 @@ def normalize_social(text: Column) -> Column:
 
 
 def author(text: Column) -> Column:
-    """H4: name after a trailing '— ', else the text between escaped quotes, else null.
+    """H4: name after a trailing '— ' or text between escaped quotes, whichever starts
+    first in the text, else null.
 
-    Contract: a trailing dash names the author even behind a quoted passage, and
-    the dash itself is no part of the name."""
-    dash = F.nullif(F.regexp_extract(text, AUTHOR_DASH, 1), F.lit(""))
-    quoted = F.nullif(F.regexp_extract(text, AUTHOR_QUOTED, 1), F.lit(""))
+    Contract: the dash itself is no part of the name."""
+    dash, quoted = (F.nullif(F.regexp_extract(text, AUTHOR, i), F.lit("")) for i in (1, 2))
     return F.trim(F.coalesce(dash, quoted))
 
 

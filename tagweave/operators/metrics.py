@@ -273,6 +273,39 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], by: list[
     return quantiles_from_runs(value_runs(df, value_col, by), value_col, probs, by)
 
 
+#: Size of a quantile sketch, and the error of a single rank that it keeps with
+#: probability 0.99 (share of all rows).
+SKETCH_K, SKETCH_ERROR = 200, 0.0133
+
+
+def sketch_quantiles(df: DataFrame, value_col: str, probs: list[float], by: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
+    """Approximate quantiles (by..., p, q) from one KLL sketch a group, for tables whose distinct
+    values are too many to count: a partial aggregate of a few kilobytes per task and
+    group, merged after one shuffle.  With the default ``k`` a value's rank is wrong by at most
+    ``SKETCH_ERROR`` of the rows with probability 0.99; groups of up to about ``k`` rows are
+    exact.  Nulls don't count; a group of nulls only has no row."""
+    by = by or []
+    v = F.col(value_col).cast("double")
+    sketch = df.filter(v.isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(v, F.lit(k)).alias("_s"))
+    p = F.array(*[F.lit(float(x)) for x in probs])
+    pairs = F.arrays_zip(p.alias("p"), F.kll_sketch_get_quantile_double("_s", p).alias("q"))
+    return sketch.select(*by, F.inline(pairs))
+
+
+def rank_errors(df: DataFrame, quantiles: DataFrame, value_col: str, by: list[str] | None = None) -> DataFrame:
+    """Adds ``rank_error`` to (by..., p, q) rows: how far p lies outside the ranks that the
+    value q really has (shares of rows below it and up to it), 0 inside them."""
+    by = by or []
+    asked = quantiles.groupBy(*by).agg(F.collect_list(F.struct("p", "q")).alias("_a"))  # one row a group and probability
+    x = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    x = x.join(sized_broadcast(asked), by) if by else x.crossJoin(F.broadcast(asked))
+    x = x.select(*by, value_col, "_c", F.explode("_a").alias("_a")).select(*by, value_col, "_c", "_a.*")
+    r = x.groupBy(*by, "p", "q").agg(
+        (F.sum(F.when(F.col(value_col) < F.col("q"), F.col("_c")).otherwise(0)) / F.sum("_c")).alias("_low"),
+        (F.sum(F.when(F.col(value_col) <= F.col("q"), F.col("_c")).otherwise(0)) / F.sum("_c")).alias("_high"))
+    return r.select(*by, "p", "q", F.greatest(F.lit(0.0), F.col("_low") - F.col("p"), F.col("p") - F.col("_high")).alias("rank_error"))
+
+
 def describe_numeric(long: DataFrame, metric_col: str = "metric", value_col: str = "v") -> DataFrame:
     """Count, mean, std (sample), min, quartiles, max per metric of a long
     (metric, value) table.  The raw rows are read once: every statistic comes

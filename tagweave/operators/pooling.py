@@ -6,6 +6,7 @@ aggregation), so a d-wide vector never explodes into d rows."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.session import cut_lineage
+
 
 def _mean_by(df: DataFrame, keys: list[str], vec_col: str) -> DataFrame:
     v = df.select(*keys, array_to_vector(F.col(vec_col)).alias("_v"))
@@ -78,3 +81,62 @@ def embed_with_model(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.n
     udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
                             input_tensor_shapes=[[input_dim]])
     return df.withColumn(out_col, udf(F.col(input_col)))
+
+
+def store_weights(spark, path: str, **arrays: np.ndarray) -> None:
+    """Write a model's arrays as one file of the shared storage (one row of bytes)."""
+    buffer = io.BytesIO()
+    np.savez(buffer, **arrays)
+    spark.createDataFrame([(bytearray(buffer.getvalue()),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark, path: str):
+    """The stored arrays, read once and sent to every worker (the size of the model)."""
+    return spark.sparkContext.broadcast(bytes(spark.read.parquet(path).first()["weights"]))
+
+
+class TokenMixer:
+    """A small encoder over token ids: layer 0 are the tokens' embeddings; layer l adds a share of
+    the valid tokens' mean to scaled units of the layer below, h * scale[l] + mean(h) * mixing[l].
+
+    The stand-in of this library for any encoder: what matters to the job is that it maps a batch
+    of ids and masks to (batch, layers, tokens, units)."""
+
+    def __init__(self, weights: bytes):
+        with np.load(io.BytesIO(weights)) as f:
+            self.table, self.scale, self.mixing = f["table"], f["scale"], f["mixing"]
+
+    def __call__(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        m = mask[..., None].astype(np.float64)
+        h = self.table[ids] * m
+        layers = [h]
+        for scale, mixing in zip(self.scale, self.mixing):
+            mean = h.sum(axis=1, keepdims=True) / np.maximum(m.sum(axis=1, keepdims=True), 1e-9)
+            h = (h * scale + mean * mixing) * m
+            layers.append(h)
+        return np.stack(layers, axis=1)
+
+
+def hidden_states(encoded: DataFrame, weights, make_model: Callable, max_len: int, layers: int, batch_size: int = 64,
+                  id_col: str = "id") -> DataFrame:
+    """``id, layer, token, mask, vec`` of a model run over ``id, input_ids, attention_mask``
+    (arrays of ``max_len``).
+
+    ``weights`` is the broadcast of ``load_weights``; ``make_model`` builds the model from its
+    bytes, once per Python worker, and the model maps (ids, mask) of a batch to (batch,
+    ``layers``, tokens, units).  The model's output is written once before it is taken apart."""
+    def make_predict_fn():
+        model = make_model(weights.value)
+
+        def predict(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            return model(ids.astype(np.int64), mask.astype(np.int64)).reshape(len(ids), -1).astype(np.float64)
+
+        return predict
+
+    run = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+                            input_tensor_shapes=[[max_len], [max_len]])
+    out = cut_lineage(encoded.select(F.col(id_col).alias("id"), F.col("attention_mask").alias("m"), run("input_ids", "attention_mask").alias("s")))
+    units = f"cast(size(s) / {layers * max_len} as int)"
+    cells = F.expr(f"inline(transform(sequence(0, {layers * max_len - 1}), i -> named_struct('layer', cast(i div {max_len} as int), "
+                   f"'token', cast(i % {max_len} as int), 'mask', m[i % {max_len}], 'vec', slice(s, i * {units} + 1, {units}))))")
+    return out.select("id", cells)

@@ -127,9 +127,9 @@ def hidden_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX4: (vec_id, logits array<double>[20]) = 10 * embedding[0..19]."""
+    """FX4: (vec_id, logits array<double>[64]) = 10 * embedding."""
     e = read_table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, 20), lambda x: x.cast("double") * 10).alias("logits"))
+    return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"))
 
 
 def onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,9 +199,10 @@ def social(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX12: per-example loss (vec_id, loss)."""
+    """FX12: per-example loss (vec_id, loss): 3 times the mean absolute value of its vector."""
     e = read_table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", (F.abs(F.col("embedding")[0].cast("double")) * 3).alias("loss"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    return e.select("vec_id", (total / F.size("embedding") * 3).alias("loss"))
 
 
 def doc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def multi_hot_decode(spark, sf_dir):
 
 @register("logits_to_labels", sql("""
 lp AS (SELECT vec_id, i, CASE WHEN 1.0 / (1.0 + exp(-10.0 * CAST(embedding[i + 1] AS DOUBLE))) >= 0.6
-       THEN 1 ELSE 0 END AS h FROM (SELECT vec_id, embedding, unnest(range(0, 20)) AS i FROM embeddings))""", """
+       THEN 1 ELSE 0 END AS h FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings))""", """
 SELECT vec_id, CAST(sum(h) AS BIGINT) AS n_pos, string_agg(CAST(h AS VARCHAR), '' ORDER BY i) AS hot
 FROM lp GROUP BY vec_id"""))
 def logits_to_labels(spark, sf_dir):

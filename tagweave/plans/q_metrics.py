@@ -234,18 +234,33 @@ def describe_num(spark, sf_dir):
     return m.describe_numeric(lv, "metric", "v")
 
 
+@register("quantile_sketch")
+def quantile_sketch(spark, sf_dir):
+    """G16 at scale: quantiles of text lengths and token counts from a mergeable sketch, beside the
+    exact ones and the share of rows by which a sketched value misses its rank."""
+    c = fx.corpus(spark, sf_dir).filter(F.col("text").isNotNull())
+    lv = c.select(F.explode(F.array(
+        F.struct(F.lit("n_chars").alias("metric"), F.length("text").cast("double").alias("v")),
+        F.struct(F.lit("n_tokens").alias("metric"), token_count(F.col("text")).cast("double").alias("v")))).alias("x")).select("x.*")
+    probs = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+    sketched = m.sketch_quantiles(lv, "v", probs, ["metric"])
+    ranks = m.rank_errors(lv, sketched, "v", ["metric"])
+    return ranks.join(m.exact_quantiles(lv, "v", probs, ["metric"]).withColumnRenamed("q", "exact"), ["metric", "p"]).select(
+        "metric", "p", "q", m.r6(F.col("exact")).alias("exact"), m.r6(F.col("rank_error")).alias("rank_error"))
+
+
 @register("bce_loss", sql("""
 el AS (SELECT f.vec_id, f.split, i,
          least(greatest(1.0 / (1.0 + exp(-10.0 * CAST(f.embedding[i + 1] AS DOUBLE))), 1e-7), 1 - 1e-7) AS prob,
          CASE WHEN EXISTS (SELECT 1 FROM featlab l WHERE l.vec_id = f.vec_id AND l.lab = CAST(i AS VARCHAR))
               THEN 1.0 ELSE 0.0 END AS y
-       FROM (SELECT *, unnest(range(0, 10)) AS i FROM feat) f)""", """
+       FROM (SELECT *, unnest(range(0, 64)) AS i FROM feat) f)""", """
 SELECT split, round(avg(-(y * ln(prob) + (1 - y) * ln(1 - prob))), 6) AS loss, count(*) AS n_elements
 FROM el GROUP BY split"""))
 def bce_loss(spark, sf_dir):
-    """Mean BCE per split of sigmoid(logits) against multi-hot targets (10 classes)."""
+    """Mean BCE per split of sigmoid(logits) against multi-hot targets (64 classes, ten of which occur)."""
     f = fx.features(spark, sf_dir)
-    lg = F.slice(F.transform("embedding", lambda x: x.cast("double") * 10), 1, 10)
+    lg = F.transform("embedding", lambda x: x.cast("double") * 10)
     long = f.select("vec_id", "split", "labels", F.posexplode(lg).alias("i", "logit"))
     long = long.select("split", (1 / (1 + F.exp(-F.col("logit")))).alias("prob"),
                        F.array_contains("labels", F.col("i").cast("string")).cast("int").alias("y"))

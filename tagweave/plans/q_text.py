@@ -62,8 +62,8 @@ def normalize_text(spark, sf_dir):
 
 
 @register("extract_author", sql(None, f"""
-SELECT conv_id, turn, trim(coalesce(nullif(regexp_extract(text, {q(tf.AUTHOR_DASH)}, 1), ''),
-                                    nullif(regexp_extract(text, {q(tf.AUTHOR_QUOTED)}, 1), ''))) AS author
+SELECT conv_id, turn, trim(coalesce(nullif(regexp_extract(text, {q(tf.AUTHOR)}, 1), ''),
+                                    nullif(regexp_extract(text, {q(tf.AUTHOR)}, 2), ''))) AS author
 FROM quotes"""))
 def extract_author(spark, sf_dir):
     """H4."""

@@ -93,7 +93,7 @@ PRELUDE = ",\n".join([
     "SELECT p.doc_id + 1000000, p.label FROM pred p WHERE p.doc_id % 89 = 0 UNION ALL "
     "SELECT doc_id, 'Unknown' FROM sub_ids WHERE doc_id % 50 = 0)",
     # FX12 losses, FX13 splits
-    "losses AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) * 3 AS loss FROM embeddings)",
+    "losses AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / len(embedding) * 3 AS loss FROM embeddings)",
     "dsplit AS (SELECT *, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'validation' "
     "ELSE 'dev' END AS split FROM documents)",
 ])

@@ -54,6 +54,26 @@ def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A1: one JSON array of records per file and task, over several lines; null fields are left out.
+
+    Records stream through, so a file has no size that must fit a task."""
+    def array(batches):
+        import pyarrow as pa
+
+        opening = "["
+        for batch in batches:
+            lines = [opening + batch.column(0)[0].as_py()] if len(batch) else []
+            lines += ["," + v.as_py() for v in batch.column(0)[1:]]
+            if lines:
+                opening = ","
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if opening == "[" else "]"], pa.string())], names=["value"])
+
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+    rows.mapInArrow(array, "value string").write.mode(mode).text(path)
+
+
 def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructType = FLAT_SCHEMA,
                    sep: str = ";") -> DataFrame:
     """A2 / A3: delimited text with header, RFC-4180 quoting, embedded newlines."""
