@@ -96,17 +96,17 @@ def extract_features(spark, sf_dir, path: str) -> None:
 
 
 @register("embed_corpus", sql(f"""
-tk AS (SELECT doc_id, split, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')[1:{MAX_LEN}] AS t FROM dsplit),
-pos AS (SELECT doc_id, split, len(t) AS n, p - 1 AS token, CASE WHEN p <= len(t) THEN 1 ELSE 0 END AS mask,
+tk AS MATERIALIZED (SELECT doc_id, split, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')[1:{MAX_LEN}] AS t FROM dsplit),
+pos AS MATERIALIZED (SELECT doc_id, split, len(t) AS n, p - 1 AS token, CASE WHEN p <= len(t) THEN 1 ELSE 0 END AS mask,
                CASE WHEN p <= len(t) THEN (length(t[p]) * 131 + unicode(t[p]) * 31 + unicode(right(t[p], 1)) * 7) % {IDS} ELSE 0 END AS id
         FROM (SELECT *, unnest(range(1, {MAX_LEN + 1})) AS p FROM tk)),
-h0 AS (SELECT *, mask * (((id * 31 + u * 17) % 101) / 101.0::DOUBLE - 0.5) AS h FROM (SELECT *, unnest(range(0, {UNITS})) AS u FROM pos)),
+h0 AS MATERIALIZED (SELECT *, mask * (((id * 31 + u * 17) % 101) / 101.0::DOUBLE - 0.5) AS h FROM (SELECT *, unnest(range(0, {UNITS})) AS u FROM pos)),
 m0 AS (SELECT doc_id, u, sum(h) / greatest(sum(mask), 1e-9) AS m FROM h0 GROUP BY doc_id, u),
-h1 AS (SELECT h0.* EXCLUDE (h), (h * {SCALE[0]}::DOUBLE + m * {MIXING[0]}::DOUBLE) * mask AS h FROM h0 JOIN m0 USING (doc_id, u)),
+h1 AS MATERIALIZED (SELECT h0.* EXCLUDE (h), (h * {SCALE[0]}::DOUBLE + m * {MIXING[0]}::DOUBLE) * mask AS h FROM h0 JOIN m0 USING (doc_id, u)),
 m1 AS (SELECT doc_id, u, sum(h) / greatest(sum(mask), 1e-9) AS m FROM h1 GROUP BY doc_id, u),
-h2 AS (SELECT h1.* EXCLUDE (h), (h * ({SCALE[1]})::DOUBLE + m * {MIXING[1]}::DOUBLE) * mask AS h FROM h1 JOIN m1 USING (doc_id, u)),
+h2 AS MATERIALIZED (SELECT h1.* EXCLUDE (h), (h * ({SCALE[1]})::DOUBLE + m * {MIXING[1]}::DOUBLE) * mask AS h FROM h1 JOIN m1 USING (doc_id, u)),
 lay AS (SELECT 0 AS layer, * FROM h0 UNION ALL SELECT 1, * FROM h1 UNION ALL SELECT 2, * FROM h2),
-mean AS (SELECT doc_id, split, layer, u, avg(h) AS x FROM lay GROUP BY ALL),
+mean AS MATERIALIZED (SELECT doc_id, split, layer, u, avg(h) AS x FROM lay GROUP BY ALL),
 vecs AS (SELECT doc_id, split, 'cls' AS method, '2' AS layers, u AS dim, h AS x FROM h2 WHERE token = 0
          UNION ALL SELECT doc_id, split, 'avg', '0,1,2', u, avg(x) FROM mean GROUP BY doc_id, split, u
          UNION ALL SELECT doc_id, split, 'concatenate', '2,0', CASE WHEN layer = 2 THEN 0 ELSE {UNITS} END + u, x FROM mean WHERE layer IN (0, 2)
