@@ -9,6 +9,7 @@ from tagweave.fixed import (
 )
 from tagweave.functions import text as tf
 from tagweave.functions.seeded import seeded_int_sql, seeded_unit_sql
+from tagweave.operators import tagger as tg
 from tagweave.operators import text as tt
 from tagweave.plans import fixtures as fx
 from tagweave.plans.registry import register
@@ -162,3 +163,33 @@ def format_violations(spark, sf_dir):
     gold = read_table(spark, sf_dir, "documents").select("doc_id")
     vocab = fx.taxonomy(spark)["closure"].select(F.col("node").alias("label"))
     return tt.format_violations(raw, gold, vocab, "doc_id")
+
+
+def mention_rule(words: list[str]) -> list[int]:
+    """The stated rule: a word with one leading capital is (part of) a mention unless it opens a
+    sentence and no capitalised word follows it; neighbours belong together."""
+    def name(i: int) -> bool:
+        return 0 <= i < len(words) and len(words[i]) > 1 and words[i][0].isupper() and words[i][1:].islower()
+
+    tags: list[int] = []
+    for i in range(len(words)):
+        opens = i == 0 or words[i - 1] in ".!?"
+        hit = name(i) and (not opens or name(i + 1))
+        tags.append(0 if not hit else 2 if tags and tags[-1] else 1)
+    return tags
+
+
+@register("mention_tags")
+def mention_tags(spark, sf_dir):
+    """H5: mentions of every tenth document by a tagger that is learned from the others; per document the
+    mentions by the rule, those found, and how many agree (single names included)."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    held = docs.filter(F.col("id") % 10 == 0)
+    weights = tg.fit_tagger(docs.filter(F.col("id") % 10 != 0), mention_rule)
+    rule = F.pandas_udf(lambda s: s.map(lambda t: [m for w, tags in tg.tag_lines(t, mention_rule) for m in tg.spans(w, tags)]), "array<string>")
+    both = tg.tag_mentions(held, weights).join(held.select("id", rule("text").alias("gold")), "id")
+    # matches with repeats: the lesser of both counts of each mention
+    agree = F.aggregate(F.array_distinct("gold"), F.lit(0), lambda n, g: n + F.least(
+        F.size(F.filter("gold", lambda x: x == g)), F.size(F.filter("mentions", lambda x: x == g))))
+    return both.select(F.col("id").alias("doc_id"), F.size("gold").alias("n_rule"), F.size("mentions").alias("n_found"),
+                       agree.alias("n_agree"))

@@ -296,3 +296,112 @@ def test_oversampled_rows_hold_exactly_the_drawn_copies(spark):
     for i in range(175):
         want[ids[(hashed(9, i, seed=1) * MODULUS + hashed(9, i, seed=2)) % 50]] += 1
     assert times == want
+
+
+def test_catalog_reads_only_the_asked_split(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tagweave.plans.q_sources import write_catalog_files
+    from tagweave.sources.catalog import dataset_catalog
+    from tests.conftest import SF_SMALL
+
+    root = str(tmp_path)
+    write_catalog_files(spark, SF_SMALL, root)
+    cat = dataset_catalog(root)
+    assert len(cat.names()) == 9
+    df = cat.load(spark, "semeval2024_test_set_unlabeled")
+    dev = df.filter(F.col("split") == "test")
+    assert dev._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert all("test_unlabeled" in f for f in dev.inputFiles())
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 3
+    ids = {int(r.id) % 8 for r in df.filter("split = 'train'").collect()}
+    assert ids == {0, 1}
+
+
+def test_json_arrays_of_no_rows_and_several_batches(spark, tmp_path):
+    from tagweave.sources import io
+
+    df = spark.range(25_000).selectExpr("cast(id AS string) AS id", "concat('line 1\n\"', id) AS text", "array('a', 'b') AS labels").coalesce(1)
+    io.write_json_array(df, f"{tmp_path}/a")
+    back = io.read_json_records(spark, f"{tmp_path}/a")
+    assert back.count() == 25_000 and back.exceptAll(df).isEmpty()
+    io.write_json_array(df.limit(0), f"{tmp_path}/b")
+    assert io.read_json_records(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_sketched_quantiles_keep_the_rank_error(spark):
+    from pyspark.sql import functions as F
+
+    from tagweave.operators import metrics as m
+
+    df = spark.range(60_000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 48271) % 65_537).cast("double").alias("v"))
+    probs = [0.01, 0.1, 0.5, 0.9, 0.99]
+    q = m.sketch_quantiles(df.repartition(12), "v", probs, ["g"])
+    rows = m.rank_errors(df, q, "v", ["g"]).collect()
+    assert len(rows) == 10 and max(r.rank_error for r in rows) < 2 * m.SKETCH_ERROR
+    few = df.filter("id < 20")
+    exact = {(r.g, r.p): r.rank_error for r in m.rank_errors(few, m.sketch_quantiles(few, "v", probs, ["g"]), "v", ["g"]).collect()}
+    assert all(e < 0.06 for e in exact.values())  # one row of ten, half a step
+
+
+def test_hidden_states_of_a_model_from_its_file(spark, tmp_path):
+    from tagweave.operators import pooling as pl
+
+    rng = np.random.default_rng(0)
+    table, scale, mixing = rng.normal(size=(7, 3)), np.array([0.5]), np.array([2.0])
+    pl.store_weights(spark, f"{tmp_path}/w", table=table, scale=scale, mixing=mixing)
+    rows = [("a", [1, 2, 3, 0], [1, 1, 1, 0]), ("b", [0, 0, 0, 0], [0, 0, 0, 0])]
+    df = spark.createDataFrame(rows, "id string, input_ids array<int>, attention_mask array<int>")
+    got = pl.hidden_states(df, pl.load_weights(spark, f"{tmp_path}/w"), pl.TokenMixer, 4, 2).collect()
+    want = {}
+    for i, ids, mask in rows:
+        h = table[ids] * np.array(mask)[:, None]
+        want |= {(i, 0, t): h[t] for t in range(4)}
+        h = (h * 0.5 + h.sum(0) / max(sum(mask), 1e-9) * 2.0) * np.array(mask)[:, None]
+        want |= {(i, 1, t): h[t] for t in range(4)}
+    assert len(got) == 16
+    for r in got:
+        assert np.allclose(r.vec, want[r.id, r.layer, r.token]) and r.mask == (r.id == "a" and r.token < 3)
+
+
+def test_author_is_the_leftmost_form(spark):
+    from pyspark.sql import functions as F
+
+    from tagweave.functions import text as tf
+
+    rows = [('\\"first said\\" then — Ann Dash',), ('— Ann \\"first said\\"',), ("one — two\nthree",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(tf.author(F.col("t"))).collect()]
+    assert got == ["first said", 'Ann \\"first said\\"', None, None]
+
+
+def test_viterbi_equals_all_tag_sequences():
+    from tagweave.operators import tagger as tg
+
+    rng = np.random.default_rng(3)
+    w = tg.Weights(rng.normal(size=tg.Weights.SIZE))
+    words = tg.TOKEN.findall("Ann met Bo Lind, who left.")
+    feats = tg.features(words)
+    scores = w.emit[feats].sum(1)
+
+    def value(tags):
+        if tags[0] == 2 or any(a == 0 and b == 2 for a, b in itertools.pairwise(tags)):
+            return -math.inf
+        return sum(scores[i, t] for i, t in enumerate(tags)) + sum(w.move[a, b] for a, b in itertools.pairwise(tags))
+
+    best = max(itertools.product(range(3), repeat=len(words)), key=value)
+    assert w.decode(feats).tolist() == list(best)
+
+
+def test_tagger_learns_single_names_on_held_out_documents(spark):
+    from pyspark.sql import functions as F
+
+    from tagweave.operators import tagger as tg
+    from tagweave.plans.q_text import mention_rule, mention_tags
+    from tests.conftest import SF_ORACLE
+
+    assert tg.spans("Ann met Bo Lind . He left".split(), mention_rule("Ann met Bo Lind . He left".split())) == ["Bo Lind"]
+    total = mention_tags(spark, SF_ORACLE).agg(*[F.sum(c).alias(c) for c in ("n_rule", "n_found", "n_agree")]).first()
+    assert 2 * total.n_agree / (total.n_rule + total.n_found) > 0.95
+    none = spark.createDataFrame([(1, None), (2, "")], "id long, text string")
+    weights = tg.fit_tagger(none, mention_rule)
+    assert not weights.any() and [r.mentions for r in tg.tag_mentions(none, weights).collect()] == [[], []]
