@@ -1,19 +1,24 @@
 """One net for all labels (K6) and its loss curve (K14), trained on Spark.
 
 The training rows are shuffled once into blocks, the mini-batches, which are
-written as partition folders; an epoch visits the blocks in a seeded order, and a step
-reads its own block only.  Each task of a step turns its rows into one partial
-gradient, partial gradients are summed in groups of about the square root of their
-number, and the driver, which holds weights and Adam moments only, adds those few sums.
+packed and written as partition folders; an epoch visits the blocks in a seeded order.  Steps follow
+each other by nature, so one task takes a run of steps: it reads the blocks of the run, up
+to ``RUN_BYTES`` of rows sorted by their place in the order, and hands weights and Adam
+moments on to the next run.
 
-Nothing of the data reaches the driver; what goes back and forth is the size of the net.
+A block that is too large for one task is a step of its own.  Each task of such a step
+turns its rows into one partial gradient, partial gradients are summed in groups of about
+the square root of their number, and the driver adds those few sums.
+
+Nothing of the data reaches the driver; what goes back and forth, once a run, is the size
+of the net.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +36,12 @@ MAX_BLOCKS = 1000
 FAN_IN = 8
 #: Rows of a block that one task writes and reads.
 TASK_ROWS = 100_000
+#: Bytes of rows that one task steps through before it hands the net on; bytes of small
+#: blocks that share a folder.  A run reads the folders of its blocks, so an epoch reads each
+#: folder once per run, but never more often than it holds blocks.
+RUN_BYTES = 256 << 20
+FOLDER_BYTES = 4 << 20
+RUN_SCHEMA = "theta binary, m binary, v binary, t long, loss double, cells long"
 GRADIENT_SCHEMA = "task long, gradient binary, loss double, hits long, n long, cells long"
 #: Probabilities are kept this far from 0 and 1 in losses.
 EPS = 1e-12
@@ -84,12 +95,32 @@ def gradient(theta: np.ndarray, sizes: list[int], x: np.ndarray, y: np.ndarray)
 
 
 def _matrices(batch: pa.RecordBatch, width: int, labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and targets of rows, or of packed rows one below the other."""
     def matrix(col, cols):
+        if pa.types.is_binary(col.type):
+            return np.concatenate([np.frombuffer(v.as_buffer()) for v in col]).reshape(-1, cols)
         return np.asarray(col.flatten(), dtype=np.float64).reshape(len(batch), cols)
 
     return matrix(batch.column(0), width), matrix(batch.column(1), labels)
 
 
+def packed(rows: DataFrame, width: int, labels: int) -> DataFrame:
+    """``block, x, y``: the neighbouring rows of a block put together, a batch's rows at most, as bytes."""
+    schema = pa.schema([("block", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = _matrices(batch, width, labels)
+                block = np.asarray(batch.column(2))
+                cuts = np.flatnonzero(np.diff(block)) + 1
+                firsts = block[np.r_[0, cuts]]
+                yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int32()), *(
+                    pa.array([part.tobytes() for part in np.split(m, cuts)], pa.binary()) for m in (x, y))], schema=schema)
+
+    return rows.select("x", "y", "block").mapInArrow(pack, "block int, x binary, y binary")
+
+
 @dataclass
 class Adam:
     """Moments of the optimiser; ``step`` returns what to subtract."""
@@ -101,6 +132,10 @@ class Adam:
     m: np.ndarray | float = 0.0
     v: np.ndarray | float = 0.0
 
+    def state(self, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Moments as vectors, and the number of steps so far."""
+        return np.zeros(width) + self.m, np.zeros(width) + self.v, self.t
+
     def step(self, g: np.ndarray) -> np.ndarray:
         self.t += 1
         self.m = self.beta1 * self.m + (1 - self.beta1) * g
@@ -161,6 +196,48 @@ def batch_totals(rows: DataFrame, theta: np.ndarray, sizes: list[int], with_grad
     return g, sum(r.loss for r in found), sum(r.hits for r in found), sum(r.n for r in found), sum(r.cells for r in found)
 
 
+def run_steps(rows: DataFrame, blocks: list[int], theta: np.ndarray, adam: Adam, sizes: list[int],
+              penalty: np.ndarray) -> tuple[np.ndarray, Adam, float, int]:
+    """(weights, optimiser, loss, known cells) after one step per block, in the order of ``blocks``, over
+    packed ``rows`` (``block``, ``x``, ``y``; other blocks are left out); a block without rows is no step.
+    One task does them."""
+    shared = rows.sparkSession.sparkContext.broadcast((theta, adam, penalty))
+    schema = pa.schema([("theta", pa.binary()), ("m", pa.binary()), ("v", pa.binary()), ("t", pa.int64()), ("loss", pa.float64()),
+                        ("cells", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, opt, penal = shared.value
+        opt = replace(opt)  # a worker may keep the broadcast value for another attempt
+        g, n, at, loss, cells = 0.0, 0, None, 0.0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            for i, place in enumerate(batch.column(2).to_pylist()):
+                if n and place != at:
+                    w, g, n = w - opt.step((g + penal * w) / n), 0.0, 0
+                x, y = _matrices(batch.slice(i, 1), sizes[0], sizes[-1])
+                one, value = gradient(w, sizes, x, y)
+                at, g, n, loss, cells = place, g + one, n + len(x), loss + value, cells + int((~np.isnan(y)).sum())
+        if n:
+            w = w - opt.step((g + penal * w) / n)
+        m, v, t = opt.state(len(w))
+        yield pa.RecordBatch.from_pylist([dict(theta=w.tobytes(), m=m.tobytes(), v=v.tobytes(), t=t, loss=loss, cells=cells)], schema=schema)
+
+    places = [-1] * (max(blocks) + 1)
+    for i, b in enumerate(blocks):
+        places[b] = i
+    place = F.expr(f"get(array({', '.join(map(str, places))}), block)").alias("place")
+    try:
+        found = rows.select("x", "y", place).filter("place >= 0").coalesce(1).sortWithinPartitions("place").mapInArrow(run, RUN_SCHEMA).collect()
+    finally:
+        shared.destroy()
+    if not found:  # no row, no task
+        return theta, adam, 0.0, 0
+    r = found[0]
+    theta, m, v = (np.frombuffer(bytes(b)) for b in (r.theta, r.m, r.v))
+    return theta, replace(adam, t=r.t, m=m, v=v), r.loss, r.cells
+
+
 @dataclass
 class JointNetModel:
     """Fitted net; ``curve`` has one row per epoch: ``epoch, train_loss, validation_loss,
@@ -250,7 +327,11 @@ class JointNet:
         spread = math.ceil(stats["n"] / blocks / TASK_ROWS)
         place = seeded_int(F.col("id"), seed=self.seed + 1)
         train = train.withColumn("block", (place % blocks).cast("int")).withColumn("_file", F.expr(f"id div {blocks} % {spread}"))
-        train.repartition("block", "_file").drop("_file").write.partitionBy("block").parquet(path)
+        block_bytes = 8 * (stats["w"] + len(self.labels)) * stats["n"] / blocks
+        together = max(1, int(FOLDER_BYTES / block_bytes))  # blocks of a folder
+        folder = F.expr(f"cast(block div {together} AS int)").alias("folder")
+        train = train.repartition(folder, "_file").sortWithinPartitions("block", "id")
+        packed(train, stats["w"], len(self.labels)).select("*", folder).write.partitionBy("folder").parquet(path)
         train = spark.read.parquet(path)
         held = (rows.filter(share < int(1000 * self.held_out)) if validation is None
                 else self._rows(validation, features_col, labels_col, id_col))
@@ -263,13 +344,23 @@ class JointNet:
         weights = np.concatenate([np.r_[np.ones(a * b), np.zeros(b)] for a, b in zip(sizes, sizes[1:])])
         theta, adam = init_weights(sizes, self.seed), Adam(self.rate)
         best, kept, waited, curve = -math.inf, theta, 0, []
+        # steps of a run: blocks of a task's bytes, if a task takes whole blocks
+        steps = max(1, int(RUN_BYTES / block_bytes)) if spread == 1 else 0
         for epoch in range(1, self.max_epochs + 1):
             total, seen = 0.0, 0  # loss and cells
-            for b in self.block_order(epoch, blocks):
-                g, loss, _, n, cells = batch_totals(train.filter(F.col("block") == b), theta, sizes, True, spread)
-                if n:
-                    theta = theta - adam.step((g + self.alpha * weights * theta) / n)
+            order = self.block_order(epoch, blocks)
+            if steps:
+                for at in range(0, blocks, steps):
+                    run = order[at:at + steps]
+                    own = train.filter(f"folder IN ({', '.join(map(str, sorted({b // together for b in run})))})") if len(run) < blocks else train
+                    theta, adam, loss, cells = run_steps(own, run, theta, adam, sizes, self.alpha * weights)
                     total, seen = total + loss, seen + cells
+            else:
+                for b in order:
+                    g, loss, _, n, cells = batch_totals(train.filter(f"folder = {b // together} AND block = {b}"), theta, sizes, True, spread)
+                    if n:
+                        theta = theta - adam.step((g + self.alpha * weights * theta) / n)
+                        total, seen = total + loss, seen + cells
             _, held_loss, hits, m, cells = batch_totals(held, theta, sizes, False, held_tasks)
             curve.append((epoch, total / max(1, seen), held_loss / max(1, cells), hits / max(1, m)))
             if self.stop_on and m:

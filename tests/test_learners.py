@@ -90,6 +90,27 @@ def test_partial_gradients_sum_in_groups(spark):
         assert np.allclose(g, want) and value == pytest.approx(loss) and (n, cells) == (200, 600)
 
 
+def test_an_epoch_of_many_steps_is_a_few_jobs(spark, monkeypatch):
+    x, y = table(400)
+    df = frame(spark, x, y)
+    runs = []
+    run_steps = nets.run_steps
+    monkeypatch.setattr(nets, "run_steps", lambda rows, blocks, *a: runs.append(blocks) or run_steps(rows, blocks, *a))
+    net = nets.JointNet(LABELS, hidden=(5,), rate=0.02, batch_size=10, max_epochs=2, stop_on=None)
+    whole = net.fit(df)
+    blocks = sorted(runs[0])
+    assert len(runs) == 2 and blocks == list(range(len(blocks))) and len(blocks) > 20
+    # the same steps in several runs, and with a job a step
+    runs.clear()
+    monkeypatch.setattr(nets, "RUN_BYTES", 10 * 10 * 8 * (6 + 3))
+    cut = net.fit(df)
+    assert 4 < len(runs) < 20 and runs[0] + runs[1] == net.block_order(1, len(blocks))[:len(runs[0] + runs[1])]
+    monkeypatch.setattr(nets, "TASK_ROWS", 6)
+    single = net.fit(df)
+    for other in (cut, single):
+        assert np.allclose(whole.theta, other.theta, atol=1e-9) and np.allclose(whole.curve, other.curve, atol=1e-9)
+
+
 def test_early_stop_keeps_the_best_epoch(spark):
     x, y = table(200)
     y[:] = np.random.default_rng(1).random(y.shape) < 0.5  # nothing to learn
