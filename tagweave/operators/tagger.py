@@ -9,9 +9,11 @@ stay where they are.  A line of text is a sequence; whole texts are read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,26 +23,47 @@ from pyspark.sql import functions as F
 
 #: Outside, begin and inside of a mention; hashed features.
 TAGS, BUCKETS = "OBI", 1 << 14
+#: Words, and forms of neighbours, whose features a worker remembers.
+CACHED = 1 << 16
 TOKEN = re.compile(r"\w+|[^\w\s]")
+EPOCH_SCHEMA = "task int, last binary, total binary, lines long, tasks long"
+#: Tasks whose weights the driver adds without a round of sums in tasks.
+FAN_IN = 8
 #: A mention can't go on behind another tag than begin or inside.
 ALLOWED = np.array([[True, True, False], [True, True, True], [True, True, True]])
 
 
+@lru_cache(CACHED)
 def shape(word: str) -> str:
     """X for capitals, x for other letters, 0 for digits, else the character; runs of one are cut to two."""
     marks = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word[:20])
     return re.sub(r"(.)\1+", r"\1\1", marks)
 
 
+def _place(mark: str) -> int:
+    return zlib.crc32(mark.encode()) % BUCKETS
+
+
+@lru_cache(CACHED)
+def _form_places(first: str, before: str, own: str, after: str) -> tuple[tuple[int, ...], int]:
+    marks = (f"0{own}", f"1{before}|{own}", f"2{own}|{after}", f"3{before}|{own}|{after}")
+    return tuple(map(_place, marks)), _place(f"5{first}|{before}|{own}")
+
+
+@lru_cache(CACHED)
+def _word_place(word: str) -> int:
+    return _place(f"4{word.lower()}")
+
+
 def features(words: list[str]) -> np.ndarray:
     """Word by feature: hashed places of the word's form and its neighbours'."""
     shapes = ["<", "<", *map(shape, words), ">"]
-    rows = []
-    for i, w in enumerate(words):
-        before, own, after = shapes[i + 1], shapes[i + 2], shapes[i + 3]
-        marks = (f"0{own}", f"1{before}|{own}", f"2{own}|{after}", f"3{before}|{own}|{after}", f"4{w.lower()}", f"5{shapes[i]}|{before}|{own}")
-        rows.append([zlib.crc32(m.encode()) % BUCKETS for m in marks])
-    return np.array(rows, np.int64).reshape(len(words), -1)
+    flat: list[int] = []
+    for word, first, before, own, after in zip(words, shapes, shapes[1:], shapes[2:], shapes[3:]):
+        forms, far = _form_places(first, before, own, after)
+        flat += forms
+        flat += (_word_place(word), far)
+    return np.array(flat, np.int64).reshape(len(words), -1)
 
 
 class Weights:
@@ -57,21 +80,35 @@ class Weights:
         """The best allowed tags of a line (Viterbi)."""
         if not len(feats):
             return np.zeros(0, np.int64)
-        scores = self.emit[feats].sum(axis=1)
-        move = np.where(ALLOWED, self.move, -np.inf)
-        best, back = np.where(ALLOWED[0], scores[0], -np.inf), []
-        for s in scores[1:]:
-            paths = best[:, None] + move
-            back.append(paths.argmax(axis=0))
-            best = paths.max(axis=0) + s
-        tags = [int(best.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
+        # plain numbers: three tags are too few for arrays; of equal paths the first tag's wins
+        scores = self.emit[feats].sum(axis=1).tolist()
+        (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = np.where(ALLOWED, self.move, -np.inf).tolist()
+        o, b, i = (s if ok else -math.inf for s, ok in zip(scores[0], ALLOWED[0].tolist()))
+        back = []
+        for so, sb, si in scores[1:]:
+            to_o, o1, to_b, b1, to_i, i1 = 0, o + oo, 0, o + ob, 0, o + oi
+            if b + bo > o1:
+                to_o, o1 = 1, b + bo
+            if i + io > o1:
+                to_o, o1 = 2, i + io
+            if b + bb > b1:
+                to_b, b1 = 1, b + bb
+            if i + ib > b1:
+                to_b, b1 = 2, i + ib
+            if b + bi > i1:
+                to_i, i1 = 1, b + bi
+            if i + ii > i1:
+                to_i, i1 = 2, i + ii
+            back.append((to_o, to_b, to_i))
+            o, b, i = o1 + so, b1 + sb, i1 + si
+        last = (o, b, i)
+        tags = [last.index(max(last))]
+        for step in reversed(back):
+            tags.append(step[tags[-1]])
         return np.array(tags[::-1])
 
     def add(self, feats: np.ndarray, tags: np.ndarray, step: float) -> None:
-        for f, t in zip(feats, tags):
-            np.add.at(self.emit[:, t], f, step)
+        np.add.at(self.emit, (feats, tags[:, None]), step)
         np.add.at(self.move, (tags[:-1], tags[1:]), step)
 
 
@@ -98,11 +135,14 @@ def fit_tagger(docs: DataFrame, rule: Callable[[list[str]], list[int]], text_col
     no line; without any line the weights are zero and nothing is tagged."""
     spark, weights = docs.sparkSession, np.zeros(Weights.SIZE)
     average = weights
-    schema = pa.schema([("last", pa.binary()), ("total", pa.binary()), ("lines", pa.int64())])
+    parts = docs.rdd.getNumPartitions()
+    schema = pa.schema([("task", pa.int32()), ("last", pa.binary()), ("total", pa.binary()), ("lines", pa.int64()), ("tasks", pa.int64())])
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast(weights)
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
             # the mean of all weights on the way: their changes, each weighed by its place
             w, late, n = Weights(shared.value.copy()), Weights(), 0
             for batch in batches:
@@ -117,13 +157,26 @@ def fit_tagger(docs: DataFrame, rule: Callable[[list[str]], list[int]], text_col
                         n += 1
             if n:
                 total = w.flat * n - late.flat
-                yield pa.RecordBatch.from_pylist([{"last": w.flat.tobytes(), "total": total.tobytes(), "lines": n}], schema=schema)
-
+                yield pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "last": w.flat.tobytes(), "total": total.tobytes(),
+                                                   "lines": n, "tasks": 1}], schema=schema)
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("task")
+            sums = {c: sum(map(np.frombuffer, pdf[c])).tobytes() for c in ("last", "total")}
+            return pd.DataFrame([{"task": pdf["task"].min(), **sums, "lines": pdf["lines"].sum(), "tasks": pdf["tasks"].sum()}])
+
+        # all tasks at once, their weights summed in groups; a few sums come back
+        sums = docs.select(F.col(text_col).cast("string")).mapInArrow(train, EPOCH_SCHEMA)
+        if parts > FAN_IN:
+            groups = round(math.sqrt(parts))
+            sums = sums.withColumn("to", F.col("task") % groups).groupBy("to").applyInPandas(lambda pdf: add(pdf.drop(columns="to")), EPOCH_SCHEMA)
         last, total, lines, tasks = np.zeros(Weights.SIZE), np.zeros(Weights.SIZE), 0, 0
-        for r in docs.select(F.col(text_col).cast("string")).mapInArrow(train, "last binary, total binary, lines long").toLocalIterator():
-            last, total = last + np.frombuffer(bytes(r.last)), total + np.frombuffer(bytes(r.total))
-            lines, tasks = lines + r.lines, tasks + 1
-        shared.destroy()
+        try:
+            for r in sorted(sums.collect(), key=lambda r: r.task):
+                last, total = last + np.frombuffer(bytes(r.last)), total + np.frombuffer(bytes(r.total))
+                lines, tasks = lines + r.lines, tasks + r.tasks
+        finally:
+            shared.destroy()
         if not lines:
             break
         weights, average = last / tasks, total / lines

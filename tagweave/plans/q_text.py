@@ -168,14 +168,11 @@ def format_violations(spark, sf_dir):
 def mention_rule(words: list[str]) -> list[int]:
     """The stated rule: a word with one leading capital is (part of) a mention unless it opens a
     sentence and no capitalised word follows it; neighbours belong together."""
-    def name(i: int) -> bool:
-        return 0 <= i < len(words) and len(words[i]) > 1 and words[i][0].isupper() and words[i][1:].islower()
-
-    tags: list[int] = []
-    for i in range(len(words)):
-        opens = i == 0 or words[i - 1] in ".!?"
-        hit = name(i) and (not opens or name(i + 1))
-        tags.append(0 if not hit else 2 if tags and tags[-1] else 1)
+    names = [len(w) > 1 and w[0].isupper() and w[1:].islower() for w in words]
+    tags, last = [], 0
+    for before, name, after in zip(["."] + words, names, names[1:] + [False]):
+        last = 0 if not name or (before in ".!?" and not after) else 2 if last else 1
+        tags.append(last)
     return tags
 
 

@@ -426,3 +426,55 @@ def test_tagger_learns_single_names_on_held_out_documents(spark):
     none = spark.createDataFrame([(1, None), (2, "")], "id long, text string")
     weights = tg.fit_tagger(none, mention_rule)
     assert not weights.any() and [r.mentions for r in tg.tag_mentions(none, weights).collect()] == [[], []]
+
+
+def test_decode_and_epochs_as_a_plain_loop(spark):
+    """One task, or many whose weights are summed in groups, against plain arrays."""
+    from pyspark.sql import functions as F
+
+    from tagweave.operators import tagger as tg
+    from tagweave.plans.q_text import mention_rule
+
+    rng = np.random.default_rng(5)
+    w = tg.Weights(rng.integers(-1, 2, tg.Weights.SIZE).astype(float))  # small integers: many ties
+    names = ["Ann", "Bo", "met", "the", "Lind", ".", "x1", "USA", "!"]
+    texts = [" ".join(rng.choice(names, rng.integers(1, 12))) for _ in range(120)]
+
+    def viterbi(m, feats):
+        scores, move = m.emit[feats].sum(axis=1), np.where(tg.ALLOWED, m.move, -np.inf)
+        best, back = np.where(tg.ALLOWED[0], scores[0], -np.inf), []
+        for s in scores[1:]:
+            paths = best[:, None] + move
+            back.append(paths.argmax(axis=0))
+            best = paths.max(axis=0) + s
+        tags = [int(best.argmax())]
+        for b in reversed(back):
+            tags.append(int(b[tags[-1]]))
+        return tags[::-1]
+
+    for t in texts:
+        feats = tg.features(t.split())
+        assert w.decode(feats).tolist() == viterbi(w, feats)
+
+    docs = spark.createDataFrame([(i % 20, t) for i, t in enumerate(texts)], "part long, text string").repartitionByRange(20, "part")
+    parts = [[r.text for r in p] for p in docs.rdd.glom().collect()]
+    flat = np.zeros(tg.Weights.SIZE)
+    for _ in range(3):
+        lasts, total, lines = [], 0.0, 0
+        for p in filter(None, parts):
+            m = tg.Weights(flat.copy())
+            for t in p:
+                feats, gold = tg.features(t.split()), mention_rule(t.split())
+                found = viterbi(m, feats)
+                if found != gold:
+                    m.add(feats, np.array(gold), 1.0)
+                    m.add(feats, np.array(found), -1.0)
+                total, lines = total + m.flat, lines + 1
+            lasts.append(m.flat)
+        flat, average = sum(lasts) / len(lasts), total / lines
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("tagger-epochs", "")
+    got = tg.fit_tagger(docs, mention_rule, epochs=3)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(got, average, atol=1e-9)
+    assert len(jobs.getJobIdsForGroup("tagger-epochs")) < 20  # not a job a partition
