@@ -478,3 +478,21 @@ def test_decode_and_epochs_as_a_plain_loop(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert np.allclose(got, average, atol=1e-9)
     assert len(jobs.getJobIdsForGroup("tagger-epochs")) < 20  # not a job a partition
+
+
+def test_a_cell_of_neighbours_holds_little():
+    import tracemalloc
+
+    import pandas as pd
+
+    from tagweave.operators import neighbours as nb
+
+    rng = np.random.default_rng(0)
+    q = pd.DataFrame({"qid": range(1500), "qv": list(rng.normal(size=(1500, 16)))})
+    r = pd.DataFrame({"nid": range(1500), "rv": list(rng.normal(size=(1500, 16)))})
+    own = nb._prepared(r)
+    tracemalloc.start()
+    n = sum(len(part) for part in nb._cell(nb._Nearest(5), False, [])(q, r, *own))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 7500 and peak < 24 << 20
