@@ -36,6 +36,7 @@ END = "</w>"
 END_SHIFT = 0x1000
 #: Chunks (text between white space; two generations of them), words and token pairs whose result a worker keeps.
 CACHED_CHUNKS, CACHED_CHUNK_CHARS, CACHED_WORDS, CACHED_PAIRS = 150_000, 64, 100_000, 300_000
+DECODED = "doc_id long, ids binary, decoded binary"
 
 
 def byte_symbols() -> list[str]:
@@ -232,14 +233,19 @@ class ChunkCache:
         if len(self.young) >= (self.chunks or CACHED_CHUNKS):
             self.young, self.old = {}, self.young
         chunks, young, old = chunks_of(text), self.young, self.old
-        missing = set(chunks).difference(young)
-        if not missing:
-            return b"".join(map(young.__getitem__, chunks))
-        young.update((c, old[c]) for c in missing if c in old)
-        new = [c for c in missing if c not in young]
-        found = {c: self.pack(ids) for c, ids in zip(new, encode(new))} if new else {}
-        young.update((c, ids) for c, ids in found.items() if len(c) <= CACHED_CHUNK_CHARS)
-        return b"".join([young[c] if c in young else found[c] for c in chunks])
+        ids = list(map(young.get, chunks))
+        gaps = [at for at, known in enumerate(ids) if known is None]
+        if gaps:
+            missing = {chunks[at] for at in gaps}
+            found = {c: old[c] for c in missing if c in old} if old else {}
+            new = [c for c in missing if c not in found] if found else list(missing)
+            if new:
+                found.update(zip(new, map(self.pack, encode(new))))
+            young.update(found if max(map(len, missing)) <= CACHED_CHUNK_CHARS else
+                         {c: x for c, x in found.items() if len(c) <= CACHED_CHUNK_CHARS})
+            for at in gaps:
+                ids[at] = found[chunks[at]]
+        return b"".join(ids)
 
 
 _KEPT: dict[tuple, object] = {}
@@ -283,39 +289,48 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     other columns are ignored, whatever their names.
     """
     spec = tokenizer_spec(docs.sparkSession, tokenizer)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    return _documents(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(spec, batches), "doc_id long, ids binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = kept(spec, PrefixEncoder), Batches(schema)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                ids = encoder.encode(text)
-                yield from out.add(doc_id, ids, size=len(ids))
-        yield from out.flush()
 
-    src = narrow(docs, doc_id=id_col, text=text_col)
-    return src.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _encoded(spec: _Spec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder, out = kept(spec, PrefixEncoder), Batches(pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+            ids = encoder.encode(text)
+            yield from out.add(doc_id, ids, size=len(ids))
+    yield from out.flush()
+
+
+def _decoded(tokens: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = Batches(pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())]))
+    for batch in batches:
+        for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = value.as_py()
+            decoded = decode(ids, tokens)
+            yield from out.add(doc_id, ids, decoded, size=len(ids) + len(decoded))
+    yield from out.flush()
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Adds ``decoded`` (UTF-8 bytes) to the rows of ``encode_documents``."""
     spec = tokenizer_spec(encoded.sparkSession, tokenizer)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(kept(spec, read_tokens), batches), DECODED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, out = kept(spec, read_tokens), Batches(schema)
-        for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = value.as_py()
-                decoded = decode(ids, tokens)
-                yield from out.add(doc_id, ids, decoded, size=len(ids) + len(decoded))
-        yield from out.flush()
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode_documents`` of ``encode_documents``, both steps in one Python worker a task: two
+    workers would each hold what they build of the tokenizer file, and pass the ids through the JVM."""
+    spec = tokenizer_spec(docs.sparkSession, tokenizer)
+    return _documents(docs, id_col, text_col).mapInArrow(
+        lambda batches: _decoded(kept(spec, PrefixEncoder).tokens, _encoded(spec, batches)), DECODED)
 
 
 def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text."""
-    rows = decode_documents(encode_documents(docs, tokenizer, id_col, text_col), tokenizer)
+    rows = encode_and_decode(docs, tokenizer, id_col, text_col)
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -192,4 +192,7 @@ def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", thresho
     stay or go together; an empty table gives an empty result."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),  # no name can clash
                       F.col(f"`{text_col}`").cast("string").alias("text"))
-    return with_statistics(row).filter(model.score() >= threshold).select("row.*")
+    # the score is a generated column: a filter on a projected one is pushed below the projection,
+    # where every condition of every rule computes its statistic from the text again
+    scored = with_statistics(row).select("row", F.explode(F.array(model.score())).alias("score"))
+    return scored.filter(F.col("score") >= threshold).select("row.*")

@@ -297,3 +297,25 @@ def test_quality_held_out_and_edges(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
     nothing = quality.fit_quality(docs, labels.limit(0))
     assert quality.keep_good(docs, nothing).count() == docs.count()
+
+
+def test_kept_documents_are_judged_by_one_set_of_statistics(spark):
+    """The filter on the score must not compute statistics again for every rule."""
+    rules = [((("stutter", False, 0.1 * k), ("capitals", True, 0.01 * k)), 0.5 - k) for k in range(6)]
+    model = quality.RuleModel(0.4, rules)
+    rows = [(1, "a b c"), (2, "ABC DEF GHI"), (3, "no no no no NO"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = quality.keep_good(docs, model)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count(r"\1(?!") == 1
+    good = {r.doc_id for r in quality.score_quality(docs, model).collect() if r.predicted}
+    assert {r.doc_id for r in kept.collect()} == good and 0 < len(good) < len(rows)
+
+
+def test_encoding_and_decoding_share_a_worker(spark):
+    docs = documents(spark, [(i, t) for i, t in enumerate(ODD)] + [(None, "a b"), (7, None)])
+    both = bpe.encode_and_decode(docs, TOKENIZER)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = bpe.decode_documents(bpe.encode_documents(docs, TOKENIZER), TOKENIZER)
+    assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, apart.collect()), key=repr)
+    assert "MapInArrow" in (plan := bpe.token_digests(docs, TOKENIZER)._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("MapInArrow") == 1
