@@ -59,8 +59,8 @@ CACHED_CHUNKS = 400_000
 FILE_DOCS = 1_000_000
 #: Pieces of a joined call, their longest, and the code points that may take part.
 JOINED_CHUNKS, JOINED_CHARS, JOINABLE = 512, 40, range(0x21, 0x250)
-#: Marks that are a word of their own behind a word of letters.
-STOPS = ".,"
+#: Runs of marks behind a word whose ids a worker keeps.
+KEPT_TAILS = 10_000
 MANIFEST = "part int, path string, docs long, tokens long, frames long, bytes long"
 
 
@@ -183,6 +183,11 @@ class LibraryEncoder:
     the words are counted by the tokenizer's own split pattern, for pieces of characters for
     which the library was seen to agree with that count.  Other pieces, and calls whose
     marks don't add up, are asked about one by one.
+
+    Two more rules make pieces rarer.  Where the tokenizer lower-cases, texts of code points
+    below U+0100 are lower-cased as a whole first, unless a special string is in them.
+    Letters and marks behind them are words of their own, so letters are asked about without
+    the marks, and each run of marks once.
     """
 
     def __init__(self, spec: str):
@@ -194,7 +199,8 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.chunks = ChunkCache(CACHED_CHUNKS, pack=bytes)
-        self.pattern, self.ends, self.plain, self.one_word, self.tails = None, None, frozenset(), False, {}
+        self.pattern, self.ends, self.plain, self.one_word = None, None, frozenset(), False
+        self.marks, self.tails, self.lowered = "", {}, False
         self._learn_joins(json.loads(spec))
 
     def _learn_joins(self, spec: dict) -> None:
@@ -215,7 +221,13 @@ class LibraryEncoder:
         agree = [[int(self.ends[next(answers).ids].sum()) == self._words(x) for x in group] for group in contexts]
         self.plain = frozenset(c for c, good in zip(tried, agree) if all(good))
         if self.one_word and self.plain.issuperset(string.ascii_letters):
-            self.tails = {c: x.tobytes() for c, x in zip(STOPS, self._ids(list(STOPS))) if c in self.plain}
+            self.marks = "".join(c for c in self.plain if not c.isalnum())
+        self.special = [t["content"].lower() for t in spec["added_tokens"]]
+        normalizers = (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"] or {}])
+        below = [chr(c) for c in range(1, 0x100) if not chr(c).isspace()]
+        pairs = [(a.ids, b.ids) for a, b in zip(*(self.tokenizer.encode_batch_fast(x, add_special_tokens=False) for x in (
+            ["a" + c + "b" for c in below], ["a" + c.lower() + "b" for c in below])))]
+        self.lowered = {"type": "Lowercase"} in normalizers and all(self.special) and all(a == b for a, b in pairs)
 
     def _words(self, chunk: str) -> int:
         return len(self.pattern.findall(chunk.lower()))
@@ -239,30 +251,60 @@ class LibraryEncoder:
             width = cut
         return out
 
+    def _tail(self, tail: str) -> bytes | None:
+        """Ids of a run of marks behind letters; None if it is no word of its own there."""
+        if tail not in self.tails:
+            if len(self.tails) >= KEPT_TAILS:
+                self.tails.clear()
+            alone, behind, letter = (x.tobytes() for x in self._ids([tail, "a" + tail, "a"]))
+            own = self.pattern.findall("a" + tail) == ["a", tail] and behind == letter + alone
+            self.tails[tail] = alone if own else None
+        return self.tails[tail]
+
     def _new(self, chunks: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
-        plain, ended, known, together = [], [], self.chunks.young, set(chunks)
+        plain, ended, rest, known = [], [], [], self.chunks.young
+        is_plain, marks = self.plain.issuperset, self.marks
+        asked = set()
         for c in chunks:
-            word = c[:-1]
-            # a known word with a stop behind it: letters and stops are words of their own
-            if c[-1] in self.tails and (word in known or word in together) and word.isascii() and word.isalpha():
-                ended.append(c)
-            elif len(c) <= JOINED_CHARS and self.plain.issuperset(c):
+            if len(c) > JOINED_CHARS or not is_plain(c):
+                rest.append(c)
+                continue
+            word = c.rstrip(marks)
+            if len(word) < len(c) and word.isalpha() and (tail := self._tail(c[len(word):])) is not None:
+                ended.append((c, word, tail))
+                c = word
+                if c in known:
+                    continue
+            if c not in asked:
+                asked.add(c)
                 plain.append(c)
         for at in range(0, len(plain), JOINED_CHUNKS):
             part = plain[at:at + JOINED_CHUNKS]
             found.update(zip(part, self._joined(part)))
-        rest = list(together.difference(found, ended))
-        found.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
-        for c in ended:
-            word = c[:-1]
-            found[c] = (known[word] if word in known else found[word]) + self.tails[c[-1]]
+        if rest:
+            found.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
+        for c, word, tail in ended:
+            if word not in known:
+                known[word] = found[word]
+            found[c] = known[word] + tail
         return [found[c] for c in chunks]
 
     def encode(self, text: str) -> np.ndarray:
+        if self.lowered and _below_0x100(text):
+            low = text.lower()
+            if not any(s in low for s in self.special):
+                text = low
         return np.frombuffer(self.chunks.encode(text, self._new), self.dtype)
 
 
+def _below_0x100(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id",
                       text_col: str = "text", files: int | None = None) -> DataFrame:
     """Encode all documents and write their ids in ascending ``doc_id`` order.

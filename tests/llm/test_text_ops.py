@@ -319,3 +319,14 @@ def test_encoding_and_decoding_share_a_worker(spark):
     assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, apart.collect()), key=repr)
     assert "MapInArrow" in (plan := bpe.token_digests(docs, TOKENIZER)._jdf.queryExecution().executedPlan().toString())
     assert plan.count("MapInArrow") == 1
+
+
+def test_marks_behind_words_and_capitals_ask_the_library_once():
+    encoder = token_files.LibraryEncoder(open(TOKENIZER, encoding="utf-8").read())
+    asked, ids = [], encoder._ids
+    encoder._ids = lambda chunks: asked.extend(chunks) or ids(chunks)
+    for text in ("zorbel", "ZORBEL Zorbel, zorbel!!! ZORBEL. zorbel.,", "\u00c9zor \u00e9ZOR. \u00e9zor's 'zorbel' l'\u00e9zor",
+                 "zorbel<|endoftext|>ZORBEL <|ENDOFTEXT|> zorbel\u0301 \u0130ZORBEL. zorbel's"):
+        assert encoder.encode(text).tolist() == ids_of(text)
+    words = [w for c in asked for w in c.split()]
+    assert words.count("zorbel") == 1 and words.count("\u00e9zor") == 1
