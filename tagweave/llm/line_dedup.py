@@ -33,12 +33,28 @@ PERCENT = 80
 BLOCK_CHARS, SEEN_LINES = 1 << 16, 200_000
 _U = np.uint64
 _FIRST = np.ones(1, bool)
+_LOWER = bytes(ord(chr(c).lower()) for c in range(256))
+_ODD_BLANKS = bytes(c for c in range(256) if chr(c).isspace() and chr(c) not in " \n")
 
 
 def normalized(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def lowered(text: str) -> str | None:
+    """The text in lower case if that is all that ``normalized`` would change in its lines, else None.
+
+    It is so for code points below U+0100 without blanks to collapse."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    if (len(data.translate(None, _ODD_BLANKS)) < len(data) or b"  " in data or b" \n" in data or b"\n " in data
+            or data.startswith(b" ") or data.endswith(b" ")):
+        return None
+    return data.translate(_LOWER).decode("latin-1")
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of all lines in a row, and where each line's begin.
 
@@ -102,12 +118,14 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc_id, text_hash, text in zip(ids, hashes, texts(batch.column(2))):
-                for number, line in enumerate(text.split("\n")):
-                    if len(line) < min_chars:
-                        continue
-                    line = normalized(line)
+                low = lowered(text)
+                for number, line in enumerate((text if low is None else low).split("\n")):
                     if len(line) < min_chars:
                         continue
+                    if low is None:
+                        line = normalized(line)
+                        if len(line) < min_chars:
+                            continue
                     digest = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
                     item, more = (x - (1 << 64) if x >> 63 else x for x in (digest >> 64, digest & 0xFFFFFFFFFFFFFFFF))
                     fresh = digest not in seen
@@ -201,7 +219,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = _beside(src, removed, "left")
     text = F.coalesce("text", F.lit(""))
-    n_lines = F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0)
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.length(text) > 0, breaks + 1).otherwise(0)
     n_removed = F.coalesce(F.size("removed"), F.lit(0))
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
     return rows.select("doc_id", n_lines.cast("long").alias("n_lines"), (n_lines - n_removed).cast("long").alias("n_kept"),

@@ -6,8 +6,9 @@ bucket.  Buckets are resolved in two steps, and no step emits all pairs of one:
 1. Star: every item is compared with the least item of its bucket.  Copies of
    one text are one item already, and a large group of near copies mostly hangs
    together after this.
-2. Rest: in buckets that still hold several components, each item outside the
-   bucket's largest component is compared with all items of the bucket, in blocks.
+2. Rest: the least item is done with.  In buckets whose other items still are of several
+   components, each of those outside the largest component is compared with all of
+   them, in blocks; a bucket of two items has nothing left.
 
 A comparison unit is a block of at most about ``BLOCK`` (``REST_BLOCK``) items and
 the items that ask about them; units are sorted streams, so a task holds the
@@ -38,12 +39,16 @@ BLOCK_CHARS = 1 << 16
 ABOUT, ASKS, BOTH = 0, 1, 2
 
 
-def buckets(keys: DataFrame) -> DataFrame:
-    """``key, item, least`` of the keys that several items share (input: ``key, item``)."""
+def with_shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` several items have, with the key's ``least`` item (input: ``key, item`` and more)."""
     shared = keys.groupBy("key").agg(F.min("item").alias("least"), F.max("item").alias("greatest"))
     shared = materialize(shared.filter("least < greatest").select("key", "least"), "shared-keys")
-    shared = F.broadcast(shared) if small_enough(shared) else shared
-    return materialize(keys.join(shared, "key").distinct(), "buckets")
+    return keys.join(F.broadcast(shared) if small_enough(shared) else shared, "key")
+
+
+def buckets(keys: DataFrame) -> DataFrame:
+    """``key, item, least`` of the keys that several items share (input: ``key, item``)."""
+    return materialize(with_shared_keys(keys).distinct(), "buckets")
 
 
 def star_units(members: DataFrame) -> DataFrame:
@@ -67,8 +72,11 @@ def _unit(*cols) -> Column:
 
 
 def rest_units(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Units for buckets with several components: all outside the largest ask all."""
-    m = members.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    """Units for buckets with several components: all outside the largest ask all.
+
+    The star has compared every item with its bucket's least item, which is left out here.
+    """
+    m = members.filter("item <> least").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     open_keys = m.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size"),
                                      F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("content"))
     # many keys hold the same items: one of them is enough

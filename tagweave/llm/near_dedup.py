@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.arrow import Batches
 from tagweave.llm.common import materialize, narrow, small_enough
-from tagweave.llm.links import near_components
+from tagweave.llm.links import near_components, with_shared_keys
 
 SIDE, ROWS = 11, 3
 WORDS = 2
@@ -156,6 +156,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, side: int, r
         run, "doc_id long, text_hash long, node binary, n_shingles long, left array<long>, right array<long>")
 
 
+def table_keys(items: DataFrame, side: int) -> DataFrame:
+    """``key, item``: the keys of every left with every right half that other items have as well.
+
+    Items meet in a table only if they share both of its halves.  Halves that one item has alone
+    are taken out first: 2 * side rows an item are shuffled for that, not side * side.
+    """
+    halves = items.select("item", F.posexplode(F.concat("left", "right")).alias("at", "half")).select(
+        "item", (F.col("at") < side).alias("on_left"), F.xxhash64("at", "half").alias("key"))
+    shared = with_shared_keys(halves).groupBy("item").agg(
+        F.collect_list(F.when(F.col("on_left"), F.col("key"))).alias("left"),
+        F.collect_list(F.when(~F.col("on_left"), F.col("key"))).alias("right"))  # at most side keys each
+    shared = materialize(shared.filter((F.size("left") > 0) & (F.size("right") > 0)), "near-halves")
+    tables = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))
+    return shared.select(F.explode(tables).alias("key"), "item")
+
+
 def judged_documents(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent: int = PERCENT, side: int = SIDE,
                      rows: int = ROWS) -> DataFrame:
     """``near_duplicates`` with ``best_id, best_hash``: id and text hash of the document that
@@ -168,7 +184,6 @@ def judged_documents(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS
         F.min("doc_id").alias("least_id"), F.min(pair).alias("least"),
         F.min(F.struct("doc_id", "text_hash", "left", "right")).alias("first"))
     items = materialize(items.select(F.monotonically_increasing_id().alias("item"), "node", "least_id", "least", "first.*"), "near-items")
-    tables = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y))))
 
     def fetch(wanted: DataFrame) -> DataFrame:
         """Texts of items, from the first document that holds each."""
@@ -179,7 +194,7 @@ def judged_documents(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS
         same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
         return src.join(w, same).groupBy("item").agg(F.first("text").alias("text"))
 
-    roots = near_components(items.select(F.explode(tables).alias("key"), "item"), fetch,
+    roots = near_components(table_keys(items, side), fetch,
                             lambda found: [shingles(t, n) for t in found], lambda a, b: similar(a, b, percent), percent)
     named = items.select("item", "node", "least_id", "least").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least").alias("best"))

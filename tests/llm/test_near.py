@@ -288,3 +288,28 @@ def test_short_lines_count_in_query_and_pipeline(spark, tmp_path):
     assert stage == {i: t for i, t in kept.items() if t or not gone[i]}
     lines = [s for t in stage.values() for s in t.split("\n")]
     assert sum(s.lower().split() == ["share", "on", "facebook"] for s in lines) == 1 and lines.count("7 chars") > 1
+
+
+def test_least_items_take_no_part_in_the_rest(spark):
+    """The star has compared them with all items of their buckets."""
+    members = spark.createDataFrame([(1, 10, 10), (1, 11, 10), (2, 20, 20), (2, 21, 20), (2, 22, 20)], "key long, item long, least long")
+    roots = spark.createDataFrame([], "item long, root long")
+    assert {r.item for r in links.rest_units(members, roots).collect()} == {21, 22}
+
+
+def test_table_keys_need_halves_that_others_have(spark):
+    items = spark.createDataFrame([(1, [5, 6], [7, 8]), (2, [5, 9], [7, 4]), (3, [5, 1], [2, 3]), (4, [7, 8], [5, 6])],
+                                  "item long, left array<long>, right array<long>")
+    keys = near_dedup.table_keys(items, 2)
+    assert sorted(r.item for r in keys.collect()) == [1, 2] and keys.select("key").distinct().count() == 1
+
+
+def test_lowered_texts_have_normal_lines():
+    for text in ("", "A b\nC\u00c9d \u00dfX", "a  b", " a", "a ", "a\n b", "a \nb", "a\tb", "a\u00a0b", "a\u0085b", "\u0130x", "A\n\nB", "a\x1cB"):
+        low = line_dedup.lowered(text)
+        lines = [line_dedup.normalized(s) for s in text.split("\n")]
+        assert low is None or low.split("\n") == lines
+    assert line_dedup.lowered("A b\nC\u00c9d") == "a b\nc\u00e9d" and line_dedup.lowered("a  b") is None
+    for c in map(chr, range(256)):
+        low = line_dedup.lowered(f"x{c}Y")
+        assert low is None or low.split("\n") == [line_dedup.normalized(s) for s in f"x{c}Y".split("\n")]
