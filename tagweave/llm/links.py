@@ -8,7 +8,9 @@ bucket.  Buckets are resolved in two steps, and no step emits all pairs of one:
    together after this.
 2. Rest: the least item is done with.  In buckets whose other items still are of several
    components, each of those outside the largest component is compared with all of
-   them, in blocks; a bucket of two items has nothing left.
+   them, in blocks; a bucket of two items has nothing left.  Buckets of one least item
+   overlap mostly, so they are one unit, in which an item stands once, however many of
+   them it is in; only items that share a bucket are compared.
 
 A comparison unit is a block of at most about ``BLOCK`` (``REST_BLOCK``) items and
 the items that ask about them; units are sorted streams, so a task holds the
@@ -60,7 +62,7 @@ def star_units(members: DataFrame) -> DataFrame:
     asks = blocks.select("least", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slot")).select(
         _unit("least", F.col("slot")).alias("unit"), F.col("least").alias("item"), F.lit(ASKS).alias("role"),
         F.col("least").alias("root"))
-    return about.unionByName(asks)
+    return about.unionByName(asks).withColumn("keys", F.lit(None).cast("array<long>"))
 
 
 def _slot(item: str, blocks: str) -> Column:
@@ -81,72 +83,104 @@ def rest_units(members: DataFrame, roots: DataFrame) -> DataFrame:
                                      F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("content"))
     # many keys hold the same items: one of them is enough
     open_keys = open_keys.filter("a <> b").groupBy("size", "content").agg(F.min("key").alias("key"))
-    m = materialize(m.join(open_keys.select("key", "size"), "key").select("key", "item", "root", "size"), "open-buckets")
-    sizes = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size")).select(
-        "key", F.col("m.root").alias("major"), F.ceil((F.col("size") - F.col("m.n")) / REST_BLOCK).alias("chunks"))
-    m = m.withColumn("blocks", F.ceil(F.col("size") / REST_BLOCK)).join(major, "key")
-    # a bucket of one block is one unit, in which every item stands once
+    m = materialize(m.join(open_keys.select("key"), "key").select("key", "least", "item", "root"), "open-buckets")
+    major = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("major"))
+    m = m.join(major, "key").groupBy("least", "item", "root").agg(
+        F.collect_set("key").alias("keys"), F.max(F.col("root") != F.col("major")).alias("asks"))  # the keys of one item
+    m = materialize(m, "open-items")
+    sizes = m.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / REST_BLOCK).alias("blocks"),
+                                   F.ceil(F.count_if("asks") / REST_BLOCK).alias("chunks"))
+    m = m.join(sizes, "least")
+    # buckets of one block are one unit, in which every item stands once
     single = m.filter("blocks = 1").select(
-        _unit("key").alias("unit"), "item", F.when(F.col("root") == F.col("major"), ABOUT).otherwise(BOTH).alias("role"), "root")
+        _unit("least").alias("unit"), "item", F.when(F.col("asks"), BOTH).otherwise(ABOUT).alias("role"), "root", "keys")
     m = m.filter("blocks > 1")
     about = m.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        _unit("key", _slot("item", "blocks"), "chunk").alias("unit"), "item", F.lit(ABOUT).alias("role"), "root")
-    asks = m.filter("root <> major").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        _unit("key", "slot", _slot("item", "chunks")).alias("unit"), "item", F.lit(ASKS).alias("role"), "root")
+        _unit("least", _slot("item", "blocks"), "chunk").alias("unit"), "item", F.lit(ABOUT).alias("role"), "root", "keys")
+    asks = m.filter("asks").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        _unit("least", "slot", _slot("item", "chunks")).alias("unit"), "item", F.lit(ASKS).alias("role"), "root", "keys")
     return single.unionByName(about).unionByName(asks)
 
 
+class Asking:
+    """The items of a unit that ask, and which of them another item is to be compared with.
+
+    Of more than ``FEW``, those are left out whose bitmaps already differ in more places than sets of
+    Jaccard similarity ``percent`` can differ in elements: a place that differs stands for an
+    element that only one of the sets has.
+    """
+
+    def __init__(self, percent: int):
+        self.percent, self.items, self.roots, self.sets, self.by_key = percent, [], [], [], {}
+        self.mapped, self.bits, self.sizes = 0, np.empty((8, BITMAP_WORDS), np.uint64), np.empty(8, np.int64)
+
+    def add(self, item: int, root: int, own: np.ndarray, keys: list[int] | None) -> None:
+        for key in keys or ():
+            self.by_key.setdefault(key, []).append(len(self.items))
+        self.items.append(item)
+        self.roots.append(root)
+        self.sets.append(own.copy())  # not a view of a block of sets
+
+    def candidates(self, root: int, own: np.ndarray, keys: list[int] | None, find: Callable) -> list[int]:
+        """Those that share a key, unless ``keys`` is null, and are not of the root's component."""
+        some = range(len(self.items)) if keys is None else {k for key in keys for k in self.by_key.get(key, ())}
+        root = find(root)
+        some = [k for k in sorted(some) if find(self.roots[k]) != root]
+        if len(some) <= FEW:
+            return some
+        self._map()
+        at = np.array(some)
+        differ = np.bitwise_count(self.bits[at] ^ bitmap(own)).sum(axis=1).astype(np.int64)
+        # |A xor B| <= (|A| + |B|) * (100 - p) / (100 + p) for similarity p percent
+        near = (100 + self.percent) * differ <= (100 - self.percent) * (self.sizes[at] + len(own))
+        return at[near].tolist()
+
+    def _map(self) -> None:
+        """Bitmaps of the items added since."""
+        if len(self.sets) > len(self.sizes):
+            more = 2 * len(self.sets)
+            self.bits, self.sizes = np.resize(self.bits, (more, BITMAP_WORDS)), np.resize(self.sizes, more)
+        for k in range(self.mapped, len(self.sets)):
+            self.bits[k], self.sizes[k] = bitmap(self.sets[k]), len(self.sets[k])
+        self.mapped = len(self.sets)
+
+
 def verify(units: DataFrame, payload: DataFrame, to_sets: Callable, similar: Callable, percent: int) -> DataFrame:
     """Links ``a, b`` between the similar items of a unit, enough to connect them.
 
     ``payload`` has ``item, text``; ``to_sets`` makes sorted hash sets of a list of texts,
-    ``similar`` tests two sets.  Where more than ``FEW`` items ask, pairs whose bitmaps already
-    differ in more places than sets of Jaccard similarity ``percent`` can differ in
-    elements are not tested: a place that differs stands for an element that only one
-    of the sets has.
+    ``similar`` tests two sets.  Items with ``keys`` are compared if they share one.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, asking, stacked, parent = None, [], None, {}
+        unit, asking, parent = None, Asking(percent), {}
 
         def find(x):
             while parent.setdefault(x, x) != x:
                 x = parent[x]
             return x
 
-        def candidates(own):
-            nonlocal stacked
-            if len(asking) <= FEW:
-                return range(len(asking))
-            if stacked is None:
-                stacked = np.stack([bitmap(x[2]) for x in asking]), np.array([len(x[2]) for x in asking])
-            differ = np.bitwise_count(stacked[0] ^ bitmap(own)).sum(axis=1).astype(np.int64)
-            # |A xor B| <= (|A| + |B|) * (100 - p) / (100 + p) for similarity p percent
-            return np.flatnonzero((100 + percent) * differ <= (100 - percent) * (stacked[1] + len(own)))
-
         for batch in batches:
-            units, items, roles, roots = (batch.column(i).to_pylist() for i in range(4))
+            units, items, roles, roots, keys = (batch.column(i).to_pylist() for i in range(5))
             links: list[tuple[int, int]] = []
-            for i, own in enumerate(_in_blocks(batch.column(4), to_sets)):
+            for i, own in enumerate(_in_blocks(batch.column(5), to_sets)):
                 if units[i] != unit:
-                    unit, asking, stacked, parent = units[i], [], None, {}
-                if roles[i] != ASKS and asking:
-                    for k in candidates(own):
-                        item, root, other = asking[k]
-                        a, b = find(root), find(roots[i])
-                        if a != b and similar(own, other):
+                    unit, asking, parent = units[i], Asking(percent), {}
+                if roles[i] != ASKS and asking.items:
+                    for k in asking.candidates(roots[i], own, keys[i], find):
+                        a, b = find(asking.roots[k]), find(roots[i])
+                        if a != b and similar(own, asking.sets[k]):
                             parent[max(a, b)] = min(a, b)
-                            links.append((item, items[i]))
+                            links.append((asking.items[k], items[i]))
                 if roles[i] != ABOUT:  # those that ask come first
-                    asking.append((items[i], roots[i], own))
-                    stacked = None
+                    asking.add(items[i], roots[i], own, keys[i])
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], schema=schema)
 
     tasks = shuffle_tasks(units.sparkSession)
-    rows = units.join(payload, "item").select("unit", "item", "role", "root", "text")
+    rows = units.join(payload, "item").select("unit", "item", "role", "root", "keys", "text")
     rows = rows.repartition(tasks, "unit").sortWithinPartitions("unit", F.desc("role"))
     return rows.mapInArrow(run, "a long, b long")
 

@@ -53,9 +53,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _MIX[0]
-    x = (x ^ (x >> _U(29))) * _MIX[1]
-    return x ^ (x >> _U(32))
+    y = x >> _U(31)
+    y ^= x
+    y *= _MIX[0]
+    z = y >> _U(29)
+    y ^= z
+    y *= _MIX[1]
+    np.right_shift(y, _U(32), out=z)
+    y ^= z
+    return y
 
 
 def word_hashes(text: str) -> np.ndarray:

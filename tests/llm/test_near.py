@@ -313,3 +313,22 @@ def test_lowered_texts_have_normal_lines():
     for c in map(chr, range(256)):
         low = line_dedup.lowered(f"x{c}Y")
         assert low is None or low.split("\n") == [line_dedup.normalized(s) for s in f"x{c}Y".split("\n")]
+
+
+def test_items_of_overlapping_buckets_stand_once_in_the_rest(spark):
+    rows = [(key, item, 0) for key in range(10) for item in [0, *range(1, 31), 31 + key]]  # no two keys hold the same
+    members = spark.createDataFrame(rows, "key long, item long, least long")
+    units = links.rest_units(members, spark.createDataFrame([], "item long, root long")).collect()
+    assert sorted(r.item for r in units) == [*range(1, 41)]
+    assert len({r.unit for r in units}) == 1
+    assert {r.item: sorted(r["keys"]) for r in units} == {i: [i - 31] if i > 30 else [*range(10)] for i in range(1, 41)}
+
+
+def test_items_of_a_unit_are_compared_if_they_share_a_key():
+    asking, same = links.Asking(80), np.arange(50, dtype=np.uint64) << np.uint64(52)
+    for item in range(20):
+        asking.add(item, item, same, [item % 2])
+    assert asking.candidates(30, same, [1], lambda x: x) == [*range(1, 20, 2)]
+    assert asking.candidates(3, same, [1], lambda x: x) == [1, *range(5, 20, 2)]
+    assert asking.candidates(30, same + np.uint64(100 << 52), [1], lambda x: x) == []
+    assert asking.candidates(30, same, None, lambda x: x) == [*range(20)]
