@@ -33,6 +33,8 @@ PERCENT = 80
 BLOCK_CHARS, SEEN_LINES = 1 << 16, 200_000
 _U = np.uint64
 _FIRST = np.ones(1, bool)
+#: Hashes of the first code points.
+_CODES = mix(np.arange(1, 0x251, dtype=_U))
 _LOWER = bytes(ord(chr(c).lower()) for c in range(256))
 _ODD_BLANKS = bytes(c for c in range(256) if chr(c).isspace() and chr(c) not in " \n")
 
@@ -60,11 +62,15 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A line shorter than a shingle must not be given.
     """
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.array([len(s) for s in lines])
     up, down = powers(len(codes) + 1)
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(codes + _U(1)) * up[:len(codes)], dtype=_U)])
-    windows = (sums[SHINGLE:] - sums[:-SHINGLE]) * down[:len(codes) - SHINGLE + 1]
+    sums = np.zeros(len(codes) + 1, _U)
+    hashes = _CODES[codes] if codes.max(initial=0) < len(_CODES) else mix(codes.astype(_U) + _U(1))
+    hashes *= up[:len(codes)]
+    np.cumsum(hashes, out=sums[1:])
+    windows = sums[SHINGLE:] - sums[:-SHINGLE]
+    windows *= down[:len(windows)]
     inside = np.ones(len(codes), bool)
     ends = np.cumsum(size)
     for j in range(1, SHINGLE):  # windows that would reach into the next line
@@ -79,9 +85,12 @@ def line_sets(lines: list[str]) -> list[np.ndarray]:
         return []
     found, starts = shingle_hashes([normalized(s).ljust(SHINGLE) for s in lines])
     sets = []
-    for one in np.split(found, starts[1:]):
+    starts = [*starts.tolist(), len(found)]
+    for start, end in zip(starts, starts[1:]):
+        one = found[start:end]
         one.sort()
-        sets.append(one if len(one) < 2 else one[np.concatenate([_FIRST, one[1:] != one[:-1]])])
+        new = one[1:] != one[:-1]
+        sets.append(one if new.all() else one[np.concatenate([_FIRST, new])])
     return sets
 
 
@@ -89,10 +98,12 @@ def band_keys(lines: list[str], minhash: MinHash) -> np.ndarray:
     """Lines by bands: 64-bit keys."""
     found, starts = shingle_hashes(lines)
     x = (found >> _U(32)).astype(np.uint32)
-    low = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    low, y = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(x)
     for k, (mask, factor) in enumerate(zip(minhash.masks[:, 0], minhash.factors[:, 0])):
-        low[:, k] = np.minimum.reduceat((x ^ mask) * factor, starts)
-    keys = folded(low, ROWS).reshape(len(lines), BANDS)
+        np.bitwise_xor(x, mask, out=y)
+        np.multiply(y, factor, out=y)
+        np.minimum.reduceat(y, starts, out=low[k])
+    keys = folded(low.T, ROWS).reshape(len(lines), BANDS)
     return mix(keys + np.arange(1, BANDS + 1, dtype=_U))
 
 

@@ -332,3 +332,12 @@ def test_items_of_a_unit_are_compared_if_they_share_a_key():
     assert asking.candidates(3, same, [1], lambda x: x) == [1, *range(5, 20, 2)]
     assert asking.candidates(30, same + np.uint64(100 << 52), [1], lambda x: x) == []
     assert asking.candidates(30, same, None, lambda x: x) == [*range(20)]
+
+
+def test_shingle_hashes_are_the_same_beside_rare_characters():
+    low, high = ["plain line of text, with é and ɏ"], ["a line with ɐ and \U0001f600 in it"]
+    assert len(line_dedup._CODES) == 0x250
+    alone, both = line_dedup.shingle_hashes(low)[0], line_dedup.shingle_hashes(low + high)[0]
+    assert (both[:len(alone)] == alone).all() and (both[len(alone):] == line_dedup.shingle_hashes(high)[0]).all()
+    twice = line_dedup.line_sets(["ab" * 20, "no shingle stands twice"])
+    assert [len(x) for x in twice] == [2, 16] and all((x[1:] > x[:-1]).all() for x in twice)
