@@ -188,6 +188,9 @@ class LibraryEncoder:
     below U+0100 are lower-cased as a whole first, unless a special string is in them.
     Letters and marks behind them are words of their own, so letters are asked about without
     the marks, and each run of marks once.
+
+    A word of letters a-z is left as it is by the tokenizer's normalization and split, so its
+    BPE model alone is asked about it, if the library was seen to give the same for the tokenizer.
     """
 
     def __init__(self, spec: str):
@@ -201,6 +204,7 @@ class LibraryEncoder:
         self.chunks = ChunkCache(CACHED_CHUNKS, pack=bytes)
         self.pattern, self.ends, self.plain, self.one_word = None, None, frozenset(), False
         self.marks, self.tails, self.lowered = "", {}, False
+        self.model, self.bare = self.tokenizer.model, False
         self._learn_joins(json.loads(spec))
 
     def _learn_joins(self, spec: dict) -> None:
@@ -222,6 +226,15 @@ class LibraryEncoder:
         self.plain = frozenset(c for c, good in zip(tried, agree) if all(good))
         if self.one_word and self.plain.issuperset(string.ascii_letters):
             self.marks = "".join(c for c in self.plain if not c.isalnum())
+            # normalizers and splits known to leave a-z as they are, byte symbols too; then every pair of letters
+            known = {"NFC", "Replace", "Lowercase", "Split", "ByteLevel"}
+            steps = [*(spec["normalizer"] or {}).get("normalizers", [spec["normalizer"] or {"type": "NFC"}]),
+                     *spec["pre_tokenizer"]["pretokenizers"]]
+            blanks = all(p["pattern"] == {"Regex": "\\s+"} for p in steps if p["type"] == "Replace")
+            pairs = [a + b for a in string.ascii_lowercase for b in ("", *string.ascii_lowercase)]
+            self.bare = blanks and known.issuperset(p["type"] for p in steps) and not any(
+                p.get("add_prefix_space") for p in steps) and [x.tobytes() for x in self._ids(pairs)] == [
+                self._bare(x) for x in pairs]
         self.special = [t["content"].lower() for t in spec["added_tokens"]]
         normalizers = (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"] or {}])
         below = [chr(c) for c in range(1, 0x100) if not chr(c).isspace()]
@@ -251,6 +264,10 @@ class LibraryEncoder:
             width = cut
         return out
 
+    def _bare(self, word: str) -> bytes:
+        """Ids of a word of letters a-z."""
+        return array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _tail(self, tail: str) -> bytes | None:
         """Ids of a run of marks behind letters; None if it is no word of its own there."""
         if tail not in self.tails:
@@ -264,7 +281,7 @@ class LibraryEncoder:
     def _new(self, chunks: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
         plain, ended, rest, known = [], [], [], self.chunks.young
-        is_plain, marks = self.plain.issuperset, self.marks
+        is_plain, marks, bare = self.plain.issuperset, self.marks, self.bare
         asked = set()
         for c in chunks:
             if len(c) > JOINED_CHARS or not is_plain(c):
@@ -276,8 +293,12 @@ class LibraryEncoder:
                 c = word
                 if c in known:
                     continue
-            if c not in asked:
-                asked.add(c)
+            if c in asked:
+                continue
+            asked.add(c)
+            if bare and c.isascii() and c.isalpha() and c.islower():
+                found[c] = self._bare(c)
+            else:
                 plain.append(c)
         for at in range(0, len(plain), JOINED_CHUNKS):
             part = plain[at:at + JOINED_CHUNKS]

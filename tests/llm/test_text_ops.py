@@ -1,6 +1,7 @@
 """Language identification, quality rules, BPE and token files on small fixtures."""
 
 import hashlib
+import json
 import struct
 import zlib
 from array import array
@@ -330,3 +331,19 @@ def test_marks_behind_words_and_capitals_ask_the_library_once():
         assert encoder.encode(text).tolist() == ids_of(text)
     words = [w for c in asked for w in c.split()]
     assert words.count("zorbel") == 1 and words.count("\u00e9zor") == 1
+
+
+def test_words_of_letters_go_to_the_model_alone(monkeypatch):
+    encoder = token_files.LibraryEncoder(open(TOKENIZER, encoding="utf-8").read())
+    asked = []
+    joined = encoder._joined
+    monkeypatch.setattr(encoder, "_joined", lambda chunks: asked.extend(chunks) or joined(chunks))
+    rng = np.random.default_rng(7)
+    words = ["".join(chr(97 + c) for c in rng.integers(26, size=rng.integers(1, 41))) for _ in range(3000)]
+    text = " ".join([*words, "It's", "o\u2019er", "na\u00efve", "x1", "don't", "ends.", "UPPER", "\u0130zmir", "fi\ufb01"])
+    want = encoder.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    assert encoder.encode(text).tolist() == want
+    assert encoder.bare and not {*words} & {*asked}
+    spec = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    spec["normalizer"]["normalizers"].append({"type": "Prepend", "prepend": "a"})
+    assert not token_files.LibraryEncoder(json.dumps(spec)).bare
