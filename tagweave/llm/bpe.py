@@ -20,6 +20,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tagweave.llm.arrow import Batches, texts
+from tagweave.llm.arrow import Batches, map_arrow, texts
 from tagweave.llm.common import narrow
 
 END = "</w>"
@@ -110,7 +111,7 @@ class PrefixEncoder:
     """Exact encoder and decoder of one tokenizer file (its JSON text)."""
 
     def __init__(self, spec: str):
-        self.library = Tokenizer.from_str(spec)
+        self.file = spec
         spec = json.loads(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.rules = PairRules(vocab, merges)
@@ -129,6 +130,11 @@ class PrefixEncoder:
         self.word_ids: dict[str, tuple[int, ...]] = {}
         self.chunks = ChunkCache()
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer (38 MB), built when the first piece needs it; few texts have one."""
+        return Tokenizer.from_str(self.file)
+
     def last_tokens(self, symbols: str) -> list[tuple[int, int] | None]:
         """For every prefix, by its length, its last token and that token's length."""
         last: list[tuple[int, int] | None] = [None] * (len(symbols) + 1)
@@ -289,7 +295,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     other columns are ignored, whatever their names.
     """
     spec = tokenizer_spec(docs.sparkSession, tokenizer)
-    return _documents(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(spec, batches), "doc_id long, ids binary")
+    return map_arrow(_documents(docs, id_col, text_col), lambda batches: _encoded(spec, batches), "doc_id long, ids binary")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -318,15 +324,15 @@ def _decoded(tokens: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Adds ``decoded`` (UTF-8 bytes) to the rows of ``encode_documents``."""
     spec = tokenizer_spec(encoded.sparkSession, tokenizer)
-    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(kept(spec, read_tokens), batches), DECODED)
+    return map_arrow(encoded.select("doc_id", "ids"), lambda batches: _decoded(kept(spec, read_tokens), batches), DECODED)
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``decode_documents`` of ``encode_documents``, both steps in one Python worker a task: two
     workers would each hold what they build of the tokenizer file, and pass the ids through the JVM."""
     spec = tokenizer_spec(docs.sparkSession, tokenizer)
-    return _documents(docs, id_col, text_col).mapInArrow(
-        lambda batches: _decoded(kept(spec, PrefixEncoder).tokens, _encoded(spec, batches)), DECODED)
+    return map_arrow(
+        _documents(docs, id_col, text_col), lambda batches: _decoded(kept(spec, PrefixEncoder).tokens, _encoded(spec, batches)), DECODED)
 
 
 def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.llm.arrow import map_arrow
 from tagweave.llm.common import materialize, shuffle_tasks, small_enough
 
 #: Items of a comparison unit, around a star and in what is left.
@@ -182,7 +183,7 @@ def verify(units: DataFrame, payload: DataFrame, to_sets: Callable, similar: Cal
     tasks = shuffle_tasks(units.sparkSession)
     rows = units.join(payload, "item").select("unit", "item", "role", "root", "keys", "text")
     rows = rows.repartition(tasks, "unit").sortWithinPartitions("unit", F.desc("role"))
-    return rows.mapInArrow(run, "a long, b long")
+    return map_arrow(rows, run, "a long, b long")
 
 
 def _in_blocks(column: pa.Array, to_sets: Callable) -> Iterator[np.ndarray]:

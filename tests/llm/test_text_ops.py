@@ -7,6 +7,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tagweave.llm import bpe, langid, quality, token_files
+from tagweave.llm import arrow, bpe, langid, quality, token_files
 from tagweave.llm.queries import TOKENIZER
 
 LIBRARY = Tokenizer.from_file(TOKENIZER)
@@ -347,3 +348,26 @@ def test_words_of_letters_go_to_the_model_alone(monkeypatch):
     spec = json.loads(open(TOKENIZER, encoding="utf-8").read())
     spec["normalizer"]["normalizers"].append({"type": "Prepend", "prepend": "a"})
     assert not token_files.LibraryEncoder(json.dumps(spec)).bare
+
+
+def test_workers_get_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 700).alias("text"))
+    spark.conf.unset(arrow._INPUT_BYTES)
+    assert bpe.token_digests(docs, TOKENIZER).agg(F.sum("n_tokens")).first()[0] == 4000 * 700
+    rows = arrow.map_arrow(docs, sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 4000 and max(r.size for r in rows) < 2 * arrow.BATCH_BYTES
+    spark.conf.set(arrow._INPUT_BYTES, "5m")  # the user's own bound stays
+    assert 2 * arrow.BATCH_BYTES < max(r.size for r in arrow.map_arrow(docs, sizes, "n long, size long").collect())
+    spark.conf.unset(arrow._INPUT_BYTES)
+
+
+def test_the_library_tokenizer_is_built_when_a_piece_needs_it():
+    encoder = bpe.PrefixEncoder(open(TOKENIZER, encoding="utf-8").read())
+    for text in ("Plain words, d\u00e9j\u00e0 vu <|endoftext|>", "\u1c89\u2fe0 \U000105c0a"):
+        assert "library" not in vars(encoder)
+        assert list(array("I", encoder.encode(text))) == ids_of(text)
+    assert "library" in vars(encoder)
