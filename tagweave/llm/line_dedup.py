@@ -20,17 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.arrow import texts
+from tagweave.llm.arrow import map_arrow, texts
 from tagweave.llm.common import materialize, narrow, small_enough
 from tagweave.llm.links import near_components
-from tagweave.llm.near_dedup import MinHash, folded, mix, powers, similar
+from tagweave.llm.near_dedup import MinHash, folded, mix, mix_high, powers, similar
 from tagweave.session import sized_broadcast
 
 MIN_CHARS, SHINGLE = 24, 8
 BANDS, ROWS = 12, 4
 PERCENT = 80
 #: Characters whose signatures are computed at once; equal lines of a task that get one signature.
-BLOCK_CHARS, SEEN_LINES = 1 << 16, 200_000
+BLOCK_CHARS, SEEN_LINES = 1 << 17, 200_000
 _U = np.uint64
 _FIRST = np.ones(1, bool)
 #: Hashes of the first code points.
@@ -57,12 +57,17 @@ def lowered(text: str) -> str | None:
     return data.translate(_LOWER).decode("latin-1")
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles of all lines in a row, and where each line's begin.
+def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums, yet to be mixed, of every window of a shingle's length over all lines in a row; which
+    windows lie inside a line; where each line's begin among those.
 
     A line shorter than a shingle must not be given.
     """
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = "".join(lines)
+    try:
+        codes = np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.array([len(s) for s in lines])
     up, down = powers(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, _U)
@@ -76,7 +81,16 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for j in range(1, SHINGLE):  # windows that would reach into the next line
         inside[ends - j] = False
     counts = size - SHINGLE + 1
-    return mix(windows[inside[:len(windows)]]), np.concatenate([[0], np.cumsum(counts)[:-1]])
+    return windows, inside[:len(windows)], np.concatenate([[0], np.cumsum(counts)[:-1]])
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all lines in a row, and where each line's begin.
+
+    A line shorter than a shingle must not be given.
+    """
+    windows, inside, starts = _windows(lines)
+    return mix(windows[inside]), starts
 
 
 def line_sets(lines: list[str]) -> list[np.ndarray]:
@@ -96,8 +110,8 @@ def line_sets(lines: list[str]) -> list[np.ndarray]:
 
 def band_keys(lines: list[str], minhash: MinHash) -> np.ndarray:
     """Lines by bands: 64-bit keys."""
-    found, starts = shingle_hashes(lines)
-    x = (found >> _U(32)).astype(np.uint32)
+    windows, inside, starts = _windows(lines)
+    x = mix_high(windows)[inside]  # of the hashes, minhashes take the upper half only
     low, y = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(x)
     for k, (mask, factor) in enumerate(zip(minhash.masks[:, 0], minhash.factors[:, 0])):
         np.bitwise_xor(x, mask, out=y)
@@ -109,22 +123,19 @@ def band_keys(lines: list[str], minhash: MinHash) -> np.ndarray:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """One row per line that counts: its document (id and a hash of the text), number,
-    128-bit identity ``item, more``, and band keys once per item and task (about)."""
-    keys_type = pa.list_(pa.int64())
+    128-bit identity ``item, more``, and its band keys (8 bytes each in a row) once per item and task (about)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32()), ("item", pa.int64()),
-                        ("more", pa.int64()), ("keys", keys_type)])
+                        ("more", pa.int64()), ("keys", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash, seen, rows, new, chars = MinHash(BANDS * ROWS), set(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            keys = band_keys(new, minhash).view(np.int64) if new else np.zeros((0, BANDS), np.int64)
-            has = np.array([r[5] for r in rows])
-            offsets = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)), type=keys_type,
-                                             mask=pa.array(~has))
-            cols = [pa.array(c, f.type) for c, f in zip(list(zip(*rows))[:5], schema)]
-            return pa.RecordBatch.from_arrays([*cols, lists], schema=schema)
+            *cols, digests, has = zip(*rows)
+            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            keys = iter(band_keys(new, minhash).view(f"V{8 * BANDS}")[:, 0].tolist() if new else ())
+            cols = [*cols, halves[:, 0], halves[:, 1], [next(keys) if x else None for x in has]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -137,8 +148,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
                         line = normalized(line)
                         if len(line) < min_chars:
                             continue
-                    digest = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-                    item, more = (x - (1 << 64) if x >> 63 else x for x in (digest >> 64, digest & 0xFFFFFFFFFFFFFFFF))
+                    digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
                     fresh = digest not in seen
                     if fresh:
                         if len(seen) >= SEEN_LINES:
@@ -146,7 +156,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
                         seen.add(digest)
                         new.append(line)
                         chars += len(line)
-                    rows.append((doc_id, text_hash, number, item, more, fresh))
+                    rows.append((doc_id, text_hash, number, digest, fresh))
                     if chars >= BLOCK_CHARS or len(rows) >= 20_000:
                         yield flush()
                         rows, new, chars = [], [], 0
@@ -154,8 +164,9 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
             yield flush()
 
     src = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "doc_id long, text_hash long, line int, item long, more long, keys array<long>")
+    return map_arrow(
+        src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run,
+        "doc_id long, text_hash long, line int, item long, more long, keys binary")
 
 
 def line_items(table: DataFrame) -> DataFrame:
@@ -186,7 +197,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lines = _with_lines(docs, where, id_col, text_col).select("lines", F.explode("at").alias("at"))
         return lines.select("at.item", F.get("lines", F.col("at.line")).alias("text"))
 
-    keys = table.filter("keys is not null").select(F.explode("keys").alias("key"), "item")
+    each = F.array(*[F.xxhash64(F.substring("keys", 8 * band + 1, 8)) for band in range(BANDS)])
+    keys = table.filter("keys is not null").select(F.explode(each).alias("key"), "item")
     roots = near_components(keys, fetch, line_sets, lambda a, b: similar(a, b, percent), percent)
     linked = firsts.join(roots, "item").select("item", "first", "root")
     linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("item", "least")
@@ -230,8 +242,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = _beside(src, removed, "left")
     text = F.coalesce("text", F.lit(""))
-    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
-    n_lines = F.when(F.length(text) > 0, breaks + 1).otherwise(0)
+    n_lines = F.when(F.octet_length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0)
     n_removed = F.coalesce(F.size("removed"), F.lit(0))
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
     return rows.select("doc_id", n_lines.cast("long").alias("n_lines"), (n_lines - n_removed).cast("long").alias("n_kept"),
@@ -262,7 +273,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = row.join(found, same, "left").select(
         "row", F.col("f.removed").isNotNull().alias("changed"),
         F.when(F.col("f.removed").isNull(), F.col("s.text")).otherwise(F.array_join(left, "\n")).alias("left"))
-    rows = rows.filter(~F.col("changed") | (F.length("left") > 0))
+    rows = rows.filter(~F.col("changed") | (F.octet_length("left") > 0))
 
     def column(c: str):
         if c == text_col:

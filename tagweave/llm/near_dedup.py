@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.arrow import Batches
+from tagweave.llm.arrow import Batches, map_arrow
 from tagweave.llm.common import materialize, narrow, small_enough
 from tagweave.llm.links import near_components, with_shared_keys
 
@@ -52,18 +52,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
+def _mixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``mix`` but for its last step, and an array to use again."""
     y = x >> _U(31)
     y ^= x
     y *= _MIX[0]
     z = y >> _U(29)
     y ^= z
     y *= _MIX[1]
+    return y, z
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    y, z = _mixed(x)
     np.right_shift(y, _U(32), out=z)
     y ^= z
     return y
 
 
+def mix_high(x: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of ``mix``: its last step leaves them as they are."""
+    return _mixed(x)[0].astype("<u8", copy=False).view("<u4")[1::2]
+
+
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of every word ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case."""
     data = text.encode("utf-8", "surrogatepass").lower()
@@ -158,8 +169,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, side: int, r
         yield from out.flush()
 
     src = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "doc_id long, text_hash long, node binary, n_shingles long, left array<long>, right array<long>")
+    return map_arrow(
+        src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run,
+        "doc_id long, text_hash long, node binary, n_shingles long, left array<long>, right array<long>")
 
 
 def table_keys(items: DataFrame, side: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tagweave.llm import line_dedup, links, near_dedup
@@ -341,3 +342,21 @@ def test_shingle_hashes_are_the_same_beside_rare_characters():
     assert (both[:len(alone)] == alone).all() and (both[len(alone):] == line_dedup.shingle_hashes(high)[0]).all()
     twice = line_dedup.line_sets(["ab" * 20, "no shingle stands twice"])
     assert [len(x) for x in twice] == [2, 16] and all((x[1:] > x[:-1]).all() for x in twice)
+
+
+def test_a_line_has_its_band_keys_in_one_value(spark):
+    texts = ["a first line of plain text\nits second line, d\u00e9j\u00e0 vu \u00ff", "a third line, \u0250 and \U0001f600\na first line of plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = line_dedup.line_table(docs, "doc_id", "text", 8).orderBy("doc_id", "line").collect()
+    lines = [x for t in texts for x in t.split("\n")]
+    for line, row in zip(lines, rows):
+        found, starts = line_dedup.shingle_hashes([line])
+        x = (found >> np.uint64(32)).astype(np.uint32)
+        minhash = near_dedup.MinHash(line_dedup.BANDS * line_dedup.ROWS)
+        low = ((x ^ minhash.masks) * minhash.factors).min(axis=1)
+        keys = near_dedup.folded(low, line_dedup.ROWS) + np.arange(1, line_dedup.BANDS + 1, dtype=np.uint64)
+        digest = xxhash.xxh3_128_intdigest(line.encode())
+        assert (row.item % (1 << 64), row.more % (1 << 64)) == (digest >> 64, digest % (1 << 64))
+        assert row["keys"] is None if row is rows[3] else bytes(row["keys"]) == near_dedup.mix(keys).tobytes()
+    numbers = np.arange(1, 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert (near_dedup.mix_high(numbers) == near_dedup.mix(numbers) >> np.uint64(32)).all()
