@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tagweave.fixed import (
@@ -165,15 +167,32 @@ def format_violations(spark, sf_dir):
     return tt.format_violations(raw, gold, vocab, "doc_id")
 
 
-def mention_rule(words: list[str]) -> list[int]:
+class MentionRule:
     """The stated rule: a word with one leading capital is (part of) a mention unless it opens a
     sentence and no capitalised word follows it; neighbours belong together."""
-    names = [len(w) > 1 and w[0].isupper() and w[1:].islower() for w in words]
-    tags, last = [], 0
-    for before, name, after in zip(["."] + words, names, names[1:] + [False]):
-        last = 0 if not name or (before in ".!?" and not after) else 2 if last else 1
-        tags.append(last)
-    return tags
+
+    NAME, END = 1, 2
+
+    def mark(self, word: str) -> int:
+        return self.NAME if len(word) > 1 and word[0].isupper() and word[1:].islower() else self.END if word in ".!?" else 0
+
+    def tags(self, marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Tags of the words of some lines, the first of each at ``starts`` (and behind them the number of words)."""
+        first, last = starts[:-1], starts[1:] - 1
+        name, opens = marks == self.NAME, np.append(True, marks[:-1] == self.END)
+        opens[first] = True
+        follows = np.append(name[1:], False)
+        follows[last] = False
+        name &= ~opens | follows
+        inside = np.append(False, name[:-1]) & name
+        inside[first] = False
+        return name.astype(np.int8) + inside
+
+    def __call__(self, words: list[str]) -> list[int]:
+        return self.tags(np.array([self.mark(w) for w in words]), np.array([0, len(words)])).tolist() if words else []
+
+
+mention_rule = MentionRule()
 
 
 @register("mention_tags")
@@ -183,7 +202,7 @@ def mention_tags(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     held = docs.filter(F.col("id") % 10 == 0)
     weights = tg.fit_tagger(docs.filter(F.col("id") % 10 != 0), mention_rule)
-    rule = F.pandas_udf(lambda s: s.map(lambda t: [m for w, tags in tg.tag_lines(t, mention_rule) for m in tg.spans(w, tags)]), "array<string>")
+    rule = F.pandas_udf(lambda s: pd.Series(tg.rule_mentions(s, mention_rule)), "array<string>")
     both = tg.tag_mentions(held, weights).join(held.select("id", rule("text").alias("gold")), "id")
     # matches with repeats: the lesser of both counts of each mention
     agree = F.aggregate(F.array_distinct("gold"), F.lit(0), lambda n, g: n + F.least(

@@ -480,6 +480,86 @@ def test_decode_and_epochs_as_a_plain_loop(spark):
     assert len(jobs.getJobIdsForGroup("tagger-epochs")) < 20  # not a job a partition
 
 
+def _plain_mention_rule(words):
+    names = [len(w) > 1 and w[0].isupper() and w[1:].islower() for w in words]
+    tags, last = [], 0
+    for before, name, after in zip(["."] + words, names, names[1:] + [False]):
+        last = 0 if not name or (before in ".!?" and not after) else 2 if last else 1
+        tags.append(last)
+    return tags
+
+
+def _mention_texts(rng, n):
+    words = ["Ann", "Bo", "met", "the", "Lind", "Éva", "x1", "USA", "a", ".", "!", "don't", "Über-cool", "<", "(so)", "12", "A"]
+    return ["\n".join(" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(rng.integers(0, 6))) + "\n" * (k % 3) for k in range(n)]
+
+
+def test_blocks_of_lines_say_what_single_lines_say(monkeypatch):
+    from tagweave.operators import tagger as tg
+    from tagweave.plans.q_text import mention_rule
+
+    texts = [None, "", " \n ", *_mention_texts(np.random.default_rng(2), 80), "One\n\nTwo. Three Four"]
+    lines = [(k, w) for k, t in enumerate(texts) for w in map(tg.TOKEN.findall, (t or "").split("\n")) if w]
+    monkeypatch.setattr(tg, "CACHED_WORDS", 10)
+    for chars in (1 << 18, 100, 7):  # long texts are cut between lines
+        monkeypatch.setattr(tg, "BLOCK_CHARS", chars)
+        found = []
+        for block, marks, words, text in tg.blocks(texts, mention_rule.mark):
+            tags, feats = tg.rule_tags(mention_rule, marks, words, block.starts), block.features()
+            assert tags.tolist() == tg.rule_tags(_plain_mention_rule, marks, words, block.starts).tolist()
+            for a, b, k in zip(block.starts, block.starts[1:], text):
+                found.append((k, words[a:b]))
+                assert tags[a:b].tolist() == _plain_mention_rule(words[a:b]) == mention_rule(words[a:b])
+                shapes = ["<", "<", *map(tg.shape, words[a:b]), ">"]
+                for w, row, f, x, o, y in zip(words[a:b], feats[a:b].tolist(), shapes, shapes[1:], shapes[2:], shapes[3:]):
+                    assert row == [tg._place(m) for m in (f"0{o}", f"1{x}|{o}", f"2{o}|{y}", f"3{x}|{o}|{y}", f"4{w.lower()}", f"5{f}|{x}|{o}")]
+        assert found == lines
+        assert tg.rule_mentions(texts, mention_rule) == [[m for i, w in lines if i == k for m in tg.spans(w, _plain_mention_rule(w))] for k in range(len(texts))]
+    assert mention_rule([]) == []
+
+
+def test_epochs_read_numbers_and_decode_what_is_not_proven(spark, monkeypatch):
+    """A rule is asked once a line, not once an epoch; learned lines aren't decoded; the weights are those of a loop over the lines."""
+    from tagweave.operators import tagger as tg
+
+    rng = np.random.default_rng(4)
+    asked = spark.sparkContext.accumulator(0)
+
+    def rule(words):
+        asked.add(1)
+        return _plain_mention_rule(words)
+
+    docs = spark.createDataFrame([(t,) for t in _mention_texts(rng, 60)], "text string")
+    lines = sum(1 for r in docs.collect() for line in r.text.split("\n") if line.strip())
+    tg.fit_tagger(docs, rule)
+    assert asked.value == lines
+
+    decoded, best = [], tg.Weights.best
+    monkeypatch.setattr(tg.Weights, "best", lambda self, scores: decoded.append(1) or best(self, scores))
+    texts = _mention_texts(rng, 1500)
+    made = [(b, b.features(), np.array(tg.rule_tags(_plain_mention_rule, m, w, b.starts))) for b, m, w, _ in tg.blocks(texts)]
+    odd = [(b, f, np.where(rng.random(len(g)) < 0.02, rng.integers(0, 3, len(g)), g)) for b, f, g in made]  # tags that no decoding gives, too
+    start = np.zeros(tg.Weights.SIZE)
+    for rows in (odd, made, made, made):
+        decoded.clear()
+        learner, w, late, n, mistakes = tg.Learner(start.copy()), tg.Weights(start.copy()), tg.Weights(), 0, 0
+        for block, feats, gold in rows:
+            learner.learn(feats, gold, block.starts)
+        few = len(decoded)
+        for block, feats, gold in rows:
+            for a, b in zip(block.starts, block.starts[1:]):
+                found = w.decode(feats[a:b])
+                if (found != gold[a:b]).any():
+                    mistakes += 1
+                    for target, step in ((w, 1.0), (late, float(n))):
+                        target.add(feats[a:b], gold[a:b], step)
+                        target.add(feats[a:b], found, -step)
+                n += 1
+        assert learner.lines == n and (learner.weights.flat == w.flat).all() and (learner.late.flat == late.flat).all()
+        start = w.flat / 7  # no whole numbers
+    assert mistakes < few < n // 2
+
+
 def test_a_cell_of_neighbours_holds_little():
     import tracemalloc
 
